@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .tokens import piece_encoder, slices
+from .tokens import byte_encoder, slices
 
 
 def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -126,7 +126,7 @@ def pack_documents(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = piece_encoder(tokenizer)
+        encoder = byte_encoder(tokenizer)
         base, held, kept, counted, total = TaskContext.get().partitionId() << 33, [], [], [], 0
         for batch in batches:
             texts = batch.column(1).to_pylist()

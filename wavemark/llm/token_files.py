@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .ordering import in_ranges
 from .storage import new_path
-from .tokens import piece_encoder, slices
+from .tokens import byte_encoder, slices
 
 
 def filesystem(uri: str):
@@ -103,7 +103,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, attempt = piece_encoder(tokenizer), TaskContext.get().taskAttemptId()
+        encoder, attempt = byte_encoder(tokenizer), TaskContext.get().taskAttemptId()
         writer, at, n = None, None, 0
         system, place = filesystem(folder)
         system.create_dir(place, recursive=True)

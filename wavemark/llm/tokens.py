@@ -1,118 +1,79 @@
-"""Token ids of whole texts by a byte-level BPE of the tokenizers library, with a bounded memo of
-pieces, for use inside Spark tasks."""
+"""Token ids of whole texts by a byte-level BPE file of the tokenizers library, for use inside
+Spark tasks."""
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
 import numpy as np
 
 END = 0
-#: A space between two white-space characters is no token boundary of a byte-level BPE. Python's
-#: \s holds all that the library calls white space, so no such place is missed.
-_INSIDE_SPACES = re.compile(r"\s \s")
+#: Fixed value: how a byte-level BPE cuts a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts for the library itself: characters whose class may differ between regular-expression
+#: engines or Unicode versions (all but Latin letters and common marks), and very long words.
+_RARE = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧€]|\\S{400}")
 
 
-def ragged_take(values: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows ``index`` of a ragged array, end to end, and their lengths."""
-    first = offsets[index]
-    lengths = offsets[index + 1] - first
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(first - (ends - lengths), lengths) + np.arange(total)], lengths
+def byte_alphabet() -> dict[str, int]:
+    """The characters by which a byte-level BPE file writes bytes: printable Latin-1 stands for
+    itself, the other bytes follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
-class _Numbers(dict):
-    """Numbers keys as they are first asked for, and lists the new ones."""
-
-    def __init__(self, first: int):
-        super().__init__()
-        self.next, self.new = first, []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = self.next
-        self.next += 1
-        self.new.append(key)
-        return number
-
-
-class PieceEncoder:
+class ByteEncoder:
     """``encode`` equals the library's encode(text, add_special_tokens=False).
 
-    A text is cut before each space, where a byte-level BPE always has a token boundary unless the
-    space stands between white space. Each distinct piece goes to the library once; texts with
-    such spaces or with an added token's string go there whole. The memo is emptied beyond
-    ``memo_limit`` pieces, so memory is bounded.
+    Common texts go to a faster encoder built from the same file, whose merges must rank as its
+    ids do (else it is not used); the rest go to the library.
     """
 
-    def __init__(self, path: str, memo_limit: int = 700_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._limit = memo_limit
-        self._forget()
-
-    def _forget(self) -> None:
-        # Keys hold no space but the first pieces of texts, which have no space before them: " " + piece.
-        self._index = _Numbers(1)
-        self._values, self._offsets = np.full(1, END, np.uint32), np.array([0, 1])
-
-    def _append(self, values: np.ndarray, lengths: np.ndarray) -> None:
-        self._values = np.concatenate([self._values, values])
-        self._offsets = np.concatenate([self._offsets, self._offsets[-1] + np.cumsum(lengths)])
-
-    def _learn(self) -> None:
-        keys, self._index.new = self._index.new, []
-        pieces = [k[1:] if k[:1] == " " else f" {k}" for k in keys]
-        got = self._tokenizer.encode_batch([pieces], is_pretokenized=True, add_special_tokens=False)[0]
-        ids = np.array(got.ids, np.uint32)
-        self._append(ids, np.bincount(np.array(got.word_ids, np.int64), minlength=len(keys)) if len(ids) else np.zeros(len(keys), np.int64))
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        self._added = [t["content"] for t in said["added_tokens"]]
+        self._fast = self._faster(said)
+
+    @staticmethod
+    def _faster(said: dict):
+        import tiktoken
+
+        model, cut = said["model"], said["pre_tokenizer"] or {}
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not said["normalizer"]
+        if not plain or model.get("ignore_merges") or any(a >= b for a, b in zip(made, made[1:], strict=False)) or len(model["vocab"]) != len(made) + 256:
+            return None
+        letters = byte_alphabet()
+        ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items()}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+    def ids(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if self._fast is None or _RARE.search(text) or any(a in text for a in self._added):
+            return self._tokenizer.encode(text, add_special_tokens=False).ids
+        return self._fast(text)
 
     def encode(self, texts: list[str | None], end: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end (uint32), and the number of ids of each text. ``end``: id 0 follows
         each text. None counts as the empty text."""
-        if len(self._index) > self._limit:
-            self._forget()
-        keys: list[str] = []
-        whole: list[tuple[int, str]] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if _INSIDE_SPACES.search(text) or any(a in text for a in self._added):
-                whole.append((i, text))
-                continue
-            parts = text.split(" ")
-            parts[0] = f" {parts[0]}"
-            counts[i] = len(parts)
-            keys += parts
-        index = np.fromiter(map(self._index.__getitem__, keys), np.int64, len(keys))
-        if self._index.new:
-            self._learn()
-        if whole:
-            rows = [self._tokenizer.encode(t, add_special_tokens=False).ids for _, t in whole]
-            where = np.cumsum(counts)[[i for i, _ in whole]]
-            index = np.insert(index, where, self._index.next + np.arange(len(whole)))
-            self._append(np.concatenate([np.array(r, np.uint32) for r in rows]), np.array([*map(len, rows)]))
-            self._index.next += len(whole)
-            counts[[i for i, _ in whole]] = 1
-        if end:
-            index = np.insert(index, np.cumsum(counts), 0)
-            counts += 1
-        values, lengths = ragged_take(self._values, self._offsets, index)
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        stops = np.cumsum(counts)
-        return values, ends[stops] - ends[stops - counts]
+        rows = [np.array([*self.ids(t), END] if end else self.ids(t), np.uint32) for t in texts]
+        return (np.concatenate(rows) if rows else np.zeros(0, np.uint32)), np.fromiter(map(len, rows), np.int64, len(rows))
 
 
 @lru_cache(maxsize=2)
-def piece_encoder(path: str) -> PieceEncoder:
-    """One encoder for each Python worker: its memo outlives a task."""
-    return PieceEncoder(path)
+def byte_encoder(path: str) -> ByteEncoder:
+    """One encoder for each Python worker."""
+    return ByteEncoder(path)
 
 
 def slices(texts: list[str | None], most: int = 2_000_000):
