@@ -116,41 +116,6 @@ def pit(observed: Column, weights: Column, means: Column, stds: Column) -> Colum
     return by_channel(observed, means, stds, lambda y, m, s: total(F.transform(F.arrays_zip(normalized(weights).alias("w"), m.alias("m"), s.alias("s")), lambda c: c["w"] * cdf((y - c["m"]) / c["s"]))))
 
 
-def channel_quantiles(level: float, weights: Column, means: Column, stds: Column, n_grid: int = 128) -> Column:
-    """Each channel's quantile, read off a grid of ``n_grid`` points from the lowest to the highest
-    component mean, eight standard deviations beyond: the first grid point at or above the level,
-    interpolated from the point before."""
-    if n_grid < 128:
-        raise ValueError("n_grid must be at least 128")
-
-    def one(m: Column, s: Column) -> Column:
-        parts = F.arrays_zip(normalized(weights).alias("w"), m.alias("m"), s.alias("s"))
-        low, high = F.array_min(F.zip_with(m, s, lambda a, b: a - 8 * b)), F.array_max(F.zip_with(m, s, lambda a, b: a + 8 * b))
-        point = lambda i: low + (high - low) * i / (n_grid - 1)
-        below = lambda i: total(F.transform(parts, lambda c: c["w"] * cdf((point(i) - c["m"]) / c["s"])))
-        # A distribution function rises along the grid, so the first index at or above the level
-        # is found by halving.
-        steps = F.sequence(F.lit(1), F.lit(math.ceil(math.log2(n_grid))))
-        start = F.struct(F.lit(0).alias("a"), F.lit(n_grid - 1).alias("b"))
-
-        def halve(s: Column, _: Column) -> Column:
-            middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
-            up = below(middle) >= level
-            return F.struct(F.when(up | (s["a"] >= s["b"]), s["a"]).otherwise(middle + 1).alias("a"), F.when(up & (s["a"] < s["b"]), middle).otherwise(s["b"]).alias("b"))
-
-        first = F.aggregate(steps, start, halve, lambda s: s["b"])
-        last = F.transform(F.array(first), lambda i: F.when(i == 0, low).otherwise(point(i - 1) + (point(i) - point(i - 1)) * F.least(F.greatest((level - below(i - 1)) / F.greatest(below(i) - below(i - 1), F.lit(1e-12)), F.lit(0.0)), F.lit(1.0))))
-        return F.get(last, F.lit(0))
-
-    return F.transform(F.get(means, F.lit(0)), lambda _, d: one(F.transform(means, lambda m: F.get(m, d)), F.transform(stds, lambda s: F.get(s, d))))
-
-
-def channel_coverage(observed: Column, weights: Column, means: Column, stds: Column, level: float = 0.9, n_grid: int = 128) -> Column:
-    """1 for each channel whose observed value lies in the central interval, ends included."""
-    low, high = (channel_quantiles(q, weights, means, stds, n_grid) for q in ((1 - level) / 2, (1 + level) / 2))
-    return F.zip_with(F.zip_with(observed, low, lambda y, a: y >= a), F.zip_with(observed, high, lambda y, b: y <= b), lambda a, b: (a & b).cast("int"))
-
-
 def entropy(probabilities: Column) -> Column:
     return -total(F.transform(probabilities, lambda p: p * F.log(F.greatest(p, F.lit(1e-12)))))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mixture
 from ..functions.energy import energy_score
+from ..functions.intervals import channel_coverage
 from ..operators import diagnostics, ranges, regimes, selection, thresholds
 from ..sources import runs
 
@@ -24,7 +25,7 @@ def evaluate_forecast(forecast: DataFrame, *, samples: int = 256, seed: int = 0,
         mixture.nll(*columns).alias("nll"),
         energy_score("observed", "weights", "means", "stds", key, samples, seed).alias("energy"),
         F.arrays_zip(
-            mixture.channel_crps(*columns).alias("crps"), mixture.absolute_errors(y, w, m).alias("error"), mixture.channel_coverage(*columns).alias("inside")
+            mixture.channel_crps(*columns).alias("crps"), mixture.absolute_errors(y, w, m).alias("error"), channel_coverage("observed", "weights", "means", "stds").alias("inside")
         ).alias("channels"),
     )
     flat = rows.select("nll", "energy", F.posexplode("channels").alias("d", "c"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gaussian, mixture, scores
 from ..functions.energy import energy_score
+from ..functions.intervals import channel_coverage
 from ..operators import baselines, diagnostics, regimes, windows
 from ..operators.sequence import numbered
 from .series import H, L, S, WINDOWS, _windows, r6
@@ -130,7 +131,7 @@ def pit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("interval_coverage_90")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixtures(spark, sf_dir).select("series_id", F.explode(mixture.channel_coverage(*_cols())).alias("c"))
+    rows = mixtures(spark, sf_dir).select("series_id", F.explode(channel_coverage(*COLUMNS)).alias("c"))
     return rows.groupBy("series_id").agg(r6(F.avg("c"), "coverage"))
 
 
