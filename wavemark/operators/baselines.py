@@ -19,7 +19,7 @@ def fit_seasonal(df: DataFrame, season: int = 1, by: Sequence[str] = ("series_id
     within = by if reset is None else reset
     lagged = trailing(df.select(*{*by, *within}, t, x), t, season, lambda w: {"_before": F.lag(x, season).over(w)}, within)
     flat = lagged.select(*by, F.posexplode(F.zip_with(x, F.coalesce("_before", F.transform(x, lambda v: F.lit(None).cast("double"))), lambda a, b: a - b)).alias("channel", "d"))
-    stats = flat.groupBy(*by, "channel").agg(F.coalesce(F.greatest(F.stddev_pop("d"), F.lit(floor)), F.lit(1.0)).alias("s"))
+    stats = flat.groupBy(*by, "channel").agg(F.when(F.count("d") > 0, F.greatest(F.stddev_pop("d"), F.lit(floor))).otherwise(1.0).alias("s"))
     rows = F.sort_array(F.collect_list(F.struct("channel", "s")))
     return stats.groupBy(*by).agg(rows.alias("r")).select(*by, F.transform("r", lambda c: c["s"]).alias("std"))
 

@@ -107,7 +107,7 @@ def collect_runs(spark: SparkSession, root: str) -> DataFrame:
     if os.path.isfile(root):
         raise ValueError("runs are folders")
     metrics = _json_files(spark, root, "metrics.json")
-    flat = flatten(metrics.drop("run_dir").select("*", F.struct(metrics["run_dir"]).alias("_at"))).withColumnRenamed("_at.run_dir", "run_dir")
+    flat = flatten(metrics)
     if any("manifest.json" in files for _, _, files in os.walk(root)):
         said = _json_files(spark, root, "manifest.json")
         own = said.select(F.col("run_dir"), *(F.col(c).alias(f"manifest.{c}") for c in said.columns if c != "run_dir"))
