@@ -87,16 +87,16 @@ class SpeculativeBPE:
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match from the left; None if some character is no token."""
         found, i, n = [], 0, len(word)
-        inner, final = self.inner, self.final
+        inner, final = self.inner.get, self.final.get
         while i < n:
-            if word[i:] in final:
-                found.append(final[word[i:]])
+            if (token := final(word[i:])) is not None:
+                found.append(token)
                 return found
-            for j in range(min(n - 1, i + self.longest), i, -1):
-                if (token := inner.get(word[i:j])) is not None:
-                    break
-            else:
-                return None
+            j = min(n - 1, i + self.longest)
+            while (token := inner(word[i:j])) is None:
+                j -= 1
+                if j <= i:
+                    return None
             found.append(token)
             i = j
         return found
@@ -152,7 +152,7 @@ class TextEncoder:
     characters or an added token's string go to the library, as do very long stretches without white
     space. Such stretches are remembered, up to ``memo_limit``."""
 
-    def __init__(self, path: str, memo_limit: int = 600_000):
+    def __init__(self, path: str, memo_limit: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -262,24 +262,35 @@ def decode_documents(df: DataFrame, tokenizer: str, *, ids_col: str = "ids") ->
         tokens, library = decoder(tokenizer)
         for batch in batches:
             lists = batch.column(at)
-            flat, bounds, known = lists.values.to_pylist(), lists.offsets.to_pylist(), lists.is_valid().to_pylist()
-            out = []
-            for i, own in enumerate(known):
-                ids = flat[bounds[i] : bounds[i + 1]]
-                if library is not None:
-                    out.append(library.decode(ids, skip_special_tokens=False) if own else None)
+            flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            known, out = lists.is_valid().to_numpy(zero_copy_only=False), []
+            for a, b, own in zip(bounds[:-1], bounds[1:], known, strict=True):
+                ids = flat[a:b]
+                if not own:
+                    out.append(None)
+                elif library is not None:
+                    out.append(library.decode(ids.tolist(), skip_special_tokens=False))
                 else:
-                    out.append(" ".join([tokens[t] for t in ids if t in tokens]) if own else None)
+                    if b > a and (ids.min() < 0 or ids.max() >= len(tokens)):
+                        ids = ids[(ids >= 0) & (ids < len(tokens))]
+                    out.append(" ".join(tokens[ids].tolist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 @lru_cache(maxsize=2)
-def decoder(path: str) -> tuple[dict[int, str], object | None]:
+def decoder(path: str) -> tuple[np.ndarray, object | None]:
     """The tokens by id; and the library's tokenizer, if the file has a decoder of its own. Without
     one, decoding joins tokens by single spaces."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return {i: t for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}, tokenizer if tokenizer.decoder else None
+    if tokenizer.decoder:
+        return np.zeros(0, object), tokenizer
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    tokens = np.empty(max(vocab.values()) + 1, object)
+    for token, i in vocab.items():
+        tokens[i] = token
+    # A file whose ids leave gaps is left to the library, which passes over them.
+    return tokens, tokenizer if any(t is None for t in tokens) else None
