@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -329,3 +331,28 @@ def per_series_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = thresholds.persist(predicted, 3, 2, "place", ["group_id"])
     return _rounded(ranges.range_metrics(kept, seq="place", by=["group_id"]), "group_id")
 
+
+
+JOBS = [(q, p) for q in (0.95, 0.98, 0.99) for p in ((1, 1), (3, 2), (5, 2))]
+
+
+def _job_sql(i: int, q: float, window: int, count: int) -> str:
+    names = {"label": f"t{i}", "pred": f"p{i}"}
+    rows = f"r{i} AS (SELECT seq, label, CAST(sum(CAST(score >= (SELECT round(quantile_cont(score, {q}::DOUBLE), 9) FROM val) AS INT)) OVER (ORDER BY seq ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) >= {count} AS INT) AS pred FROM tst)"
+    measured = f"m{i} AS (SELECT coalesce((SELECT avg(true_share) FROM p{i}), 0) AS p, coalesce((SELECT avg(pred_share) FROM t{i}), 0) AS r)"
+    return ", ".join([rows, *(_islands(flag, f"r{i}", name) for flag, name in names.items()), measured])
+
+
+@query(
+    "rescore_matrix",
+    f"WITH {SC}, " + ", ".join(_job_sql(i, q, *p) for i, (q, p) in enumerate(JOBS)) + " " + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS quantile, {w} AS persistence_window, {c} AS persistence_count, {ROUNDED} FROM m{i}" for i, (q, (w, c)) in enumerate(JOBS)),
+)
+def rescore_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every threshold under every persistence; the scores are computed once."""
+    test = scored(spark, sf_dir, "test").cache()
+    levels = dict(zip((0.95, 0.98, 0.99), quantiles.exact_quantiles(scored(spark, sf_dir, "validation"), "score", [0.95, 0.98, 0.99]), strict=True))
+    out = []
+    for q, (window, count) in JOBS:
+        kept = thresholds.persist(thresholds.predict(test, round(levels[q], 9)), window, count)
+        out.append(_rounded(ranges.range_metrics(kept)).select(F.lit(q).alias("quantile"), F.lit(window).alias("persistence_window"), F.lit(count).alias("persistence_count"), "precision", "recall", "f1"))
+    return reduce(DataFrame.union, out)

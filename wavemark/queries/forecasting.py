@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import gaussian, mixture, scores
 from ..functions.energy import energy_score
 from ..functions.intervals import channel_coverage
-from ..operators import baselines, diagnostics, regimes, windows
+from ..operators import baselines, diagnostics, regimes, scaling, windows
 from ..operators.sequence import numbered
+from ..plans import neural
 from .series import H, L, S, WINDOWS, _windows, r6
 from .views import EV, Query, series_events
 
@@ -224,3 +225,23 @@ def pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixture_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = diagnostics.mixture_diagnostics(mixtures(spark, sf_dir))
     return d.select(*(r6(F.col(c), c) for c in ("mean_entropy", "mean_normalized_entropy", "mean_pairwise_distance")), "active_components", r6(F.col("effective_components"), "effective_components"))
+
+
+def _forecast(spark: SparkSession, sf_dir: str, n_regimes: int) -> DataFrame:
+    """A small model of scaled windows, trained for one epoch; its forecasts' means."""
+    ev = series_events(spark, sf_dir)
+    made = windows.make_windows(scaling.scale(ev, scaling.fit_scaler(ev)), L, H, 4 * S)
+    rows = numbered(made, ["series_id"], ["start"])
+    config = neural.ModelConfig(2, H, hidden=6, components=2, n_regimes=n_regimes)
+    model = neural.train(rows, config, neural.TrainingConfig(epochs=1, batches=3, supervised=0.1 if n_regimes else 0.0))
+    return neural.predict(rows, model, ("series_id", "start")).select("series_id", "start", "h", F.round(mixture.predictive_mean(F.col("weights"), F.col("means"))[0], 4).alias("mean"), regimes.argmax(F.col("probs")).alias("regime") if n_regimes else F.lit(0).cast("long").alias("regime"))
+
+
+@query("mdn_forecast")
+def mdn_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forecast(spark, sf_dir, 0)
+
+
+@query("joint_forecast")
+def joint_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forecast(spark, sf_dir, 5)
