@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ordering import dealt, range_bounds, range_number
-from .shingles import mix
+from .shingles import mix, sorted_distinct
 
 #: Smallest hashes kept.
 SIZE = 128
@@ -86,7 +86,7 @@ def smallest(text: str, ends: list[int], size: int = SIZE) -> np.ndarray:
     hashes = (mix((sums[stop] - sums[start]) * down[start]) >> np.uint64(32)).astype(np.uint32)
     if len(hashes) > 4 * size:
         hashes = hashes[hashes <= np.partition(hashes, 2 * size)[2 * size]]
-    return np.unique(hashes)[:size]
+    return sorted_distinct(hashes)[:size]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:

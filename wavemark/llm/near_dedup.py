@@ -8,36 +8,32 @@ chunks of 5 or 6 symbols, one with at most one error. Each document is therefore
 chunk with every one symbol left out, 64 keys in all: a pair with one error or none in a chunk
 shares the key that leaves out the wrong symbol.
 
-Documents with equal sets are one node from the start. In a bucket of equal keys, each node is
-first compared with the smallest and the largest node, a number of pairs linear in the bucket.
-Links confirmed on the full sets merge nodes into components; only buckets that still hold several
-components are then searched in full for pairs within the distance, across components. So a large
-group of copies costs a star, and no link that could join two components is left out.
+Documents with equal sets are one node from the start. In a bucket of equal keys each node is first
+compared with the smallest node, and then, in buckets of several components, with the bucket's hub:
+numbers of pairs linear in the bucket. Links confirmed on the full sets merge nodes into components.
+Only then are pairs across components searched in full, and an exact bound from the overlaps with
+the hub rules out nearly all of them. So a large group of copies costs two stars, and no link that
+could join two components is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shingles import WordHashes, mix, shingle_sets
+from .shingles import mix, shingle_sets
 from .storage import written_table
 from .tokens import slices
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 12, 23
 
 
-@lru_cache(maxsize=1)
-def _memo() -> WordHashes:
-    return WordHashes()
-
-
 def _signed(x: np.ndarray, kind: type) -> np.ndarray:
     return np.ascontiguousarray(x).view(kind)
 
@@ -61,11 +57,10 @@ def describe(df: DataFrame, width: int) -> DataFrame:
     schema = T.StructType([df.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("signature", T.ArrayType(T.ShortType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts):
-                rows, sizes = shingle_sets(texts[a:b], width, memo)
+                rows, sizes = shingle_sets(texts[a:b], width)
                 full = sizes > 0
                 starts = (np.cumsum(sizes) - sizes)[full]
                 sums = np.zeros((2, b - a), np.uint64)
@@ -102,29 +97,96 @@ def _promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         own = nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
         pairs = pairs.join(own, side)
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.where(sized & (distance(F.col("s_a"), F.col("s_b")) <= DISTANCE)).select("a", "b", "n_a", "n_b")
+    return pairs.where(sized & (distance(F.col("s_a"), F.col("s_b")) <= DISTANCE)).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs that are links by their full shingle sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _shingle_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The full shingle sets, ``node`` and ``hashes``, of the documents ``ids``."""
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts):
-                rows, sizes = shingle_sets(texts[a:b], width, memo)
+                rows, sizes = shingle_sets(texts[a:b], width)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(rows, np.int64)))], schema.names)
 
-    sets = written_table(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, schema), "shingle-sets")
+    likely = docs.where(_may_be_among(ids, F.col("doc_id")))
+    return likely.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _may_be_among(ids: DataFrame, doc_id: Column, bits: int = 23) -> Column:
+    """False only for documents that are not among ``ids``: a bitmap of fixed size (one megabyte),
+    so that the texts of few documents are not exchanged among those of all. With very many ids it
+    lets all pass, and the join that follows decides alone."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    words = ids.select(place.alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
+    bitmap = np.zeros((1 << bits) // 64, np.int64)
+    for row in words.toLocalIterator():
+        bitmap[row["word"]] = row["v"]
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
+
+    @F.pandas_udf("boolean")
+    def among(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return among(F.pmod(F.xxhash64(doc_id), F.lit(1 << bits)))
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with ``common``, the size of the intersection of the full sets, and ``linked``."""
     for side in "ba":
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(f"h_{side}")), side)
-    common = F.size(F.array_intersect("h_a", "h_b"))
-    union = F.size("h_a") + F.size("h_b") - common
-    return pairs.where(100 * common >= percent * union).select("a", "b").distinct()
+    both = pairs.select("a", "b", F.size(F.array_intersect("h_a", "h_b")).cast("long").alias("common"), (F.size("h_a") + F.size("h_b")).alias("total"))
+    return both.select("a", "b", "common", (100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).alias("linked"))
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
+def _mixed(shared: DataFrame, merged: DataFrame) -> DataFrame:
+    """The members (key, node, component) of the buckets that hold several components."""
+    member = shared.join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    spread = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return member.join(spread, "key", "left_semi")
+
+
+def _own_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node`` and ``own``: how many of a node's shingles are in no other of the nodes' sets."""
+    flat = sets.join(nodes, "node", "left_semi").select("node", F.explode("hashes").alias("h"))
+    counted = flat.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+    return counted.where("node = other").groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _unresolved(mixed: DataFrame, hubs: DataFrame, over: DataFrame, own: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components in one bucket that may still be linked.
+
+    In a bucket, each node's overlap with the bucket's hub is known. What a node has beyond that is
+    partly its own, in no other set at all; two nodes can have in common no more than the smaller
+    overlap and the smaller of what they have beyond it that others have too. Nearly all pairs of
+    differently edited copies fall to this exact bound, without looking at their sets.
+    """
+    rest = mixed.join(hubs, "key").join(nodes, "node").join(over.select(F.col("a").alias("hub"), F.col("b").alias("node"), "common"), ["hub", "node"], "left").join(own, "node", "left")
+    inside = F.when(F.col("node") == F.col("hub"), F.col("n_shingles")).otherwise(F.col("common"))
+    rest = rest.withColumn("inside", inside).withColumn("spare", F.col("n_shingles") - inside - F.coalesce("own", F.lit(0)))
+    rest = rest.withColumn("keys", chunk_keys(F.col("signature")))
+    rest = written_table(rest.select("key", "node", "component", "n_shingles", "signature", "keys", "inside", "spare"), "mixed-buckets")
+    left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in rest.columns if c != "key")) for side in "ab")
+    across = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b"))
+    total = F.col("n_shingles_a") + F.col("n_shingles_b")
+    most = F.least("inside_a", "inside_b") + F.least("spare_a", "spare_b")
+    known = F.col("inside_a").isNotNull() & F.col("inside_b").isNotNull()
+    possible = ~known | ((100 + percent) * most >= percent * total)
+    sized = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
+    close = distance(F.col("signature_a"), F.col("signature_b")) <= DISTANCE
+    # A pair counts in the first bucket only that its nodes share.
+    same = F.zip_with("keys_a", "keys_b", lambda x, y: x == y)
+    first = F.get("keys_a", (F.array_position(same, F.lit(True)) - 1).cast("int")) == left["key"]
+    found = left.join(right, (left["key"] == right["key"]) & across & sized & possible & close & first)
+    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -142,6 +204,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _first_labels(links: DataFrame) -> DataFrame:
+    """``node`` and ``component``: the smallest node that one or two links of a star lead to. Equal
+    labels mean one component; different ones may too, which costs a later look, but no link."""
+    direct = written_table(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), "labels")
+    further = direct.select(F.col("node").alias("component"), F.col("component").alias("next"))
+    return direct.join(further, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+
+
 def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``df``: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id
     that links reach, its own included) and ``kept`` (its id is that smallest one).
@@ -159,25 +229,36 @@ def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     classes = written_table(classes, "classes")
     nodes = classes.where("node is not null").select("node", "n_shingles", "signature")
     filed = nodes.select("node", F.explode(chunk_keys(F.col("signature"))).alias("key"))
-    spans = written_table(filed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "spans")
+    spans = written_table(filed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"), "spans")
     shared = written_table(filed.join(spans, "key"), "buckets")  # keys that nodes share
-    star = shared.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*")
-    star = written_table(_promising(star.where("a < b").distinct(), nodes, percent), "candidates")
-    links = written_table(_confirmed(star, docs, width, percent), "links")
+
+    # Each node against the smallest of its buckets.
+    star = shared.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    star = written_table(_promising(star, nodes, percent), "candidates")
+    sets = written_table(_shingle_sets(_ids(star), docs, width), "shingle-sets")
+    over = written_table(_overlaps(star, sets, percent), "overlaps")
+    links = over.where("linked").select("a", "b")
+
+    # In buckets of several components, each node against the hub: that with the fewest shingles
+    # of its own, which a text from which the others were edited has.
+    mixed = written_table(_mixed(shared.select("key", "node"), _first_labels(links)), "mixed-buckets")
+    members = mixed.select("node").distinct()
+    others = members.join(sets.select("node"), "node", "left_anti").select(F.col("node").alias("doc_id"))
+    sets = sets.union(written_table(_shingle_sets(others, docs, width), "shingle-sets"))
+    own = written_table(_own_shingles(sets, members), "own-shingles")
+    hubs = mixed.join(own, "node", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("own", F.lit(0)).alias("own"), "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    hubs = written_table(hubs, "hubs")
+    spokes = mixed.join(hubs, "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    over = written_table(_overlaps(spokes, sets, percent), "overlaps")
+    links = links.union(over.where("linked").select("a", "b"))
     merged = components(links)
 
-    # What is left: buckets that hold several components.
-    member = shared.select("key", "node").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = written_table(member.join(mixed, "key", "left_semi").join(nodes, "node"), "mixed-buckets")
-    left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n_shingles", "signature"))) for side in "ab")
-    across = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b"))
-    sized = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
-    close = distance(F.col("signature_a"), F.col("signature_b")) <= DISTANCE
-    more = left.join(right, (left["key"] == right["key"]) & across & sized & close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_shingles_a").alias("n_a"), F.col("n_shingles_b").alias("n_b"))
-    more = written_table(more.distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-    if not more.isEmpty():
-        merged = components(links.union(_confirmed(more, docs, width, percent)))
+    # What is left: pairs across components that the overlaps with hubs do not rule out.
+    more = _unresolved(_mixed(mixed.select("key", "node"), merged), hubs, over, own, nodes, percent)
+    more = written_table(more.join(over.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+    joined = written_table(_overlaps(more, sets, percent).where("linked").select("a", "b"), "links")
+    if not joined.isEmpty():
+        merged = components(links.union(joined))
 
     grouped = classes.select("set_a", "set_b", "node").join(merged, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("group"))
     found = described.select("doc_id", "n_shingles", "set_a", "set_b").join(grouped, ["set_a", "set_b"], "left")

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import labelled_sample
-from .shingles import WordHashes, windows
+from .shingles import hashed_words, windows
 from .tokens import slices
 
 #: n_marks counts marks of punctuation, n_echoes words equal to the word before them.
@@ -30,11 +28,6 @@ _SYMBOLS = list(b"#*$%&|<>")
 _MARKS = list(b"!?.,;:")
 
 
-@lru_cache(maxsize=1)
-def _memo() -> WordHashes:
-    return WordHashes()
-
-
 def repeated_words(hashes: np.ndarray, width: int = 5) -> int:
     """Words that stand in a window of ``width`` words found twice or more in the text."""
     if len(hashes) <= width:
@@ -50,22 +43,27 @@ def repeated_words(hashes: np.ndarray, width: int = 5) -> int:
     return int((np.cumsum(change) > 0).sum())
 
 
-def count_text(text: str | None, memo: WordHashes) -> tuple[int, ...]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    bytes_of = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    words = raw.split()
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    return (
-        len(words),
-        len(raw) - int(bytes_of[128:192].sum()) - int(bytes_of[_SPACES].sum()),
-        int(bytes_of[_SYMBOLS].sum()),
-        len(lines),
-        len(lines) - len(set(lines)),
-        repeated_words(memo.of(words)),
-        int(bytes_of[65:91].sum()),
-        int(bytes_of[_MARKS].sum()),
-        sum(map(eq, words, words[1:])),
-    )
+def count_texts(texts: list[str | None]) -> np.ndarray:
+    """A row of COUNTS for each text."""
+    encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    hashes, sizes = hashed_words(encoded)
+    out, at = np.zeros((len(texts), len(COUNTS)), np.int64), 0
+    for row, raw, n in zip(out, encoded, sizes.tolist(), strict=True):
+        words, at = hashes[at : at + n], at + n
+        bytes_of = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        row[:] = (
+            n,
+            len(raw) - bytes_of[128:192].sum() - bytes_of[_SPACES].sum(),
+            bytes_of[_SYMBOLS].sum(),
+            len(lines),
+            len(lines) - len(set(lines)),
+            repeated_words(words),
+            bytes_of[65:91].sum(),
+            bytes_of[_MARKS].sum(),
+            (words[1:] == words[:-1]).sum(),
+        )
+    return out
 
 
 def with_counts(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -75,11 +73,10 @@ def with_counts(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (
     schema = T.StructType([*own.schema.fields[:-1], *(T.StructField(n, T.LongType()) for n in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo()
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             for a, b in slices(texts):
-                rows = np.array([count_text(t, memo) for t in texts[a:b]], np.int64).reshape(b - a, len(COUNTS))
+                rows = count_texts(texts[a:b])
                 kept = [batch.column(k).slice(a, b - a) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], schema.names)
 

@@ -58,7 +58,7 @@ class Machine:
 class _Features(dict):
     """The features of a word, as a number: 0 for none, else a place in ``sets``."""
 
-    def __init__(self, buckets: np.ndarray, limit: int = 1_000_000):
+    def __init__(self, buckets: np.ndarray, limit: int = 200_000):
         super().__init__({b"": 0})
         self.at, self.limit, self.sets = {int(b): i for i, b in enumerate(buckets)}, limit, [np.zeros(0, np.int64)]
 
