@@ -12,7 +12,6 @@ page, however often it occurs in a block, so no hash bucket grows with it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shingles import WordHashes, mix
+from .shingles import hashed_words, mix
 from .storage import written_table
 
 ORDERS = 3
@@ -29,11 +28,6 @@ _SEEDS = np.array([0x8CB92BA72F3D8DD7, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F],
 _BITS = 40
 
 
-@lru_cache(maxsize=1)
-def _memo() -> WordHashes:
-    return WordHashes()
-
-
 def pack(values: np.ndarray, width: int) -> bytes:
     """Unsigned numbers as ``width`` planes of their bytes: planes of zeros compress away."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
@@ -47,11 +41,9 @@ def unpack(data: bytes, width: int) -> np.ndarray:
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, lower-case, cut at white space, and the number of words of each text."""
-    rows = [t.lower().encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-    memo = _memo()
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    return (np.concatenate([memo.of(r) for r in rows]) if rows else np.zeros(0, np.uint64)), sizes
+    """Hashes of all words, lower-case, cut at ASCII white space, and the number of words of each
+    text."""
+    return hashed_words([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts])
 
 
 def ngram_hashes(words: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -65,43 +57,69 @@ def ngram_hashes(words: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np
         yield order, ends, mix(hashes ^ np.uint64(order))
 
 
-def _sorted_counts(texts: list[str | None], shift: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Distinct n-gram hashes of a block, bucket bits first, and their counts."""
-    words, sizes = word_hashes(texts)
-    keys, counts = [], []
-    for _, _, hashes in ngram_hashes(words, sizes):
-        k, c = np.unique(hashes >> np.uint64(shift), return_counts=True)
-        keys.append(k)
-        counts.append(c)
-    flat = np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")
-    flat, own = flat[order], np.concatenate(counts)[order]
-    first = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
-    return flat[first], (np.add.reduceat(own, np.flatnonzero(first)) if len(flat) else own), len(words)
+def all_hashes(words: np.ndarray, sizes: np.ndarray, shift: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Where the n-grams of each order end, and the shortened hashes of all, one order after
+    another."""
+    ends, hashes = zip(*((e, h >> np.uint64(shift)) for _, e, h in ngram_hashes(words, sizes)), strict=True)
+    return list(ends), np.concatenate(hashes)
 
 
-def _by_bucket(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _by_bucket(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of sorted keys, and where each begins (and the last ends)."""
     buckets = (keys >> np.uint64(_BITS)).astype(np.int64)
-    names, first = np.unique(buckets, return_index=True)
-    yield from zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)
+    first = np.flatnonzero(np.diff(buckets, prepend=-1))
+    return buckets[first], np.append(first, len(keys))
+
 
+def _blocks(batches: Iterator[pa.RecordBatch], column: int, block_chars: int) -> Iterator[tuple[int, pa.RecordBatch, list[str | None]]]:
+    """Runs of rows, within batches, with the number of their block: a partition's rows in their
+    order, cut after every ``block_chars`` characters."""
+    from pyspark import TaskContext
 
-def _ngram_pages(docs: DataFrame, bits: int) -> DataFrame:
-    """(block, bucket, grams, counts) of each scan partition, which is a block."""
+    block, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        texts, first = batch.column(column).to_pylist(), 0
+        for i, text in enumerate(texts):
+            size += len(text or "") + 1
+            if size >= block_chars:
+                yield block, batch.slice(first, i + 1 - first), texts[first : i + 1]
+                block, size, first = block + 1, 0, i + 1
+        if first < len(texts):
+            yield block, batch.slice(first), texts[first:]
 
+
+def _with_blocks(docs: DataFrame, block_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        for block, rows, _ in _blocks(batches, 1, block_chars):
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, block))], ["doc_id", "text", "block"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("block", T.LongType())]))
 
-        block, texts = TaskContext.get().partitionId(), []
-        for batch in batches:
-            texts += batch.column(0).to_pylist()
-        keys, counts, _ = _sorted_counts(texts, 64 - bits - _BITS)
-        for bucket, a, b in _by_bucket(keys):
-            low = keys[a:b] & np.uint64((1 << _BITS) - 1)
-            steps = np.diff(low, prepend=np.uint64(0))
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "grams": [pack(steps, 5)], "counts": [pack(counts[a:b], 4)]})
 
-    return docs.select("text").mapInArrow(run, "block int, bucket int, grams binary, counts binary")
+def _ngram_pages(docs: DataFrame, bits: int, block_chars: int) -> DataFrame:
+    """(block, bucket, grams, counts): the distinct n-grams of each block, by bucket."""
+
+    def pages(block: int, texts: list[str | None]) -> pa.RecordBatch:
+        keys, counts = np.unique(all_hashes(*word_hashes(texts), 64 - bits - _BITS)[1], return_counts=True)
+        buckets, at = _by_bucket(keys)
+        low = keys & np.uint64((1 << _BITS) - 1)
+        steps = np.diff(low, prepend=np.uint64(0))
+        steps[at[:-1]] = low[at[:-1]]
+        grams, many = ([pack(v[a:b], w) for a, b in zip(at[:-1], at[1:], strict=True)] for v, w in ((steps, 5), (counts, 4)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(buckets), block)), pa.array(buckets.astype(np.int32)), pa.array(grams, pa.binary()), pa.array(many, pa.binary())], ["block", "bucket", "grams", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = -1, []
+        for block, _, texts in _blocks(batches, 0, block_chars):
+            if block != at and held:
+                yield pages(at, held)
+                held = []
+            at = block
+            held += texts
+        if held:
+            yield pages(at, held)
+
+    return docs.select("text").mapInArrow(run, "block long, bucket int, grams binary, counts binary")
 
 
 def _totals(pages: DataFrame) -> DataFrame:
@@ -117,17 +135,19 @@ def _totals(pages: DataFrame) -> DataFrame:
         cuts = np.cumsum([*map(len, grams)])[:-1]
         return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": [pack(t, 6) for t in np.split(total, cuts)]})
 
-    return pages.groupBy("bucket").applyInArrow(run, "block int, bucket int, totals binary")
+    return pages.groupBy("bucket").applyInArrow(run, "block long, bucket int, totals binary")
 
 
-def score_positions(words: np.ndarray, sizes: np.ndarray, total_of, least: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+def score_positions(sizes: np.ndarray, ends: list[np.ndarray], found: np.ndarray, least: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """For each word: its log score without the corpus size, and whether the score is that of the
-    word alone (so that the logarithm of the size is still to be taken off). ``total_of(hashes)``
-    gives the corpus counts of n-grams."""
-    counts = []
-    for _, ends, hashes in ngram_hashes(words, sizes):
+    word alone (so that the logarithm of the size is still to be taken off). ``found``: corpus
+    counts of the n-grams of all orders, which end at ``ends``."""
+    words = np.empty(int(sizes.sum()))
+    counts, low = [], 0
+    for own in ends:
         full = np.zeros(len(words))
-        full[ends] = total_of(hashes)
+        full[own] = found[low : low + len(own)]
+        low += len(own)
         counts.append(full)
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     score, alone, open_ = np.zeros(len(words)), np.zeros(len(words), bool), np.ones(len(words), bool)
@@ -146,46 +166,46 @@ def score_positions(words: np.ndarray, sizes: np.ndarray, total_of, least: int,
     return score, alone
 
 
-def score_documents(df: DataFrame, *, least: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> DataFrame:
+def score_documents(df: DataFrame, *, least: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8_000_000, stable: bool = False) -> DataFrame:
     """``doc_id``, ``n_words``, ``log_score`` (sum of the natural logarithms of the words' scores)
     and ``mean_log_score`` (null without words).
 
-    Words are lower-case and cut at white space. A word's score is count(w1 w2 w3) / count(w1 w2)
-    if the trigram occurs ``least`` times or more among all documents, else ``alpha`` times the
-    bigram's, and so on down to count(w3) / all words. The first words of a text begin at the order
-    that they allow, without the factor. The counts include the document itself. Null and empty
-    texts have no words and score 0. Null ids and repeated rows are scored, and counted, like any
-    other row; other columns are not read. An empty table gives no rows.
+    Words are lower-case and cut at ASCII white space. A word's score is count(w1 w2 w3) /
+    count(w1 w2) if the trigram occurs ``least`` times or more among all documents, else ``alpha``
+    times the bigram's, and so on down to count(w3) / all words. The first words of a text begin at
+    the order that they allow, without the factor. The counts include the document itself. Null and
+    empty texts have no words and score 0. Null ids and repeated rows are scored, and counted, like
+    any other row; other columns are not read. An empty table gives no rows.
 
-    Blocks are the partitions of ``df``, so they must hold the same rows each time: a scan of files
-    does (``stable=True``); anything else is written to the shared folder first. A block whose
-    n-grams differ from the first reading fails the job.
+    Blocks follow the rows' order in the partitions of ``df``, which must be the same each time: a
+    scan of files gives that (``stable=True``); anything else is written to the shared folder
+    first. A block whose n-grams differ from the first reading fails the job.
     """
     docs = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
     if not stable:
         docs = written_table(docs, "to-score")
-    blocks = docs.select(F.spark_partition_id().alias("p")).groupBy("p").count().count()
-    bits = min(24 - 1, max(2, (4 * max(1, blocks) - 1).bit_length()))
-    answers = _totals(_ngram_pages(docs, bits)).select("block", "bucket", "totals")
+    # About as many buckets as blocks: a bucket's pages are then about as large as a block's.
+    bits = min(23, max(2, (docs.select("doc_id").count() // 1024).bit_length()))
+    answers = _totals(_ngram_pages(docs, bits, block_chars)).select("block", "bucket", "totals")
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_words", "n_alone")), T.StructField("part_score", T.DoubleType())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left["text"].to_pylist()
-        words, sizes = word_hashes(texts)
-        shift = np.uint64(64 - bits - _BITS)
-        keys = np.unique(np.concatenate([h for _, _, h in ngram_hashes(words, sizes)]) >> shift) if len(words) else np.zeros(0, np.uint64)
+        words, sizes = word_hashes(left["text"].to_pylist())
+        ends, hashes = all_hashes(words, sizes, 64 - bits - _BITS)
+        keys, place = np.unique(hashes, return_inverse=True)
         pages = dict(zip(right["bucket"].to_pylist(), right["totals"].to_pylist(), strict=True))
-        got = [unpack(pages[b], 6) for b, _, _ in _by_bucket(keys)]
-        totals = np.concatenate(got) if got else np.zeros(0, np.uint64)
-        if len(totals) != len(keys) or len(pages) != len(got):
+        buckets, at = _by_bucket(keys)
+        got = [unpack(pages.get(b, b""), 6) for b in buckets.tolist()]
+        if [*map(len, got)] != np.diff(at).tolist() or len(pages) != len(got):
             raise RuntimeError("a block's n-grams are not those that were counted")
-        score, alone = score_positions(words, sizes, lambda h: totals[np.searchsorted(keys, h >> shift)].astype(float), least, alpha)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ones = np.concatenate([[0], np.cumsum(alone)])
-        per = [float(score[a:b].sum()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table({"doc_id": left["doc_id"], "n_words": sizes, "n_alone": ones[ends[1:]] - ones[ends[:-1]], "part_score": pa.array(per, pa.float64())})
+        totals = np.concatenate(got) if got else np.zeros(0, np.uint64)
+        score, alone = score_positions(sizes, ends, totals[place], least, alpha)
+        ends_of = np.concatenate([[0], np.cumsum(sizes)])
+        ones = np.concatenate([[0], np.cumsum(alone)])[ends_of]
+        per = [float(score[a:b].sum()) for a, b in zip(ends_of[:-1], ends_of[1:], strict=True)]
+        return pa.table({"doc_id": left["doc_id"], "n_words": sizes, "n_alone": np.diff(ones), "part_score": pa.array(per, pa.float64())})
 
-    left = docs.withColumn("block", F.spark_partition_id())
+    left = _with_blocks(docs, block_chars)
     parts = written_table(left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema), "lm-parts")
     size = parts.agg(F.sum("n_words")).first()[0] or 1
     log_score = F.col("part_score") - F.col("n_alone") * F.log(F.lit(float(size)))

@@ -93,7 +93,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), stable=True)
+    scored = lm_scoring.score_documents(table(spark, sf_dir, "documents"), stable=True)
+    return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 QUERIES = {
@@ -109,4 +110,21 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op9_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM h WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM h LEFT JOIN f USING (payload_digest)""",
+    "op10_lm_scoring": """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r\\x0b\\f]+'), lambda x: x <> '') AS ws FROM documents),
+u AS (SELECT doc_id, i, ws[i] AS c, CASE WHEN i > 1 THEN ws[i - 1] END AS b, CASE WHEN i > 2 THEN ws[i - 2] END AS a FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
+n1 AS (SELECT c, count(*) AS n FROM u GROUP BY ALL), n2 AS (SELECT b, c, count(*) AS n FROM u WHERE i > 1 GROUP BY ALL), n3 AS (SELECT a, b, c, count(*) AS n FROM u WHERE i > 2 GROUP BY ALL),
+j AS (SELECT u.doc_id, u.i, n1.n AS c1, x.n AS c2, y.n AS c3, ctx1.n AS d1, ctx2.n AS d2 FROM u JOIN n1 ON n1.c = u.c LEFT JOIN n2 x ON x.b = u.b AND x.c = u.c
+  LEFT JOIN n3 y ON y.a = u.a AND y.b = u.b AND y.c = u.c LEFT JOIN n1 ctx1 ON ctx1.c = u.b LEFT JOIN n2 ctx2 ON ctx2.b = u.a AND ctx2.c = u.b),
+s AS (SELECT doc_id, CASE WHEN c3 >= 2 THEN ln(c3 / d2) ELSE CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END + CASE WHEN c2 >= 2 THEN ln(c2 / d1)
+  ELSE CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END + ln(c1 / (SELECT count(*) FROM u)) END END AS s FROM j),
+t AS (SELECT doc_id, sum(s) AS s, count(*) AS n FROM s GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, round(coalesce(s, 0), 6) AS log_score, round(s / n, 6) AS mean_log_score FROM w LEFT JOIN t ON t.doc_id = w.doc_id""",
+}
