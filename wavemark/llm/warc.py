@@ -198,7 +198,10 @@ def captured_pages(captures: DataFrame) -> DataFrame:
         ),
         "captures",
     )
-    named = rows.where("record_type = 'response'").groupBy(F.col("capture_id").alias("named")).agg(F.min("page_id").alias("refers_to"), F.first("own_bytes").alias("their_bytes"), F.first("own_digest").alias("their_digest"))
-    return rows.join(named, "named", "left").select(
-        "page_id", "capture_id", F.coalesce("own_bytes", "their_bytes").alias("payload_bytes"), F.coalesce("own_digest", "their_digest").alias("payload_digest"), "record_type", "refers_to"
-    )
+    responses = rows.where("record_type = 'response'")
+    theirs = responses.groupBy(F.col("capture_id").alias("named")).agg(F.min("page_id").alias("refers_to"), F.first("own_bytes").alias("payload_bytes"), F.first("own_digest").alias("payload_digest"))
+    # Only revisits are joined: a response names nothing, and null keys would all meet in one task.
+    revisits = rows.where("record_type = 'revisit'").join(theirs, "named", "left")
+    named = ["page_id", "capture_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    alone = responses.select("page_id", "capture_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    return alone.unionByName(revisits.select(*named))
