@@ -74,6 +74,32 @@ def test_training_learns(spark):
     assert len(got) == 64 and sum(got[0]["weights"]) == pytest.approx(1)
 
 
+def test_steps_follow_rows(spark, monkeypatch):
+    sizes, rows = [], 2 * neural.PART_ROWS + 70
+    summed = neural._summed
+
+    def counted(*args):
+        got = summed(*args)
+        sizes.append(got[1])
+        return got
+
+    monkeypatch.setattr(neural, "_summed", counted)
+    df = spark.range(rows).select(F.col("id").alias("seq"), F.array(F.array(F.col("id") / rows)).alias("window"), F.array(F.array(F.lit(0.5))).alias("target"), F.lit(0).alias("regime_label"))
+    model = neural.ModelConfig(1, hidden=2, components=1)
+    neural.train(df, model, neural.TrainingConfig(epochs=1, batch_size=700))
+    assert sizes == [700, 700, 700, rows - 2100]  # every row once, also over the bounds of partitions
+    sizes.clear()
+    neural.train(df.where(f"seq < {200}"), model, neural.TrainingConfig(epochs=2))
+    assert sizes == [64, 64, 64, 8] * 2
+    assert pipelines.configured({"batch_size": 7}).batch_size == 7
+
+
+def test_forecast_covers_catalogue_windows(spark):
+    found, sf = entry.queries(), "/root/testdata/sf0.001"
+    windows_of = lambda name: {(r["series_id"], r["start"]) for r in found[name](spark, sf).select("series_id", "start").collect()}
+    assert windows_of("mdn_forecast") == windows_of("sliding_windows")
+
+
 SMALL = {"n_train": 2, "n_validation": 1, "n_test": 1, "length": 80, "lookback": 8, "horizon": 2, "stride": 3, "hidden": 3, "epochs": 1, "samples": 8}
 
 

@@ -5,19 +5,29 @@ mixture's logits, means and raw spreads; the joint model adds a head for the reg
 probabilities the forecast heads see too. A training step is a Spark job: each task computes the
 gradient of its part of the batch, the driver adds them up and takes an AdamW step. Tasks hold the
 model and their own rows, nothing else; the data never comes to the driver.
+
+Batches follow the rows: an epoch deals all rows anew in random order, and each batch of
+``batch_size`` of them is a step, so an epoch takes rows / ``batch_size`` steps at any table size. A
+step reads only the partitions of the epoch's order that hold its batch, not the table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sequence import numbered
+
 LEAST_STD = 1e-3
+#: Rows in a partition of an epoch's order.
+PART_ROWS = 1024
 Weights = dict[str, np.ndarray]
 
 
@@ -36,8 +46,12 @@ class ModelConfig:
 
 @dataclass(frozen=True)
 class TrainingConfig:
+    """``batches`` cuts an epoch into so many parts, whatever the number of rows; without it a batch
+    has ``batch_size`` rows."""
+
     epochs: int = 5
-    batches: int = 4
+    batch_size: int = 64
+    batches: int | None = None
     rate: float = 1e-2
     decay: float = 0.0
     clip: float = 1.0
@@ -46,8 +60,8 @@ class TrainingConfig:
     seed: int = 0
 
     def check(self) -> None:
-        if min(self.epochs, self.batches) < 1 or self.rate <= 0 or self.clip <= 0 or min(self.decay, self.supervised, self.smoothness) < 0:
-            raise ValueError("epochs, batches, rate and clip must be positive, weights not negative")
+        if min(self.epochs, self.batch_size, 1 if self.batches is None else self.batches) < 1 or self.rate <= 0 or self.clip <= 0 or min(self.decay, self.supervised, self.smoothness) < 0:
+            raise ValueError("epochs, batch_size, batches, rate and clip must be positive, weights not negative")
 
 
 @dataclass
@@ -148,55 +162,88 @@ def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return stack("window"), stack("target")
 
 
-def _summed(rows: DataFrame, config: ModelConfig, weights: Weights, training: TrainingConfig, gradient: bool) -> tuple[float, int, Weights]:
-    """Loss, rows and gradient, each added up over the tasks' parts."""
-    shared = rows.sparkSession.sparkContext.broadcast((config, weights))
-    names = sorted(weights)
+def _loss(rows: DataFrame, model: Trained, training: TrainingConfig) -> tuple[float, int]:
+    """The summed loss and the number of the rows."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.config, model.weights))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, w = shared.value
-        loss, n, total = 0.0, 0, np.zeros(sum(w[k].size for k in names))
+        loss, n = 0.0, 0
         for frame in frames:
             for a in range(0, len(frame), 256):
                 part = frame.iloc[a : a + 256]
                 x, y = _arrays(part)
                 labels = part["regime_label"].to_numpy() if training.supervised else None
-                got, g = loss_and_gradient(own, w, x, y, labels, training.supervised)
-                loss, n = loss + got, n + len(part)
-                if gradient:
-                    total += np.concatenate([g[k].ravel() for k in names])
-        yield pd.DataFrame({"loss": [loss], "n": [n], "g": [total if gradient else np.zeros(0)]})
+                loss, n = loss + loss_and_gradient(own, w, x, y, labels, training.supervised)[0], n + len(part)
+        yield pd.DataFrame({"loss": [loss], "n": [n]})
 
-    parts = rows.select("window", "target", "regime_label").mapInPandas(run, "loss double, n long, g array<double>").toPandas()  # a row for each task
-    flat = np.sum(np.stack(parts["g"]), axis=0) if gradient and len(parts) else np.zeros(0)
-    out, at = {}, 0
-    for k in names if gradient else []:
-        out[k], at = flat[at : at + weights[k].size].reshape(weights[k].shape), at + weights[k].size
-    return float(parts["loss"].sum()), int(parts["n"].sum()), out
+    parts = rows.select("window", "target", "regime_label").mapInPandas(run, "loss double, n long").toPandas()  # a row for each task
+    return float(parts["loss"].sum()), int(parts["n"].sum())
 
 
 def mean_loss(rows: DataFrame, model: Trained, training: TrainingConfig = TrainingConfig()) -> float:
-    loss, n, _ = _summed(rows, model.config, model.weights, training, False)
+    loss, n = _loss(rows, model, training)
     return loss / max(n, 1)
 
 
+def _epoch(rows: DataFrame, n: int, size: int, training: TrainingConfig, epoch: int, key: str) -> RDD:
+    """(batch, arrays): the rows in an order of their own for each epoch, cut into batches of
+    ``size``; partition k holds the places from k * PART_ROWS on."""
+    order = F.xxhash64(key, F.lit(training.seed), F.lit(epoch))
+    drawn = rows.withColumn("_order", order).withColumn("_bin", F.pmod("_order", F.lit(-(-n // PART_ROWS))))
+    placed = numbered(drawn, ["_bin"], ["_order", key], "_place")
+    dealt = placed.select("window", "target", "regime_label", F.expr(f"_place div {size}").alias("batch"), F.expr(f"cast(_place div {PART_ROWS} as int)").alias("_part"))
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for batch, part in frame.groupby("batch"):
+                labels = part["regime_label"].to_numpy() if training.supervised else None
+                yield pd.DataFrame({"batch": [batch], "arrays": [pickle.dumps((*_arrays(part), labels), 5)]})
+
+    return dealt.repartitionById(-(-n // PART_ROWS), "_part").mapInPandas(pack, "batch long, arrays binary").rdd.persist()
+
+
+def _summed(dealt: RDD, batch: int, size: int, n: int, model: Trained, training: TrainingConfig) -> tuple[float, int, Weights]:
+    """Loss, rows and gradient of a batch, each added up over the partitions that hold it."""
+    config, weights, names = model.config, model.weights, sorted(model.weights)
+
+    def run(items: Iterable[tuple[int, bytes]]) -> Iterator[tuple[float, int, np.ndarray]]:
+        loss, rows, total = 0.0, 0, np.zeros(sum(weights[k].size for k in names))
+        for at, arrays in items:
+            if at == batch:
+                x, y, labels = pickle.loads(arrays)
+                for a in range(0, len(x), 256):
+                    got, g = loss_and_gradient(config, weights, x[a : a + 256], y[a : a + 256], None if labels is None else labels[a : a + 256], training.supervised)
+                    loss, rows = loss + got, rows + len(x[a : a + 256])
+                    total += np.concatenate([g[k].ravel() for k in names])
+        yield loss, rows, total
+
+    first, last = batch * size // PART_ROWS, (min((batch + 1) * size, n) - 1) // PART_ROWS
+    losses, counts, totals = zip(*dealt.context.runJob(dealt, run, range(first, last + 1)), strict=True)
+    flat, out, at = np.sum(totals, axis=0), {}, 0
+    for k in names:
+        out[k], at = flat[at : at + weights[k].size].reshape(weights[k].shape), at + weights[k].size
+    return float(sum(losses)), sum(counts), out
+
+
 def train(windows: DataFrame, config: ModelConfig, training: TrainingConfig = TrainingConfig(), validation: DataFrame | None = None, key: str = "seq") -> Trained:
     """AdamW over shuffled batches; gradients are clipped by their norm. ``windows`` has ``window``,
     ``target``, ``regime_label`` and an integer ``key``, by which rows fall into batches anew in
-    each epoch."""
+    each epoch. A step is a job of one batch, after the one before it: an epoch takes
+    rows / ``batch_size`` jobs, which more machines do not shorten; a larger batch does."""
     training.check()
     model = Trained(config, initial(config, training.seed))
     m, v = ({k: np.zeros_like(x) for k, x in model.weights.items()} for _ in range(2))
     step = 0
     rows = windows.select(key, "window", "target", "regime_label").cache()
     try:
+        total = rows.count()
+        size = training.batch_size if training.batches is None else max(1, -(-total // training.batches))
         for epoch in range(training.epochs):
             losses = []
-            for batch in range(training.batches):
-                part = rows.where(F.pmod(F.xxhash64(key, F.lit(training.seed), F.lit(epoch)), F.lit(training.batches)) == batch)
-                loss, n, g = _summed(part, config, model.weights, training, True)
-                if not n:
-                    continue
+            dealt = _epoch(rows, total, size, training, epoch, key) if total else None
+            for batch in range(-(-total // size)):
+                loss, n, g = _summed(dealt, batch, size, total, model, training)
                 losses.append(loss / n)
                 norm = np.sqrt(sum(((x / n) ** 2).sum() for x in g.values()))
                 step += 1
@@ -205,6 +252,8 @@ def train(windows: DataFrame, config: ModelConfig, training: TrainingConfig = Tr
                     m[k], v[k] = 0.9 * m[k] + 0.1 * x, 0.999 * v[k] + 0.001 * x**2
                     move = m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
                     model.weights[k] = model.weights[k] * (1 - training.rate * training.decay) - training.rate * move
+            if dealt is not None:
+                dealt.unpersist()
             model.train_loss.append(float(np.mean(losses)))
             if validation is not None:
                 model.validation_loss.append(mean_loss(validation, model, training))

@@ -33,6 +33,7 @@ class PipelineConfig:
     components: int = 3
     n_regimes: int = 3
     epochs: int = 5
+    batch_size: int = 64
     supervised: float = 0.0
     smoothness: float = 0.0
     pseudo_regimes: bool = False
@@ -46,8 +47,8 @@ class PipelineConfig:
     space: synthetic.ConfigSpace = field(default_factory=synthetic.ConfigSpace)
 
     def check(self) -> None:
-        if min(self.lookback, self.horizon, self.stride, self.epochs) < 1:
-            raise ValueError("lookback, horizon, stride and epochs must be at least 1")
+        if min(self.lookback, self.horizon, self.stride, self.epochs, self.batch_size) < 1:
+            raise ValueError("lookback, horizon, stride, epochs and batch_size must be at least 1")
         if self.length < self.lookback + self.horizon + 1:
             raise ValueError("series are too short for the windows")
         if self.supervised and self.root and not self.pseudo_regimes:
@@ -88,7 +89,7 @@ def _baseline(c: PipelineConfig, rows: DataFrame) -> DataFrame:
 def _neural(c: PipelineConfig, rows: DataFrame, joint: bool) -> tuple[DataFrame, neural.Trained]:
     channels = len(rows.first()["window"][0])
     config = neural.ModelConfig(channels, c.horizon, c.hidden, c.components, c.n_regimes if joint else 0)
-    training = neural.TrainingConfig(epochs=c.epochs, supervised=c.supervised if joint else 0.0, smoothness=c.smoothness, seed=c.seed)
+    training = neural.TrainingConfig(epochs=c.epochs, batch_size=c.batch_size, supervised=c.supervised if joint else 0.0, smoothness=c.smoothness, seed=c.seed)
     model = neural.train(rows.where("split = 'train'"), config, training, rows.where("split = 'validation'"))
     return neural.predict(rows.where("split != 'train'"), model, ("split", "group_id", "seq")), model
 

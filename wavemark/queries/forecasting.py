@@ -228,12 +228,12 @@ def mixture_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forecast(spark: SparkSession, sf_dir: str, n_regimes: int) -> DataFrame:
-    """A small model of scaled windows, trained for one epoch; its forecasts' means."""
+    """A small model of all scaled windows, trained for one epoch; its forecasts' means."""
     ev = series_events(spark, sf_dir)
-    made = windows.make_windows(scaling.scale(ev, scaling.fit_scaler(ev)), L, H, 4 * S)
+    made = windows.make_windows(scaling.scale(ev, scaling.fit_scaler(ev)), L, H, S)
     rows = numbered(made, ["series_id"], ["start"])
     config = neural.ModelConfig(2, H, hidden=6, components=2, n_regimes=n_regimes)
-    model = neural.train(rows, config, neural.TrainingConfig(epochs=1, batches=3, supervised=0.1 if n_regimes else 0.0))
+    model = neural.train(rows, config, neural.TrainingConfig(epochs=1, supervised=0.1 if n_regimes else 0.0))
     return neural.predict(rows, model, ("series_id", "start")).select("series_id", "start", "h", F.round(mixture.predictive_mean(F.col("weights"), F.col("means"))[0], 4).alias("mean"), regimes.argmax(F.col("probs")).alias("regime") if n_regimes else F.lit(0).cast("long").alias("regime"))
 
 
