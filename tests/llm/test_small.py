@@ -214,6 +214,35 @@ def test_near_duplicates(spark, docs, none):
     assert near_dedup.near_duplicates(none).collect() == []
 
 
+@pytest.mark.parametrize("percent", [62, 70, 80, 85, 90, 100])
+def test_reach_of_near_duplicates(percent):
+    far, miss = near_dedup.reach(percent), 1 - percent / 100
+    beyond = sum(math.comb(64, k) * miss**k * (1 - miss) ** (64 - k) for k in range(far + 1, 65))
+    assert beyond <= 1e-5 and far < 2 * near_dedup.chunks_for(far)
+    assert 64 // near_dedup.chunks_for(far) >= 3  # a key holds two symbols at least
+
+
+def test_links_at_the_far_end(spark):
+    """Pairs at exactly 0.8 (80 of 100 shingles), whose signatures differ in 24 symbols or more."""
+    rng, texts, tries = np.random.default_rng(8), {}, 0
+    while len(texts) < 4:
+        tries += 1
+        base = [f"w{tries}x{k}" for k in range(94)]
+        other = list(base)
+        for k in rng.choice(17, 2, replace=False):
+            other[int(k) * 5 + 4] = "edited"
+        rows = [near_dedup.shingle_sets([" ".join(t)], 5) for t in (base, other)]
+        apart = (near_dedup.signatures(*rows[0]) != near_dedup.signatures(*rows[1])).sum()
+        if 24 <= apart <= near_dedup.reach(80):
+            texts |= {len(texts): " ".join(base), len(texts) + 1: " ".join(other)}
+    want, _ = brute_components(texts, 5, 80)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame, width=5, percent=80).collect()}
+    assert got == want and len(set(want.values())) == len(texts) // 2
+    with pytest.raises(ValueError, match="percent"):
+        near_dedup.near_duplicates(frame, percent=50)
+
+
 def test_text_counts(docs, none):
     rows = {r["doc_id"]: r for r in quality_rules.with_counts(docs).collect() if r["doc_id"] is not None}
     for i, t in enumerate(TEXTS):

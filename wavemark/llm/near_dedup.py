@@ -2,11 +2,12 @@
 
 A signature has 64 symbols of 16 bits, one from each of 64 minimum hashes of a document's shingle
 set. Two documents whose sets overlap by 0.85 differ in about 9.6 symbols; the join finds every pair
-that differs in at most 23 (a true link lies beyond that about once in a hundred thousand at the
-threshold itself, and far less above it). By the pigeonhole principle such a pair has, among 12
-chunks of 5 or 6 symbols, one with at most one error. Each document is therefore filed under every
-chunk with every one symbol left out, 64 keys in all: a pair with one error or none in a chunk
-shares the key that leaves out the wrong symbol.
+that differs in at most ``reach(85)`` = 23, and for other thresholds in as many as a true link, at
+the threshold itself, exceeds at most once in a hundred thousand (MISSED; far less above it). By the
+pigeonhole principle such a pair has, among 12 chunks of 5 or 6 symbols (one chunk for every two
+errors), one with at most one error. Each document is therefore filed under every chunk with every
+one symbol left out, 64 keys in all: a pair with one error or none in a chunk shares the key that
+leaves out the wrong symbol.
 
 Documents with equal sets are one node from the start. In a bucket of equal keys each node is first
 compared with the smallest node, and then, in buckets of several components, with the bucket's hub:
@@ -18,6 +19,7 @@ could join two components is left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,29 @@ from .shingles import mix, shingle_sets
 from .storage import written_table
 from .tokens import slices
 
-SYMBOLS, CHUNKS, DISTANCE = 64, 12, 23
+SYMBOLS = 64
+#: The chance of a link of exactly the threshold's overlap to lie beyond the distance searched.
+MISSED = 1e-5
+#: Below, some chunks have two symbols and their keys one, which many unrelated documents share.
+LEAST_PERCENT = 62
+
+
+def reach(percent: int) -> int:
+    """The distance to search: two signatures whose sets overlap by ``percent`` in a hundred differ
+    in more symbols with a chance of at most MISSED, by the binomial law."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100")
+    miss, beyond = 1 - percent / 100, 0.0
+    for far in range(SYMBOLS, 0, -1):
+        beyond += math.comb(SYMBOLS, far) * miss**far * (1 - miss) ** (SYMBOLS - far)
+        if beyond > MISSED:
+            return far
+    return 0
+
+
+def chunks_for(far: int) -> int:
+    """So many chunks that ``far`` errors leave one with at most one."""
+    return far // 2 + 1
 
 
 def _signed(x: np.ndarray, kind: type) -> np.ndarray:
@@ -76,7 +100,7 @@ def describe(df: DataFrame, width: int) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def chunk_keys(signature: Column, symbols: int = SYMBOLS, chunks: int = CHUNKS) -> Column:
+def chunk_keys(signature: Column, chunks: int, symbols: int = SYMBOLS) -> Column:
     """The keys of a signature: each chunk with each one symbol left out."""
     bounds = [i * symbols // chunks for i in range(chunks + 1)]
     keys = [
@@ -97,7 +121,7 @@ def _promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         own = nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
         pairs = pairs.join(own, side)
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.where(sized & (distance(F.col("s_a"), F.col("s_b")) <= DISTANCE)).select("a", "b")
+    return pairs.where(sized & (distance(F.col("s_a"), F.col("s_b")) <= reach(percent))).select("a", "b")
 
 
 def _shingle_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -172,7 +196,7 @@ def _unresolved(mixed: DataFrame, hubs: DataFrame, over: DataFrame, own: DataFra
     rest = mixed.join(hubs, "key").join(nodes, "node").join(over.select(F.col("a").alias("hub"), F.col("b").alias("node"), "common"), ["hub", "node"], "left").join(own, "node", "left")
     inside = F.when(F.col("node") == F.col("hub"), F.col("n_shingles")).otherwise(F.col("common"))
     rest = rest.withColumn("inside", inside).withColumn("spare", F.col("n_shingles") - inside - F.coalesce("own", F.lit(0)))
-    rest = rest.withColumn("keys", chunk_keys(F.col("signature")))
+    rest = rest.withColumn("keys", chunk_keys(F.col("signature"), chunks_for(reach(percent))))
     rest = written_table(rest.select("key", "node", "component", "n_shingles", "signature", "keys", "inside", "spare"), "mixed-buckets")
     left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in rest.columns if c != "key")) for side in "ab")
     across = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b"))
@@ -181,7 +205,7 @@ def _unresolved(mixed: DataFrame, hubs: DataFrame, over: DataFrame, own: DataFra
     known = F.col("inside_a").isNotNull() & F.col("inside_b").isNotNull()
     possible = ~known | ((100 + percent) * most >= percent * total)
     sized = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
-    close = distance(F.col("signature_a"), F.col("signature_b")) <= DISTANCE
+    close = distance(F.col("signature_a"), F.col("signature_b")) <= reach(percent)
     # A pair counts in the first bucket only that its nodes share.
     same = F.zip_with("keys_a", "keys_b", lambda x, y: x == y)
     first = F.get("keys_a", (F.array_position(same, F.lit(True)) - 1).cast("int")) == left["key"]
@@ -217,7 +241,9 @@ def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     that links reach, its own included) and ``kept`` (its id is that smallest one).
 
     Documents are linked if their sets of ``width``-word shingles overlap by ``percent`` in a
-    hundred: 100 * common >= percent * union. A shorter text is one shingle; null texts and texts
+    hundred: 100 * common >= percent * union. A link is found unless its signatures differ in more
+    than ``reach(percent)`` symbols, a chance of at most MISSED for a link of exactly ``percent``;
+    ``percent`` must be from LEAST_PERCENT to 100. A shorter text is one shingle; null texts and texts
     without words have the empty set, are linked with nothing and kept. Ids are integers; rows with
     one id count as one document. Rows with a null id follow the documents of the same set; they
     are never kept, unless their set is empty, and have a null component if no document with an id
@@ -228,7 +254,7 @@ def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     classes = described.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = written_table(classes, "classes")
     nodes = classes.where("node is not null").select("node", "n_shingles", "signature")
-    filed = nodes.select("node", F.explode(chunk_keys(F.col("signature"))).alias("key"))
+    filed = nodes.select("node", F.explode(chunk_keys(F.col("signature"), chunks_for(reach(percent)))).alias("key"))
     spans = written_table(filed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"), "spans")
     shared = written_table(filed.join(spans, "key"), "buckets")  # keys that nodes share
 
