@@ -330,6 +330,16 @@ def test_lm_scores(docs, none):
     assert lm_scoring.score_documents(none).collect() == []
 
 
+def test_ngrams_keep_all_hash_bits(monkeypatch):
+    """Hashes that differ in their last bit only, or that orders share, are different n-grams."""
+    hashes = [np.array([4, 5, 1 << 63], np.uint64), np.array([5, 4], np.uint64), np.array([4], np.uint64)]
+    monkeypatch.setattr(lm_scoring, "ngram_hashes", lambda words, sizes: ((k + 1, np.arange(k, 3), h) for k, h in enumerate(hashes)))
+    _, buckets, keys, counts, place = lm_scoring.distinct_ngrams(np.zeros(3, np.uint64), np.array([3]), 2)
+    assert buckets.tolist() == [0, 0, 0, 0, 0, 2] and counts.tolist() == [1] * 6
+    assert len(set(keys[:5].tolist())) == 5 and keys[:5].tolist() == sorted(keys[:5].tolist())
+    assert place.tolist() == [0, 1, 5, 3, 2, 4]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -7,6 +7,9 @@ count table of a bucket is the sum over its pages; the join within the bucket an
 its n-grams' totals in the same order; the answers meet their block's documents again by block, where
 every position takes the highest order with enough occurrences. A frequent n-gram is one entry of a
 page, however often it occurs in a block, so no hash bucket grows with it.
+
+N-grams are told apart by their order and all 64 bits of their hash; nothing else compares them. Of n
+distinct n-grams of one order, n * n / 2^65 pairs are expected to be taken for one.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from .storage import written_table
 
 ORDERS = 3
 _SEEDS = np.array([0x8CB92BA72F3D8DD7, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F], np.uint64)
-#: Bits of an n-gram's hash within its bucket.
-_BITS = 40
+#: Bytes of an n-gram in a page: its order and the rest of its hash.
+_WIDTH = 8
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -57,18 +60,31 @@ def ngram_hashes(words: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np
         yield order, ends, mix(hashes ^ np.uint64(order))
 
 
-def all_hashes(words: np.ndarray, sizes: np.ndarray, shift: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Where the n-grams of each order end, and the shortened hashes of all, one order after
-    another."""
-    ends, hashes = zip(*((e, h >> np.uint64(shift)) for _, e, h in ngram_hashes(words, sizes)), strict=True)
-    return list(ends), np.concatenate(hashes)
-
-
-def _by_bucket(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of sorted keys, and where each begins (and the last ends)."""
-    buckets = (keys >> np.uint64(_BITS)).astype(np.int64)
+def distinct_ngrams(words: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the n-grams of each order end; the buckets and the keys within them (the order, then
+    the 64 - ``bits`` bits of the hash that the bucket does not tell; ``bits`` must be 2 or more) of
+    the distinct n-grams, ascending; their counts; and the place of each n-gram, one order after
+    another, among the distinct ones."""
+    rest = np.uint64(64 - bits)
+    ends, found, backs, many = [], [], [], []
+    for order, own, hashes in ngram_hashes(words, sizes):
+        known, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        ends.append(own)
+        found.append(((known >> rest).astype(np.int64), np.uint64(order - 1) << rest | known & np.uint64((1 << int(rest)) - 1)))
+        backs.append(back)
+        many.append(counts)
+    buckets, keys = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(buckets, kind="stable")  # within a bucket by order, then by hash, as before
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    firsts = np.cumsum([0, *map(len, many[:-1])])
+    return ends, buckets[order], keys[order], np.concatenate(many)[order], at[np.concatenate([b + f for b, f in zip(backs, firsts, strict=True)])]
+
+
+def _by_bucket(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of ascending buckets, and where each begins (and the last ends)."""
     first = np.flatnonzero(np.diff(buckets, prepend=-1))
-    return buckets[first], np.append(first, len(keys))
+    return buckets[first], np.append(first, len(buckets))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int, block_chars: int) -> Iterator[tuple[int, pa.RecordBatch, list[str | None]]]:
@@ -100,12 +116,11 @@ def _ngram_pages(docs: DataFrame, bits: int, block_chars: int) -> DataFrame:
     """(block, bucket, grams, counts): the distinct n-grams of each block, by bucket."""
 
     def pages(block: int, texts: list[str | None]) -> pa.RecordBatch:
-        keys, counts = np.unique(all_hashes(*word_hashes(texts), 64 - bits - _BITS)[1], return_counts=True)
-        buckets, at = _by_bucket(keys)
-        low = keys & np.uint64((1 << _BITS) - 1)
+        _, each, low, counts, _ = distinct_ngrams(*word_hashes(texts), bits)
+        buckets, at = _by_bucket(each)
         steps = np.diff(low, prepend=np.uint64(0))
         steps[at[:-1]] = low[at[:-1]]
-        grams, many = ([pack(v[a:b], w) for a, b in zip(at[:-1], at[1:], strict=True)] for v, w in ((steps, 5), (counts, 4)))
+        grams, many = ([pack(v[a:b], w) for a, b in zip(at[:-1], at[1:], strict=True)] for v, w in ((steps, _WIDTH), (counts, 4)))
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(buckets), block)), pa.array(buckets.astype(np.int32)), pa.array(grams, pa.binary()), pa.array(many, pa.binary())], ["block", "bucket", "grams", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +142,7 @@ def _totals(pages: DataFrame) -> DataFrame:
     A bucket is a bounded share of all distinct n-grams."""
 
     def run(table: pa.Table) -> pa.Table:
-        grams = [np.cumsum(unpack(g, 5)) for g in table["grams"].to_pylist()]
+        grams = [np.cumsum(unpack(g, _WIDTH)) for g in table["grams"].to_pylist()]
         flat = np.concatenate(grams)
         known, back = np.unique(flat, return_inverse=True)
         own = np.concatenate([unpack(c, 4) for c in table["counts"].to_pylist()]).astype(np.float64)
@@ -191,10 +206,9 @@ def score_documents(df: DataFrame, *, least: int = 2, alpha: float = 0.4, id_col
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         words, sizes = word_hashes(left["text"].to_pylist())
-        ends, hashes = all_hashes(words, sizes, 64 - bits - _BITS)
-        keys, place = np.unique(hashes, return_inverse=True)
+        ends, each, _, _, place = distinct_ngrams(words, sizes, bits)
         pages = dict(zip(right["bucket"].to_pylist(), right["totals"].to_pylist(), strict=True))
-        buckets, at = _by_bucket(keys)
+        buckets, at = _by_bucket(each)
         got = [unpack(pages.get(b, b""), 6) for b in buckets.tolist()]
         if [*map(len, got)] != np.diff(at).tolist() or len(pages) != len(got):
             raise RuntimeError("a block's n-grams are not those that were counted")
