@@ -70,15 +70,16 @@ def distinct_ngrams(words: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[li
     for order, own, hashes in ngram_hashes(words, sizes):
         known, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         ends.append(own)
-        found.append(((known >> rest).astype(np.int64), np.uint64(order - 1) << rest | known & np.uint64((1 << int(rest)) - 1)))
-        backs.append(back)
-        many.append(counts)
+        found.append(((known >> rest).astype(np.int32), np.uint64(order - 1) << rest | known & np.uint64((1 << int(rest)) - 1)))
+        backs.append(back.astype(np.int32))
+        many.append(counts.astype(np.int32))
+        del hashes, known, back, counts
     buckets, keys = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.argsort(buckets, kind="stable")  # within a bucket by order, then by hash, as before
-    at = np.empty(len(order), np.int64)
-    at[order] = np.arange(len(order))
+    at = np.empty(len(order), np.int32)
+    at[order] = np.arange(len(order), dtype=np.int32)
     firsts = np.cumsum([0, *map(len, many[:-1])])
-    return ends, buckets[order], keys[order], np.concatenate(many)[order], at[np.concatenate([b + f for b, f in zip(backs, firsts, strict=True)])]
+    return ends, buckets[order], keys[order], np.concatenate(many)[order], np.concatenate([at[b + f] for b, f in zip(backs, firsts, strict=True)])
 
 
 def _by_bucket(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
