@@ -100,6 +100,31 @@ def test_forecast_covers_catalogue_windows(spark):
     assert windows_of("mdn_forecast") == windows_of("sliding_windows")
 
 
+def test_queries_take_default_parameters(spark, monkeypatch):
+    from inspect import signature
+
+    from wavemark.queries import forecasting, series
+
+    given = {}
+
+    def spied(where, name):
+        real = getattr(where, name)
+
+        def call(*args, **kwargs):
+            bound = signature(real).bind(*args, **kwargs)
+            bound.apply_defaults()
+            given.update(bound.arguments)
+            return real(*args, **kwargs)
+
+        monkeypatch.setattr(where, name, call)
+
+    spied(forecasting, "energy_score")
+    spied(series.clustering, "fit_pseudo_regimes")
+    assert entry.queries()["energy_score"](spark, "/root/testdata/sf0.001").count() == 1000
+    assert entry.queries()["kmeans_pseudo_regimes"](spark, "/root/testdata/sf0.001").count() > 0
+    assert (given["samples"], given["max_iter"]) == (256, 50)
+
+
 SMALL = {"n_train": 2, "n_validation": 1, "n_test": 1, "length": 80, "lookback": 8, "horizon": 2, "stride": 3, "hidden": 3, "epochs": 1, "samples": 8}
 
 

@@ -139,7 +139,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("energy_score")
 def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixtures(spark, sf_dir).withColumn("key", F.abs(F.hash("series_id", "t")))
-    return rows.select("series_id", "t", r6(energy_score(*COLUMNS, "key", 64), "energy"))
+    return rows.select("series_id", "t", r6(energy_score(*COLUMNS, "key"), "energy"))
 
 
 EXAMPLE = "series_id, t // 4 AS example"

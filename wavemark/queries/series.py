@@ -102,7 +102,7 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("kmeans_pseudo_regimes")
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = windows.concat([_windows(spark, sf_dir)], ["series_id", "start"])
-    model = clustering.fit_pseudo_regimes(made, 3, seed=7, max_iter=10)
+    model = clustering.fit_pseudo_regimes(made, 3, seed=7)
     return model.predict(made).select("series_id", "start", "regime_label")
 
 
