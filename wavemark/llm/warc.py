@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import new_path, written_table
+from .skew import hot_keys, left_join_spread
+from .storage import new_path, place, written_table
 from .token_files import filesystem
 
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -38,60 +39,72 @@ def _one_line(text: str | None) -> str:
 
 
 def with_first_copies(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """``pages`` (page_id, url, payload) with ``digest`` and ``first``: the smallest page_id of the
-    pages with the same payload, where there are several and it has ``least_bytes`` or more. The
-    payloads are counted by digest first, so that a payload of a third of all pages is one row."""
+    """``pages`` (page_id, url, payload, place) with ``digest``, and, where several pages have the
+    same payload of ``least_bytes`` or more, ``first``: the smallest page_id among them, and
+    ``chosen``: whether this row, of those with that id the one of the smallest place, is the
+    response that the others revisit. Payloads are counted by digest first; the join spreads those
+    that many pages have."""
     hashed = pages.withColumn("digest", F.sha2("payload", 256))
-    long = hashed.where(F.octet_length("payload") >= least_bytes).select("page_id", "digest")
-    counted = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return hashed.join(counted, "digest", "left")
+    long = hashed.where(F.octet_length("payload") >= least_bytes).select("page_id", "place", "digest")
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "place"))
+    counted = long.groupBy("digest").agg(F.min(known).alias("f"), F.count("*").alias("n")).where("n > 1 and f is not null")
+    counted = written_table(counted.select("digest", F.col("f.page_id").alias("first"), F.col("f.place").alias("first_place"), "n"), "payloads")
+    joined = left_join_spread(hashed, counted.drop("n"), "digest", hot_keys(counted, "digest", "n", pages.count()), F.xxhash64("place"))
+    return joined.withColumn("chosen", F.coalesce(F.col("place") == F.col("first_place"), F.lit(False)))
 
 
-def write_archives(df: DataFrame, folder: str | None = None, *, least_bytes: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_archives(df: DataFrame, folder: str | None = None, *, least_bytes: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", stable: bool = False) -> DataFrame:
     """Write a capture for each row to gzipped archives, a file for each task, and return their
     manifest: ``folder``, ``name``, ``n_captures``.
 
-    Of rows with equal payloads of ``least_bytes`` or more, that with the smallest id is a response
-    (as are rows that repeat its id), the others revisit it; rows with a null id count as larger
-    than any id, and if all have one, all are responses. A null html is an empty payload; a null
-    url is written empty. Other columns are not read. An empty table writes no file. The manifest
-    is a written table: to read it again does not write the archives again.
+    Of rows with equal payloads of ``least_bytes`` or more, those with the smallest id are
+    responses and the others revisit one of them; rows with a null id count as larger than any id,
+    and if all have one, all are responses. Every row is a capture of its own, also rows that repeat
+    an id or all their values. A null html is an empty payload; a null url is written empty. Other
+    columns are not read. An empty table writes no file. The manifest is a written table: to read it
+    again does not write the archives again.
+
+    Rows are told apart by their place in the files that ``df`` scans (``stable=True``: ``df`` is a
+    scan of Parquet files, each row of which it has once); anything else is written to the shared
+    folder first.
     """
     folder = folder or new_path(df.sparkSession, "archives")
-    pages = df.select(df[id_col].cast("long").alias("page_id"), df[url_col].cast("string").alias("url"), F.coalesce(df[html_col].cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = with_first_copies(pages, least_bytes).select("page_id", "url", "payload", "digest", "first")
+    columns = [df[id_col].cast("long").alias("page_id"), df[url_col].cast("string").alias("url"), F.coalesce(df[html_col].cast("string"), F.lit("")).cast("binary").alias("payload")]
+    scan = df if stable else written_table(df.select(*columns), "to-archive")
+    pages = scan.select(*(columns if stable else scan.columns), place(scan).alias("place"))
+    rows = with_first_copies(pages, least_bytes).select("page_id", "url", "payload", "digest", "first", "chosen")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        system, place = filesystem(folder)
+        system, path = filesystem(folder)
         out, n = None, 0
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    system.create_dir(place, recursive=True)
-                    out = system.open_output_stream(f"{place}/_{part:06d}-{attempt}.warc.gz", compression=None)
+                    system.create_dir(path, recursive=True)
+                    out = system.open_output_stream(f"{path}/_{part:06d}-{attempt}.warc.gz", compression=None)
                 for record in capture_records(row, (folder, part, n)):
                     out.write(gzip.compress(record, 6, mtime=0))
                 n += 1
         if out is not None:
             out.close()
-            system.move(f"{place}/_{part:06d}-{attempt}.warc.gz", f"{place}/part-{part:06d}.warc.gz")
+            system.move(f"{path}/_{part:06d}-{attempt}.warc.gz", f"{path}/part-{part:06d}.warc.gz")
             yield pa.RecordBatch.from_pydict({"folder": [folder], "name": [f"part-{part:06d}.warc.gz"], "n_captures": pa.array([n], pa.int64())})
 
     return written_table(rows.mapInArrow(write, "folder string, name string, n_captures long"), "archive-manifest")
 
 
 def response_id(page_id: int, digest: str) -> str:
-    """The identifier of the response that revisits of a payload name."""
+    """The identifier of the one response that revisits of a payload name."""
     return record_id("payload", page_id, digest)
 
 
 def capture_records(row: dict, place: tuple) -> list[bytes]:
     page, payload, first = row["page_id"], row["payload"], row["first"]
     revisit = first is not None and page != first
-    own = response_id(page, row["digest"]) if first is not None and not revisit else record_id(*place, "response")
+    own = response_id(page, row["digest"]) if row["chosen"] else record_id(*place, "response")
     url, digest = _one_line(row["url"]), f"sha256:{row['digest']}"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     shared = [("WARC-Date", _DATE), ("WARC-Target-URI", url)]
@@ -184,8 +197,9 @@ def field(metadata: Column, name: str) -> Column:
 
 def captured_pages(captures: DataFrame) -> DataFrame:
     """``page_id``, ``capture_id``, ``payload_bytes``, ``payload_digest``, ``record_type`` and
-    ``refers_to`` (the page whose response a revisit names). For responses, size and digest are
-    those of the payload as read; a revisit takes them from the response that it names."""
+    ``refers_to`` (the page whose response a revisit names), a row for each capture with a response
+    or revisit. For responses, size and digest are those of the payload as read; a revisit takes
+    them from the response that it names, and has nulls if that was not read."""
     revisit = F.col("response.type") == "revisit"
     rows = written_table(
         captures.where("response is not null").select(
@@ -199,9 +213,11 @@ def captured_pages(captures: DataFrame) -> DataFrame:
         "captures",
     )
     responses = rows.where("record_type = 'response'")
-    theirs = responses.groupBy(F.col("capture_id").alias("named")).agg(F.min("page_id").alias("refers_to"), F.first("own_bytes").alias("payload_bytes"), F.first("own_digest").alias("payload_digest"))
+    theirs = responses.select(F.col("capture_id").alias("named"), F.col("page_id").alias("refers_to"), F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"))
     # Only revisits are joined: a response names nothing, and null keys would all meet in one task.
-    revisits = rows.where("record_type = 'revisit'").join(theirs, "named", "left")
+    revisits = rows.where("record_type = 'revisit'")
+    counts = revisits.groupBy("named").agg(F.count("*").alias("n"))
+    revisits = left_join_spread(revisits, theirs, "named", hot_keys(counts, "named", "n", rows.count()), F.xxhash64("capture_id"))
     named = ["page_id", "capture_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     alone = responses.select("page_id", "capture_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     return alone.unionByName(revisits.select(*named))
