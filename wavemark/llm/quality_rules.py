@@ -8,7 +8,7 @@ list becomes one Spark conditional expression, so that each verdict can be read
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import labelled_sample
+from .rows import as_struct, unpacked
 from .shingles import hashed_words, windows
 from .tokens import slices
 
@@ -66,23 +67,28 @@ def count_texts(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def with_counts(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and the counts of each row's whole text (COUNTS, all long). Words are
-    runs of characters other than 0x20 and 0x09 to 0x0D; a null text counts as the empty one."""
-    own = df.select(*keep, df[text_col].cast("string").alias("_text"))
-    schema = T.StructType([*own.schema.fields[:-1], *(T.StructField(n, T.LongType()) for n in COUNTS)])
+def _counted(df: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
+    """``row`` (the columns ``keep``) and COUNTS."""
+    own = df.select(as_struct(keep).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = T.StructType([own.schema["row"], *(T.StructField(n, T.LongType()) for n in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("text").to_pylist()
             for a, b in slices(texts):
                 rows = count_texts(texts[a:b])
-                kept = [batch.column(k).slice(a, b - a) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], schema.names)
 
     return own.mapInArrow(run, schema)
 
 
+def with_counts(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, unchanged, and the counts of each row's whole text (COUNTS, all long;
+    where a kept column has such a name, the count gets an underscore behind it). Words are runs of
+    characters other than 0x20 and 0x09 to 0x0D; a null text counts as the empty one."""
+    return unpacked(_counted(df, text_col, keep), "row", COUNTS)
+
+
 #: Name of a statistic: the counts that it is the ratio of.
 RATIOS = {
     "chars_per_word": ("word_chars", "n_words"),
@@ -199,8 +205,18 @@ def fit_quality_rules(docs: DataFrame, labels: DataFrame, *, label: str = "quali
     return learn_rules(got[[f"s_{n}" for n in STATISTICS]].to_numpy(np.float64), got["label"].to_numpy() == 0, **options)
 
 
-def judge_quality(df: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, the counts, ``base_failed`` and ``kept``: false if the base conditions
-    fail, else the decision list's verdict. Every row of ``df`` gives one row; a null or empty text
-    has no words and fails."""
-    return with_counts(df, keep=keep).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & decision_list(rules))
+def _judged(df: DataFrame, rules: list[Rule], text_col: str, keep: Sequence[str]) -> DataFrame:
+    return _counted(df, text_col, keep).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & decision_list(rules))
+
+
+def judge_quality(df: DataFrame, rules: list[Rule], keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns ``keep``, unchanged, the counts, ``base_failed`` and ``kept``: false if the base
+    conditions fail, else the decision list's verdict; where a kept column has such a name, the
+    added one gets an underscore behind it. Every row of ``df`` gives one row, also repeated rows
+    and null ids; a null or empty text has no words and fails. An empty table gives no rows."""
+    return unpacked(_judged(df, rules, text_col, keep), "row", (*COUNTS, "base_failed", "kept"))
+
+
+def without_bad(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that are kept, each as it is."""
+    return unpacked(_judged(df, rules, text_col, df.columns).where("kept"), "row", ())

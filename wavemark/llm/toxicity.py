@@ -10,7 +10,7 @@ there have no weight, so a long text does not gather noise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import held_out, labelled_sample
+from .rows import as_struct, unpacked
 from .tokens import slices
 
 BUCKETS = 1 << 18
@@ -145,22 +146,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sa
     return fit_machine(rows, got["label"].to_numpy().astype(float), **options)
 
 
-def score_toxicity(df: DataFrame, machine: Machine, *, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1
-    at ``threshold`` and above, else 0). Every row gives one row; a null or empty text has the
-    score of no terms. The model is a fixed number of weights, whatever the input."""
-    own = df.select(*keep, df["text"].cast("string").alias("_text"))
-    schema = T.StructType([*own.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+def _scored(df: DataFrame, machine: Machine, keep: Sequence[str], text_col: str) -> DataFrame:
+    """``row`` (the columns ``keep``) and ``score``."""
+    own = df.select(as_struct(keep).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = T.StructType([own.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = _Features(machine.buckets)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("text").to_pylist()
             for a, b in slices(texts):
                 scores = [machine.score(features.of(t)) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), pa.array(scores, pa.float64())], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(scores, pa.float64())], schema.names)
+
+    return own.mapInArrow(run, schema)
+
+
+def score_toxicity(df: DataFrame, machine: Machine, *, threshold: float = 0.3, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns ``keep``, unchanged, with ``score`` (0 to 1, higher: label 1 likelier) and
+    ``predicted`` (1 at ``threshold`` and above, else 0); where a kept column has such a name, the
+    added one gets an underscore behind it. Every row gives one row, also repeated rows and null
+    ids; a null or empty text has the score of no terms. An empty table gives no rows. The model is
+    a fixed number of weights, whatever the input."""
+    scored = _scored(df, machine, keep, text_col).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return unpacked(scored, "row", ("score", "predicted"))
+
 
-    return own.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def without_toxic(df: DataFrame, machine: Machine, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that score below ``threshold``, each as it is."""
+    return unpacked(_scored(df, machine, df.columns, text_col).where(F.col("score") < threshold), "row", ())
 
 
-__all__ = ["Machine", "fit_machine", "fit_toxicity", "held_out", "score_toxicity"]
+__all__ = ["Machine", "fit_machine", "fit_toxicity", "held_out", "score_toxicity", "without_toxic"]
