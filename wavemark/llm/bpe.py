@@ -9,6 +9,7 @@ pair are merged step by step.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -20,14 +21,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .tokens import byte_alphabet, slices
+from .tokens import Memo, byte_alphabet, library, per_text, slices
 
 _NEVER = np.iinfo(np.int64).max
-#: Texts with other characters than these go to the library: their normal form, lower case or
-#: class could differ between Unicode versions.
+#: Stretches with other characters than these are brought to normal form and cut by the file's own
+#: normalizer and pre-tokenizer: lower case or class could differ between Unicode versions.
 _RARE = re.compile("[^\t-\r\x20-\x84\x86-įı-ɏ‐-‧€]")
-#: Stretches without white space longer than this also go to the library.
-_LONG = 300
+#: Words of more characters than this are merged by a heap instead of a scan for the lowest rank.
+_LONG = 64
 
 
 class SpeculativeBPE:
@@ -59,6 +60,7 @@ class SpeculativeBPE:
         self.inner = {t: i for t, i in self.vocab.items() if not (self.end and t.endswith(self.end))}
         self.final = {t[: len(t) - len(self.end)]: i for t, i in self.vocab.items() if t.endswith(self.end)}
         self.longest = max(map(len, self.vocab))
+        self.longest_final = max(map(len, self.final), default=0)
 
     def _rank_of_pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -87,9 +89,9 @@ class SpeculativeBPE:
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match from the left; None if some character is no token."""
         found, i, n = [], 0, len(word)
-        inner, final = self.inner.get, self.final.get
+        inner, final, longest = self.inner.get, self.final.get, self.longest_final
         while i < n:
-            if (token := final(word[i:])) is not None:
+            if n - i <= longest and (token := final(word[i:])) is not None:
                 found.append(token)
                 return found
             j = min(n - 1, i + self.longest)
@@ -105,6 +107,8 @@ class SpeculativeBPE:
         """Exact merging: the lowest rank first, of equal ranks the leftmost."""
         vocab, rank_of, made = self.vocab, self.ranks.get, self.made
         parts = [vocab[c] for c in (*word[:-1], word[-1] + self.end) if c in vocab]
+        if len(parts) > _LONG:
+            return self._merge_long(parts)
         ranks = [rank_of(p, _NEVER) for p in zip(parts, parts[1:], strict=False)]
         while ranks and (best := min(ranks)) != _NEVER:
             i = ranks.index(best)
@@ -116,6 +120,27 @@ class SpeculativeBPE:
                 ranks[i] = rank_of((parts[i], parts[i + 1]), _NEVER)
         return parts
 
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same for long words: a heap of (rank, place), and links to the neighbours left."""
+        rank_of, made, n = self.ranks.get, self.made, len(parts)
+        before, after = [*range(-1, n - 1)], [*range(1, n + 1)]
+        waiting = [(r, i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if (r := rank_of(p)) is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            rank, i = heapq.heappop(waiting)
+            j = after[i]
+            if j >= n or parts[i] < 0 or rank_of((parts[i], parts[j])) != rank:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = made[rank], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := rank_of((parts[i], parts[after[i]]))) is not None:
+                    heapq.heappush(waiting, (r, i))
+            if before[i] >= 0 and (r := rank_of((parts[before[i]], parts[i]))) is not None:
+                heapq.heappush(waiting, (r, before[i]))
+        return [p for p in parts if p >= 0]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The tokens of each non-empty word, written in the file's characters."""
         rows = [self.propose(w) for w in words]
@@ -133,39 +158,21 @@ class SpeculativeBPE:
         return rows
 
 
-class _Numbers(dict):
-    """Numbers keys as they are first asked for, and lists the new ones."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        self.new.append(key)
-        return number
-
-
 class TextEncoder:
     """Whole texts under a tokenizers file that lower-cases, drops white space, and cuts by a
-    pattern; ``encode`` equals its encode(text, add_special_tokens=False). Texts with rare
-    characters or an added token's string go to the library, as do very long stretches without white
-    space. Such stretches are remembered, up to ``memo_limit``."""
-
-    def __init__(self, path: str, memo_limit: int = 400_000):
-        from tokenizers import Tokenizer
+    pattern; ``encode`` equals its encode(text, add_special_tokens=False). All words are encoded by
+    ``SpeculativeBPE``; only texts with an added token's string go to the library. The ids of
+    stretches between white space are remembered, up to ``memo_limit`` stretches."""
 
+    def __init__(self, path: str, memo_limit: int = 150_000):
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
+        self._tokenizer = library(path)
         self._bpe = SpeculativeBPE(said)
         self._pattern = regex.compile(self._expected(said))
         self._added = [t["content"] for t in said["added_tokens"]]
         self._letters = {b: ord(c) for c, b in byte_alphabet().items()}
-        self._limit = memo_limit
-        self._forget()
+        self._memo = Memo(self._learn, memo_limit)
 
     @staticmethod
     def _expected(said: dict) -> str:
@@ -176,49 +183,37 @@ class TextEncoder:
             raise ValueError("the file does not lower-case, cut by a pattern and then take bytes")
         return cuts[0]["pattern"]["Regex"]
 
-    def _forget(self) -> None:
-        self._numbers, self._values, self._offsets = _Numbers(), np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def _append(self, values: np.ndarray, lengths: np.ndarray) -> None:
-        self._values = np.concatenate([self._values, values.astype(np.int32)])
-        self._offsets = np.concatenate([self._offsets, self._offsets[-1] + np.cumsum(lengths)])
-
-    def _learn(self) -> None:
-        stretches, self._numbers.new = self._numbers.new, []
-        long = [i for i, s in enumerate(stretches) if len(s) > _LONG]
-        cut = [self._pattern.findall(s) if len(s) <= _LONG else [] for s in stretches]
+    def _words(self, stretch: str) -> list[str]:
+        """The words of a stretch, written in the file's characters."""
+        if _RARE.search(stretch):
+            return [w for w, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(self._tokenizer.normalizer.normalize_str(stretch))]
+        words = self._pattern.findall(stretch.lower())
+        if stretch.isascii() and stretch.isprintable():
+            return words
+        return [w.encode().decode("latin-1").translate(self._letters) for w in words]
+
+    def _learn(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cut = [*map(self._words, stretches)]
         words = list({w for ws in cut for w in ws})
-        written = [w if w.isascii() else w.encode().decode("latin-1") for w in words]
-        written = [w if w.isascii() and w.isprintable() else w.translate(self._letters) for w in written]
-        known = dict(zip(words, self._bpe.encode_words(written), strict=True))
+        known = dict(zip(words, self._bpe.encode_words(words), strict=True))
         rows = [[t for w in ws for t in known[w]] for ws in cut]
-        for i in long:
-            rows[i] = self._tokenizer.encode(stretches[i], add_special_tokens=False).ids
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        self._append(np.fromiter((t for r in rows for t in r), np.int64, int(lengths.sum())), lengths)
+        return np.fromiter((t for r in rows for t in r), np.int32, int(lengths.sum())), lengths
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end (int32), and the number of ids of each text."""
-        if len(self._numbers) > self._limit:
-            self._forget()
-        keys: list[str] = []
+        stretches: list[str] = []
         counts, whole = np.zeros(len(texts), np.int64), {}
         for i, text in enumerate(texts):
-            if text and (_RARE.search(text) or any(a in text for a in self._added)):
+            if text and any(a in text for a in self._added):
                 whole[i] = np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
             elif text:
-                parts = text.lower().split()
+                # Unicode white space apart from the ASCII kind may join with marks: left to the file's own cuts.
+                parts = _ASCII_SPACE.split(text) if _RARE.search(text) else text.lower().split()
                 counts[i] = len(parts)
-                keys += parts
-        index = np.fromiter(map(self._numbers.__getitem__, keys), np.int64, len(keys))
-        if self._numbers.new:
-            self._learn()
-        first = self._offsets[index]
-        lengths = self._offsets[index + 1] - first
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        values = self._values[np.repeat(first - ends[:-1], lengths) + np.arange(ends[-1])]
-        stops = np.cumsum(counts)
-        sizes = ends[stops] - ends[stops - counts]
+                stretches += parts
+        values, lengths = self._memo.ids(stretches)
+        sizes = per_text(lengths, counts)
         if whole:
             cuts = np.concatenate([[0], np.cumsum(sizes)])
             values = np.concatenate([whole.get(i, values[cuts[i] : cuts[i + 1]]) for i in range(len(texts))])
@@ -227,6 +222,10 @@ class TextEncoder:
         return values, sizes
 
 
+#: White space at which a text may be cut before it is brought to normal form.
+_ASCII_SPACE = re.compile("[\t-\r ]+")
+
+
 @lru_cache(maxsize=2)
 def text_encoder(path: str) -> TextEncoder:
     """One encoder for each Python worker: its memo outlives a task."""
