@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 MOST_RANGES = 16_384
 
 
-def range_bounds(df: DataFrame, key: str, rows_per_range: int) -> list[float]:
+def range_bounds(df: DataFrame, key: str, rows_per_range: int, most_ranges: int = MOST_RANGES) -> list[float]:
     """Keys that cut ``df`` into ranges of about ``rows_per_range`` rows. Only the key is read, and
-    the list is bounded by MOST_RANGES, however large the input."""
-    n = min(MOST_RANGES, -(-df.select(key).count() // rows_per_range))
+    the list is bounded by ``most_ranges``, however large the input."""
+    n = min(most_ranges, -(-df.select(key).count() // rows_per_range))
     return sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
 
 
@@ -30,10 +30,10 @@ def range_number(key: Column, bounds: list[float]) -> Column:
     return number(key.cast("double"))
 
 
-def in_ranges(df: DataFrame, key: str, then: str, rows_per_range: int) -> DataFrame:
+def in_ranges(df: DataFrame, key: str, then: str, rows_per_range: int, most_ranges: int = MOST_RANGES) -> DataFrame:
     """``df`` with ``range_id``; all rows of a range stand together in one task, in ascending order
     of ``key``, then ``then``, nulls first."""
-    bounds = range_bounds(df, key, rows_per_range)
+    bounds = range_bounds(df, key, rows_per_range, most_ranges)
     numbered = df.withColumn("range_id", range_number(F.col(key), bounds))
     return dealt(numbered, len(bounds) + 1).sortWithinPartitions("range_id", F.col(key).asc_nulls_first(), F.col(then).asc_nulls_first())
 

@@ -87,7 +87,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), stable=True)
     captures = warc.assemble(warc.read_records(manifest))
     return warc.captured_pages(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -115,7 +115,7 @@ ORACLE_SQL = {
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
 f AS (SELECT payload_digest, min(page_id) AS first FROM h WHERE payload_bytes >= 100 GROUP BY 1)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM h LEFT JOIN f USING (payload_digest)""",
     "op10_lm_scoring": """
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r\\x0b\\f]+'), lambda x: x <> '') AS ws FROM documents),

@@ -1,11 +1,13 @@
 """Token ids in Arrow files of fixed-size lists.
 
 Documents in ascending id order make one stream of ids (an end id after each). Each file holds a
-range of documents as record batches of two fixed-size-list columns, ``ids`` (uint16 or uint32) and
-``mask``, both ``sequence_length`` wide: without compression every sequence lies at a computable
-place of the file, and a memory map gives it without a copy. Only the last sequence of a file is
-padded. A second file beside it, in the same format, has a row for each document: its id, and where
-its ids start and how many there are, in the file's stream.
+range of documents as record batches of two fixed-size-list columns, ``ids`` (uint16 or uint32, as
+the tokenizer's ids need) and ``mask`` (uint8, 1 for an id and 0 for padding), both
+``sequence_length`` wide. All batches but the last have ``batch_rows`` sequences, so the batch and
+place of a sequence follow from its number by division; nothing is compressed, so a memory map gives
+ids and mask without a copy. Only the last sequence of a file is padded. A second file beside it, in
+the same format, has a row for each document: its id, and where its ids start and how many there
+are, in the file's stream.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordering import in_ranges
+from .ordering import MOST_RANGES, in_ranges
 from .storage import new_path
-from .tokens import byte_encoder, slices
+from .tokens import byte_encoder, slices, vocabulary_size
 
 
 def filesystem(uri: str):
@@ -39,12 +41,15 @@ class _Writer:
         self._fs, path = filesystem(folder)
         self._length, self._rows, self._kind = sequence_length, batch_rows, ids
         self._final, self._temporary = f"{path}/{name}", f"{path}/_{name}-{attempt}"
-        self.schema = pa.schema({"ids": pa.list_(ids, sequence_length), "mask": pa.list_(pa.bool_(), sequence_length)})
+        self._most = np.iinfo(ids.to_pandas_dtype()).max
+        self.schema = pa.schema({"ids": pa.list_(ids, sequence_length), "mask": pa.list_(pa.uint8(), sequence_length)})
         self._out = pa.ipc.new_file(self._fs.open_output_stream(f"{self._temporary}.arrow"), self.schema)
         self._index = pa.ipc.new_file(self._fs.open_output_stream(f"{self._temporary}.docs.arrow"), pa.schema({"doc_id": key, "start": pa.int64(), "n_tokens": pa.int64()}))
         self._key, self._held, self._waiting, self.total = key, [], 0, 0
 
     def add(self, docs: pa.Array, values: np.ndarray, sizes: np.ndarray) -> None:
+        if len(values) and int(values.max()) > self._most:
+            raise ValueError(f"id {int(values.max())} does not fit {self._kind}")
         start = self.total + np.cumsum(sizes) - sizes
         self._index.write_batch(pa.RecordBatch.from_arrays([docs, pa.array(start), pa.array(sizes)], self._index_names))
         self.total += len(values)
@@ -56,21 +61,17 @@ class _Writer:
     _index_names = ("doc_id", "start", "n_tokens")
 
     def _flush(self, last: bool) -> None:
-        values = np.concatenate(self._held) if self._held else np.zeros(0, np.uint32)
-        whole = len(values) // self._length * self._length
-        rest = values[whole:]
-        if last and len(rest):
-            values, mask = np.concatenate([values, np.zeros(self._length - len(rest), values.dtype)]), np.ones(len(values) + self._length - len(rest), bool)
-            mask[whole + len(rest) :] = False
-            rest = rest[:0]
-        else:
-            values, mask = values[:whole], np.ones(whole, bool)
-        step = self._length * self._rows
-        for a in range(0, len(values), step):
-            flat = pa.array(values[a : a + step].astype(self._kind.to_pandas_dtype()))
-            pair = [pa.FixedSizeListArray.from_arrays(x, self._length) for x in (flat, pa.array(mask[a : a + step]))]
+        """Write full batches; at the end of the file, what is left too."""
+        values, step = np.concatenate(self._held) if self._held else np.zeros(0, np.uint32), self._length * self._rows
+        stop = len(values) if last else len(values) // step * step
+        for a in range(0, stop, step):
+            own = values[a : min(a + step, stop)]
+            padded = np.zeros(-(-len(own) // self._length) * self._length, self._kind.to_pandas_dtype())
+            padded[: len(own)] = own
+            mask = (np.arange(len(padded)) < len(own)).astype(np.uint8)
+            pair = [pa.FixedSizeListArray.from_arrays(pa.array(x), self._length) for x in (padded, mask)]
             self._out.write_batch(pa.RecordBatch.from_arrays(pair, schema=self.schema))
-        self._held, self._waiting = [rest], len(rest)
+        self._held, self._waiting = [values[stop:]], len(values) - stop
 
     def close(self) -> str:
         self._flush(True)
@@ -82,23 +83,25 @@ class _Writer:
 
 
 def write_token_files(
-    df: DataFrame, tokenizer: str, folder: str | None = None, *, sequence_length: int = 1024, vocabulary: int = 50_257,
-    id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = 2048, batch_rows: int = 1024,
+    df: DataFrame, tokenizer: str, folder: str | None = None, *, sequence_length: int = 1024,
+    id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = 2048, batch_rows: int = 1024, most_ranges: int = MOST_RANGES,
 ) -> DataFrame:
     """Write all documents and return the manifest, a row for each file: ``folder``, ``name``,
     ``range_id`` (files in ascending order of ids), ``n_docs``, ``n_tokens``.
 
     Null and empty texts hold the end id alone. Null ids come first; equal ids follow the order of
     their texts, nulls first. An empty table writes no file. Other columns are not read. The rows
-    of one id stay in one file. The manifest is itself a written table: to read it again does not
-    write the files again.
+    of one id stay in one file, and there are at most ``most_ranges`` files: beyond that, files
+    grow. Ids are written in 16 bits if all ids of the tokenizer fit, else in 32; an id that does
+    not fit fails the job. The manifest is itself a written table: to read it again does not write
+    the files again.
     """
     from .storage import written_table
 
     spark = df.sparkSession
     folder = folder or new_path(spark, "token-files")
-    docs = in_ranges(df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text")), "doc_id", "text", rows_per_file)
-    ids = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+    docs = in_ranges(df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text")), "doc_id", "text", rows_per_file, most_ranges)
+    ids = pa.uint16() if vocabulary_size(tokenizer) <= 1 << 16 else pa.uint32()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -146,15 +149,13 @@ def open_token_file(folder: str, name: str) -> tuple[pa.ipc.RecordBatchFileReade
 
 def sequence(reader: pa.ipc.RecordBatchFileReader, number: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids and the mask of one sequence of a file, by its number, without a copy where the
-    file is mapped."""
-    for k in range(reader.num_record_batches):
-        batch = reader.get_batch(k)
-        if number < batch.num_rows:
-            width = batch.schema.field("ids").type.list_size
-            ids = batch.column("ids").flatten().slice(number * width, width).to_numpy()
-            return ids, batch.column("mask").flatten().slice(number * width, width).to_numpy(zero_copy_only=False)
-        number -= batch.num_rows
-    raise IndexError("no such sequence")
+    file is mapped. All batches are as long as the first, so the place follows by division."""
+    rows = reader.get_batch(0).num_rows if reader.num_record_batches else 1
+    at, place = divmod(number, rows)
+    if number < 0 or at >= reader.num_record_batches or place >= (batch := reader.get_batch(at)).num_rows:
+        raise IndexError("no such sequence")
+    width = batch.schema.field("ids").type.list_size
+    return tuple(batch.column(c).flatten().slice(place * width, width).to_numpy() for c in ("ids", "mask"))
 
 
 def read_token_files(manifest: DataFrame, id_type: T.DataType | str = "long") -> DataFrame:
@@ -174,8 +175,8 @@ def read_token_files(manifest: DataFrame, id_type: T.DataType | str = "long") ->
                 while doc < len(starts):
                     while k < reader.num_record_batches and low + len(held) < starts[doc] + sizes[doc]:
                         got = reader.get_batch(k)
-                        flat, mask = got.column("ids").flatten().to_numpy(), got.column("mask").flatten().to_numpy(zero_copy_only=False)
-                        held = np.concatenate([held, (flat if mask.all() else flat[mask]).astype("<u4")])
+                        flat, mask = (got.column(c).flatten().to_numpy() for c in ("ids", "mask"))
+                        held = np.concatenate([held, (flat if mask.all() else flat[mask == 1]).astype("<u4")])
                         k += 1
                     stop = int(np.searchsorted(starts + sizes, low + len(held), side="right"))
                     bounds = (np.append(starts[doc:stop], starts[stop - 1] + sizes[stop - 1]) - low) * 4

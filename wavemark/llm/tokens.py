@@ -5,16 +5,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
 END = 0
-#: Fixed value: how a byte-level BPE cuts a text before it merges.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts for the library itself: characters whose class may differ between regular-expression
-#: engines or Unicode versions (all but Latin letters and common marks), and very long words.
-_RARE = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧€]|\\S{400}")
+#: Longer stretches are encoded each time they come, so that the memo stays small.
+MEMO_CHARS = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -25,49 +23,151 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+def library(path: str):
+    """The file's tokenizer without truncation and padding."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+class _Numbers(dict):
+    """Numbers keys as they are first asked for, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+
+class Memo:
+    """The ids of stretches of text. ``learn`` gives those of stretches not met before: all ids end
+    to end, and how many each has. At ``most`` stretches everything is forgotten; stretches of more
+    than MEMO_CHARS characters are never kept."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
+        self._learn, self._most = learn, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self._numbers, self._values, self._offsets, self._used = _Numbers(), np.zeros(1 << 12, np.int32), np.zeros(1, np.int64), 0
+
+    def _append(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        end = self._used + len(values)
+        if end > len(self._values):  # doubled, so that each id is copied a few times at most
+            self._values = np.concatenate([self._values[: self._used], np.zeros(max(end, 2 * len(self._values)) - self._used, np.int32)])
+        self._values[self._used : end] = values
+        self._offsets = np.concatenate([self._offsets, self._used + np.cumsum(lengths)])
+        self._used = end
+
+    def ids(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end (int32), and the number of ids of each stretch."""
+        if len(self._numbers) > self._most:
+            self._forget()
+        long = {i: s for i, s in enumerate(stretches) if len(s) > MEMO_CHARS}
+        if long:
+            kept = list(stretches)
+            for i in long:
+                kept[i] = ""
+            stretches = kept
+        index = np.fromiter(map(self._numbers.__getitem__, stretches), np.int64, len(stretches))
+        if self._numbers.new:
+            new, self._numbers.new = self._numbers.new, []
+            self._append(*self._learn(new))
+        first = self._offsets[index]
+        lengths = self._offsets[index + 1] - first
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        values = self._values[np.repeat(first - ends[:-1], lengths) + np.arange(ends[-1])]
+        if long:
+            own, sizes = self._learn([*long.values()])
+            at = np.fromiter(long, np.int64, len(long))
+            values = np.insert(values, np.repeat(ends[at], sizes), own)
+            lengths[at] = sizes
+        return values, lengths
+
+
+def per_text(lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of ``lengths`` over runs of ``counts`` of them."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    stops = np.cumsum(counts)
+    return ends[stops] - ends[stops - counts]
+
+
 class ByteEncoder:
     """``encode`` equals the library's encode(text, add_special_tokens=False).
 
-    Common texts go to a faster encoder built from the same file, whose merges must rank as its
-    ids do (else it is not used); the rest go to the library.
+    The library encodes each different stretch of a text once, and its ids are remembered. A text
+    is cut before single spaces: there its pattern always begins a new word, whatever stands before,
+    so the ids of a text are those of its stretches. Texts in which that is not certain (a space with
+    white space on both sides, or an added token's string) go to the library as a whole.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    _UNCERTAIN = re.compile(r"\s (?:\s|\Z)")
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
+    def __init__(self, path: str, most: int = 400_000):
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
+        self._tokenizer, cut = library(path), said["pre_tokenizer"] or {}
+        if cut.get("type") != "ByteLevel" or not cut.get("use_regex") or cut.get("add_prefix_space") or said["normalizer"]:
+            raise ValueError("the file does not cut texts by the byte-level pattern alone")
+        space = {b: c for c, b in byte_alphabet().items()}[0x20]
         self._added = [t["content"] for t in said["added_tokens"]]
-        self._fast = self._faster(said)
-
-    @staticmethod
-    def _faster(said: dict):
-        import tiktoken
-
-        model, cut = said["model"], said["pre_tokenizer"] or {}
-        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not said["normalizer"]
-        if not plain or model.get("ignore_merges") or any(a >= b for a, b in zip(made, made[1:], strict=False)) or len(model["vocab"]) != len(made) + 256:
-            return None
-        letters = byte_alphabet()
-        ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items()}
-        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-
-    def ids(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if self._fast is None or _RARE.search(text) or any(a in text for a in self._added):
-            return self._tokenizer.encode(text, add_special_tokens=False).ids
-        return self._fast(text)
+        self._begins = np.zeros(self._tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self._begins[[i for t, i in self._tokenizer.get_vocab(with_added_tokens=True).items() if t.startswith(space)]] = True
+        self._memo = Memo(self._learn, most)
+
+    def _learn(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Stretches that begin with a space and no other white space are encoded one after another
+        as one text: the tokens that begin with a space tell where each begins."""
+        joined = [i for i, s in enumerate(stretches) if s[:1] == " " and not s[1:2].isspace() and len(s) > 1]
+        alone = np.ones(len(stretches), bool)
+        alone[joined] = False
+        rows = [e.ids for e in self._tokenizer.encode_batch_fast([s for s, own in zip(stretches, alone, strict=True) if own], add_special_tokens=False)]
+        lengths = np.zeros(len(stretches), np.int64)
+        lengths[alone] = [*map(len, rows)]
+        flat = np.array([t for r in rows for t in r], np.int32)
+        if joined:
+            runs = ["".join(stretches[i] for i in joined[a : a + 1000]) for a in range(0, len(joined), 1000)]
+            own = np.concatenate([np.array(e.ids, np.int32) for e in self._tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+            lengths[joined] = np.diff(np.append(np.flatnonzero(self._begins[own]), len(own)))
+            flat = np.concatenate([flat, own])
+            order = np.argsort(np.concatenate([np.repeat(np.flatnonzero(alone), lengths[alone]), np.repeat(joined, lengths[joined])]), kind="stable")
+            flat = flat[order]
+        return flat, lengths
 
     def encode(self, texts: list[str | None], end: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end (uint32), and the number of ids of each text. ``end``: id 0 follows
         each text. None counts as the empty text."""
-        rows = [np.array([*self.ids(t), END] if end else self.ids(t), np.uint32) for t in texts]
-        return (np.concatenate(rows) if rows else np.zeros(0, np.uint32)), np.fromiter(map(len, rows), np.int64, len(rows))
+        stretches: list[str] = []
+        counts, whole = np.zeros(len(texts), np.int64), []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if self._UNCERTAIN.search(text) or any(a in text for a in self._added):
+                whole.append(i)
+                continue
+            first, *rest = text.split(" ")
+            parts = [first, *map(" ".__add__, rest)]
+            counts[i] = len(parts)
+            stretches += parts
+        values, lengths = self._memo.ids(stretches)
+        sizes = per_text(lengths, counts)
+        if whole or end:
+            own = dict(zip(whole, (e.ids for e in self._tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False)), strict=True))
+            tail = [np.array([END], np.int32)] if end else []
+            cuts = np.concatenate([[0], np.cumsum(sizes)])
+            rows = [x for i in range(len(texts)) for x in (np.array(own[i], np.int32) if i in own else values[cuts[i] : cuts[i + 1]], *tail)]
+            values = np.concatenate(rows) if rows else values
+            for i, ids in own.items():
+                sizes[i] = len(ids)
+            sizes = sizes + int(end)
+        return values.astype(np.uint32), sizes
 
 
 @lru_cache(maxsize=2)
@@ -76,6 +176,11 @@ def byte_encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
 
 
+def vocabulary_size(path: str) -> int:
+    """How many ids a tokenizers file has."""
+    return library(path).get_vocab_size(with_added_tokens=True)
+
+
 def slices(texts: list[str | None], most: int = 2_000_000):
     """Cut a batch into runs of about ``most`` characters."""
     first = size = 0
