@@ -10,11 +10,20 @@ one symbol left out, 64 keys in all: a pair with one error or none in a chunk sh
 leaves out the wrong symbol.
 
 Documents with equal sets are one node from the start. In a bucket of equal keys each node is first
-compared with the smallest node, and then, in buckets of several components, with the bucket's hub:
-numbers of pairs linear in the bucket. Links confirmed on the full sets merge nodes into components.
-Only then are pairs across components searched in full, and an exact bound from the overlaps with
-the hub rules out nearly all of them. So a large group of copies costs two stars, and no link that
-could join two components is left out.
+compared with the smallest node: numbers of pairs linear in the bucket. Links confirmed on the full
+sets merge nodes into components. What is then left are buckets that hold several components, which
+boilerplate makes large without a link in them. Nodes that such buckets connect form a cluster, and
+each is described by how its set differs from the cluster's core, the shingles that more than half
+of the cluster has. Two sets differ exactly where these differences do, so
+
+* nodes so near the core that they must be linked, whatever their differences have in common, are
+  linked through the one nearest to it;
+* any other link needs a certain number of shared differences, and therefore one among the rarest of
+  each side: nodes meet by a prefix of their differences, rarest first, and the places in it rule out
+  most pairs before they are made.
+
+Both bounds are exact, so no link that could join two components is left out, and boilerplate that
+a whole cluster shares, however large, makes no pairs.
 """
 
 from __future__ import annotations
@@ -25,11 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import free_name
 from .shingles import mix, shingle_sets
+from .skew import hot_keys, left_join_spread
 from .storage import written_table
 from .tokens import slices
 
@@ -115,13 +126,22 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
 
 
+def _beside(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The written table of ``pairs`` (a, b) with the columns of ``own`` (by ``node``) for both
+    nodes, under names that end in _a and _b. A node may be in a third of all pairs."""
+    n_pairs, found = pairs.count(), pairs
+    for side in "ba":
+        theirs = own.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in own.columns if c != "node"))
+        hot = hot_keys(pairs.groupBy(side).agg(F.count("*").alias("k")), side, "k", n_pairs)
+        found = left_join_spread(found, theirs, side, hot, F.col("a" if side == "b" else "b"), "inner")
+    return found
+
+
 def _promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are close enough by signature, and whose sizes allow a link."""
-    for side in "ab":
-        own = nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
-        pairs = pairs.join(own, side)
-    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.where(sized & (distance(F.col("s_a"), F.col("s_b")) <= reach(percent))).select("a", "b")
+    both = _beside(pairs, nodes)
+    sized = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
+    return both.where(sized & (distance(F.col("signature_a"), F.col("signature_b")) <= reach(percent))).select("a", "b")
 
 
 def _shingle_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -159,12 +179,11 @@ def _may_be_among(ids: DataFrame, doc_id: Column, bits: int = 23) -> Column:
     return among(F.pmod(F.xxhash64(doc_id), F.lit(1 << bits)))
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with ``common``, the size of the intersection of the full sets, and ``linked``."""
-    for side in "ba":
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(f"h_{side}")), side)
-    both = pairs.select("a", "b", F.size(F.array_intersect("h_a", "h_b")).cast("long").alias("common"), (F.size("h_a") + F.size("h_b")).alias("total"))
-    return both.select("a", "b", "common", (100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).alias("linked"))
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs whose full sets overlap enough."""
+    both = _beside(pairs, sets)
+    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    return both.where(100 * common >= percent * (F.size("hashes_a") + F.size("hashes_b") - common)).select("a", "b")
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -174,43 +193,89 @@ def _ids(pairs: DataFrame) -> DataFrame:
 def _mixed(shared: DataFrame, merged: DataFrame) -> DataFrame:
     """The members (key, node, component) of the buckets that hold several components."""
     member = shared.join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    spread = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return member.join(spread, "key", "left_semi")
-
-
-def _own_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node`` and ``own``: how many of a node's shingles are in no other of the nodes' sets."""
-    flat = sets.join(nodes, "node", "left_semi").select("node", F.explode("hashes").alias("h"))
-    counted = flat.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"))
-    return counted.where("node = other").groupBy("node").agg(F.count("*").alias("own"))
-
-
-def _unresolved(mixed: DataFrame, hubs: DataFrame, over: DataFrame, own: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of different components in one bucket that may still be linked.
-
-    In a bucket, each node's overlap with the bucket's hub is known. What a node has beyond that is
-    partly its own, in no other set at all; two nodes can have in common no more than the smaller
-    overlap and the smaller of what they have beyond it that others have too. Nearly all pairs of
-    differently edited copies fall to this exact bound, without looking at their sets.
-    """
-    rest = mixed.join(hubs, "key").join(nodes, "node").join(over.select(F.col("a").alias("hub"), F.col("b").alias("node"), "common"), ["hub", "node"], "left").join(own, "node", "left")
-    inside = F.when(F.col("node") == F.col("hub"), F.col("n_shingles")).otherwise(F.col("common"))
-    rest = rest.withColumn("inside", inside).withColumn("spare", F.col("n_shingles") - inside - F.coalesce("own", F.lit(0)))
-    rest = rest.withColumn("keys", chunk_keys(F.col("signature"), chunks_for(reach(percent))))
-    rest = written_table(rest.select("key", "node", "component", "n_shingles", "signature", "keys", "inside", "spare"), "mixed-buckets")
-    left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in rest.columns if c != "key")) for side in "ab")
-    across = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b"))
-    total = F.col("n_shingles_a") + F.col("n_shingles_b")
-    most = F.least("inside_a", "inside_b") + F.least("spare_a", "spare_b")
-    known = F.col("inside_a").isNotNull() & F.col("inside_b").isNotNull()
-    possible = ~known | ((100 + percent) * most >= percent * total)
-    sized = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
-    close = distance(F.col("signature_a"), F.col("signature_b")) <= reach(percent)
-    # A pair counts in the first bucket only that its nodes share.
-    same = F.zip_with("keys_a", "keys_b", lambda x, y: x == y)
-    first = F.get("keys_a", (F.array_position(same, F.lit(True)) - 1).cast("int")) == left["key"]
-    found = left.join(right, (left["key"] == right["key"]) & across & sized & possible & close & first)
-    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    spread = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
+    return left_join_spread(member, spread.select("key"), "key", hot_keys(spread, "key", "n", shared.count()), F.col("node"), "left_semi")
+
+
+def _clusters(mixed: DataFrame) -> DataFrame:
+    """``node``, ``component`` and ``cluster`` of the members of buckets that hold several
+    components: nodes that buckets connect are one cluster."""
+    lowest = mixed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n"))
+    joined = left_join_spread(mixed, lowest.select("key", "a"), "key", hot_keys(lowest, "key", "n", mixed.count()), F.col("node"), "inner")
+    edges = joined.where("a < node").select("a", F.col("node").alias("b")).distinct()
+    found = components(edges).withColumnRenamed("component", "cluster")
+    return mixed.select("node", "component").distinct().join(found, "node")
+
+
+def _profiles(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` (node, cluster, hashes) with ``n`` (the set's size), ``differs`` (the shingles
+    that the node, but not the core, or the core, but not the node, has) and ``slack``: what a link
+    allows the node to differ, less what it differs, in hundredths. The slacks of two nodes add up
+    to 0 or more just if their differences need nothing in common for a link.
+
+    A core is smaller than twice the mean size of its cluster's sets."""
+    sizes = written_table(members.groupBy("cluster").agg(F.count("*").alias("n_nodes")), "cluster-sizes")
+    seen = members.select("cluster", F.explode("hashes").alias("h")).groupBy("cluster", "h").agg(F.count("*").alias("f"))
+    seen = written_table(seen.where("f > 1"), "shared-shingles")  # a shingle of one node is no core's
+    per_cluster = seen.groupBy("cluster").agg(F.count("*").alias("n"))
+    wide = left_join_spread(seen, sizes, "cluster", hot_keys(per_cluster, "cluster", "n", seen.count()), F.col("h"), "inner")
+    cores = written_table(wide.where("2 * f > n_nodes").groupBy("cluster").agg(F.collect_list("h").alias("core")), "cores")
+    placed = left_join_spread(members, cores, "cluster", hot_keys(sizes, "cluster", "n_nodes", members.count()), F.col("node"))
+    core = F.coalesce("core", F.array().cast("array<bigint>"))
+    differs = F.concat(F.array_except("hashes", core), F.array_except(core, "hashes"))
+    rows = placed.select("node", "cluster", F.size("hashes").cast("long").alias("n"), differs.alias("differs"))
+    return written_table(rows.withColumn("slack", (100 - percent) * F.col("n") - (100 + percent) * F.size("differs")), "profiles")
+
+
+def _near_core(profiles: DataFrame) -> DataFrame:
+    """Links (a, b) of each cluster's node with the most slack with all that need nothing in common
+    with it. Of two nodes whose slacks add up to 0 or more, both get this link."""
+    flat = profiles.select("node", "cluster", "slack")
+    best = flat.groupBy("cluster").agg(F.max(F.struct("slack", "node")).alias("c"), F.count("*").alias("n_nodes"))
+    best = written_table(best, "centres")
+    centred = left_join_spread(flat, best.select("cluster", "c"), "cluster", hot_keys(best, "cluster", "n_nodes", flat.count()), F.col("node"))
+    linked = centred.where((F.col("node") != F.col("c.node")) & (F.col("slack") + F.col("c.slack") >= 0))
+    return linked.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+
+
+def _prefix_pairs(open_nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, of ``open_nodes`` (node, component,
+    cluster, n, slack, differs).
+
+    A link needs ``common`` shared differences at least, which the slacks tell. In any order of
+    differences, the first that two nodes share has fewer than ``n_differs - common + 1`` before it
+    on each side. The order puts first what cannot be shared across components, then the rarest. The
+    places also add up to no more than the link allows the two to differ, so one of them is in the
+    short half of its node's prefix."""
+    total, less = 100 + percent, 100 - percent
+    rows = open_nodes.select("node", "component", "cluster", "n", "slack", F.size("differs").cast("long").alias("n_differs"), F.explode("differs").alias("h"))
+    rows = rows.select(F.struct("cluster", "h").alias("key"), "node", "component", "n", "slack", "n_differs")
+    counts = rows.groupBy("key").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high"))
+    counts = written_table(counts.where("low < high").select("key", "f"), "differences")
+    n_rows = open_nodes.agg(F.sum(F.size("differs"))).first()[0] or 0
+    hot = hot_keys(counts, "key", "f", n_rows)
+    ranked = left_join_spread(rows, counts, "key", hot, F.col("node"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("f", F.lit(0)), "key")) - 1
+    ranked = ranked.withColumn("place", place).where(F.col("f").isNotNull() & (percent * F.col("place") <= less * F.col("n"))).drop("f", "_salts")
+    ranked = written_table(ranked, "prefixes")
+    names = ("node", "component", "n", "slack", "n_differs", "place")
+    left, right = (ranked.select("key", *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
+    right = right.where(2 * percent * F.col("place_b") <= less * F.col("n_b"))
+    common = F.floor((2 * total - 1 - F.col("slack_a") - F.col("slack_b")) / (2 * total))
+    found = left_join_spread(left, right, "key", hot, F.col("node_a"), "inner", 8).where(
+        (F.col("component_a") != F.col("component_b"))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & (F.col("place_a") + common <= F.col("n_differs_a"))
+        & (F.col("place_b") + common <= F.col("n_differs_b"))
+    )
+    return written_table(found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "candidates")
+
+
+def _linked_by_differences(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are linked: two sets differ where their differences do."""
+    both = _beside(pairs, profiles.select("node", "n", "differs"))
+    apart = F.size("differs_a") + F.size("differs_b") - 2 * F.size(F.array_intersect("differs_a", "differs_b"))
+    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,11 +283,16 @@ def components(edges: DataFrame) -> DataFrame:
     labels are passed along edges and labels' labels are followed until nothing changes."""
     both = written_table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = written_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    n_edges, n_nodes = both.count(), labels.count()
+    hubs = written_table(hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", "n", n_edges), "hubs")
     while True:
-        passed = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
+        heard = left_join_spread(both, labels.withColumnRenamed("node", "b"), "b", hubs, F.col("a"), "inner")
+        passed = heard.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
         lower = labels.join(passed, "node").select("node", F.least("component", "least").alias("now"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("now"), F.col("component").alias("next"))
-        after = written_table(lower.join(jump, "now", "left").select("node", F.least("now", "next").alias("component"), "was"), "labels")
+        large = hot_keys(labels.groupBy(F.col("component").alias("now")).agg(F.count("*").alias("n")), "now", "n", n_nodes)
+        after = left_join_spread(lower, jump, "now", large, F.col("node"))
+        after = written_table(after.select("node", F.least("now", "next").alias("component"), "was"), "labels")
         labels = after.select("node", "component")
         if after.where("component < was").isEmpty():
             return labels
@@ -233,7 +303,8 @@ def _first_labels(links: DataFrame) -> DataFrame:
     labels mean one component; different ones may too, which costs a later look, but no link."""
     direct = written_table(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), "labels")
     further = direct.select(F.col("node").alias("component"), F.col("component").alias("next"))
-    return direct.join(further, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    large = hot_keys(direct.groupBy("component").agg(F.count("*").alias("n")), "component", "n", direct.count())
+    return left_join_spread(direct, further, "component", large, F.col("node")).select("node", F.coalesce("next", "component").alias("component"))
 
 
 def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,43 +322,57 @@ def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     described = written_table(describe(docs, width), "described")
-    classes = described.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = described.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.count("*").alias("n"))
     classes = written_table(classes, "classes")
     nodes = classes.where("node is not null").select("node", "n_shingles", "signature")
     filed = nodes.select("node", F.explode(chunk_keys(F.col("signature"), chunks_for(reach(percent)))).alias("key"))
-    spans = written_table(filed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"), "spans")
-    shared = written_table(filed.join(spans, "key"), "buckets")  # keys that nodes share
+    spans = written_table(filed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "low", "n"), "spans")
+    n_filed = SYMBOLS * nodes.count()
+    shared = left_join_spread(filed, spans.select("key", "low"), "key", hot_keys(spans, "key", "n", n_filed), F.col("node"), "inner")
+    shared = written_table(shared.select("key", "node", "low"), "buckets")  # keys that nodes share
 
     # Each node against the smallest of its buckets.
     star = shared.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    star = written_table(_promising(star, nodes, percent), "candidates")
+    star = written_table(_promising(written_table(star, "stars"), nodes, percent), "candidates")
     sets = written_table(_shingle_sets(_ids(star), docs, width), "shingle-sets")
-    over = written_table(_overlaps(star, sets, percent), "overlaps")
-    links = over.where("linked").select("a", "b")
+    links = written_table(_linked(star, sets, percent), "links")
 
-    # In buckets of several components, each node against the hub: that with the fewest shingles
-    # of its own, which a text from which the others were edited has.
+    # What buckets of several components may still hold.
     mixed = written_table(_mixed(shared.select("key", "node"), _first_labels(links)), "mixed-buckets")
-    members = mixed.select("node").distinct()
-    others = members.join(sets.select("node"), "node", "left_anti").select(F.col("node").alias("doc_id"))
+    clusters = written_table(_clusters(mixed), "clusters")
+    others = clusters.join(sets.select("node"), "node", "left_anti").select(F.col("node").alias("doc_id"))
     sets = sets.union(written_table(_shingle_sets(others, docs, width), "shingle-sets"))
-    own = written_table(_own_shingles(sets, members), "own-shingles")
-    hubs = mixed.join(own, "node", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("own", F.lit(0)).alias("own"), "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
-    hubs = written_table(hubs, "hubs")
-    spokes = mixed.join(hubs, "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    over = written_table(_overlaps(spokes, sets, percent), "overlaps")
-    links = links.union(over.where("linked").select("a", "b"))
+    profiles = _profiles(written_table(clusters.select("node", "cluster").join(sets, "node"), "members"), percent)
+    links = written_table(links.union(_near_core(profiles)), "links")
     merged = components(links)
 
-    # What is left: pairs across components that the overlaps with hubs do not rule out.
-    more = _unresolved(_mixed(mixed.select("key", "node"), merged), hubs, over, own, nodes, percent)
-    more = written_table(more.join(over.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-    joined = written_table(_overlaps(more, sets, percent).where("linked").select("a", "b"), "links")
+    left = _mixed(mixed.select("key", "node"), merged).select("node", "component").distinct()
+    pairs = _prefix_pairs(written_table(profiles.join(left, "node"), "open"), percent)
+    joined = written_table(_linked_by_differences(pairs, profiles, percent), "links")
     if not joined.isEmpty():
         merged = components(links.union(joined))
 
-    grouped = classes.select("set_a", "set_b", "node").join(merged, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("group"))
-    found = described.select("doc_id", "n_shingles", "set_a", "set_b").join(grouped, ["set_a", "set_b"], "left")
+    own_set = F.struct("set_a", "set_b").alias("own_set")
+    grouped = classes.join(merged, "node", "left").select(own_set, F.coalesce("component", "node").alias("group"))
+    copied = hot_keys(classes.select(own_set, "n"), "own_set", "n", described.count())
+    found = left_join_spread(described.select("doc_id", "n_shingles", own_set), grouped, "own_set", copied, F.xxhash64("doc_id"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("group"))
     kept = (F.col("n_shingles") == 0) | F.coalesce(F.col("doc_id") == component, F.lit(False))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def keep_one(df: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, each as it is, of which one stays in each group of near duplicates: that
+    with the smallest id (nulls last), or one of those that share it. Every row is a document of
+    its own here, so rows that repeat an id, or have none, are judged by their texts alone. Texts
+    without words all stay. ``df`` is written once, with a number for each row."""
+    number = free_name("row_number", df.columns)
+    rows = written_table(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = written_table(near_duplicates(rows, width=width, percent=percent, id_col=number, text_col=text_col).where("n_shingles > 0"), "groups")
+    ids = rows.select(F.col(f"`{number}`").alias("doc_id"), F.col(f"`{id_col}`").alias("own_id"))
+    ranked = found.join(ids, "doc_id").select("doc_id", "component_id", F.struct(F.col("own_id").isNull(), "own_id", "doc_id").alias("order"))
+    groups = ranked.groupBy("component_id").agg(F.min("order").alias("least"), F.count("*").alias("n")).where("n > 1")
+    large = hot_keys(groups, "component_id", "n", rows.count())
+    several = left_join_spread(ranked, groups.select("component_id", "least"), "component_id", large, F.col("doc_id"), "inner")
+    gone = several.where("doc_id != least.doc_id").select(F.col("doc_id").alias(number))
+    return rows.join(gone, number, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))

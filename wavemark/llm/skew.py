@@ -16,13 +16,13 @@ def hot_keys(counts: DataFrame, key: str, n: str, rows: int) -> DataFrame:
     return counts.where((F.col(n) > 1) & (F.col(n) * HOT_SHARE >= rows)).select(key)
 
 
-def left_join_spread(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: Column, how: str = "left") -> DataFrame:
-    """``left`` joined to ``right``, which has each key at most once. Rows of hot keys are dealt
-    over SALTS tasks by ``spread``, an integer expression over ``left``, and the few rows of
-    ``right`` that they need are repeated for each; the others are joined by the key alone. Null
-    keys match nothing and are dealt over tasks too."""
-    marked = F.broadcast(hot.select(F.col(key), F.lit(SALTS).alias("_salts")))
-    salts = F.when(F.col(key).isNull(), SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
+def left_join_spread(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: Column, how: str = "left", parts: int = SALTS) -> DataFrame:
+    """``left`` joined to ``right``. Rows of hot keys are dealt over ``parts`` tasks by ``spread``,
+    an integer expression over ``left``, and the rows of ``right`` that they need are repeated for
+    each (``right`` should have few for each key); the others are joined by the key alone. Null keys
+    match nothing and are dealt over tasks too."""
+    marked = F.broadcast(hot.select(F.col(key), F.lit(parts).alias("_salts")))
+    salts = F.when(F.col(key).isNull(), parts).otherwise(F.coalesce("_salts", F.lit(1)))
     dealt = left.join(marked, key, "left").withColumn("_salt", F.pmod(spread, salts).cast("int")).drop("_salts")
     copies = right.join(marked, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
