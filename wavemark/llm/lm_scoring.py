@@ -6,7 +6,9 @@ n-grams of one block of documents that fall into one hash bucket, sorted, with t
 count table of a bucket is the sum over its pages; the join within the bucket answers each page with
 its n-grams' totals in the same order; the answers meet their block's documents again by block, where
 every position takes the highest order with enough occurrences. A frequent n-gram is one entry of a
-page, however often it occurs in a block, so no hash bucket grows with it.
+page, however often it occurs in a block, so no hash bucket grows with it. Buckets are as many as the
+bytes of the corpus need, so pages become smaller as it grows, down to an n-gram each: never more of
+them than a row for each block's n-grams would be.
 
 N-grams are told apart by their order and all 64 bits of their hash; nothing else compares them. Of n
 distinct n-grams of one order, n * n / 2^65 pairs are expected to be taken for one.
@@ -182,7 +184,14 @@ def score_positions(sizes: np.ndarray, ends: list[np.ndarray], found: np.ndarray
     return score, alone
 
 
-def score_documents(df: DataFrame, *, least: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8_000_000, stable: bool = False) -> DataFrame:
+def bucket_bits(size: int, bucket_bytes: int) -> int:
+    """So many bits of a hash that a bucket holds the n-grams of about ``bucket_bytes`` of text, or
+    up to twice as much: what a bucket takes in memory does not grow with the corpus, nor with the
+    length of its documents. A bucket's number has 30 bits at most, good for petabytes."""
+    return min(30, max(2, (size // bucket_bytes).bit_length()))
+
+
+def score_documents(df: DataFrame, *, least: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8_000_000, bucket_bytes: int = 2_000_000, stable: bool = False) -> DataFrame:
     """``doc_id``, ``n_words``, ``log_score`` (sum of the natural logarithms of the words' scores)
     and ``mean_log_score`` (null without words).
 
@@ -191,7 +200,8 @@ def score_documents(df: DataFrame, *, least: int = 2, alpha: float = 0.4, id_col
     times the bigram's, and so on down to count(w3) / all words. The first words of a text begin at
     the order that they allow, without the factor. The counts include the document itself. Null and
     empty texts have no words and score 0. Null ids and repeated rows are scored, and counted, like
-    any other row; other columns are not read. An empty table gives no rows.
+    any other row; other columns are not read. An empty table gives no rows. N-grams are the same if
+    their order and 64 bits of their hash are (see above); no other comparison is made.
 
     Blocks follow the rows' order in the partitions of ``df``, which must be the same each time: a
     scan of files gives that (``stable=True``); anything else is written to the shared folder
@@ -200,8 +210,7 @@ def score_documents(df: DataFrame, *, least: int = 2, alpha: float = 0.4, id_col
     docs = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
     if not stable:
         docs = written_table(docs, "to-score")
-    # About as many buckets as blocks: a bucket's pages are then about as large as a block's.
-    bits = min(23, max(2, (docs.select("doc_id").count() // 1024).bit_length()))
+    bits = bucket_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, bucket_bytes)
     answers = _totals(_ngram_pages(docs, bits, block_chars)).select("block", "bucket", "totals")
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_words", "n_alone")), T.StructField("part_score", T.DoubleType())])
 
