@@ -5,8 +5,9 @@ run of bins. Given the partitions' row counts and the bins' exact sizes, a unifo
 makes the matrix multivariate hypergeometric, so its rows are drawn from that law: each task draws
 its own by walking down a binary tree over the partitions, with generators seeded by tree node, and
 no matrix is ever held anywhere. A task then permutes its rows over its bins, the rows are
-exchanged once, and each bin is permuted again by a random key. Bin sizes are exact, so a row's
-slot in its shard is the bin's known offset plus its rank in the bin.
+exchanged once, bins in order and evenly over the tasks, and each bin is permuted again by a random
+key. Bin sizes are exact, so a row's slot in its shard is the bin's known offset plus its rank in the
+bin.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,8 +122,20 @@ def shuffle_to_shards(df: DataFrame, n_shards: int, *, seed: int = 0, rows_per_b
                 return
         raise RuntimeError(f"partition {part} held {expected} rows when they were counted, and others now")
 
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = -1, 0  # the bin that the batch before ended in, and how many of its rows came
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins, offset = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            first = np.flatnonzero(np.diff(bins, prepend=-1))
+            ranks = np.arange(len(bins)) - np.repeat(first, np.diff(np.append(first, len(bins))))
+            ranks[bins == last] += seen
+            last, seen = int(bins[-1]), int(ranks[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array((bins // per_shard).astype(np.int32)), pa.array(offset + ranks)], [*names, "shard", "slot"])
+
     dealt = df.mapInArrow(deal, T.StructType([*df.schema.fields, *added]))
     of = [F.col(f"`{f.name}`") for f in added]
-    rank = F.row_number().over(Window.partitionBy(of[0]).orderBy(of[2], of[3], of[4]))
-    shard, slot = F.floor(of[0] / per_shard).cast("int"), (of[1] + rank - 1).cast("long")
-    return dealt.select(*(F.col(f"`{n}`") for n in names), shard.alias("shard"), slot.alias("slot"))
+    tasks = max(1, min(len(sizes), 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed = dealt.repartitionById(tasks, F.floor(of[0] * tasks / len(sizes)).cast("int")).sortWithinPartitions(of[0], *of[2:])
+    return placed.select(of[0], of[1], *(F.col(f"`{n}`") for n in names)).mapInArrow(rank, T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
