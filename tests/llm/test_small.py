@@ -292,13 +292,13 @@ def test_warc(spark, tmp_path):
     frame = spark.createDataFrame([(i, f"http://h/{i}\nx", h, "c") for i, h in pages.items()] + [(2, "http://h/2", big, "c")], "page_id long, url string, html string, type string").repartition(3)
     captures = warc.assemble(warc.read_records(warc.write_archives(frame, str(tmp_path))))
     nested = captures.collect()
-    assert len(nested) == 8 and all(r["request"] and r["metadata"] and r["response"] for r in nested)  # the row repeated has one response
-    rows = {r["page_id"]: r for r in warc.captured_pages(captures).collect()}
-    for i, h in pages.items():
-        payload = (h or "").encode()
-        r = rows[i]
+    assert len(nested) == 9 and all(r["request"] and r["metadata"] and r["response"] for r in nested)
+    rows = warc.captured_pages(captures).collect()
+    assert Counter(r["page_id"] for r in rows) == Counter([*pages, 2])
+    for r in rows:
+        payload = (pages[r["page_id"]] or "").encode()
         assert (r["payload_bytes"], r["payload_digest"]) == (len(payload), hashlib.sha256(payload).hexdigest())
-        assert (r["record_type"], r["refers_to"]) == (("revisit", 2) if i in (5, 9) else ("response", None))
+        assert (r["record_type"], r["refers_to"]) == (("revisit", 2) if r["page_id"] in (5, 9) else ("response", None))
     empty = warc.write_archives(frame.where("page_id < 0"), str(tmp_path / "none"))
     assert warc.captured_pages(warc.assemble(warc.read_records(empty))).collect() == []
 
@@ -334,6 +334,7 @@ def test_ngrams_keep_all_hash_bits(monkeypatch):
     """Hashes that differ in their last bit only, or that orders share, are different n-grams."""
     hashes = [np.array([4, 5, 1 << 63], np.uint64), np.array([5, 4], np.uint64), np.array([4], np.uint64)]
     monkeypatch.setattr(lm_scoring, "ngram_hashes", lambda words, sizes: ((k + 1, np.arange(k, 3), h) for k, h in enumerate(hashes)))
+    assert [lm_scoring.bucket_bits(n, 2_000_000) for n in (0, 10**9, 10**15)] == [2, 9, 29]
     _, buckets, keys, counts, place = lm_scoring.distinct_ngrams(np.zeros(3, np.uint64), np.array([3]), 2)
     assert buckets.tolist() == [0, 0, 0, 0, 0, 2] and counts.tolist() == [1] * 6
     assert len(set(keys[:5].tolist())) == 5 and keys[:5].tolist() == sorted(keys[:5].tolist())

@@ -98,6 +98,17 @@ def informative(rows: list[np.ndarray], y: np.ndarray, most: int, least: int) ->
     return np.sort(best[gain[best] > 6.0])
 
 
+def gradient(x: np.ndarray, y: np.ndarray, importance: np.ndarray, params: list[np.ndarray], decay: float) -> list[np.ndarray]:
+    """The gradient, by bias, weights and vectors, of the logistic loss of rows of 0/1 features,
+    each times its importance, plus half of ``decay`` times the squares of weights and vectors. In
+    a row's score every pair of features counts once: half of the squared sum less the squares."""
+    bias, w, v = params
+    sums = x @ v
+    total = bias + x @ w + 0.5 * ((sums**2).sum(axis=1) - x @ (v**2).sum(axis=1))
+    error = (1 / (1 + np.exp(-np.clip(total, -30, 30))) - y).astype(x.dtype) * importance
+    return [np.array([error.sum()]), x.T @ error + decay * w, x.T @ (error[:, None] * sums) - v * (x.T @ error)[:, None] + decay * v]
+
+
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, *, factors: int = 4, most: int = 512, least: int = 6, steps: int = 150, rate: float = 0.05, decay: float = 2e-5, weight: float = 2.0, seed: int = 5) -> Machine:
     """Full-batch Adam on the logistic loss, in which a row of label 1 counts ``weight`` times.
     ``rows``: the buckets of each text. Without rows of
@@ -114,12 +125,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, *, factors: int = 4, most
     params = [np.array([np.log(y.mean() / (1 - y.mean()))], np.float32), np.zeros(len(buckets), np.float32), rng.normal(0, 0.05, (len(buckets), factors)).astype(np.float32)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     for step in range(1, steps + 1):
-        bias, w, v = params
-        sums = x @ v
-        total = bias + x @ w + 0.5 * ((sums**2).sum(axis=1) - x @ (v**2).sum(axis=1))
-        error = (1 / (1 + np.exp(-np.clip(total, -30, 30))) - y).astype(np.float32) * importance
-        grads = [np.array([error.sum()]), x.T @ error + decay * w, x.T @ (error[:, None] * sums) - v * (x.T @ error)[:, None] + decay * v]
-        for p, g, (m, s) in zip(params, grads, moments, strict=True):
+        for p, g, (m, s) in zip(params, gradient(x, y, importance, params, decay), moments, strict=True):
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
