@@ -24,6 +24,10 @@ of the cluster has. Two sets differ exactly where these differences do, so
 
 Both bounds are exact, so no link that could join two components is left out, and boilerplate that
 a whole cluster shares, however large, makes no pairs.
+
+Keys that very many rows have (a bucket, a cluster, a node that many links lead to) are met in joins
+and partial aggregates alone, never gathered: adaptive execution splits the joins' skewed partitions,
+which must not be switched off.
 """
 
 from __future__ import annotations
@@ -40,7 +44,6 @@ from pyspark.sql import types as T
 
 from .rows import free_name
 from .shingles import mix, shingle_sets
-from .skew import hot_keys, left_join_spread
 from .storage import written_table
 from .tokens import slices
 
@@ -127,14 +130,11 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def _beside(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """The written table of ``pairs`` (a, b) with the columns of ``own`` (by ``node``) for both
-    nodes, under names that end in _a and _b. A node may be in a third of all pairs."""
-    n_pairs, found = pairs.count(), pairs
+    """``pairs`` (a, b) with the columns of ``own`` (by ``node``) for both nodes, under names that
+    end in _a and _b."""
     for side in "ba":
-        theirs = own.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in own.columns if c != "node"))
-        hot = hot_keys(pairs.groupBy(side).agg(F.count("*").alias("k")), side, "k", n_pairs)
-        found = left_join_spread(found, theirs, side, hot, F.col("a" if side == "b" else "b"), "inner")
-    return found
+        pairs = pairs.join(own.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in own.columns if c != "node")), side)
+    return pairs
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -193,16 +193,15 @@ def _ids(pairs: DataFrame) -> DataFrame:
 def _mixed(shared: DataFrame, merged: DataFrame) -> DataFrame:
     """The members (key, node, component) of the buckets that hold several components."""
     member = shared.join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    spread = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-    return left_join_spread(member, spread.select("key"), "key", hot_keys(spread, "key", "n", shared.count()), F.col("node"), "left_semi")
+    spread = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return member.join(spread, "key", "left_semi")
 
 
 def _clusters(mixed: DataFrame) -> DataFrame:
     """``node``, ``component`` and ``cluster`` of the members of buckets that hold several
     components: nodes that buckets connect are one cluster."""
-    lowest = mixed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n"))
-    joined = left_join_spread(mixed, lowest.select("key", "a"), "key", hot_keys(lowest, "key", "n", mixed.count()), F.col("node"), "inner")
-    edges = joined.where("a < node").select("a", F.col("node").alias("b")).distinct()
+    lowest = mixed.groupBy("key").agg(F.min("node").alias("a"))
+    edges = mixed.join(lowest, "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
     found = components(edges).withColumnRenamed("component", "cluster")
     return mixed.select("node", "component").distinct().join(found, "node")
 
@@ -214,13 +213,11 @@ def _profiles(members: DataFrame, percent: int) -> DataFrame:
     to 0 or more just if their differences need nothing in common for a link.
 
     A core is smaller than twice the mean size of its cluster's sets."""
-    sizes = written_table(members.groupBy("cluster").agg(F.count("*").alias("n_nodes")), "cluster-sizes")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n_nodes"))
     seen = members.select("cluster", F.explode("hashes").alias("h")).groupBy("cluster", "h").agg(F.count("*").alias("f"))
-    seen = written_table(seen.where("f > 1"), "shared-shingles")  # a shingle of one node is no core's
-    per_cluster = seen.groupBy("cluster").agg(F.count("*").alias("n"))
-    wide = left_join_spread(seen, sizes, "cluster", hot_keys(per_cluster, "cluster", "n", seen.count()), F.col("h"), "inner")
-    cores = written_table(wide.where("2 * f > n_nodes").groupBy("cluster").agg(F.collect_list("h").alias("core")), "cores")
-    placed = left_join_spread(members, cores, "cluster", hot_keys(sizes, "cluster", "n_nodes", members.count()), F.col("node"))
+    wide = seen.where("f > 1").join(sizes, "cluster").where("2 * f > n_nodes")  # a shingle of one node is no core's
+    cores = written_table(wide.groupBy("cluster").agg(F.collect_list("h").alias("core")), "cores")
+    placed = members.join(cores, "cluster", "left")
     core = F.coalesce("core", F.array().cast("array<bigint>"))
     differs = F.concat(F.array_except("hashes", core), F.array_except(core, "hashes"))
     rows = placed.select("node", "cluster", F.size("hashes").cast("long").alias("n"), differs.alias("differs"))
@@ -231,10 +228,8 @@ def _near_core(profiles: DataFrame) -> DataFrame:
     """Links (a, b) of each cluster's node with the most slack with all that need nothing in common
     with it. Of two nodes whose slacks add up to 0 or more, both get this link."""
     flat = profiles.select("node", "cluster", "slack")
-    best = flat.groupBy("cluster").agg(F.max(F.struct("slack", "node")).alias("c"), F.count("*").alias("n_nodes"))
-    best = written_table(best, "centres")
-    centred = left_join_spread(flat, best.select("cluster", "c"), "cluster", hot_keys(best, "cluster", "n_nodes", flat.count()), F.col("node"))
-    linked = centred.where((F.col("node") != F.col("c.node")) & (F.col("slack") + F.col("c.slack") >= 0))
+    best = flat.groupBy("cluster").agg(F.max(F.struct("slack", "node")).alias("c"))
+    linked = flat.join(best, "cluster").where((F.col("node") != F.col("c.node")) & (F.col("slack") + F.col("c.slack") >= 0))
     return linked.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
 
 
@@ -251,18 +246,15 @@ def _prefix_pairs(open_nodes: DataFrame, percent: int) -> DataFrame:
     rows = open_nodes.select("node", "component", "cluster", "n", "slack", F.size("differs").cast("long").alias("n_differs"), F.explode("differs").alias("h"))
     rows = rows.select(F.struct("cluster", "h").alias("key"), "node", "component", "n", "slack", "n_differs")
     counts = rows.groupBy("key").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high"))
-    counts = written_table(counts.where("low < high").select("key", "f"), "differences")
-    n_rows = open_nodes.agg(F.sum(F.size("differs"))).first()[0] or 0
-    hot = hot_keys(counts, "key", "f", n_rows)
-    ranked = left_join_spread(rows, counts, "key", hot, F.col("node"))
+    ranked = rows.join(counts.where("low < high").select("key", "f"), "key", "left")
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("f", F.lit(0)), "key")) - 1
-    ranked = ranked.withColumn("place", place).where(F.col("f").isNotNull() & (percent * F.col("place") <= less * F.col("n"))).drop("f", "_salts")
+    ranked = ranked.withColumn("place", place).where(F.col("f").isNotNull() & (percent * F.col("place") <= less * F.col("n"))).drop("f")
     ranked = written_table(ranked, "prefixes")
     names = ("node", "component", "n", "slack", "n_differs", "place")
     left, right = (ranked.select("key", *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
     right = right.where(2 * percent * F.col("place_b") <= less * F.col("n_b"))
     common = F.floor((2 * total - 1 - F.col("slack_a") - F.col("slack_b")) / (2 * total))
-    found = left_join_spread(left, right, "key", hot, F.col("node_a"), "inner", 8).where(
+    found = left.join(right, "key").where(
         (F.col("component_a") != F.col("component_b"))
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         & (F.col("place_a") + common <= F.col("n_differs_a"))
@@ -283,16 +275,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels are passed along edges and labels' labels are followed until nothing changes."""
     both = written_table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = written_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    n_edges, n_nodes = both.count(), labels.count()
-    hubs = written_table(hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", "n", n_edges), "hubs")
     while True:
-        heard = left_join_spread(both, labels.withColumnRenamed("node", "b"), "b", hubs, F.col("a"), "inner")
-        passed = heard.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
+        passed = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
         lower = labels.join(passed, "node").select("node", F.least("component", "least").alias("now"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("now"), F.col("component").alias("next"))
-        large = hot_keys(labels.groupBy(F.col("component").alias("now")).agg(F.count("*").alias("n")), "now", "n", n_nodes)
-        after = left_join_spread(lower, jump, "now", large, F.col("node"))
-        after = written_table(after.select("node", F.least("now", "next").alias("component"), "was"), "labels")
+        after = written_table(lower.join(jump, "now", "left").select("node", F.least("now", "next").alias("component"), "was"), "labels")
         labels = after.select("node", "component")
         if after.where("component < was").isEmpty():
             return labels
@@ -303,8 +290,7 @@ def _first_labels(links: DataFrame) -> DataFrame:
     labels mean one component; different ones may too, which costs a later look, but no link."""
     direct = written_table(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), "labels")
     further = direct.select(F.col("node").alias("component"), F.col("component").alias("next"))
-    large = hot_keys(direct.groupBy("component").agg(F.count("*").alias("n")), "component", "n", direct.count())
-    return left_join_spread(direct, further, "component", large, F.col("node")).select("node", F.coalesce("next", "component").alias("component"))
+    return direct.join(further, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
 
 
 def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,18 +308,16 @@ def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     described = written_table(describe(docs, width), "described")
-    classes = described.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.count("*").alias("n"))
+    classes = described.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = written_table(classes, "classes")
     nodes = classes.where("node is not null").select("node", "n_shingles", "signature")
     filed = nodes.select("node", F.explode(chunk_keys(F.col("signature"), chunks_for(reach(percent)))).alias("key"))
-    spans = written_table(filed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "low", "n"), "spans")
-    n_filed = SYMBOLS * nodes.count()
-    shared = left_join_spread(filed, spans.select("key", "low"), "key", hot_keys(spans, "key", "n", n_filed), F.col("node"), "inner")
-    shared = written_table(shared.select("key", "node", "low"), "buckets")  # keys that nodes share
+    spans = written_table(filed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"), "spans")
+    shared = written_table(filed.join(spans, "key"), "buckets")  # keys that nodes share
 
     # Each node against the smallest of its buckets.
     star = shared.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    star = written_table(_promising(written_table(star, "stars"), nodes, percent), "candidates")
+    star = written_table(_promising(star, nodes, percent), "candidates")
     sets = written_table(_shingle_sets(_ids(star), docs, width), "shingle-sets")
     links = written_table(_linked(star, sets, percent), "links")
 
@@ -352,10 +336,8 @@ def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     if not joined.isEmpty():
         merged = components(links.union(joined))
 
-    own_set = F.struct("set_a", "set_b").alias("own_set")
-    grouped = classes.join(merged, "node", "left").select(own_set, F.coalesce("component", "node").alias("group"))
-    copied = hot_keys(classes.select(own_set, "n"), "own_set", "n", described.count())
-    found = left_join_spread(described.select("doc_id", "n_shingles", own_set), grouped, "own_set", copied, F.xxhash64("doc_id"))
+    grouped = classes.join(merged, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("group"))
+    found = described.select("doc_id", "n_shingles", "set_a", "set_b").join(grouped, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("group"))
     kept = (F.col("n_shingles") == 0) | F.coalesce(F.col("doc_id") == component, F.lit(False))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
@@ -372,7 +354,5 @@ def keep_one(df: DataFrame, *, width: int = 5, percent: int = 80, id_col: str =
     ids = rows.select(F.col(f"`{number}`").alias("doc_id"), F.col(f"`{id_col}`").alias("own_id"))
     ranked = found.join(ids, "doc_id").select("doc_id", "component_id", F.struct(F.col("own_id").isNull(), "own_id", "doc_id").alias("order"))
     groups = ranked.groupBy("component_id").agg(F.min("order").alias("least"), F.count("*").alias("n")).where("n > 1")
-    large = hot_keys(groups, "component_id", "n", rows.count())
-    several = left_join_spread(ranked, groups.select("component_id", "least"), "component_id", large, F.col("doc_id"), "inner")
-    gone = several.where("doc_id != least.doc_id").select(F.col("doc_id").alias(number))
+    gone = ranked.join(groups.select("component_id", "least"), "component_id").where("doc_id != least.doc_id").select(F.col("doc_id").alias(number))
     return rows.join(gone, number, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
