@@ -358,8 +358,9 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     left = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        left = stage(spark, left, str(tmp_path))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, left, str(tmp_path)).write.parquet(str(tmp_path / name))
+        left = spark.read.parquet(str(tmp_path / name))
         assert left.columns == docs.columns
     clean = {i for i in range(300) if i % 10 and i % 7}
     assert {r["doc_id"] for r in left.collect()} == clean
@@ -369,3 +370,29 @@ def test_pipeline(spark, tmp_path):
     assert set(sums) == clean
     for i in clean:
         assert sums[i]["n"] == len(tok.encode(rows[i][1], add_special_tokens=False).ids) + 1
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null ids, repeated rows, an id of two texts, columns that clash, and an empty table."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    text = [" ".join(f"word{rng.integers(4000)}" for _ in range(60)) for _ in range(4)]
+    near = text[0].rsplit(" ", 1)[0] + " other"
+    rows = [(1, text[0]), (1, text[0]), (None, text[0]), (2, near), (2, text[1]), (None, text[2]), (None, text[2]), (5, None), (6, ""), (7, text[3])]
+    names = ("kept", "score", "predicted", "n_words", "n_lines", "_text", "row", "component_id", "ids")
+    schema = "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)
+    spark.createDataFrame([(i, t, *[f"{k}"] * len(names)) for k, (i, t) in enumerate(rows)], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, left, str(tmp_path)).write.parquet(str(tmp_path / name))
+        left = spark.read.parquet(str(tmp_path / name))
+    got = [tuple(r) for r in left.collect()]
+    assert Counter((r[0], r[1]) for r in got) == Counter([(1, text[0]), (2, text[1]), (None, text[2]), (7, text[3])])
+    assert all(len({*r[2:]}) == 1 and rows[int(r[2])] == (r[0], r[1]) for r in got)
+    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 4
+    (tmp_path / "none").mkdir()
+    for name in ("documents", "labels"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
