@@ -3,12 +3,16 @@ duplicates stays, and what is left is packed into sequences.
 
 Each stage takes the documents that its predecessor kept and works on all of them. Stages learn
 from the tables beside them in ``sf_dir``; a document without a label is judged like any other.
+
+All stages decide by row. Rows that repeat an id, or have none, are documents of their own, judged
+by their texts: of equal or near equal texts one row stays, that with the smallest id. Columns other
+than ``doc_id`` and ``text`` pass through unchanged, whatever their names. Null and empty texts are
+too short for the quality rules and go there. An empty table gives no sequences.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wavemark.llm import near_dedup, packing, quality_rules, toxicity
 from wavemark.llm.queries import SEQUENCE, byte_bpe, table
@@ -19,21 +23,18 @@ from wavemark.session import ship
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     machine = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs, machine, keep=tuple(docs.columns))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, machine)
 
 
 def without_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     rules = quality_rules.fit_quality_rules(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge_quality(docs, rules, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return quality_rules.without_bad(docs, rules)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = near_dedup.near_duplicates(docs)
-    gone = found.where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
