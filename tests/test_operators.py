@@ -32,6 +32,11 @@ def test_scaler(spark):
     assert one(fit)["mean"] == [2.0] and one(fit)["std"][0] == pytest.approx(math.sqrt(8 / 3))
     back = scaling.unscale(scaling.scale(df, fit), fit)
     assert [r["x"][0] for r in back.orderBy("t").collect()] == pytest.approx([0, 2, 4])
+    for fraction in (0.0, 1.0):
+        with pytest.raises(ValueError, match="fraction"):
+            scaling.split_tail(series(spark), fraction)
+    with pytest.raises(Exception, match="no training"):
+        scaling.split_tail(series(spark, 1), 0.5).collect()
     cut = scaling.split_tail(series(spark), 0.25)
     assert cut.where("split = 'validation'").count() == 2  # 2.5 rounds half to even
 
@@ -80,6 +85,14 @@ def test_failures_compound(spark):
     assert noisy.orderBy("t").collect() == failures.inject(plain.repartition(3), [failures.FailureEvent("multiplicative_noise", 2, 8, magnitude=0.1)], seed=1).orderBy("t").collect()
     with pytest.raises(ValueError):
         failures.inject(plain, [failures.FailureEvent("melt", 0, 1)])
+    for event in (failures.FailureEvent("dropout", 5, 11), failures.FailureEvent("dropout", 1, 2, (2,)), failures.FailureEvent("dropout", 1, 2, (-1,))):
+        with pytest.raises(ValueError):
+            failures.inject(plain, [event], strict=True)
+    changed = noisy.where("t >= 2 and t < 8").join(plain.select("t", F.col("x").alias("was")), "t")
+    assert noisy.count() == 10 and noisy.where("t < 2 or t >= 8").select("t", "x").exceptAll(plain.select("t", "x")).isEmpty()
+    assert all(a != b for r in changed.collect() for a, b in zip(r["x"], r["was"], strict=True))
+    assert failures.default_events(400) == [failures.FailureEvent("additive_drift", 140, 160, (0,), magnitude=3.0), failures.FailureEvent("spike_train", 280, 296, (0,), magnitude=5.0)]
+    assert failures.default_events(400, False) == [failures.FailureEvent("spike_train", 240, 260, (0,), magnitude=4.0)]
 
 
 def test_seasonal(spark):
@@ -95,6 +108,16 @@ def forecast(spark, y, w, m, s):
     return spark.createDataFrame([(0, y, w, m, s)], "seq long, observed array<double>, weights array<double>, means array<array<double>>, stds array<array<double>>")
 
 
+def test_forecasts_are_checked(spark):
+    from wavemark.plans import reports
+
+    good = ([0.0], [1.0], [[0.0]], [[1.0]])
+    for bad in (([0.0], [-1.0], [[0.0]], [[1.0]]), ([0.0], [0.0], [[0.0]], [[1.0]]), ([0.0], [1.0], [[0.0]], [[0.0]]), ([0.0, 1.0], [1.0], [[0.0]], [[1.0]]), ([float("inf")], [1.0], [[0.0]], [[1.0]]), (None, [1.0], [[0.0]], [[1.0]])):
+        with pytest.raises(Exception, match="forecast needs"):
+            reports.checked_forecast(forecast(spark, *bad)).collect()
+    assert reports.checked_forecast(forecast(spark, *good)).count() == 1
+
+
 def test_mixture_scores(spark):
     columns = [F.col(c) for c in ("observed", "weights", "means", "stds")]
     unit = forecast(spark, [0.0], [1.0], [[0.0]], [[1.0]])
@@ -148,6 +171,35 @@ def test_persistence(spark):
         thresholds.check_persistence(2, 3)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_measures_against_brute_force(spark, seed, monkeypatch):
+    """All measures of two groups, with islands over the bounds of chunks."""
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(ranges, "trailing", lambda *a: sequence.trailing(*a, chunk=7))
+    monkeypatch.setattr(ranges, "running_sums", lambda *a: sequence.running_sums(*a, chunk=7))
+    flags = {g: ((rng.random(60) < 0.5).astype(int).tolist(), (rng.random(60) < 0.5).astype(int).tolist()) for g in (0, 1)} | {2: ([0] * 9, [0] * 9), 3: ([1] * 20, [0] * 20)}
+    rows = [(g, i, t, p) for g, (truth, pred) in flags.items() for i, (t, p) in enumerate(zip(truth, pred, strict=True))]
+    for r in ranges.measures(spark.createDataFrame(rows, "g int, seq long, label int, pred int"), by=["g"]).collect():
+        truth, pred = flags[r["g"]]
+        true, own = brute_ranges(truth), brute_ranges(pred)
+        delays = [next((i - s for i in range(s, e) if pred[i]), None) for s, e in true]
+        hit = [d for d in delays if d is not None]
+        normal = truth.count(0)
+        assert (r["recall"], r["precision"]) == (pytest.approx(overlap(true, own)), pytest.approx(overlap(own, true)))
+        assert (r["detected"], r["missed"]) == (len(hit), len(delays) - len(hit)) and r["mean_delay"] == (pytest.approx(np.mean(hit)) if hit else None) and r["median_delay"] == (pytest.approx(np.median(hit)) if hit else None)
+        assert r["false_alarms_per_1000"] == pytest.approx(1000 * sum(truth[s] == 0 for s, _ in own) / normal if normal else 0.0)
+    with pytest.raises(Exception, match="0 or 1"):
+        ranges.measures(seq(spark, label=[0, 2], pred=[0, 1])).collect()
+
+
+def test_numbers_in_pieces(spark):
+    rows = [(g, t) for g in (2, 0, 5) for t in range(0, 50, 3)]
+    df = spark.createDataFrame(rows, "g int, t long").repartition(3)
+    whole = sequence.numbered(df, ["g"], ["t"]).orderBy("g", "t").collect()
+    assert [r["seq"] for r in whole] == list(range(len(rows)))
+    assert sequence.numbered(df, ["g"], ["t"], chunk=10).orderBy("g", "t").collect() == whole
+
+
 def scored(spark, score, label, group=None):
     return seq(spark, score=list(map(float, score)), label=label, group_id=group or [0] * len(score))
 
@@ -163,6 +215,8 @@ def test_thresholds(spark):
     hit = selection.by_target_recall(scored(spark, [0.1, 0.9, 0.8, 0.2], [0, 1, 1, 0]), 0.5)
     assert hit.threshold == 0.8 and hit.metrics["precision"] == hit.metrics["recall"] == 1.0
     assert selection.by_target_recall(df, 0.5, 0.5).threshold == 1.5
+    assert selection.select_threshold(scored(spark, [0.1, 0.9, 0.8, 0.2], [0, 1, 1, 0]), "target_recall_50").threshold == 0.8
+    assert selection.select_threshold(df, "target_recall_50").threshold == pytest.approx(2.85) and selection.select_threshold(df, "target_recall_70").threshold == pytest.approx(2.7)
     groups = selection.by_group_quantile(scored(spark, [0, 1, 10, 20], [0] * 4, [0, 0, 1, 1]), 0.5)
     assert {r["group_id"]: r["threshold"] for r in groups.by_group.collect()} == {0: 0.5, 1: 15.0}
     with pytest.raises(Exception, match="no threshold"):
@@ -211,7 +265,7 @@ def test_sweep_against_brute_force(spark, seed):
     score, label = rng.integers(0, 12, 80) / 4, (rng.random(80) < 0.4).astype(int).tolist()
     df = scored(spark, score, label)
     cut = thresholds.candidates(df)
-    for r in ranges.sweep_ranges(df, cut).collect():
+    for r in [*ranges.sweep_ranges(df, cut).collect(), *ranges.sweep_ranges(df, cut, chunk=9).collect(), *ranges.sweep_ranges(df.repartition(5), cut, chunk=1).collect()]:
         pred = (score >= cut[r["cand_ix"]]).astype(int)
         true, own = brute_ranges(label), brute_ranges(pred)
         assert (r["recall"], r["precision"]) == (pytest.approx(overlap(true, own)), pytest.approx(overlap(own, true)))
@@ -234,6 +288,37 @@ def test_diagnostics(spark):
     assert sorted(r["mean_weight"] for r in diagnostics.component_weights(df).collect()) == [0.25, 0.75]
     d = one(diagnostics.mixture_diagnostics(df))
     assert d["mean_pairwise_distance"] == 5 and d["active_components"] == 2 and d["std"]["median"] == 1.5
+    assert d["component_mean_weights"] == [0.75, 0.25] and (d["min_entropy"], d["max_entropy"]) == (pytest.approx(0.0), pytest.approx(math.log(2)))
+    with pytest.raises(ValueError):
+        diagnostics.mixture_diagnostics(df, active=1.5)
+
+
+def test_energy_and_coverage_of_stacked_rows(spark):
+    """Rows of several shapes together; draws do not depend on how rows are dealt."""
+    from wavemark.functions.energy import energy_score
+
+    rows = [(i, [0.3 * i] * d, [1.0 + k for k in range(m)], [[float(k)] * d for k in range(m)], [[0.5 + 0.1 * k] * d for k in range(m)]) for i, (m, d) in enumerate([(1, 1), (3, 2), (2, 2), (3, 2), (1, 3)] * 4)]
+    df = spark.createDataFrame(rows, "seq long, observed array<double>, weights array<double>, means array<array<double>>, stds array<array<double>>")
+    score = energy_score("observed", "weights", "means", "stds", "seq", 2000).alias("e")
+    one_way, other = ([r["e"] for r in d.select("seq", score).orderBy("seq").collect()] for d in (df.coalesce(1), df.repartition(5)))
+    assert one_way == other
+    draws = np.random.default_rng(0)
+    for (_, y, w, m, s), got in zip(rows, one_way, strict=True):
+        part = draws.choice(len(w), size=(2, 4000), p=np.array(w) / sum(w))
+        x = draws.normal(np.array(m)[part], np.array(s)[part])
+        want = np.linalg.norm(x[0] - np.array(y), axis=1).mean() - np.linalg.norm(x[0] - x[1], axis=1).mean() / 2
+        assert got == pytest.approx(want, abs=0.15)
+    inside = df.select("seq", intervals.channel_coverage("observed", "weights", "means", "stds").alias("c")).orderBy("seq").collect()
+    for (_, y, w, m, s), r in zip(rows, inside, strict=True):
+        below = sum(a / sum(w) * 0.5 * math.erfc(-(y[0] - k[0]) / v[0] / math.sqrt(2)) for a, k, v in zip(w, m, s, strict=True))
+        assert len(r["c"]) == len(y) and (abs(below - 0.05) < 0.005 or abs(below - 0.95) < 0.005 or set(r["c"]) == {int(0.05 <= below <= 0.95)})
+
+
+def test_posteriors_are_probabilities(spark):
+    for bad in ([0.5, 0.6], [], [-0.5, 1.5], [float("nan"), 1.0], None):
+        df = spark.createDataFrame([(0, [1.0, 0.0]), (1, bad)], "seq long, probs array<double>")
+        with pytest.raises(Exception, match="probabilities"):
+            scores.regime_scores(df, "regime_entropy").collect()
 
 
 def test_pseudo_regimes(spark):
@@ -242,3 +327,41 @@ def test_pseudo_regimes(spark):
     assert one(spark.createDataFrame([([[0.0], [2.0]],)], "window array<array<double>>").select(clustering.window_features().alias("f")))["f"] == [1, 1, 2, 2]
     labels = [r["regime_label"] for r in clustering.fit_pseudo_regimes(df, 2, seed=1).predict(df).orderBy("seq").collect()]
     assert len(set(labels[:3])) == len(set(labels[3:])) == 1 and labels[0] != labels[5]
+
+
+def test_kmeans_against_brute_force(spark):
+    """Farthest-first centroids and Lloyd's steps, row by row."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 1.0, (12, 3, 2)) for c in (0, 4, 9)])
+    df = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(x)], "seq long, window array<array<double>>").repartition(3)
+    f = np.concatenate([x.mean(axis=1), x.std(axis=1), x[:, -1], x[:, -1] - x[:, 0]], axis=1)
+    f = (f - f.mean(axis=0)) / np.maximum(f.std(axis=0), 1e-6)
+    chosen = [int(np.random.default_rng(11).integers(len(f)))]
+    while len(chosen) < 3:
+        away = ((f[:, None] - f[chosen][None]) ** 2).sum(axis=2).min(axis=1)
+        away[chosen] = -1
+        chosen.append(int(away.argmax()))
+    centroids, before = f[chosen], None
+    for _ in range(50):
+        label = ((f[:, None] - centroids[None]) ** 2).sum(axis=2).argmin(axis=1)
+        if before is not None and (label == before).all():
+            break
+        before, centroids = label, np.array([f[label == k].mean(axis=0) if (label == k).any() else centroids[k] for k in range(3)])
+    model = clustering.fit_pseudo_regimes(df, 3, seed=11)
+    assert np.allclose(model.centroids, centroids)
+    assert [r["regime_label"] for r in model.predict(df).orderBy("seq").collect()] == label.tolist()
+
+
+def test_noise_against_brute_force(spark):
+    from wavemark.functions import draws
+
+    df = spark.createDataFrame([(s, t, [t * 1.5, float(t % 3)], 0) for s in ("a", "b") for t in range(12)], "series_id string, t long, x array<double>, anomaly_label int")
+    rows = failures.inject(df, [failures.FailureEvent("multiplicative_noise", 3, 9, (0,), magnitude=0.5)], seed=5).withColumn("k", F.xxhash64("series_id", "t")).collect()
+    spread = np.std([t * 1.5 for t in range(3, 9)])
+    for r in rows:
+        z = draws.normals(np.array([r["k"]]), 5, 2)[0]
+        acts = 3 <= r["t"] < 9
+        assert r["x"] == pytest.approx([r["t"] * 1.5 + (0.5 * spread * z[0] if acts else 0.0), r["t"] % 3]) and r["anomaly_label"] == int(acts)
+    many = draws.normals(np.arange(20000), 1, 3)
+    assert abs(many.mean()) < 0.02 and abs(many.std() - 1) < 0.02 and abs(np.corrcoef(many.T) - np.eye(3)).max() < 0.03
+    assert (draws.normals(np.arange(5), 1, 2) == draws.normals(np.arange(5), 1, 7)[:, :2]).all()

@@ -35,6 +35,15 @@ def test_machines(spark, tree):
         machines.machine_ids(spark, tree + "/none").collect()
 
 
+@pytest.mark.parametrize(("part", "text", "says"), [("test_label", "0\n0.7\n", "0 or 1"), ("test_label", "0\n2\n", "0 or 1"), ("train", "\n", "empty file"), ("train", "1,nan\n2,3\n", "finite")])
+def test_machines_with_faults(spark, tree, part, text, says):
+    from pathlib import Path
+
+    (Path(tree) / part / "machine-1-1.txt").write_text(text)
+    with pytest.raises(Exception, match=says):
+        machines.load_machines(spark, tree).collect()
+
+
 def test_synthetic_series(spark):
     space = synthetic.ConfigSpace(n_channels=2)
     made = synthetic.generate(synthetic.draw_configs(spark, space, 2, 1, 1, seed=3), 60, seed=3)
@@ -48,9 +57,10 @@ def test_synthetic_series(spark):
     assert np.allclose([r["x"] for r in first], x) and [r["regime_label"] for r in first] == regime.tolist()
 
 
-def test_gradient():
+@pytest.mark.parametrize("layers", [1, 3])
+def test_gradient(layers):
     rng = np.random.default_rng(0)
-    config = neural.ModelConfig(2, horizon=2, hidden=3, components=2, n_regimes=2)
+    config = neural.ModelConfig(2, horizon=2, hidden=3, components=2, n_regimes=2, layers=layers)
     w, x, y = neural.initial(config, 1), rng.normal(size=(4, 5, 2)), rng.normal(size=(4, 2, 2))
     labels = np.array([0, 1, 1, 0])
     _, g = neural.loss_and_gradient(config, w, x, y, labels, 0.5)
@@ -64,6 +74,32 @@ def test_gradient():
         assert g[name][at] == pytest.approx((moved[0] - moved[1]) / 2e-5, rel=1e-4, abs=1e-6)
 
 
+def test_forward_of_every_step():
+    rng = np.random.default_rng(3)
+    config = neural.ModelConfig(2, horizon=2, hidden=3, components=2, n_regimes=2, layers=2, dropout=0.5)
+    w, x = neural.initial(config, 1), rng.normal(size=(4, 5, 2))
+    last, steps = neural.forward(config, w, x), neural.forward(config, w, x, every_step=True)
+    for name in ("logits", "means", "stds", "regime_logits", "probs"):
+        assert steps[name].shape[:2] == (4, 5) and np.allclose(steps[name][:, -1], last[name])
+    other = neural.forward(config, w, x, override=np.full((4, 2), [9.0, -9.0]))
+    assert np.allclose(other["probs"][:, 0], 1) and not np.allclose(other["means"], last["means"])
+    with pytest.raises(ValueError, match="override"):
+        neural.forward(config, w, x, override=np.zeros((4, 3)))
+    dropped = neural.forward(config, w, x, rng=np.random.default_rng(0))
+    assert not np.allclose(dropped["means"], last["means"])
+    logits = np.log(np.array([[[0.5, 0.5], [0.9, 0.1], [0.9, 0.1]]]))
+    assert neural.regime_smoothness(logits) == pytest.approx(0.9 * np.log(1.8) + 0.1 * np.log(0.2)) and neural.regime_smoothness(logits[:, :1]) == 0
+    for bad in ({"layers": 0}, {"dropout": 1.0}):
+        with pytest.raises(ValueError):
+            neural.ModelConfig(1, **bad).check()
+
+
+def test_training_refuses_labels_out_of_range(spark):
+    df = spark.createDataFrame([(0, [[0.0]], [[0.0]], 2)], "seq long, window array<array<double>>, target array<array<double>>, regime_label int")
+    with pytest.raises(ValueError, match="n_regimes"):
+        neural.train(df, neural.ModelConfig(1, n_regimes=2), neural.TrainingConfig(supervised=0.5))
+
+
 def test_training_learns(spark):
     line = np.linspace(-1, 1, 70)
     rows = [(i, [[float(v)] for v in line[i : i + 6]], [[float(line[i + 6])]], 0) for i in range(64)]
@@ -141,6 +177,21 @@ def test_suite(spark, tmp_path):
     assert (tmp_path / "table.csv").read_text().startswith("run_dir,manifest.run_id,manifest.pipeline")
     made = reports.rescore(spark, str(out / "a"), str(tmp_path / "again"), [("validation_quantile_99", reports.Persistence(5, 2)), ("per_machine_validation_quantile_98", reports.Persistence(2, 1))])
     assert made[0].endswith("a-validation-quantile-99-w5-c2") and len(made) == 2
+    [other] = reports.rescore(spark, str(out / "a"), str(tmp_path / "again"), [("target_recall_70", reports.Persistence())], pipeline="p", dataset="d", seed=9, base="B")
+    said = runs.read_manifest(f"{other}/manifest.json")
+    assert (said.run_id, said.pipeline, said.dataset, said.seed) == ("b-target-recall-70-w1-c1", "p", "d", 9) and "target_recall_70" in said.notes
+    kept = runs.read_manifest(f"{made[0]}/manifest.json")
+    assert (kept.pipeline, kept.seed) == ("synthetic-baseline", 4)
+    for name, keys in (("a", {"validation", "test"}), ("b", {"validation", "test"})):
+        found = json.loads((out / name / "mixture_diagnostics.json").read_text())
+        assert set(found) == keys and {"min_entropy", "max_entropy", "component_mean_weights", "std"} <= set(found["test"])
+    assert json.loads((out / "b" / "regime_diagnostics.json").read_text())["mean_confidence"] > 0 and not (out / "a" / "regime_diagnostics.json").exists()
+    spark.read.parquet(str(out / "a" / "scores")).where("split = 'test'").write.partitionBy("split").parquet(str(tmp_path / "half" / "scores"))
+    with pytest.raises(FileNotFoundError, match="scores of validation"):
+        reports.rescore(spark, str(tmp_path / "half"), str(tmp_path / "again"), [("max_validation_f1", reports.Persistence())])
+    (out / "a" / "metrics.json").unlink()
+    assert cli.main(["evaluate", str(out / "a"), "--persistence-window", "3", "--persistence-count", "2", "--skip-forecast"]) == 0
+    assert json.loads((out / "a" / "metrics.json").read_text())["anomaly"]["persistence"] == {"window": 3, "count": 2}
     with pytest.raises(FileExistsError):
         pipelines.PIPELINES["synthetic-baseline"](spark, str(out / "a"), pipelines.configured(SMALL))
     with pytest.raises(ValueError, match="unknown"):

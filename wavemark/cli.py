@@ -52,11 +52,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", required=True)
     p = commands.add_parser("evaluate")
     p.add_argument("run_dir")
-    p.add_argument("--output")
+    p.add_argument("--output", help="default: metrics.json in the run's folder")
     p.add_argument("--energy-samples", type=int, default=256)
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--threshold-strategy", choices=STRATEGIES, default="max_validation_f1")
-    p.add_argument("--persistence", type=persistence, default=reports.Persistence())
+    p.add_argument("--persistence", type=persistence)
+    p.add_argument("--persistence-window", type=int, default=1)
+    p.add_argument("--persistence-count", type=int, default=1)
     for section in ("forecast", "anomaly", "regime"):
         p.add_argument(f"--skip-{section}", action="append_const", dest="skip", const=section, default=[])
     p = commands.add_parser("rescore-anomaly")
@@ -67,6 +69,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--strategy", choices=STRATEGIES, action="append")
     p.add_argument("--persistence", type=persistence, action="append")
     p.add_argument("--run-id-prefix")
+    p.add_argument("--pipeline")
+    p.add_argument("--dataset")
+    p.add_argument("--seed", type=int)
+    p.add_argument("--notes")
     return top
 
 
@@ -80,11 +86,12 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "compare-runs":
         runs.write_comparison(runs.collect_runs(session(), a.root), a.output)
     elif a.command == "evaluate":
-        report = reports.evaluate_run(session(), a.run_dir, output=a.output, strategy=a.threshold_strategy, persistence=a.persistence, samples=a.energy_samples, seed=a.seed, skip=a.skip)
+        kept = a.persistence or reports.Persistence(a.persistence_window, a.persistence_count)
+        report = reports.evaluate_run(session(), a.run_dir, output=a.output or f"{a.run_dir}/metrics.json", strategy=a.threshold_strategy, persistence=kept, samples=a.energy_samples, seed=a.seed, skip=a.skip)
         print(json.dumps(runs.json_ready(report), indent=2, sort_keys=True))
     elif a.command == "rescore-anomaly":
         jobs = [(s, p) for s in a.strategy or ["validation_quantile_99"] for p in a.persistence or [reports.Persistence()]]
-        reports.rescore(session(), a.source_run_dir, a.output_root, jobs, base=a.run_id_prefix, overwrite=a.overwrite, compare=a.compare)
+        reports.rescore(session(), a.source_run_dir, a.output_root, jobs, base=a.run_id_prefix, overwrite=a.overwrite, compare=a.compare, pipeline=a.pipeline, dataset=a.dataset, seed=a.seed, notes=a.notes)
     else:
         PIPELINES[a.command](session(), a.output_dir, configured(dict(a.set)), a.overwrite)
     return 0

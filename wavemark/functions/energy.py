@@ -7,6 +7,24 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .draws import normals, shapes, uniforms
+
+#: Rows whose samples are held at a time.
+_ROWS = 64
+
+
+def scores(y: np.ndarray, w: np.ndarray, m: np.ndarray, s: np.ndarray, keys: np.ndarray, samples: int, seed: int) -> np.ndarray:
+    """For N rows: y N by D, w N by M, m and s N by M by D. Each row's component is drawn from a
+    uniform number, its value from normal ones; all come from the seed and the row's key."""
+    share = np.cumsum(w / w.sum(axis=1, keepdims=True), axis=1)
+    drawn = uniforms(keys, seed, samples)
+    part = np.minimum((drawn[:, :, None] >= share[:, None, :]).sum(axis=2), w.shape[1] - 1)
+    row = np.arange(len(y))[:, None]
+    x = m[row, part] + s[row, part] * normals(keys, seed + 1, samples * y.shape[1]).reshape(len(y), samples, y.shape[1])
+    squares = (x**2).sum(axis=2)
+    gaps = np.sqrt(np.maximum(squares[:, :, None] + squares[:, None, :] - 2 * x @ x.transpose(0, 2, 1), 0.0))
+    return np.linalg.norm(x - y[:, None], axis=2).mean(axis=1) - gaps.mean(axis=(1, 2)) / 2
+
 
 def energy_score(observed: str, weights: str, means: str, stds: str, key: str, samples: int = 256, seed: int = 0) -> Column:
     """E|X - y| - E|X - X'| / 2 in each row, over ``samples`` draws and all their ordered pairs. A
@@ -16,15 +34,11 @@ def energy_score(observed: str, weights: str, means: str, stds: str, key: str, s
 
     @F.pandas_udf("double")
     def score(y: pd.Series, w: pd.Series, m: pd.Series, s: pd.Series, k: pd.Series) -> pd.Series:
-        out = []
-        for own_y, own_w, own_m, own_s, own_k in zip(y, w, m, s, k, strict=True):
-            rng = np.random.default_rng([seed, int(own_k) & 0xFFFFFFFF])
-            mean, std = np.stack(own_m), np.stack(own_s)
-            part = rng.choice(len(own_w), size=samples, p=np.array(own_w) / np.sum(own_w))
-            x = rng.normal(mean[part], std[part])
-            squares = (x**2).sum(axis=1)
-            gaps = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * x @ x.T, 0.0))
-            out.append(np.linalg.norm(x - np.array(own_y), axis=1).mean() - gaps.mean() / 2)
+        out, keys = np.zeros(len(y)), k.to_numpy().astype(np.int64)
+        for rows, (own_y, own_w, own_m, own_s) in shapes(y, w, m, s):
+            for a in range(0, len(rows), _ROWS):
+                b = slice(a, a + _ROWS)
+                out[rows[b]] = scores(own_y[b], own_w[b], own_m[b], own_s[b], keys[rows[b]], samples, seed)
         return pd.Series(out)
 
     return score(observed, weights, means, stds, key)

@@ -31,16 +31,24 @@ def _fraction(x):
     return total
 
 
+def bound(value: Column, build) -> Column:
+    """``build`` of the value, which is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def pdf(z: Column) -> Column:
     return F.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
 
 
-def cdf(z: Column) -> Column:
-    a = F.abs(z)
+def _tail(a: Column) -> Column:
+    """The distribution function at -a, for a of 0 or more."""
     e = F.exp(-0.5 * a * a)
     near = e * _horner(a, tuple(map(F.lit, NUMERATOR))) / _horner(a, tuple(map(F.lit, DENOMINATOR)))
-    tail = F.when(a > FAR, 0.0).when(a < SPLIT, near).otherwise(e / _fraction(a) / ROOT_TWO_PI)
-    return F.when(z > 0, 1 - tail).otherwise(tail)
+    return F.when(a > FAR, 0.0).when(a < SPLIT, near).otherwise(e / _fraction(a) / ROOT_TWO_PI)
+
+
+def cdf(z: Column) -> Column:
+    return bound(z, lambda v: bound(_tail(F.abs(v)), lambda tail: F.when(v > 0, 1 - tail).otherwise(tail)))
 
 
 def cdf_sql(z: str) -> str:
@@ -63,8 +71,7 @@ def cdf_sql(z: str) -> str:
 
 def absolute_mean(mean: Column, std: Column) -> Column:
     """The expected absolute value of a normal variable; std must be positive."""
-    z = mean / std
-    return std * (2 * pdf(z) + z * (2 * cdf(z) - 1))
+    return bound(std, lambda s: bound(mean / s, lambda z: s * (2 * pdf(z) + z * (2 * cdf(z) - 1))))
 
 
 def absolute_mean_sql(mean: str, std: str) -> str:

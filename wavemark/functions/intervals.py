@@ -11,9 +11,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .draws import shapes
 from .gaussian import DENOMINATOR, FAR, NUMERATOR, ROOT_TWO_PI, SPLIT
 
 
+#: Rows whose grids are held at a time.
+_ROWS = 256
+
+
 def normal_cdf(z: np.ndarray) -> np.ndarray:
     """The same approximation as ``gaussian.cdf``."""
     a = np.minimum(np.abs(z), FAR + 1)
@@ -28,21 +33,24 @@ def normal_cdf(z: np.ndarray) -> np.ndarray:
 
 
 def grid_quantiles(levels: tuple[float, ...], w: np.ndarray, m: np.ndarray, s: np.ndarray, n_grid: int) -> np.ndarray:
-    """Quantiles (level by channel) of one forecast row: weights M, means and deviations M by D.
-    The grid runs from the lowest to the highest component mean, eight deviations beyond; a
-    quantile is the first point at or above the level, interpolated from the point before."""
-    low, high = (m - 8 * s).min(axis=0), (m + 8 * s).max(axis=0)
-    grid = low + (high - low) * np.linspace(0, 1, n_grid)[:, None]
-    below = (w[:, None, None] / w.sum() * normal_cdf((grid[None] - m[:, None]) / s[:, None])).sum(axis=0)
-    out = np.empty((len(levels), m.shape[1]))
-    column = np.arange(m.shape[1])
+    """Quantiles (level by row by channel) of N forecast rows: weights N by M, means and deviations
+    N by M by D. A row's grid runs from the lowest to the highest component mean, eight deviations
+    beyond; a quantile is the first point at or above the level, interpolated from the point before."""
+    low, high = (m - 8 * s).min(axis=1), (m + 8 * s).max(axis=1)
+    grid = low[:, None] + (high - low)[:, None] * np.linspace(0, 1, n_grid)[:, None]  # N by grid by D
+    share = w / w.sum(axis=1, keepdims=True)
+    below = np.zeros(grid.shape)
+    for k in range(w.shape[1]):
+        below += share[:, k, None, None] * normal_cdf((grid - m[:, k, None]) / s[:, k, None])
+    out = np.empty((len(levels), *low.shape))
+    pick = lambda v, at: np.take_along_axis(v, at[:, None], axis=1)[:, 0]
     for i, q in enumerate(levels):
         reached = below >= q
-        at = np.where(reached.any(axis=0), reached.argmax(axis=0), n_grid - 1)
+        at = np.where(reached.any(axis=1), reached.argmax(axis=1), n_grid - 1)
         before = np.maximum(at - 1, 0)
-        lower, upper = below[before, column], below[at, column]
+        lower, upper = pick(below, before), pick(below, at)
         part = np.clip((q - lower) / np.maximum(upper - lower, 1e-12), 0.0, 1.0)
-        out[i] = np.where(at == 0, grid[0], grid[before, column] + (grid[at, column] - grid[before, column]) * part)
+        out[i] = np.where(at == 0, grid[:, 0], pick(grid, before) + (pick(grid, at) - pick(grid, before)) * part)
     return out
 
 
@@ -56,10 +64,13 @@ def channel_coverage(observed: str, weights: str, means: str, stds: str, level:
 
     @F.pandas_udf("array<int>")
     def inside(y: pd.Series, w: pd.Series, m: pd.Series, s: pd.Series) -> pd.Series:
-        out = []
-        for own_y, own_w, own_m, own_s in zip(y, w, m, s, strict=True):
-            low, high = grid_quantiles(levels, np.array(own_w), np.stack(own_m), np.stack(own_s), n_grid)
-            out.append(((own_y >= low) & (own_y <= high)).astype(np.int32))
+        out: list = [None] * len(y)
+        for rows, (own_y, own_w, own_m, own_s) in shapes(y, w, m, s):
+            for a in range(0, len(rows), _ROWS):
+                b = slice(a, a + _ROWS)
+                low, high = grid_quantiles(levels, own_w[b], own_m[b], own_s[b], n_grid)
+                for place, hit in zip(rows[b].tolist(), ((own_y[b] >= low) & (own_y[b] <= high)).astype(np.int32), strict=True):
+                    out[place] = hit
         return pd.Series(out)
 
     return inside(observed, weights, means, stds)

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .gaussian import absolute_mean, cdf
+from .gaussian import absolute_mean, bound, cdf
 
 STD_FLOOR = 1e-12
 _LOG_TWO_PI = math.log(2 * math.pi)
@@ -32,7 +32,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalized(weights: Column) -> Column:
     """Weights that add to 1."""
-    return F.transform(weights, lambda w: w / total(weights))
+    return bound(total(weights), lambda t: F.transform(weights, lambda w: w / t))
 
 
 def valid(observed: Column, weights: Column, means: Column, stds: Column) -> Column:
@@ -52,8 +52,8 @@ def valid(observed: Column, weights: Column, means: Column, stds: Column) -> Col
 
 def log_sum_exp(values: Column) -> Column:
     """Nulls stand for minus infinity; null if there is nothing else."""
-    top = F.array_max(values)
-    return top + F.log(F.aggregate(values, F.lit(0.0), lambda s, x: s + F.coalesce(F.exp(x - top), F.lit(0.0))))
+    above = lambda v, top: top + F.log(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.coalesce(F.exp(x - top), F.lit(0.0))))
+    return bound(values, lambda v: bound(F.array_max(v), lambda top: above(v, top)))
 
 
 def _log_density(y: Column, mean: Column, std: Column) -> Column:
@@ -70,25 +70,29 @@ def nll(observed: Column, weights: Column, means: Column, stds: Column) -> Colum
     return -log_sum_exp(joint)
 
 
-def by_channel(observed: Column, means: Column, stds: Column, build) -> Column:
-    """An array over channels: ``build`` gets the observed value and the components' means and
-    standard deviations of one channel."""
-    return F.transform(observed, lambda y, d: build(y, F.transform(means, lambda m: F.get(m, d)), F.transform(stds, lambda s: F.get(s, d))))
+def by_channel(observed: Column, weights: Column, means: Column, stds: Column, build) -> Column:
+    """An array over channels: ``build`` gets the observed value and an array of the components'
+    normalised weight, mean and standard deviation (``w``, ``m``, ``s``) of one channel."""
+
+    def one(w: Column, y: Column, d: Column) -> Column:
+        parts = F.arrays_zip(w.alias("w"), F.transform(means, lambda m: F.get(m, d)).alias("m"), F.transform(stds, lambda s: F.get(s, d)).alias("s"))
+        return bound(parts, lambda p: build(y, p))
+
+    return bound(normalized(weights), lambda w: F.transform(observed, lambda y, d: one(w, y, d)))
 
 
 def channel_nll(observed: Column, weights: Column, means: Column, stds: Column) -> Column:
     """Each channel's negative log-likelihood under its own marginal mixture."""
 
-    def one(y: Column, m: Column, s: Column) -> Column:
-        terms = F.transform(F.arrays_zip(normalized(weights).alias("w"), m.alias("m"), s.alias("s")), lambda c: F.log(F.when(c["w"] > 0, c["w"])) + _log_density(y, c["m"], c["s"]))
-        return -log_sum_exp(terms)
+    def one(y: Column, parts: Column) -> Column:
+        return -log_sum_exp(F.transform(parts, lambda c: F.log(F.when(c["w"] > 0, c["w"])) + _log_density(y, c["m"], c["s"])))
 
-    return by_channel(observed, means, stds, one)
+    return by_channel(observed, weights, means, stds, one)
 
 
 def predictive_mean(weights: Column, means: Column) -> Column:
     """The mixture's mean in each channel."""
-    return F.transform(F.get(means, F.lit(0)), lambda _, d: dot(normalized(weights), F.transform(means, lambda m: F.get(m, d))))
+    return bound(normalized(weights), lambda w: F.transform(F.get(means, F.lit(0)), lambda _, d: dot(w, F.transform(means, lambda m: F.get(m, d)))))
 
 
 def absolute_errors(observed: Column, weights: Column, means: Column) -> Column:
@@ -102,18 +106,17 @@ def squared_errors(observed: Column, weights: Column, means: Column) -> Column:
 def channel_crps(observed: Column, weights: Column, means: Column, stds: Column) -> Column:
     """Each channel's continuous ranked probability score, in closed form."""
 
-    def one(y: Column, m: Column, s: Column) -> Column:
-        parts = F.arrays_zip(normalized(weights).alias("w"), m.alias("m"), s.alias("s"))
+    def one(y: Column, parts: Column) -> Column:
         to_observed = total(F.transform(parts, lambda c: c["w"] * absolute_mean(y - c["m"], c["s"])))
         between = total(F.transform(parts, lambda c: c["w"] * total(F.transform(parts, lambda e: e["w"] * absolute_mean(c["m"] - e["m"], F.sqrt(c["s"] * c["s"] + e["s"] * e["s"]))))))
         return to_observed - 0.5 * between
 
-    return by_channel(observed, means, stds, one)
+    return by_channel(observed, weights, means, stds, one)
 
 
 def pit(observed: Column, weights: Column, means: Column, stds: Column) -> Column:
     """The forecast distribution function at each channel's observed value."""
-    return by_channel(observed, means, stds, lambda y, m, s: total(F.transform(F.arrays_zip(normalized(weights).alias("w"), m.alias("m"), s.alias("s")), lambda c: c["w"] * cdf((y - c["m"]) / c["s"]))))
+    return by_channel(observed, weights, means, stds, lambda y, parts: total(F.transform(parts, lambda c: c["w"] * cdf((y - c["m"]) / c["s"]))))
 
 
 def entropy(probabilities: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sequence import trailing
-from .mixture import channel_nll, dot, nll, normalized_entropy
+from .mixture import channel_nll, dot, nll, normalized_entropy, total
 
 FORECAST_METHODS = ("mean_nll", "channel_mean_nll", "channel_max_nll", "channel_top3_mean_nll")
 REGIME_METHODS = ("regime_entropy", "regime_confidence_gap", "regime_switch")
@@ -39,10 +39,18 @@ def confidence_gap(probabilities: Column) -> Column:
     return 1 - F.array_max(probabilities)
 
 
+def is_posterior(p: Column) -> Column:
+    """True for a non-empty array of finite numbers, none negative, that add up to 1 (within 1e-5,
+    relative, and 1e-8)."""
+    return F.coalesce((F.size(p) > 0) & F.forall(p, lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf"))) & (F.abs(total(p) - 1) <= 1e-5 + 1e-8), F.lit(False))
+
+
 def regime_scores(posterior: DataFrame, method: str, seq: str = "seq", probabilities: str = "probs", by: Sequence[str] = ()) -> DataFrame:
     """Add ``score``. ``regime_switch`` is one less the overlap with the row before in the whole
-    sequence (0 at its start); ``by`` starts it anew in each group."""
+    sequence (0 at its start); ``by`` starts it anew in each group. Rows that are no probabilities
+    (empty, not finite, negative, or not adding up to 1) fail the job."""
     check_method(method, REGIME_METHODS)
+    posterior = posterior.where(F.when(is_posterior(F.col(probabilities)), True).otherwise(F.raise_error(F.lit("posteriors must be probabilities that add up to 1")).cast("boolean")))
     p = F.col(probabilities)
     if method == "regime_entropy":
         return posterior.withColumn("score", normalized_entropy(p))

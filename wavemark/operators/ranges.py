@@ -2,17 +2,26 @@
 
 A sequence table has ``seq`` (0, 1, 2, ... without gaps) and 0/1 columns. Islands of one column are
 disjoint, so the overlap of an island with all islands of another is the other's count inside it:
-measures need an aggregate over islands, and no join of ranges.
+measures need an aggregate over islands, and no join of ranges. The measures of two columns mark both
+columns' islands in one pass and add up all of them in one aggregate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequence import running_sum, trailing
+from .sequence import CHUNK, running_sum, running_sums, trailing
+
+
+def binary(flag: str) -> Column:
+    """The flag as it is; a value other than 0 and 1 fails the job."""
+    value = F.col(flag).cast("int")
+    return F.when(F.col(flag).isin(0, 1), value).otherwise(F.raise_error(F.lit(f"{flag} must be 0 or 1")).cast("int"))
 
 
 def island_numbers(df: DataFrame, flag: str, name: str = "island", seq: str = "seq", by: Sequence[str] = ()) -> DataFrame:
@@ -26,36 +35,53 @@ def ranges(df: DataFrame, flag: str, seq: str = "seq", by: Sequence[str] = ()) -
     return island_numbers(df, flag, seq=seq, by=by).groupBy(*by, "island").agg(F.min(seq).alias("start"), (F.max(seq) + 1).alias("end")).drop("island")
 
 
-def _share_inside(df: DataFrame, flag: str, other: str, seq: str, by: Sequence[str]) -> DataFrame:
-    """The mean over the islands of ``flag`` of the share of ``other`` inside; null without any."""
-    inside = island_numbers(df, flag, seq=seq, by=by).groupBy(*by, "island").agg(F.avg(other).alias("share"))
-    return inside.groupBy(*by).agg(F.avg("share").alias("share")) if by else inside.agg(F.avg("share").alias("share"))
-
-
 def f1(precision: Column, recall: Column) -> Column:
     return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
 
 
-def range_metrics(df: DataFrame, truth: str = "label", pred: str = "pred", seq: str = "seq", by: Sequence[str] = ()) -> DataFrame:
-    """``precision``, ``recall`` and ``f1`` over ranges, in one row (or one for each group): 1 for
-    a side without ranges if the other has none either, else 0."""
+def measures(df: DataFrame, truth: str = "label", pred: str = "pred", seq: str = "seq", by: Sequence[str] = ()) -> DataFrame:
+    """All range measures in one row, or one for each group: ``precision``, ``recall`` and ``f1``
+    over ranges (1 for a side without ranges if the other has none either, else 0); ``mean_delay``
+    and ``median_delay`` from the start of a true range to its first hit (null without one), and how
+    many are ``detected`` and ``missed``; ``false_alarms_per_1000``: predicted ranges that start at
+    a normal row, for each thousand normal rows (0 without normal rows)."""
     keys = list(by)
-    any_of = df.groupBy(*keys).agg(F.max(truth).alias("any_true"), F.max(pred).alias("any_pred"))
-    recall = _share_inside(df, truth, pred, seq, by).withColumnRenamed("share", "r")
-    precision = _share_inside(df, pred, truth, seq, by).withColumnRenamed("share", "p")
-    if keys:
-        rows = any_of.join(recall, keys, "left").join(precision, keys, "left")
-    else:  # one row each
-        rows = any_of.crossJoin(F.broadcast(recall)).crossJoin(F.broadcast(precision))
-    neither = (F.coalesce("any_true", F.lit(0)) == 0) & (F.coalesce("any_pred", F.lit(0)) == 0)
+    rows = df.select(*keys, F.col(seq).alias("_s"), binary(truth).alias("_t"), binary(pred).alias("_p"))
+    starts = trailing(rows, "_s", 1, lambda w: {f"_was{c}": F.coalesce(F.lag(c).over(w), F.lit(0)) for c in ("_t", "_p")}, keys)
+    begins = {f"_n{c}": ((F.col(c) == 1) & (F.col(f"_was{c}") == 0)).cast("long") for c in ("_t", "_p")}
+    marked = running_sums(starts.select(*keys, "_s", "_t", "_p", "_was_t", "_was_p"), "_s", begins, keys)
+
+    def part(side: str, own: str, other: str) -> Column:
+        return F.when(F.col(own) == 1, F.struct(F.lit(side).alias("side"), F.col(f"_n{own}").alias("island"), F.col(other).alias("hit")))
+
+    # Each row counts once as a row (side 'n': is it normal), and once in each island it is in.
+    normal = F.struct(F.lit("n").alias("side"), F.lit(0).cast("long").alias("island"), (1 - F.col("_t")).alias("hit"))
+    flat = marked.select(*keys, "_s", "_t", F.explode(F.filter(F.array(part("t", "_t", "_p"), part("p", "_p", "_t"), normal), lambda x: x.isNotNull())).alias("m")).select(*keys, "_s", "_t", "m.*")
+    islands = flat.groupBy(*keys, "side", "island").agg(
+        F.avg("hit").alias("share"), F.sum("hit").alias("hits"), (F.min(F.when(F.col("hit") == 1, F.col("_s"))) - F.min("_s")).alias("delay"), F.min(F.struct("_s", "_t"))["_t"].alias("first")
+    )
+    side = lambda c, x: F.when(F.col("side") == c, x)
+    alarms, normals = F.count_if((F.col("side") == "p") & (F.col("first") == 0)), F.coalesce(F.sum(side("n", F.col("hits"))), F.lit(0))
+    found = islands.groupBy(*keys).agg(
+        F.avg(side("p", F.col("share"))).alias("p"), F.avg(side("t", F.col("share"))).alias("r"), F.avg(side("t", F.col("delay"))).alias("mean_delay"), F.median(side("t", F.col("delay"))).alias("median_delay"),
+        F.count(side("t", F.col("delay"))).alias("detected"), F.count_if((F.col("side") == "t") & F.col("delay").isNull()).alias("missed"),
+        F.coalesce(F.try_divide(1000.0 * alarms, normals.cast("double")), F.lit(0.0)).alias("false_alarms_per_1000"),
+    )
+    neither = F.col("p").isNull() & F.col("r").isNull()
     value = lambda c: F.when(neither, 1.0).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
-    return rows.select(*keys, value("p").alias("precision"), value("r").alias("recall")).withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    done = found.withColumn("precision", value("p")).withColumn("recall", value("r")).withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    return done.select(*keys, "precision", "recall", "f1", "mean_delay", "median_delay", "detected", "missed", "false_alarms_per_1000")
+
+
+def range_metrics(df: DataFrame, truth: str = "label", pred: str = "pred", seq: str = "seq", by: Sequence[str] = ()) -> DataFrame:
+    """``precision``, ``recall`` and ``f1`` of ``measures``."""
+    return measures(df, truth, pred, seq, by).select(*by, "precision", "recall", "f1")
 
 
 def confusion(df: DataFrame, truth: str = "label", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
     """Counts and rates. Precision is 1 without predictions, recall 1 without positives, the false
     positive rate 0 without negatives."""
-    t, p = F.col(truth) == 1, F.col(pred) == 1
+    t, p = binary(truth) == 1, binary(pred) == 1
     counts = df.groupBy(*by).agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(~t & ~p).alias("tn"), F.count_if(t & ~p).alias("fn"))
     return with_rates(counts)
 
@@ -66,19 +92,13 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 
 def detection_delay(df: DataFrame, truth: str = "label", pred: str = "pred", seq: str = "seq", by: Sequence[str] = ()) -> DataFrame:
-    """``mean_delay`` and ``median_delay`` to the first hit in each true range (null if there is
-    none), and how many ranges were ``detected`` and ``missed``."""
-    hits = island_numbers(df, truth, seq=seq, by=by).groupBy(*by, "island").agg((F.min(F.when(F.col(pred) == 1, F.col(seq))) - F.min(seq)).alias("delay"))
-    return hits.groupBy(*by).agg(F.avg("delay").alias("mean_delay"), F.median("delay").alias("median_delay"), F.count("delay").alias("detected"), (F.count("*") - F.count("delay")).alias("missed"))
+    """``mean_delay``, ``median_delay``, ``detected`` and ``missed`` of ``measures``."""
+    return measures(df, truth, pred, seq, by).select(*by, "mean_delay", "median_delay", "detected", "missed")
 
 
 def false_alarm_rate(df: DataFrame, truth: str = "label", pred: str = "pred", seq: str = "seq", by: Sequence[str] = ()) -> DataFrame:
-    """``false_alarms_per_1000``: predicted ranges that start at a normal row, for each thousand
-    normal rows; 0 without normal rows."""
-    starts = trailing(df, seq, 1, lambda w: {"_was": F.coalesce(F.lag(pred).over(w), F.lit(0))}, by)
-    normal = F.count_if(F.col(truth) == 0)
-    alarms = F.count_if((F.col(pred) == 1) & (F.col("_was") == 0) & (F.col(truth) == 0))
-    return starts.groupBy(*by).agg(F.coalesce(F.try_divide(1000.0 * alarms, normal.cast("double")), F.lit(0.0)).alias("false_alarms_per_1000"))
+    """``false_alarms_per_1000`` of ``measures``."""
+    return measures(df, truth, pred, seq, by).select(*by, "false_alarms_per_1000")
 
 
 # Sweeps over at most 64 candidate thresholds, descending.
@@ -105,28 +125,64 @@ def sweep_points(df: DataFrame, thresholds: Sequence[float], score: str = "score
     return with_rates(counts.where("threshold is not null"))
 
 
-def sweep_ranges(df: DataFrame, thresholds: Sequence[float], score: str = "score", truth: str = "label", seq: str = "seq") -> DataFrame:
+_PART = "side string, cand_ix int, chunk long, at_start boolean, at_end boolean, islands long, share double, size long, hits long"
+
+
+def _runs(flags: np.ndarray, hits: np.ndarray) -> tuple[tuple[int, float], list[tuple[bool, bool, int, int]]]:
+    """Of one chunk: how many runs of ``flags`` lie within it and the sum of their shares of
+    ``hits``; and the runs that touch its start or its end, as (start, end, size, hits)."""
+    edges = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0))
+    first, stop = edges[::2], edges[1::2]
+    total = np.concatenate([[0], np.cumsum(hits)])
+    size, inside = stop - first, total[stop] - total[first]
+    touch = (first == 0) | (stop == len(flags))
+    pieces = [(bool(a == 0), bool(b == len(flags)), int(n), int(h)) for a, b, n, h in zip(first[touch], stop[touch], size[touch], inside[touch], strict=True)]
+    return (int((~touch).sum()), float((inside[~touch] / size[~touch]).sum())), pieces
+
+
+def _runs_of_chunks(marked: DataFrame, k: int, chunk: int) -> DataFrame:
+    """What each chunk of the sequence (``_s``, ``_t``, ``_c``: the first candidate that the row
+    reaches) adds to each candidate's true (side 't') and predicted ('p') ranges. A chunk is at most
+    ``chunk`` rows; it gives at most five short rows for each candidate."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_s")
+        truth, reached = table["_t"].to_numpy(), table["_c"].to_numpy()
+        out = []
+        for c in range(k):
+            pred = (reached <= c).astype(np.int8)
+            for side, flags, hits in (("t", truth, pred), ("p", pred, truth)):
+                (n, share), pieces = _runs(flags, hits)
+                if n:
+                    out.append((side, c, None, None, None, n, share, None, None))
+                out += [(side, c, table["chunk"][0].as_py(), a, b, None, None, size, own) for a, b, size, own in pieces]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+        return pa.table([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _PART.split(", ")])
+
+    return marked.withColumn("chunk", F.floor(F.col("_s") / chunk)).groupBy("chunk").applyInArrow(run, _PART)
+
+
+def sweep_ranges(df: DataFrame, thresholds: Sequence[float], score: str = "score", truth: str = "label", seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
     """Range precision and recall, f1, and the pointwise false positive rate at each candidate.
 
-    Recall: each true island's rows are counted by the candidate they reach. Precision: a row is in
-    the predicted islands of every candidate that it reaches, and begins one where the row before
-    does not reach it."""
-    marked = df.select(seq, F.col(truth).alias("_t"), _reached(thresholds, score).alias("_c"))
-    k = len(thresholds)
-    islands = island_numbers(marked, "_t", seq=seq).groupBy("island", "_c").agg(F.count("*").alias("n"))
-    sizes = Window.partitionBy("island")
-    shares = islands.withColumn("size", F.sum("n").over(sizes)).withColumn("cand_ix", F.explode(F.sequence(F.col("_c"), F.lit(k - 1)))) if k else islands
-    n_true = islands.select("island").distinct().count()
-    recall = shares.where(F.col("_c") < k).groupBy("cand_ix").agg((F.sum(F.col("n") / F.col("size")) / F.lit(max(n_true, 1))).alias("r"))
-    before = trailing(marked, seq, 1, lambda w: {"_b": F.coalesce(F.lag("_c").over(w), F.lit(k))})
-    spread = before.where(F.col("_c") < k).withColumn("cand_ix", F.explode(F.sequence(F.col("_c"), F.lit(k - 1))))
-    numbered = running_sum(spread, seq, (F.col("_b") > F.col("cand_ix")).cast("long"), "island", ["cand_ix"])
-    precision = numbered.groupBy("cand_ix", "island").agg(F.avg("_t").alias("share")).groupBy("cand_ix").agg(F.avg("share").alias("p"))
-    points = sweep_points(df, thresholds, score, truth).select("cand_ix", "threshold", "fpr")
-    rows = points.join(recall, "cand_ix", "left").join(precision, "cand_ix", "left")
-    lone = 1.0 if n_true == 0 else 0.0
-    r = F.coalesce("r", F.lit(0.0)) if n_true else F.when(F.col("p").isNull(), 1.0).otherwise(0.0)
-    rows = rows.select("cand_ix", "threshold", "fpr", F.coalesce("p", F.lit(lone)).alias("precision"), r.alias("recall"))
+    Rows are exchanged once, by chunk. A chunk is swept over all candidates at a time; its ranges
+    that lie within it are added up there, and only those at its edges are put together with those
+    of its neighbours: a few short rows for each chunk and candidate."""
+    marked = df.select(F.col(seq).alias("_s"), binary(truth).cast("byte").alias("_t"), _reached(thresholds, score).alias("_c"))
+    parts = _runs_of_chunks(marked, len(thresholds), chunk)
+    order = Window.partitionBy("side", "cand_ix").orderBy("chunk", F.desc("at_start"))
+    edges = parts.where("size is not null").withColumn("_before", F.lag(F.struct("chunk", "at_end")).over(order))
+    follows = F.col("at_start") & F.coalesce((F.col("_before.chunk") == F.col("chunk") - 1) & F.col("_before.at_end"), F.lit(False))
+    edges = edges.withColumn("_island", F.sum((~follows).cast("long")).over(order))
+    joined = edges.groupBy("side", "cand_ix", "_island").agg((F.sum("hits") / F.sum("size")).alias("share")).select("side", "cand_ix", F.lit(1).cast("long").alias("islands"), "share")
+    total = parts.where("islands is not null").select("side", "cand_ix", "islands", "share").union(joined)
+    mean = lambda side: F.sum(F.when(F.col("side") == side, F.col("share"))) / F.sum(F.when(F.col("side") == side, F.col("islands")))
+    found = total.groupBy("cand_ix").agg(mean("p").alias("p"), mean("t").alias("r"))
+    rows = sweep_points(df, thresholds, score, truth).select("cand_ix", "threshold", "fpr").join(F.broadcast(found), "cand_ix", "left")  # a row for each candidate
+    neither = F.col("p").isNull() & F.col("r").isNull()
+    value = lambda c: F.when(neither, 1.0).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
+    rows = rows.select("cand_ix", "threshold", "fpr", value("p").alias("precision"), value("r").alias("recall"))
     return rows.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 

@@ -35,10 +35,14 @@ def unscale(df: DataFrame, scaler: DataFrame, by: Sequence[str] = ("series_id",)
 
 def split_tail(df: DataFrame, fraction: float = 0.2, by: Sequence[str] = ("series_id",), t: str = "t") -> DataFrame:
     """Add ``split``: the last rows of each series are 'validation', as many as the fraction gives,
-    rounded half to even, at least one; the rest 'train'."""
+    rounded half to even, at least one; the rest 'train'. A series of which nothing is left to train
+    on fails the job."""
+    if not 0 < fraction < 1:
+        raise ValueError("the fraction lies between 0 and 1")
     n = F.count("*").over(Window.partitionBy(*by))
     size = F.greatest(F.lit(1), F.bround(n * F.lit(fraction)).cast("long"))
-    return df.withColumn("split", F.when(F.col(t) >= n - size, "validation").otherwise("train"))
+    split = F.when(F.col(t) >= n - size, "validation").otherwise("train")
+    return df.withColumn("split", F.when(size < n, split).otherwise(F.raise_error(F.lit("a validation split leaves no training observations")).cast("string")))
 
 
 def finite_rows(df: DataFrame, x: str = "x") -> DataFrame:

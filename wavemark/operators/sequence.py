@@ -8,7 +8,7 @@ small table of one row for each chunk.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -16,14 +16,20 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 
 
-def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "seq") -> DataFrame:
+def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "seq", chunk: int | None = None) -> DataFrame:
     """Number all rows from 0 in the order of ``groups``, then ``order``: a row number in each group
-    plus the rows of all groups before it (a table of one row for each group)."""
-    counts = df.groupBy(*groups).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*groups, F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-    return df.withColumn("_inside", inside).join(offsets, list(groups)).withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long")).drop("_inside", "_before")
+    plus the rows of all groups before it. ``chunk`` cuts long groups: the first column of ``order``
+    must then be a whole number, and rows that fall into one multiple of ``chunk`` are ranked
+    together. The counts, a row for each group or piece of one, are added up in one task."""
+    keys = list(groups)
+    if chunk:
+        df = df.withColumn("_piece", F.floor(F.col(order[0]) / chunk))
+        keys.append("_piece")
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*keys, F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_inside", inside).join(offsets, keys).withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long")).drop("_inside", "_before", "_piece")
 
 
 def trailing(df: DataFrame, seq: str, back: int, build: Callable[[WindowSpec], dict[str, Column]], by: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
@@ -38,11 +44,17 @@ def trailing(df: DataFrame, seq: str, back: int, build: Callable[[WindowSpec], d
     return spread.select("*", *(c.alias(n) for n, c in build(window).items())).where(F.col("_chunk") == own).drop("_chunk")
 
 
-def running_sum(df: DataFrame, seq: str, value: Column, name: str, by: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
-    """Add the sum of ``value`` over all rows of the sequence up to each row."""
-    spread = df.withColumn("_value", value).withColumn("_chunk", F.floor(F.col(seq) / chunk))
-    totals = spread.groupBy(*by, "_chunk").agg(F.sum("_value").alias("_total"))
+def running_sums(df: DataFrame, seq: str, values: Mapping[str, Column], by: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
+    """Add, under each name, the sum of a value over all rows of the sequence up to each row."""
+    spread = df.select("*", *(v.alias(f"_v_{n}") for n, v in values.items()), F.floor(F.col(seq) / chunk).alias("_chunk"))
+    totals = spread.groupBy(*by, "_chunk").agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values))
     earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_earlier", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
-    inside = F.sum("_value").over(Window.partitionBy(*by, "_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
-    return spread.withColumn("_inside", inside).join(totals, [*by, "_chunk"]).withColumn(name, F.col("_inside") + F.col("_earlier")).drop("_value", "_chunk", "_inside", "_earlier")
+    totals = totals.select(*by, "_chunk", *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_e_{n}") for n in values))
+    upto = Window.partitionBy(*by, "_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    inside = spread.select("*", *(F.sum(f"_v_{n}").over(upto).alias(f"_i_{n}") for n in values))
+    return inside.join(totals, [*by, "_chunk"]).select(*(f"`{c}`" for c in df.columns), *((F.col(f"_i_{n}") + F.col(f"_e_{n}")).alias(n) for n in values))
+
+
+def running_sum(df: DataFrame, seq: str, value: Column, name: str, by: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
+    """``running_sums`` of one value."""
+    return running_sums(df, seq, {name: value}, by, chunk)

@@ -19,7 +19,7 @@ GLOBAL_QUANTILES = {
     "validation_quantile_995": 0.995, "validation_quantile_996": 0.996, "validation_quantile_997": 0.997,
 }
 GROUP_QUANTILES = {"per_machine_validation_quantile_98": 0.98, "per_machine_validation_quantile_985": 0.985, "per_machine_validation_quantile_99": 0.99}
-TARGET_RECALLS = {"validation_target_recall_50": (0.5, 0.95), "validation_target_recall_70": (0.7, 0.9)}
+TARGET_RECALLS = {"target_recall_50": (0.5, 0.95), "target_recall_70": (0.7, 0.9)}
 STRATEGIES = ("max_validation_f1", *GLOBAL_QUANTILES, *GROUP_QUANTILES, *TARGET_RECALLS)
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import numbered, trailing
+from .sequence import CHUNK, numbered, trailing
 
 
 def make_windows(df: DataFrame, lookback: int, horizon: int, stride: int = 1, by: Sequence[str] = ("series_id",), t: str = "t", x: str = "x", single: bool = False, strict: bool = False) -> DataFrame:
@@ -37,9 +37,10 @@ def make_windows(df: DataFrame, lookback: int, horizon: int, stride: int = 1, by
 
 
 def concat(frames: Sequence[DataFrame], order: Sequence[str] = ("start",)) -> DataFrame:
-    """All rows, with ``group_id`` (the place of their frame) and ``seq`` (their place in all)."""
+    """All rows, with ``group_id`` (the place of their frame) and ``seq`` (their place in all). The
+    last column of ``order`` counts up within the others, as ``start`` does in a series."""
     tagged = [f.withColumn("group_id", F.lit(i)) for i, f in enumerate(frames)]
-    return numbered(reduce(lambda a, b: a.unionByName(b), tagged), ["group_id"], order)
+    return numbered(reduce(lambda a, b: a.unionByName(b), tagged), ["group_id", *order[:-1]], order[-1:], chunk=CHUNK)
 
 
 def replace_labels(windows: DataFrame, labels: DataFrame, key: str = "seq") -> DataFrame:

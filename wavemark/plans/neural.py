@@ -1,8 +1,8 @@
 """Mixture-density recurrent forecasters, trained data-parallel and applied by Spark.
 
-A model is a small dictionary of arrays: an LSTM over the lookback and linear heads for the
-mixture's logits, means and raw spreads; the joint model adds a head for the regime, whose
-probabilities the forecast heads see too. A training step is a Spark job: each task computes the
+A model is a small dictionary of arrays: an LSTM of one or more layers over the lookback and linear
+heads for the mixture's logits, means and raw spreads; the joint model adds a head for the regime,
+whose probabilities the forecast heads see too. A training step is a Spark job: each task computes the
 gradient of its part of the batch, the driver adds them up and takes an AdamW step. Tasks hold the
 model and their own rows, nothing else; the data never comes to the driver.
 
@@ -38,10 +38,14 @@ class ModelConfig:
     hidden: int = 16
     components: int = 3
     n_regimes: int = 0
+    layers: int = 1
+    dropout: float = 0.0
 
     def check(self) -> None:
-        if min(self.n_channels, self.horizon, self.hidden, self.components) < 1 or self.n_regimes < 0:
+        if min(self.n_channels, self.horizon, self.hidden, self.components, self.layers) < 1 or self.n_regimes < 0:
             raise ValueError("sizes must be positive")
+        if not 0 <= self.dropout < 1:
+            raise ValueError("dropout must lie in [0, 1)")
 
 
 @dataclass(frozen=True)
@@ -77,7 +81,8 @@ def initial(config: ModelConfig, seed: int) -> Weights:
     rng, d, h = np.random.default_rng(seed), config.n_channels, config.hidden
     seen, out = h + config.n_regimes, config.horizon * config.components
     draw = lambda *shape: rng.uniform(-1, 1, shape) / np.sqrt(h)
-    w = {"wx": draw(d, 4 * h), "wh": draw(h, 4 * h), "b": draw(4 * h), "logit": draw(seen, out), "logit_b": draw(out), "mean": draw(seen, out * d), "mean_b": draw(out * d), "std": draw(seen, out * d), "std_b": draw(out * d)}
+    w = {f"{name}{k or ''}": draw(*shape) for k in range(config.layers) for name, shape in (("wx", (h if k else d, 4 * h)), ("wh", (h, 4 * h)), ("b", (4 * h,)))}
+    w |= {"logit": draw(seen, out), "logit_b": draw(out), "mean": draw(seen, out * d), "mean_b": draw(out * d), "std": draw(seen, out * d), "std_b": draw(out * d)}
     return w | ({"regime": draw(h, config.n_regimes), "regime_b": draw(config.n_regimes)} if config.n_regimes else {})
 
 
@@ -90,34 +95,84 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def forward(c: ModelConfig, w: Weights, x: np.ndarray) -> dict:
-    """Windows (N, L, D) to the mixture's logits (N, H, M), means and stds (N, H, M, D), and the
-    regime's probabilities."""
-    n, steps, _ = x.shape
-    h, cell, kept = np.zeros((n, c.hidden)), np.zeros((n, c.hidden)), []
+def _layer(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
+    """The hidden states of all steps (N, T, hidden), and what their gradient needs."""
+    (n, steps, _), size = x.shape, wh.shape[0]
+    h, cell, kept, out = np.zeros((n, size)), np.zeros((n, size)), [], np.empty((n, steps, size))
     for t in range(steps):
-        gates = x[:, t] @ w["wx"] + h @ w["wh"] + w["b"]
-        i, f, o = (_sigmoid(gates[:, k * c.hidden : (k + 1) * c.hidden]) for k in (0, 1, 3))
-        g = np.tanh(gates[:, 2 * c.hidden : 3 * c.hidden])
+        gates = x[:, t] @ wx + h @ wh + b
+        i, f, o = (_sigmoid(gates[:, k * size : (k + 1) * size]) for k in (0, 1, 3))
+        g = np.tanh(gates[:, 2 * size : 3 * size])
         before, cell_before = h, cell
         cell = f * cell + i * g
         h = o * np.tanh(cell)
         kept.append((before, cell_before, i, f, g, o, cell))
-    probs = _softmax(h @ w["regime"] + w["regime_b"]) if c.n_regimes else np.zeros((n, 0))
-    seen = np.concatenate([h, probs], axis=1)
-    shape = (n, c.horizon, c.components)
+        out[:, t] = h
+    return out, kept
+
+
+def _layer_gradient(x: np.ndarray, kept: list, d_out: np.ndarray, wx: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients by the layer's input, ``wx``, ``wh`` and ``b``."""
+    d_x, d_wx, d_wh, d_b = np.empty(x.shape), np.zeros_like(wx), np.zeros_like(wh), np.zeros(wh.shape[1])
+    dh = dc = np.zeros(d_out[:, 0].shape)
+    for t in range(x.shape[1] - 1, -1, -1):
+        before, cell_before, i, f, gate, o, cell = kept[t]
+        dh, tanh = dh + d_out[:, t], np.tanh(cell)
+        dc = dc + dh * o * (1 - tanh**2)
+        d = np.concatenate([dc * gate * i * (1 - i), dc * cell_before * f * (1 - f), dc * i * (1 - gate**2), dh * tanh * o * (1 - o)], axis=1)
+        d_wx += x[:, t].T @ d
+        d_wh += before.T @ d
+        d_b += d.sum(axis=0)
+        d_x[:, t], dh, dc = d @ wx.T, d @ wh.T, dc * f
+    return d_x, d_wx, d_wh, d_b
+
+
+def forward(c: ModelConfig, w: Weights, x: np.ndarray, *, override: np.ndarray | None = None, every_step: bool = False, rng: np.random.Generator | None = None) -> dict:
+    """Windows (N, L, D) to the mixture's logits (N, H, M), means and stds (N, H, M, D), and the
+    regime's logits and probabilities (N, K), after the last step; ``every_step``: after each, with
+    an axis of steps behind N. ``override`` (of the regime logits' shape) takes their place.
+    ``rng``: training, which drops states between layers."""
+    inputs, kept, masks, states = [x], [], [], x
+    for k in range(c.layers):
+        states, own = _layer(states, *(w[f"{name}{k or ''}"] for name in ("wx", "wh", "b")))
+        kept.append(own)
+        if k < c.layers - 1:
+            masks.append((rng.random(states.shape) >= c.dropout) / (1 - c.dropout) if rng is not None and c.dropout else np.ones(1))
+            states = states * masks[-1]
+            inputs.append(states)
+    h = states if every_step else states[:, -1]
+    regime = h @ w["regime"] + w["regime_b"] if c.n_regimes else np.zeros((*h.shape[:-1], 0))
+    if override is not None:
+        if override.shape != regime.shape:
+            raise ValueError("the override must have the regime logits' shape")
+        regime = override
+    probs = _softmax(regime) if c.n_regimes else regime
+    seen = np.concatenate([h, probs], axis=-1)
+    shape = (*h.shape[:-1], c.horizon, c.components)
     raw = (seen @ w["std"] + w["std_b"]).reshape(*shape, c.n_channels)
     return {
-        "kept": kept, "h": h, "probs": probs, "seen": seen, "raw": raw, "logits": (seen @ w["logit"] + w["logit_b"]).reshape(shape),
+        "inputs": inputs, "kept": kept, "masks": masks, "h": h, "regime_logits": regime, "probs": probs, "seen": seen, "raw": raw, "logits": (seen @ w["logit"] + w["logit_b"]).reshape(shape),
         "means": (seen @ w["mean"] + w["mean_b"]).reshape(*shape, c.n_channels), "stds": np.logaddexp(0, raw) + LEAST_STD,
     }
 
 
-def loss_and_gradient(c: ModelConfig, w: Weights, x: np.ndarray, y: np.ndarray, labels: np.ndarray | None = None, supervised: float = 0.0) -> tuple[float, Weights]:
+def regime_smoothness(logits: np.ndarray) -> float:
+    """How much the regime's posterior changes from step to step: the divergence of each from the
+    one before, summed over steps, a mean over the windows of logits (N, T, K); 0 for one step."""
+    if logits.ndim != 3:
+        raise ValueError("logits need axes of windows, steps and regimes")
+    if logits.shape[1] < 2:
+        return 0.0
+    log_p = logits - np.logaddexp.reduce(logits, axis=-1, keepdims=True)
+    return float((np.exp(log_p[:, 1:]) * (log_p[:, 1:] - log_p[:, :-1])).sum() / len(logits))
+
+
+def loss_and_gradient(c: ModelConfig, w: Weights, x: np.ndarray, y: np.ndarray, labels: np.ndarray | None = None, supervised: float = 0.0, rng: np.random.Generator | None = None) -> tuple[float, Weights]:
     """The summed loss over the rows, and its gradient: the targets' (N, H, D) negative
     log-likelihood, and ``supervised`` times the regimes' cross-entropy. Smoothness of regimes
-    along a window has no part: only the last step's posterior is made."""
-    a = forward(c, w, x)
+    along a window has no part: losses are taken after the last step, where it is 0. ``rng``: for
+    dropout."""
+    a = forward(c, w, x, rng=rng)
     z = (y[:, :, None] - a["means"]) / a["stds"]
     log_w = a["logits"] - np.logaddexp.reduce(a["logits"], axis=-1, keepdims=True)
     joint = log_w - 0.5 * (z**2 + 2 * np.log(a["stds"]) + np.log(2 * np.pi)).sum(axis=-1)
@@ -143,17 +198,14 @@ def loss_and_gradient(c: ModelConfig, w: Weights, x: np.ndarray, y: np.ndarray,
             d_regime = d_regime + supervised * (p - np.eye(c.n_regimes)[labels])
         g["regime"], g["regime_b"] = a["h"].T @ d_regime, d_regime.sum(axis=0)
         dh = dh + d_regime @ w["regime"].T
-    g |= {k: np.zeros_like(w[k]) for k in ("wx", "wh", "b")}
-    dc = np.zeros_like(dh)
-    for t in range(x.shape[1] - 1, -1, -1):
-        before, cell_before, i, f, gate, o, cell = a["kept"][t]
-        tanh = np.tanh(cell)
-        dc = dc + dh * o * (1 - tanh**2)
-        d = np.concatenate([dc * gate * i * (1 - i), dc * cell_before * f * (1 - f), dc * i * (1 - gate**2), dh * tanh * o * (1 - o)], axis=1)
-        g["wx"] += x[:, t].T @ d
-        g["wh"] += before.T @ d
-        g["b"] += d.sum(axis=0)
-        dh, dc = d @ w["wh"].T, dc * f
+    d_out = np.zeros((n, x.shape[1], c.hidden))
+    d_out[:, -1] = dh
+    for k in range(c.layers - 1, -1, -1):
+        names = [f"{name}{k or ''}" for name in ("wx", "wh", "b")]
+        d_out, *own = _layer_gradient(a["inputs"][k], a["kept"][k], d_out, w[names[0]], w[names[1]])
+        g |= dict(zip(names, own, strict=True))
+        if k:
+            d_out = d_out * a["masks"][k - 1]
     return float(loss), g
 
 
@@ -203,17 +255,18 @@ def _epoch(rows: DataFrame, n: int, size: int, training: TrainingConfig, epoch:
     return dealt.repartitionById(-(-n // PART_ROWS), "_part").mapInPandas(pack, "batch long, arrays binary").rdd.persist()
 
 
-def _summed(dealt: RDD, batch: int, size: int, n: int, model: Trained, training: TrainingConfig) -> tuple[float, int, Weights]:
+def _summed(dealt: RDD, batch: int, size: int, n: int, model: Trained, training: TrainingConfig, step: int = 0) -> tuple[float, int, Weights]:
     """Loss, rows and gradient of a batch, each added up over the partitions that hold it."""
     config, weights, names = model.config, model.weights, sorted(model.weights)
 
     def run(items: Iterable[tuple[int, bytes]]) -> Iterator[tuple[float, int, np.ndarray]]:
         loss, rows, total = 0.0, 0, np.zeros(sum(weights[k].size for k in names))
+        rng = np.random.default_rng([training.seed, step]) if config.dropout else None
         for at, arrays in items:
             if at == batch:
                 x, y, labels = pickle.loads(arrays)
                 for a in range(0, len(x), 256):
-                    got, g = loss_and_gradient(config, weights, x[a : a + 256], y[a : a + 256], None if labels is None else labels[a : a + 256], training.supervised)
+                    got, g = loss_and_gradient(config, weights, x[a : a + 256], y[a : a + 256], None if labels is None else labels[a : a + 256], training.supervised, rng)
                     loss, rows = loss + got, rows + len(x[a : a + 256])
                     total += np.concatenate([g[k].ravel() for k in names])
         yield loss, rows, total
@@ -232,6 +285,10 @@ def train(windows: DataFrame, config: ModelConfig, training: TrainingConfig = Tr
     each epoch. A step is a job of one batch, after the one before it: an epoch takes
     rows / ``batch_size`` jobs, which more machines do not shorten; a larger batch does."""
     training.check()
+    if training.supervised and config.n_regimes:
+        worst = windows.agg(F.count_if(~F.coalesce(F.col("regime_label").between(0, config.n_regimes - 1), F.lit(False)))).first()[0]
+        if worst:
+            raise ValueError("regime labels must lie between 0 and n_regimes - 1")
     model = Trained(config, initial(config, training.seed))
     m, v = ({k: np.zeros_like(x) for k, x in model.weights.items()} for _ in range(2))
     step = 0
@@ -243,7 +300,7 @@ def train(windows: DataFrame, config: ModelConfig, training: TrainingConfig = Tr
             losses = []
             dealt = _epoch(rows, total, size, training, epoch, key) if total else None
             for batch in range(-(-total // size)):
-                loss, n, g = _summed(dealt, batch, size, total, model, training)
+                loss, n, g = _summed(dealt, batch, size, total, model, training, step)
                 losses.append(loss / n)
                 norm = np.sqrt(sum(((x / n) ** 2).sum() for x in g.values()))
                 step += 1

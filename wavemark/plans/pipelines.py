@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import baselines, clustering, failures, regimes, scaling, windows
-from ..operators.sequence import numbered
+from ..operators.sequence import CHUNK, numbered
 from ..sources import machines, runs, synthetic
 from . import neural, reports
 
@@ -30,6 +30,8 @@ class PipelineConfig:
     stride: int = 4
     season: int = 1
     hidden: int = 16
+    num_layers: int = 1
+    dropout: float = 0.0
     components: int = 3
     n_regimes: int = 3
     epochs: int = 5
@@ -73,7 +75,7 @@ def machine_windows(spark: SparkSession, c: PipelineConfig) -> tuple[DataFrame,
 
 
 def _in_sequence(made: DataFrame) -> DataFrame:
-    parts = [numbered(made.where(F.col("split") == s), ["group_id"], ["start"]) for s in ("train", "validation", "test")]
+    parts = [numbered(made.where(F.col("split") == s), ["group_id"], ["start"], chunk=CHUNK) for s in ("train", "validation", "test")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -88,7 +90,7 @@ def _baseline(c: PipelineConfig, rows: DataFrame) -> DataFrame:
 
 def _neural(c: PipelineConfig, rows: DataFrame, joint: bool) -> tuple[DataFrame, neural.Trained]:
     channels = len(rows.first()["window"][0])
-    config = neural.ModelConfig(channels, c.horizon, c.hidden, c.components, c.n_regimes if joint else 0)
+    config = neural.ModelConfig(channels, c.horizon, c.hidden, c.components, c.n_regimes if joint else 0, c.num_layers, c.dropout)
     training = neural.TrainingConfig(epochs=c.epochs, batch_size=c.batch_size, supervised=c.supervised if joint else 0.0, smoothness=c.smoothness, seed=c.seed)
     model = neural.train(rows.where("split = 'train'"), config, training, rows.where("split = 'validation'"))
     return neural.predict(rows.where("split != 'train'"), model, ("split", "group_id", "seq")), model
@@ -106,6 +108,9 @@ def _run(spark: SparkSession, out: str, c: PipelineConfig, kind: str, on_machine
     forecast = forecast.cache()
     test = forecast.where("split = 'test'")
     runs.write_table(test.drop("split"), out, "forecast")
+    reports.write_mixture_diagnostics(f"{out}/mixture_diagnostics.json", validation=forecast.where("split = 'validation'"), test=test)
+    if kind == "joint":
+        reports.write_regime_diagnostics(f"{out}/regime_diagnostics.json", test.where("h = 0").select("seq", "probs"))
     keys = ["split", "group_id", "seq"]
     if c.score_method in scores.FORECAST_METHODS:
         scored = scores.forecast_scores(forecast, c.score_method, keys)

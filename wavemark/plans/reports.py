@@ -18,8 +18,10 @@ from ..sources import runs
 
 def evaluate_forecast(forecast: DataFrame, *, samples: int = 256, seed: int = 0, key: str = "seq") -> dict:
     """``nll``, ``channelwise_crps``, ``energy_score``, ``mae``, ``rmse``, ``interval_coverage_90``
-    and ``diagnostics``, over all rows, steps and channels, in one pass over the forecast."""
+    and ``diagnostics``, over all rows, steps and channels, in one pass over the forecast. A row that
+    is no forecast (see ``mixture.valid``) fails the job."""
     columns = [F.col(c) for c in ("observed", "weights", "means", "stds")]
+    forecast = checked_forecast(forecast)
     y, w, m, s = columns
     rows = forecast.select(
         mixture.nll(*columns).alias("nll"),
@@ -37,6 +39,22 @@ def evaluate_forecast(forecast: DataFrame, *, samples: int = 256, seed: int = 0,
     return got.asDict() | {"diagnostics": diagnostics.mixture_diagnostics(forecast).first().asDict(recursive=True)}
 
 
+def checked_forecast(forecast: DataFrame) -> DataFrame:
+    """The rows as they are; one that is no forecast fails the job."""
+    good = F.coalesce(mixture.valid(*(F.col(c) for c in ("observed", "weights", "means", "stds"))), F.lit(False))
+    return forecast.where(F.when(good, True).otherwise(F.raise_error(F.lit("a forecast needs finite values of one shape, weights that are not negative nor all zero, and positive deviations")).cast("boolean")))
+
+
+def write_mixture_diagnostics(path: str, **splits: DataFrame | None) -> None:
+    """The diagnostics of the forecasts of each split ('validation', 'test'), as JSON."""
+    runs.write_json(path, {split: diagnostics.mixture_diagnostics(checked_forecast(df)).first().asDict(recursive=True) for split, df in splits.items() if df is not None})
+
+
+def write_regime_diagnostics(path: str, posterior: DataFrame, by: Sequence[str] = ()) -> None:
+    """The diagnostics of regime posteriors (``seq``, ``probs``), as JSON."""
+    runs.write_json(path, regimes.posterior_diagnostics(posterior, by=by).first().asDict())
+
+
 @dataclass(frozen=True)
 class Persistence:
     window: int = 1
@@ -63,13 +81,9 @@ def evaluate_anomaly(validation: DataFrame, test: DataFrame, strategy: str = "ma
         local = out.join(first, group).withColumn("_place", F.col("seq") - F.col("_first"))
         return thresholds.persist(local, persistence.window, persistence.count, "_place", [group]).drop("_first", "_place")
 
-    rows = predicted(test).cache()
-    try:
-        found = ranges.range_metrics(rows).first().asDict()
-        delay = ranges.detection_delay(rows).first().asDict()
-        alarms = ranges.false_alarm_rate(rows).first()[0]
-    finally:
-        rows.unpersist()
+    found = ranges.measures(predicted(test)).first().asDict()
+    delay = {k: found.pop(k) for k in ("mean_delay", "median_delay", "detected", "missed")}
+    alarms = found.pop("false_alarms_per_1000")
     if areas is None:
         areas = threshold_free(test)
     per_group = {r[group]: r["threshold"] for r in chosen.by_group.select(group, "threshold").collect()} if chosen.by_group is not None else None
@@ -120,34 +134,43 @@ def rescore_id(base: str, strategy: str, persistence: Persistence) -> str:
     return f"{slug(base)}-{slug(strategy)}-w{persistence.window}-c{persistence.count}"
 
 
-def rescore(spark: SparkSession, run_dir: str, output_root: str, jobs: Sequence[tuple[str, Persistence]], *, base: str | None = None, overwrite: bool = False, compare: str | None = None) -> list[str]:
+def rescore(
+    spark: SparkSession, run_dir: str, output_root: str, jobs: Sequence[tuple[str, Persistence]], *, base: str | None = None, overwrite: bool = False, compare: str | None = None,
+    pipeline: str | None = None, dataset: str | None = None, seed: int | None = None, notes: str | None = None,
+) -> list[str]:
     """Score a run anew under each (strategy, persistence): a folder with metrics and a manifest
-    for each. Threshold-free areas do not depend on either, and are computed once. ``compare``
-    writes a table of all runs under the root."""
+    for each, whose ``pipeline``, ``dataset``, ``seed`` and ``notes`` are the source's unless given
+    (notes: unless given, what was done). Threshold-free areas do not depend on either, and are
+    computed once. ``compare`` writes a table of all runs under the root."""
     import shutil
 
     for strategy, persistence in jobs:
         thresholds.check_strategy(strategy)
         thresholds.check_persistence(persistence.window, persistence.count)
     scores = runs.read_table(spark, run_dir, "scores")
-    if scores is None:
-        raise FileNotFoundError(f"{run_dir} has no scores")
+    there = {r[0] for r in scores.select("split").distinct().collect()} if scores is not None else set()
+    missing = [f"scores of {s}" for s in ("validation", "test") if s not in there]
+    if missing:
+        raise FileNotFoundError(f"{run_dir} has no {' and no '.join(missing)}")
     known = f"{run_dir}/manifest.json"
     said = runs.read_manifest(known) if os.path.exists(known) else runs.RunManifest(os.path.basename(run_dir.rstrip("/")), "unknown", "unknown")
     scores = scores.cache()
-    validation, test = (scores.where(F.col("split") == s) for s in ("validation", "test"))
-    areas, made = threshold_free(test), []
-    for strategy, persistence in jobs:
-        name = rescore_id(base or said.run_id, strategy, persistence)
-        folder = f"{output_root}/{name}"
-        if os.path.isdir(folder):
-            if not overwrite:
-                raise FileExistsError(folder)
-            shutil.rmtree(folder)
-        runs.write_json(f"{folder}/metrics.json", {"anomaly": evaluate_anomaly(validation, test, strategy, persistence, areas=areas)})
-        runs.write_manifest(f"{folder}/manifest.json", runs.RunManifest(name, said.pipeline, said.dataset, said.seed, said.notes))
-        made.append(folder)
-    scores.unpersist()
+    try:
+        validation, test = (scores.where(F.col("split") == s) for s in ("validation", "test"))
+        areas, made = threshold_free(test), []
+        for strategy, persistence in jobs:
+            name = rescore_id(base or said.run_id, strategy, persistence)
+            folder = f"{output_root}/{name}"
+            if os.path.isdir(folder):
+                if not overwrite:
+                    raise FileExistsError(folder)
+                shutil.rmtree(folder)
+            runs.write_json(f"{folder}/metrics.json", {"anomaly": evaluate_anomaly(validation, test, strategy, persistence, areas=areas)})
+            done = notes or f"{run_dir} rescored by {strategy}, {persistence.count} of {persistence.window}"
+            runs.write_manifest(f"{folder}/manifest.json", runs.RunManifest(name, pipeline or said.pipeline, dataset or said.dataset, said.seed if seed is None else seed, done))
+            made.append(folder)
+    finally:
+        scores.unpersist()
     if compare:
         runs.write_comparison(runs.collect_runs(spark, output_root), compare)
     return made

@@ -177,9 +177,19 @@ TEST_SWEEP = f"{SC}, {_candidates_sql('tst')}, {_points_sql('tst')}"
 RANGE_SWEEP = f"{TEST_SWEEP}, {_range_sql('tst')}"
 
 
+def _with_candidates(spark: SparkSession, sf_dir: str, split: str) -> tuple[DataFrame, list[float]]:
+    """The rows, and their candidates: the scores are cached while these are chosen, and computed
+    anew for what the query returns."""
+    rows = scored(spark, sf_dir, split)
+    kept = rows.select("score").cache()
+    try:
+        return rows, _candidates(kept)
+    finally:
+        kept.unpersist()
+
+
 def _test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
-    rows = scored(spark, sf_dir, "test").cache()
-    return rows, _candidates(rows)
+    return _with_candidates(spark, sf_dir, "test")
 
 
 @query("pr_curve", f"WITH {TEST_SWEEP} SELECT CAST(cand_ix AS INT) AS cand_ix, tp, fp, tn, fn, round(p, 6) AS precision, round(r, 6) AS recall FROM pts")
@@ -230,15 +240,13 @@ def _chosen(swept: DataFrame, *order) -> DataFrame:
 
 @query("threshold_max_f1", f"WITH {VAL_SWEEP} {CHOSEN} ORDER BY round(f1, 9) DESC, round(r, 9) DESC, round(p, 9) DESC, cand_ix LIMIT 1")
 def threshold_max_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir, "validation").cache()
-    return _chosen(ranges.sweep_ranges(rows, _candidates(rows)), "f1", "recall", "precision")
+    return _chosen(ranges.sweep_ranges(*_with_candidates(spark, sf_dir, "validation")), "f1", "recall", "precision")
 
 
 def _target(name: str, recall: float) -> None:
     @query(name, f"WITH {VAL_SWEEP} {CHOSEN} WHERE r >= {recall} ORDER BY round(p, 9) DESC, round(r, 9) DESC, round(f1, 9) DESC, cand_ix LIMIT 1")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = scored(spark, sf_dir, "validation").cache()
-        swept = ranges.sweep_ranges(rows, _candidates(rows))
+        swept = ranges.sweep_ranges(*_with_candidates(spark, sf_dir, "validation"))
         return _chosen(swept.where(F.col("recall") >= recall), "precision", "recall", "f1")
 
 
@@ -261,7 +269,7 @@ def _evaluated(name: str, per_group: bool) -> None:
         else:
             level = round(quantiles.exact_quantiles(validation, "score", [0.95])[0], 9)
             predicted = thresholds.persist(thresholds.predict(test, level), 3, 2)
-        return _rounded(ranges.range_metrics(predicted)).crossJoin(F.broadcast(ranges.detection_delay(predicted).select("detected", "missed")))  # one row each
+        return ranges.measures(predicted).select(*(r6(F.col(c), c) for c in ("precision", "recall", "f1")), "detected", "missed")
 
 
 def _placed(df: DataFrame) -> DataFrame:
@@ -273,11 +281,31 @@ _evaluated("evaluate_anomaly_global", False)
 _evaluated("evaluate_anomaly_per_group", True)
 
 
-@query("select_threshold_strategies")
+def _strategies_sql() -> str:
+    swept = lambda name, where, order: f"SELECT '{name}' AS strategy, threshold FROM (SELECT threshold FROM rf {where} ORDER BY {order}, cand_ix LIMIT 1)"
+    found = [swept("max_validation_f1", "", "f1 DESC, r DESC, p DESC")]
+    found += [swept(name, f"WHERE r >= {recall}", "p DESC, r DESC, f1 DESC") for name, (recall, _) in thresholds.TARGET_RECALLS.items()]
+    found += [f"SELECT '{n}', quantile_cont(score, {q}::DOUBLE) FROM val" for n, q in thresholds.GLOBAL_QUANTILES.items()]
+    grouped = " UNION ALL ".join(f"SELECT '{n}' AS strategy, group_id, quantile_cont(score, {q}::DOUBLE) AS threshold FROM val GROUP BY 2" for n, q in thresholds.GROUP_QUANTILES.items())
+    predicted = "SELECT strategy, seq, label, CAST(score >= threshold AS INT) AS pred FROM st, val UNION ALL SELECT strategy, seq, label, CAST(score >= threshold AS INT) FROM gt JOIN val USING (group_id)"
+    exact = f"{SC}, {_candidates_sql('val').replace('round(th, 9)', 'th')}, {_points_sql('val')}, {_range_sql('val')}"
+    return (
+        f"WITH {exact}, st AS ({' UNION ALL '.join(found)}), gt AS ({grouped}), pr AS ({predicted}), {_islands('label', 'pr', 'ti', 'strategy')}, {_islands('pred', 'pr', 'pi', 'strategy')}, "
+        "m AS (SELECT s.strategy, st.threshold, coalesce((SELECT avg(true_share) FROM pi WHERE pi.strategy = s.strategy), 0) AS p, coalesce((SELECT avg(pred_share) FROM ti WHERE ti.strategy = s.strategy), 0) AS r FROM (SELECT DISTINCT strategy FROM pr) s LEFT JOIN st USING (strategy)) "
+        f"SELECT strategy, round(threshold, 6) AS threshold, {ROUNDED} FROM m"
+    )
+
+
+@query("select_threshold_strategies", _strategies_sql())
 def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every named strategy: its threshold (null for those by group) and range metrics."""
     rows = scored(spark, sf_dir, "validation").cache()
-    found = [(s, c.threshold, *(c.metrics[k] for k in ("precision", "recall", "f1"))) for s in ("max_validation_f1", "validation_quantile_99", "per_machine_validation_quantile_98", "validation_target_recall_70") for c in [selection.select_threshold(rows, s)]]
-    return spark.createDataFrame(found, "strategy string, threshold double, precision double, recall double, f1 double")
+    try:
+        found = [(s, c.threshold, *(c.metrics[k] for k in ("precision", "recall", "f1"))) for s in thresholds.STRATEGIES for c in [selection.select_threshold(rows, s)]]
+    finally:
+        rows.unpersist()
+    made = spark.createDataFrame(found, "strategy string, threshold double, precision double, recall double, f1 double")
+    return made.select("strategy", r6(F.col("threshold"), "threshold"), *(r6(F.col(c), c) for c in ("precision", "recall", "f1")))
 
 
 # Agreement of regimes: the regime of an event against the likeliest of the made posteriors.
@@ -311,7 +339,13 @@ def false_switch_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regimes.false_switch_rate(_labels(spark, sf_dir)).select(r6(F.col("false_switches_per_1000"), "false_switches_per_1000"))
 
 
-@query("align_regimes")
+@query(
+    "align_regimes",
+    f"WITH {PO}, c AS (SELECT regime_label AS truth, best AS pred, count(*) AS n FROM pe GROUP BY 1, 2), u AS (SELECT DISTINCT truth FROM c), "
+    "a AS (SELECT x.truth AS a, y.truth AS b, z.truth AS d FROM u x, u y, u z WHERE x.truth <> y.truth AND x.truth <> z.truth AND y.truth <> z.truth), "
+    "s AS (SELECT a, b, d, coalesce(sum(n), 0) AS hits FROM a LEFT JOIN c ON (pred = 0 AND truth = a) OR (pred = 1 AND truth = b) OR (pred = 2 AND truth = d) GROUP BY 1, 2, 3), m AS (SELECT * FROM s ORDER BY hits DESC LIMIT 1) "
+    "SELECT truth, CASE pred WHEN 0 THEN m.a WHEN 1 THEN m.b ELSE m.d END AS pred, CAST(sum(n) AS BIGINT) AS n FROM c, m GROUP BY 1, 2",
+)
 def align(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labels(spark, sf_dir)
     return regimes.contingency(regimes.aligned(rows, regimes.align(rows)), pred="aligned")
@@ -348,8 +382,8 @@ def _job_sql(i: int, q: float, window: int, count: int) -> str:
     f"WITH {SC}, " + ", ".join(_job_sql(i, q, *p) for i, (q, p) in enumerate(JOBS)) + " " + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS quantile, {w} AS persistence_window, {c} AS persistence_count, {ROUNDED} FROM m{i}" for i, (q, (w, c)) in enumerate(JOBS)),
 )
 def rescore_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every threshold under every persistence; the scores are computed once."""
-    test = scored(spark, sf_dir, "test").cache()
+    """Every threshold under every persistence."""
+    test = scored(spark, sf_dir, "test")
     levels = dict(zip((0.95, 0.98, 0.99), quantiles.exact_quantiles(scored(spark, sf_dir, "validation"), "score", [0.95, 0.98, 0.99]), strict=True))
     out = []
     for q, (window, count) in JOBS:

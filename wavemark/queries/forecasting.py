@@ -9,7 +9,7 @@ from ..functions import gaussian, mixture, scores
 from ..functions.energy import energy_score
 from ..functions.intervals import channel_coverage
 from ..operators import baselines, diagnostics, regimes, scaling, windows
-from ..operators.sequence import numbered
+from ..operators.sequence import CHUNK, numbered
 from ..plans import neural
 from .series import H, L, S, WINDOWS, _windows, r6
 from .views import EV, Query, series_events
@@ -50,7 +50,7 @@ def persistence_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {EV}, {WINDOWS}, q AS (SELECT series_id, start, row_number() OVER (ORDER BY series_id, start) - 1 AS seq FROM ws), f AS (SELECT seq * {L} + (ev.t - q.start) AS place, v FROM q JOIN ev ON ev.series_id = q.series_id AND ev.t BETWEEN q.start AND q.start + {L - 1}), d AS (SELECT v - lag(v) OVER (ORDER BY place) AS d FROM f) SELECT round(stddev_pop(d), 6) AS std FROM d",
 )
 def flatten_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = numbered(_windows(spark, sf_dir).select("series_id", "start", "window"), ["series_id"], ["start"])
+    made = numbered(_windows(spark, sf_dir).select("series_id", "start", "window"), ["series_id"], ["start"], chunk=CHUNK)
     flat = windows.flatten(made, lookback=L).select("place", "x")
     return baselines.fit_seasonal(flat, 1, by=(), t="place").select(r6(F.col("std")[0], "std"))
 
@@ -130,7 +130,17 @@ def pit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixtures(spark, sf_dir).select("series_id", "t", r6(F.get(mixture.pit(*_cols()), F.lit(0)), "pit_v"))
 
 
-@query("interval_coverage_90")
+def _coverage_sql(n_grid: int = 128) -> str:
+    """Central intervals by the same grid of points: a point is reached where the distribution
+    function is at the level or above, and the interval's end is interpolated from the point before."""
+    ends = "p AS (SELECT series_id, t, unnest([struct_pack(d := 0, y := v, m1 := m1v, m2 := m2v, s1 := s1v, s2 := s2v), struct_pack(d := 1, y := k, m1 := m1k, m2 := m2k, s1 := s1k, s2 := s2k)]) AS c, w1, w2 FROM mx), e AS (SELECT series_id, t, c.d AS d, c.y AS y, c.m1 AS m1, c.m2 AS m2, c.s1 AS s1, c.s2 AS s2, w1, w2, least(c.m1 - 8 * c.s1, c.m2 - 8 * c.s2) AS lo, greatest(c.m1 + 8 * c.s1, c.m2 + 8 * c.s2) AS hi FROM p)"
+    grid = f"g AS (SELECT *, lo + (hi - lo) * (i / {n_grid - 1}.0::DOUBLE) AS x FROM e, (SELECT unnest(range({n_grid})) AS i)), f AS (SELECT *, w1 * {gaussian.cdf_sql('((x - m1) / s1)')} + w2 * {gaussian.cdf_sql('((x - m2) / s2)')} AS f FROM g)"
+    steps = "l AS (SELECT *, lag(x) OVER w AS bx, lag(f) OVER w AS bf FROM f WINDOW w AS (PARTITION BY series_id, t, d ORDER BY i))"
+    end = lambda q: f"arg_min(CASE WHEN i = 0 THEN x ELSE bx + (x - bx) * least(greatest(({q} - bf) / greatest(f - bf, 1e-12), 0), 1) END, i) FILTER (f >= {q})"
+    return f"WITH {MX}, {ends}, {grid}, {steps}, q AS (SELECT series_id, t, d, any_value(y) AS y, {end('0.05::DOUBLE')} AS a, {end('0.95::DOUBLE')} AS b FROM l GROUP BY 1, 2, 3) SELECT series_id, round(avg(CAST(y >= a AND y <= b AS INT)), 6) AS coverage FROM q GROUP BY 1"
+
+
+@query("interval_coverage_90", _coverage_sql())
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixtures(spark, sf_dir).select("series_id", F.explode(channel_coverage(*COLUMNS)).alias("c"))
     return rows.groupBy("series_id").agg(r6(F.avg("c"), "coverage"))
@@ -169,7 +179,7 @@ _score("score_channel_top3", "channel_top3_mean_nll", "SELECT series_id, example
 def posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.pmod(F.col("x")[1].cast("long"), F.lit(4)) + 1.0, F.col("t") % 3 + 1.0
     rows = series_events(spark, sf_dir).select("series_id", "t", F.transform(F.array(a, b, F.lit(2.0)), lambda p: p / (a + b + 2)).alias("probs"), "regime_label")
-    return numbered(rows, ["series_id"], ["t"])
+    return numbered(rows, ["series_id"], ["t"], chunk=CHUNK)
 
 
 PO = f"""{EV}, q AS (SELECT series_id, t, regime_label, row_number() OVER (ORDER BY series_id, t) - 1 AS seq, CAST(k AS BIGINT) % 4 + 1.0::DOUBLE AS a, t % 3 + 1.0::DOUBLE AS b FROM ev),
@@ -231,7 +241,7 @@ def _forecast(spark: SparkSession, sf_dir: str, n_regimes: int) -> DataFrame:
     """A small model of all scaled windows, trained for one epoch; its forecasts' means."""
     ev = series_events(spark, sf_dir)
     made = windows.make_windows(scaling.scale(ev, scaling.fit_scaler(ev)), L, H, S)
-    rows = numbered(made, ["series_id"], ["start"])
+    rows = numbered(made, ["series_id"], ["start"], chunk=CHUNK)
     config = neural.ModelConfig(2, H, hidden=6, components=2, n_regimes=n_regimes)
     model = neural.train(rows, config, neural.TrainingConfig(epochs=1, supervised=0.1 if n_regimes else 0.0))
     return neural.predict(rows, model, ("series_id", "start")).select("series_id", "start", "h", F.round(mixture.predictive_mean(F.col("weights"), F.col("means"))[0], 4).alias("mean"), regimes.argmax(F.col("probs")).alias("regime") if n_regimes else F.lit(0).cast("long").alias("regime"))

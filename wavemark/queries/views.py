@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mixture import nll
 from ..operators import baselines
-from ..operators.sequence import numbered, trailing
+from ..operators.sequence import CHUNK, numbered, trailing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +55,7 @@ def scored(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
     one = lambda c: F.array(F.col(c)[0])
     score = nll(one("x"), F.array(F.lit(1.0)), F.array(one("before")), F.array(one("std")))
     made = rows.select(F.col("series_id").alias("group_id"), "t", F.round(score, 6).alias("score"), F.col("anomaly_label").alias("label"))
-    return numbered(made, ["group_id"], ["t"])
+    return numbered(made, ["group_id"], ["t"], chunk=CHUNK)
 
 
 SC = f"""{EV},

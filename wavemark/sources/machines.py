@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import scaling, windows
@@ -13,58 +13,68 @@ from ..operators import scaling, windows
 PARTS = ("train", "test", "test_label")
 
 
-def _files(spark: SparkSession, root: str, part: str) -> DataFrame:
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1)
-    read = spark.read.option("pathGlobFilter", "*.txt").text(f"{root}/{part}", wholetext=True)
-    return read.select(F.url_decode(name).alias("machine_id"), F.col("value").alias("text"))
+def _name():
+    return F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1))
+
+
+def _lines(spark: SparkSession, root: str, part: str, machines: DataFrame) -> DataFrame:
+    """``machine_id``, ``group_id``, ``t`` and ``line``: the lines of each machine's file that are not
+    blank, numbered from 0 in the order of the file. Long files are read in splits; lines are put in
+    order by the place of their split and their place in it."""
+    read = spark.read.option("pathGlobFilter", "*.txt").text(f"{root}/{part}")
+    rows = read.select(_name().alias("machine_id"), "value", F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("_place"))
+    rows = rows.where(F.trim("value") != "").join(machines, "machine_id")
+    t = F.row_number().over(Window.partitionBy("machine_id").orderBy("_place")) - 1
+    return rows.select("machine_id", "group_id", t.cast("long").alias("t"), F.trim("value").alias("line"))
 
 
 def machine_ids(spark: SparkSession, root: str) -> DataFrame:
     """The machines that have all three files, in order of their names. A missing folder fails."""
-    found = [spark.read.option("pathGlobFilter", "*.txt").format("binaryFile").load(f"{root}/{p}").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("machine_id")) for p in PARTS]
+    found = [spark.read.option("pathGlobFilter", "*.txt").format("binaryFile").load(f"{root}/{p}").select(_name().alias("machine_id")) for p in PARTS]
     return found[0].intersect(found[1]).intersect(found[2]).orderBy("machine_id")
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    lines = F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != "")
-    return files.select("machine_id", F.posexplode(lines).alias("t", "line"))
-
-
-def load_matrix(files: DataFrame) -> DataFrame:
-    """``machine_id``, ``t``, ``x``. A file of a single line is one channel, a step for each of its
-    values; one of a single column has one channel. Values that are no finite numbers fail."""
-    rows = _lines(files).withColumn("x", F.split("line", ",").cast("array<double>"))
-    n = rows.groupBy("machine_id").agg(F.count("*").alias("n"))
-    rows = rows.join(F.broadcast(n), "machine_id")
-    single = rows.where("n = 1").select("machine_id", F.posexplode("x").alias("t", "v")).select("machine_id", "t", F.array("v").alias("x"))
-    return scaling.finite_rows(rows.where("n > 1").select("machine_id", "t", "x").union(single))
+def load_matrix(lines: DataFrame) -> DataFrame:
+    """``machine_id``, ``group_id``, ``t``, ``x``. A file of a single line is one channel, a step for
+    each of its values; one of a single column has one channel. Values that are no finite numbers
+    fail."""
+    last = F.max("t").over(Window.partitionBy("machine_id"))
+    rows = lines.withColumn("x", F.split("line", ",").cast("array<double>")).withColumn("_last", last)
+    steps = F.when(F.col("_last") == 0, F.transform("x", lambda v, i: F.struct(i.cast("long").alias("t"), F.array(v).alias("x")))).otherwise(F.array(F.struct("t", "x")))
+    return scaling.finite_rows(rows.select("machine_id", "group_id", F.explode(steps).alias("s")).select("machine_id", "group_id", "s.t", "s.x"))
 
 
-def load_labels(files: DataFrame) -> DataFrame:
-    """``machine_id``, ``t``, ``label``; labels other than 0 and 1 fail."""
-    flat = _lines(files).select("machine_id", "t", F.posexplode(F.split("line", ",")).alias("k", "v"))
-    rows = flat.select("machine_id", F.col("t").cast("long"), F.col("v").cast("double").cast("int").alias("label"))
-    good = F.when(F.col("label").isin(0, 1), True).otherwise(F.raise_error(F.lit("labels must be 0 or 1")).cast("boolean"))
-    return rows.where(good)
+def load_labels(lines: DataFrame) -> DataFrame:
+    """``machine_id``, ``t``, ``label``; labels other than 0 and 1 fail, also 0.7. A single line may
+    hold them all."""
+    flat = lines.select("machine_id", F.col("t").alias("_line"), F.posexplode(F.split("line", ",")).alias("k", "v"))
+    label = F.when(F.trim("v").isin("0", "1"), F.trim("v").cast("int")).otherwise(F.raise_error(F.lit("labels must be 0 or 1")).cast("int"))
+    return flat.select("machine_id", (F.col("_line") + F.col("k")).alias("t"), label.alias("label"))
 
 
 def load_machines(spark: SparkSession, root: str, ids: Sequence[str] | None = None) -> DataFrame:
     """``machine_id``, ``group_id`` (the machine's place: by name, or as given), ``split`` ('train',
-    'test'), ``t``, ``x``, ``anomaly_label`` (0 in train) and ``regime_label`` (0)."""
+    'test'), ``t``, ``x``, ``anomaly_label`` (0 in train) and ``regime_label`` (0). A machine one of
+    whose files is missing or has no lines fails the job, as do test rows and labels of different
+    number."""
     names = [r[0] for r in machine_ids(spark, root).collect()] if ids is None else list(ids)
     if not names:
         raise ValueError("no machines")
-    places = F.create_map(*(F.lit(x) for i, m in enumerate(names) for x in (m, i)))
+    machines = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "machine_id string, group_id int")
 
     def of(part: str) -> DataFrame:
-        return _files(spark, root, part).where(F.col("machine_id").isin(*names))
+        """The lines of a part; a machine without any keeps a row, which fails."""
+        lines = _lines(spark, root, part, machines).drop("group_id")
+        whole = machines.join(lines, "machine_id", "left")
+        found = F.when(F.col("t").isNotNull(), True).otherwise(F.raise_error(F.concat(F.lit(f"an empty file, or none, in {part}: "), "machine_id")).cast("boolean"))
+        return whole.where(found)
 
     test = load_matrix(of("test")).join(load_labels(of("test_label")), ["machine_id", "t"], "full")
     whole = F.col("x").isNotNull() & F.col("label").isNotNull()
     test = test.where(F.when(whole, True).otherwise(F.raise_error(F.lit("test rows and labels differ in number")).cast("boolean")))
     train = load_matrix(of("train")).withColumn("label", F.lit(0)).withColumn("split", F.lit("train"))
     rows = train.unionByName(test.withColumn("split", F.lit("test")))
-    return rows.select("machine_id", places[F.col("machine_id")].alias("group_id"), "split", F.col("t").cast("long").alias("t"), "x", F.col("label").alias("anomaly_label"), F.lit(0).alias("regime_label"))
+    return rows.select("machine_id", "group_id", "split", "t", "x", F.col("label").alias("anomaly_label"), F.lit(0).alias("regime_label"))
 
 
 def prepare_machines(rows: DataFrame, validation: float = 0.2) -> DataFrame:
@@ -81,8 +91,8 @@ def prepare_machines(rows: DataFrame, validation: float = 0.2) -> DataFrame:
 def windowed_machines(rows: DataFrame, lookback: int, horizon: int, stride: int = 1) -> DataFrame:
     """Windows of prepared machines, rounded to 32 bits, with ``seq`` in each split: machines in
     their order, one after another."""
-    from ..operators.sequence import numbered
+    from ..operators.sequence import CHUNK, numbered
 
     made = windows.make_windows(rows, lookback, horizon, stride, by=["split", "group_id"], single=True)
-    splits = [numbered(made.where(F.col("split") == s), ["group_id"], ["start"]) for s in ("train", "validation", "test")]
+    splits = [numbered(made.where(F.col("split") == s), ["group_id"], ["start"], chunk=CHUNK) for s in ("train", "validation", "test")]
     return splits[0].unionByName(splits[1]).unionByName(splits[2])
