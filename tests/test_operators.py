@@ -365,3 +365,30 @@ def test_noise_against_brute_force(spark):
     many = draws.normals(np.arange(20000), 1, 3)
     assert abs(many.mean()) < 0.02 and abs(many.std() - 1) < 0.02 and abs(np.corrcoef(many.T) - np.eye(3)).max() < 0.03
     assert (draws.normals(np.arange(5), 1, 2) == draws.normals(np.arange(5), 1, 7)[:, :2]).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_of_failures_against_brute_force(spark, seed):
+    """Events that repeat what earlier events left, also where these overlap."""
+    rng, length = np.random.default_rng(seed), 24
+    modes = rng.choice(["stuck_at", "phase_shift", "additive_drift", "spike_train", "dropout"], 5)
+    events = []
+    for mode in [*modes, "stuck_at", "phase_shift"]:
+        start = int(rng.integers(0, 18))
+        events.append(failures.FailureEvent(str(mode), start, start + int(rng.integers(1, 7)), (0,) if rng.random() < 0.5 else None, float(rng.integers(1, 4)), 7.0, int(rng.integers(1, 4)), int(rng.integers(1, 5))))
+    want = {s: np.array([[100.0 * s + t, -t] for t in range(length)], float) for s in (1, 2)}
+    for e in events:
+        for x in want.values():
+            was = x.copy()
+            for t in range(e.start, e.end):
+                for d in e.channels or (0, 1):
+                    steps = e.end - e.start - 1
+                    x[t, d] = {
+                        "stuck_at": was[e.start - 1, d] if e.start else e.value, "phase_shift": was[max(t - e.lag, 0), d], "dropout": e.value,
+                        "additive_drift": was[t, d] + (e.magnitude * (t - e.start) / steps if steps else 0), "spike_train": was[t, d] + (e.magnitude if (t - e.start) % e.period == 0 else 0),
+                    }[e.mode]
+    df = spark.createDataFrame([(s, t, [100.0 * s + t, -float(t)], 0) for s in (1, 2) for t in range(length)], "series_id int, t long, x array<double>, anomaly_label int")
+    got = failures.inject(df.repartition(3), events)
+    assert got.columns == df.columns
+    for r in got.collect():
+        assert r["x"] == pytest.approx(want[r["series_id"]][r["t"]].tolist())
