@@ -12,16 +12,17 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .tokens import Memo, byte_alphabet, library, per_text, slices
+from .tokens import Memo, byte_alphabet, library, per_text, places, slices
 
 _NEVER = np.iinfo(np.int64).max
 #: Stretches with other characters than these are brought to normal form and cut by the file's own
@@ -164,7 +165,7 @@ class TextEncoder:
     ``SpeculativeBPE``; only texts with an added token's string go to the library. The ids of
     stretches between white space are remembered, up to ``memo_limit`` stretches."""
 
-    def __init__(self, path: str, memo_limit: int = 150_000):
+    def __init__(self, path: str, memo_limit: int = 300_000):
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
         self._tokenizer = library(path)
@@ -192,8 +193,8 @@ class TextEncoder:
             return words
         return [w.encode().decode("latin-1").translate(self._letters) for w in words]
 
-    def _learn(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [*map(self._words, stretches)]
+    def _learn(self, stretches: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        cut = [*map(self._words, stretches.to_pylist())]
         words = list({w for ws in cut for w in ws})
         known = dict(zip(words, self._bpe.encode_words(words), strict=True))
         rows = [[t for w in ws for t in known[w]] for ws in cut]
@@ -202,17 +203,20 @@ class TextEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end (int32), and the number of ids of each text."""
-        stretches: list[str] = []
-        counts, whole = np.zeros(len(texts), np.int64), {}
+        whole, cut = {}, []
         for i, text in enumerate(texts):
             if text and any(a in text for a in self._added):
                 whole[i] = np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-            elif text:
-                # Unicode white space apart from the ASCII kind may join with marks: left to the file's own cuts.
-                parts = _ASCII_SPACE.split(text) if _RARE.search(text) else text.lower().split()
-                counts[i] = len(parts)
-                stretches += parts
-        values, lengths = self._memo.ids(stretches)
+                cut.append("")
+            elif text and _RARE.search(text):  # other white space may join with marks: left to the file's own cuts
+                cut.append(_ASCII_SPACE.sub(" ", text))
+            else:
+                cut.append(" ".join((text or "").lower().split()))
+        parts = pc.split_pattern(pa.array(cut, pa.string()), " ")
+        stretches = parts.values.dictionary_encode()
+        index, counts = stretches.indices.to_numpy().astype(np.int64), np.diff(parts.offsets.to_numpy())
+        values, lengths = self._memo.ids(stretches.dictionary)
+        values, lengths = values[places((np.cumsum(lengths) - lengths)[index], lengths[index])], lengths[index]
         sizes = per_text(lengths, counts)
         if whole:
             cuts = np.concatenate([[0], np.cumsum(sizes)])
@@ -232,19 +236,26 @@ def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def encode_documents(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``ids`` (array of int) of each row. Null and empty texts have the empty
-    array; null ids and repeated rows pass through; other columns are not read."""
+def encode_documents(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """``doc_id`` and ``ids`` (array of int) of each row; with ``decode`` also ``decoded``, what
+    ``decode_documents`` makes of the ids, in the same tasks. Null and empty texts have the empty
+    array; null ids and repeated rows pass through; other columns are not read. An empty table gives
+    no rows."""
     schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    if decode:
+        schema = schema.add("decoded", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(tokenizer)
+        encoder, text_of = text_encoder(tokenizer), decoder(tokenizer) if decode else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 values, sizes = encoder.encode(texts[a:b])
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"])
+                bounds = np.concatenate([[0], np.cumsum(sizes)])
+                columns = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))]
+                if decode:
+                    columns.append(pa.array([text_of(values[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -258,38 +269,32 @@ def decode_documents(df: DataFrame, tokenizer: str, *, ids_col: str = "ids") ->
     at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, library = decoder(tokenizer)
+        text_of = decoder(tokenizer)
         for batch in batches:
             lists = batch.column(at)
             flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            known, out = lists.is_valid().to_numpy(zero_copy_only=False), []
-            for a, b, own in zip(bounds[:-1], bounds[1:], known, strict=True):
-                ids = flat[a:b]
-                if not own:
-                    out.append(None)
-                elif library is not None:
-                    out.append(library.decode(ids.tolist(), skip_special_tokens=False))
-                else:
-                    if b > a and (ids.min() < 0 or ids.max() >= len(tokens)):
-                        ids = ids[(ids >= 0) & (ids < len(tokens))]
-                    out.append(" ".join(tokens[ids].tolist()))
+            known = lists.is_valid().to_numpy(zero_copy_only=False)
+            out = [text_of(flat[a:b]) if own else None for a, b, own in zip(bounds[:-1], bounds[1:], known, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 @lru_cache(maxsize=2)
-def decoder(path: str) -> tuple[np.ndarray, object | None]:
-    """The tokens by id; and the library's tokenizer, if the file has a decoder of its own. Without
-    one, decoding joins tokens by single spaces."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    if tokenizer.decoder:
-        return np.zeros(0, object), tokenizer
+def decoder(path: str) -> Callable[[np.ndarray], str]:
+    """The text of some ids. A file without a decoder of its own joins tokens by single spaces; one
+    that has a decoder, or whose ids leave gaps, is left to the library."""
+    tokenizer = library(path)
     vocab = tokenizer.get_vocab(with_added_tokens=True)
     tokens = np.empty(max(vocab.values()) + 1, object)
     for token, i in vocab.items():
         tokens[i] = token
-    # A file whose ids leave gaps is left to the library, which passes over them.
-    return tokens, tokenizer if any(t is None for t in tokens) else None
+    if tokenizer.decoder or any(t is None for t in tokens):
+        return lambda ids: tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+
+    def joined(ids: np.ndarray) -> str:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens)):
+            ids = ids[(ids >= 0) & (ids < len(tokens))]
+        return " ".join(tokens[ids].tolist())
+
+    return joined

@@ -4,14 +4,15 @@ Spark tasks."""
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END = 0
-#: Longer stretches are encoded each time they come, so that the memo stays small.
+#: Longer words are encoded each time they come, so that the memo stays small.
 MEMO_CHARS = 64
 
 
@@ -33,63 +34,55 @@ def library(path: str):
     return tokenizer
 
 
-class _Numbers(dict):
-    """Numbers keys as they are first asked for, and lists the new ones."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        self.new.append(key)
-        return number
-
-
 class Memo:
-    """The ids of stretches of text. ``learn`` gives those of stretches not met before: all ids end
-    to end, and how many each has. At ``most`` stretches everything is forgotten; stretches of more
-    than MEMO_CHARS characters are never kept."""
+    """The ids of words, which are Arrow strings here and never become objects of their own unless
+    they are new. ``learn`` gives the ids of words not met before: all ids end to end, and how many
+    each has. At ``most`` words, those that came in one batch only are forgotten, and of the others
+    the rarer, if they are more than half. Words of more than MEMO_CHARS characters are never kept."""
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
+    def __init__(self, learn: Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]], most: int):
         self._learn, self._most = learn, most
-        self._forget()
-
-    def _forget(self) -> None:
-        self._numbers, self._values, self._offsets, self._used = _Numbers(), np.zeros(1 << 12, np.int32), np.zeros(1, np.int64), 0
-
-    def _append(self, values: np.ndarray, lengths: np.ndarray) -> None:
-        end = self._used + len(values)
-        if end > len(self._values):  # doubled, so that each id is copied a few times at most
-            self._values = np.concatenate([self._values[: self._used], np.zeros(max(end, 2 * len(self._values)) - self._used, np.int32)])
-        self._values[self._used : end] = values
-        self._offsets = np.concatenate([self._offsets, self._used + np.cumsum(lengths)])
-        self._used = end
-
-    def ids(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end (int32), and the number of ids of each stretch."""
-        if len(self._numbers) > self._most:
-            self._forget()
-        long = {i: s for i, s in enumerate(stretches) if len(s) > MEMO_CHARS}
-        if long:
-            kept = list(stretches)
-            for i in long:
-                kept[i] = ""
-            stretches = kept
-        index = np.fromiter(map(self._numbers.__getitem__, stretches), np.int64, len(stretches))
-        if self._numbers.new:
-            new, self._numbers.new = self._numbers.new, []
-            self._append(*self._learn(new))
-        first = self._offsets[index]
-        lengths = self._offsets[index + 1] - first
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        values = self._values[np.repeat(first - ends[:-1], lengths) + np.arange(ends[-1])]
-        if long:
-            own, sizes = self._learn([*long.values()])
-            at = np.fromiter(long, np.int64, len(long))
-            values = np.insert(values, np.repeat(ends[at], sizes), own)
-            lengths[at] = sizes
-        return values, lengths
+        self._words, self._hits = pa.array([], pa.string()), np.zeros(0, np.int64)
+        self._values, self._lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _keep(self, kept: np.ndarray) -> None:
+        first = np.cumsum(self._lengths) - self._lengths
+        self._values = self._values[places(first[kept], self._lengths[kept])]
+        self._words, self._lengths = self._words.take(pa.array(kept)), self._lengths[kept]
+
+    def ids(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """For words of which none comes twice: all ids end to end (int32), and the number of ids of
+        each word."""
+        at = pc.index_in(words, value_set=self._words)
+        fresh = at.is_null().to_numpy(zero_copy_only=False)
+        new = words.filter(pa.array(fresh))
+        values, lengths = self._learn(new)
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        place[fresh] = len(self._words) + np.arange(len(new))
+        self._hits[place[~fresh]] += 1
+        self._values, self._lengths = np.concatenate([self._values, values.astype(np.int32)]), np.concatenate([self._lengths, lengths])
+        first = np.cumsum(self._lengths) - self._lengths
+        found = self._values[places(first[place], self._lengths[place])], self._lengths[place]
+        self._words, self._hits = pa.concat_arrays([self._words, new]), np.concatenate([self._hits, np.zeros(len(new), np.int64)])
+        long = pc.greater(pc.utf8_length(new), MEMO_CHARS).to_numpy(zero_copy_only=False)
+        if len(self._words) > self._most:
+            half = self._most // 2
+            least = max(1, int(np.partition(self._hits, -half)[-half]) + 1) if half else 1
+            kept = self._hits >= least
+            self._keep(np.flatnonzero(kept))
+            self._hits = np.zeros(int(kept.sum()), np.int64)
+        elif long.any():
+            kept = np.ones(len(self._words), bool)
+            kept[len(kept) - len(new) :] = ~long
+            self._keep(np.flatnonzero(kept))
+            self._hits = self._hits[kept]
+        return found
+
+
+def places(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs of ``lengths`` that begin at ``first``, run after run."""
+    ends = np.cumsum(lengths)
+    return np.repeat(first - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def per_text(lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -99,18 +92,23 @@ def per_text(lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return ends[stops] - ends[stops - counts]
 
 
+#: Fixed value: white space, as regular expressions of any engine may understand it.
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 class ByteEncoder:
     """``encode`` equals the library's encode(text, add_special_tokens=False).
 
-    The library encodes each different stretch of a text once, and its ids are remembered. A text
-    is cut before single spaces: there its pattern always begins a new word, whatever stands before,
-    so the ids of a text are those of its stretches. Texts in which that is not certain (a space with
-    white space on both sides, or an added token's string) go to the library as a whole.
+    Texts are cut before single spaces: there the library's pattern always begins a new word,
+    whatever stands before, so the ids of a text are those of its words, each with the space before
+    it. The library encodes each word that is new, and its ids are remembered. Texts in which the
+    cut is not certain (a space with white space on both sides, or an added token's string) go to
+    the library as a whole.
     """
 
-    _UNCERTAIN = re.compile(r"\s (?:\s|\Z)")
+    _UNCERTAIN, _BEGINS = f"[{_SPACE}] (?:[{_SPACE}]|$)", f"^[^{_SPACE}]"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
         self._tokenizer, cut = library(path), said["pre_tokenizer"] or {}
@@ -122,51 +120,51 @@ class ByteEncoder:
         self._begins[[i for t, i in self._tokenizer.get_vocab(with_added_tokens=True).items() if t.startswith(space)]] = True
         self._memo = Memo(self._learn, most)
 
-    def _learn(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Stretches that begin with a space and no other white space are encoded one after another
-        as one text: the tokens that begin with a space tell where each begins."""
-        joined = [i for i, s in enumerate(stretches) if s[:1] == " " and not s[1:2].isspace() and len(s) > 1]
-        alone = np.ones(len(stretches), bool)
-        alone[joined] = False
-        rows = [e.ids for e in self._tokenizer.encode_batch_fast([s for s, own in zip(stretches, alone, strict=True) if own], add_special_tokens=False)]
-        lengths = np.zeros(len(stretches), np.int64)
-        lengths[alone] = [*map(len, rows)]
-        flat = np.array([t for r in rows for t in r], np.int32)
-        if joined:
-            runs = ["".join(stretches[i] for i in joined[a : a + 1000]) for a in range(0, len(joined), 1000)]
-            own = np.concatenate([np.array(e.ids, np.int32) for e in self._tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
-            lengths[joined] = np.diff(np.append(np.flatnonzero(self._begins[own]), len(own)))
-            flat = np.concatenate([flat, own])
-            order = np.argsort(np.concatenate([np.repeat(np.flatnonzero(alone), lengths[alone]), np.repeat(joined, lengths[joined])]), kind="stable")
-            flat = flat[order]
-        return flat, lengths
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [np.array(e.ids, np.int32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return (np.concatenate(rows) if rows else np.zeros(0, np.int32)), np.fromiter(map(len, rows), np.int64, len(rows))
+
+    def _learn(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words with a space before each. They are encoded one after another as one
+        text: the tokens that begin with a space tell where each begins. Only words that are empty,
+        or begin with white space, are encoded alone."""
+        begins = pc.match_substring_regex(words, self._BEGINS).to_numpy(zero_copy_only=False)
+        joined = words.filter(pa.array(begins))
+        cuts = pa.array(np.append(np.arange(0, len(joined), 1000), len(joined)).astype(np.int32))
+        texts = [" " + t for t in pc.binary_join(pa.ListArray.from_arrays(cuts, joined), " ").to_pylist()] if len(joined) else []
+        values, _ = self._plain(texts)
+        alone, sizes = self._plain([" " + w for w in words.filter(pa.array(~begins)).to_pylist()])
+        lengths = np.zeros(len(words), np.int64)
+        lengths[begins] = np.diff(np.append(np.flatnonzero(self._begins[values]), len(values)))
+        lengths[~begins] = sizes
+        if len(alone):
+            values = np.insert(values, np.repeat((np.cumsum(lengths * begins) - lengths * begins)[~begins], sizes), alone)
+        return values, lengths
 
     def encode(self, texts: list[str | None], end: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end (uint32), and the number of ids of each text. ``end``: id 0 follows
         each text. None counts as the empty text."""
-        stretches: list[str] = []
-        counts, whole = np.zeros(len(texts), np.int64), []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if self._UNCERTAIN.search(text) or any(a in text for a in self._added):
-                whole.append(i)
-                continue
-            first, *rest = text.split(" ")
-            parts = [first, *map(" ".__add__, rest)]
-            counts[i] = len(parts)
-            stretches += parts
-        values, lengths = self._memo.ids(stretches)
-        sizes = per_text(lengths, counts)
-        if whole or end:
-            own = dict(zip(whole, (e.ids for e in self._tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False)), strict=True))
-            tail = [np.array([END], np.int32)] if end else []
-            cuts = np.concatenate([[0], np.cumsum(sizes)])
-            rows = [x for i in range(len(texts)) for x in (np.array(own[i], np.int32) if i in own else values[cuts[i] : cuts[i + 1]], *tail)]
-            values = np.concatenate(rows) if rows else values
-            for i, ids in own.items():
-                sizes[i] = len(ids)
-            sizes = sizes + int(end)
+        given = pa.array([t or "" for t in texts], pa.string())
+        apart = pc.match_substring_regex(given, self._UNCERTAIN)
+        for a in self._added:
+            apart = pc.or_(apart, pc.match_substring(given, a))
+        whole = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
+        parts = pc.split_pattern(pc.if_else(apart, "", given), " ")
+        starts, counts = parts.offsets.to_numpy()[:-1], np.diff(parts.offsets.to_numpy())
+        words = parts.values.dictionary_encode()
+        index = words.indices.to_numpy().astype(np.int64)
+        index[starts] = len(words.dictionary) + np.arange(len(texts))  # a text's first word has no space before it
+        firsts = parts.values.take(pa.array(starts)).to_pylist()
+        for i in whole.tolist():  # a text that is not cut is all first word
+            firsts[i] = texts[i]
+        (values, lengths), (more, sizes) = self._memo.ids(words.dictionary), self._plain(firsts)
+        values, lengths = np.concatenate([values, more]), np.concatenate([lengths, sizes])
+        values = values[places((np.cumsum(lengths) - lengths)[index], lengths[index])]
+        sizes = per_text(lengths[index], counts)
+        if end:
+            values, sizes = np.insert(values, np.cumsum(sizes), END), sizes + 1
+        del given, parts, words
+        pa.default_memory_pool().release_unused()
         return values.astype(np.uint32), sizes
 
 
