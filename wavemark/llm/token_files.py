@@ -1,11 +1,12 @@
 """Token ids in Arrow files of fixed-size lists.
 
 Documents in ascending id order make one stream of ids (an end id after each). Each file holds a
-range of documents as record batches of two fixed-size-list columns, ``ids`` (uint16 or uint32, as
-the tokenizer's ids need) and ``mask`` (uint8, 1 for an id and 0 for padding), both
-``sequence_length`` wide. All batches but the last have ``batch_rows`` sequences, so the batch and
-place of a sequence follow from its number by division; nothing is compressed, so a memory map gives
-ids and mask without a copy. Only the last sequence of a file is padded. A second file beside it, in
+range of documents as record batches of two fixed-size-list columns: ``ids`` (uint16 or uint32, as
+the tokenizer's ids need), ``sequence_length`` wide, and ``mask``, the bytes of a bit for each of
+them, 1 for an id and 0 for padding, lowest bit first. All batches but the last have ``batch_rows``
+sequences, so the batch and place of a sequence follow from its number by division; nothing is
+compressed and every mask begins at a byte, so a memory map gives ids and mask without a copy. Only
+the last sequence of a file is padded. A second file beside it, in
 the same format, has a row for each document: its id, and where its ids start and how many there
 are, in the file's stream.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from .ordering import MOST_RANGES, in_ranges
 from .storage import new_path
-from .tokens import byte_encoder, slices, vocabulary_size
+from .tokens import byte_encoder, text_slices, vocabulary_size
 
 
 def filesystem(uri: str):
@@ -42,7 +43,7 @@ class _Writer:
         self._length, self._rows, self._kind = sequence_length, batch_rows, ids
         self._final, self._temporary = f"{path}/{name}", f"{path}/_{name}-{attempt}"
         self._most = np.iinfo(ids.to_pandas_dtype()).max
-        self.schema = pa.schema({"ids": pa.list_(ids, sequence_length), "mask": pa.list_(pa.uint8(), sequence_length)})
+        self.schema = pa.schema({"ids": pa.list_(ids, sequence_length), "mask": pa.list_(pa.uint8(), -(-sequence_length // 8))})
         self._out = pa.ipc.new_file(self._fs.open_output_stream(f"{self._temporary}.arrow"), self.schema)
         self._index = pa.ipc.new_file(self._fs.open_output_stream(f"{self._temporary}.docs.arrow"), pa.schema({"doc_id": key, "start": pa.int64(), "n_tokens": pa.int64()}))
         self._key, self._held, self._waiting, self.total = key, [], 0, 0
@@ -68,8 +69,8 @@ class _Writer:
             own = values[a : min(a + step, stop)]
             padded = np.zeros(-(-len(own) // self._length) * self._length, self._kind.to_pandas_dtype())
             padded[: len(own)] = own
-            mask = (np.arange(len(padded)) < len(own)).astype(np.uint8)
-            pair = [pa.FixedSizeListArray.from_arrays(pa.array(x), self._length) for x in (padded, mask)]
+            bits = np.packbits((np.arange(len(padded)) < len(own)).reshape(-1, self._length), axis=1, bitorder="little")
+            pair = [pa.FixedSizeListArray.from_arrays(pa.array(padded), self._length), pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), bits.shape[1])]
             self._out.write_batch(pa.RecordBatch.from_arrays(pair, schema=self.schema))
         self._held, self._waiting = [values[stop:]], len(values) - stop
 
@@ -122,9 +123,8 @@ def write_token_files(
                         yield done()
                     at, n = int(ranges[first]), 0
                     writer = _Writer(folder, f"part-{at:06d}", attempt, ids, batch.column("doc_id").type, sequence_length, batch_rows)
-                texts = batch.column("text").slice(first, stop - first).to_pylist()
-                for a, b in slices(texts):
-                    writer.add(batch.column("doc_id").slice(first + a, b - a), *encoder.encode(texts[a:b], end=True))
+                for a, b, texts in text_slices(batch.column("text").slice(first, stop - first)):
+                    writer.add(batch.column("doc_id").slice(first + a, b - a), *encoder.encode(texts, end=True))
                 n += stop - first
         if writer:
             yield done()
@@ -148,14 +148,21 @@ def open_token_file(folder: str, name: str) -> tuple[pa.ipc.RecordBatchFileReade
 
 
 def sequence(reader: pa.ipc.RecordBatchFileReader, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and the mask of one sequence of a file, by its number, without a copy where the
-    file is mapped. All batches are as long as the first, so the place follows by division."""
+    """The ids and the mask (see ``unpacked_mask``) of one sequence of a file, by its number,
+    without a copy where the file is mapped. All batches but the last are as long as the first, so
+    the place follows by division."""
     rows = reader.get_batch(0).num_rows if reader.num_record_batches else 1
     at, place = divmod(number, rows)
     if number < 0 or at >= reader.num_record_batches or place >= (batch := reader.get_batch(at)).num_rows:
         raise IndexError("no such sequence")
-    width = batch.schema.field("ids").type.list_size
-    return tuple(batch.column(c).flatten().slice(place * width, width).to_numpy() for c in ("ids", "mask"))
+    widths = ((c, batch.schema.field(c).type.list_size) for c in ("ids", "mask"))
+    return tuple(batch.column(c).flatten().slice(place * width, width).to_numpy() for c, width in widths)
+
+
+def unpacked_mask(mask: np.ndarray, sequence_length: int) -> np.ndarray:
+    """True for each place of a sequence that holds an id, from the bytes of its mask (or of several
+    sequences, a row for each)."""
+    return np.unpackbits(mask, axis=-1, count=sequence_length, bitorder="little").astype(bool)
 
 
 def read_token_files(manifest: DataFrame, id_type: T.DataType | str = "long") -> DataFrame:
@@ -175,8 +182,8 @@ def read_token_files(manifest: DataFrame, id_type: T.DataType | str = "long") ->
                 while doc < len(starts):
                     while k < reader.num_record_batches and low + len(held) < starts[doc] + sizes[doc]:
                         got = reader.get_batch(k)
-                        flat, mask = (got.column(c).flatten().to_numpy() for c in ("ids", "mask"))
-                        held = np.concatenate([held, (flat if mask.all() else flat[mask == 1]).astype("<u4")])
+                        flat, bits = (got.column(c).flatten().to_numpy().reshape(got.num_rows, -1) for c in ("ids", "mask"))
+                        held = np.concatenate([held, flat[unpacked_mask(bits, flat.shape[1])].astype("<u4")])
                         k += 1
                     stop = int(np.searchsorted(starts + sizes, low + len(held), side="right"))
                     bounds = (np.append(starts[doc:stop], starts[stop - 1] + sizes[stop - 1]) - low) * 4

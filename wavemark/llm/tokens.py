@@ -4,7 +4,7 @@ Spark tasks."""
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -163,8 +163,6 @@ class ByteEncoder:
         sizes = per_text(lengths[index], counts)
         if end:
             values, sizes = np.insert(values, np.cumsum(sizes), END), sizes + 1
-        del given, parts, words
-        pa.default_memory_pool().release_unused()
         return values.astype(np.uint32), sizes
 
 
@@ -179,6 +177,19 @@ def vocabulary_size(path: str) -> int:
     return library(path).get_vocab_size(with_added_tokens=True)
 
 
+def text_slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Runs of a batch's texts of about ``most`` bytes: first, stop, and the texts, of which no
+    others are Python strings meanwhile. Memory that is free at the end goes back to the system,
+    because workers stay for other stages."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64) + 1)
+    first = 0
+    while first < len(texts):
+        stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        yield first, stop, texts.slice(first, stop - first).to_pylist()
+        first = stop
+    pa.default_memory_pool().release_unused()
+
+
 def slices(texts: list[str | None], most: int = 2_000_000):
     """Cut a batch into runs of about ``most`` characters."""
     first = size = 0
