@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .tokens import Memo, byte_alphabet, library, per_text, places, slices
+from .tokens import Memo, byte_alphabet, library, per_text, places, text_slices
 
 _NEVER = np.iinfo(np.int64).max
 #: Stretches with other characters than these are brought to normal form and cut by the file's own
@@ -248,9 +248,8 @@ def encode_documents(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, text_of = text_encoder(tokenizer), decoder(tokenizer) if decode else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                values, sizes = encoder.encode(texts[a:b])
+            for a, b, texts in text_slices(batch.column(1)):
+                values, sizes = encoder.encode(texts)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 columns = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))]
                 if decode:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .tokens import byte_encoder, slices
+from .tokens import byte_encoder, text_slices
 
 
 def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -92,7 +92,7 @@ def cut(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def pack_documents(
-    df: DataFrame, tokenizer: str, *, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 4_000_000
+    df: DataFrame, tokenizer: str, *, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 2_000_000
 ) -> DataFrame:
     """One row per piece: ``doc_id`` (of the input's type), ``start`` (ids of its document before
     it), ``length``, ``doc_tokens`` (with the end id), ``sequence_id``, ``offset`` (in the
@@ -129,9 +129,8 @@ def pack_documents(
         encoder = byte_encoder(tokenizer)
         base, held, kept, counted, total = TaskContext.get().partitionId() << 33, [], [], [], 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                values, sizes = encoder.encode(texts[a:b], end=True)
+            for a, b, texts in text_slices(batch.column(1)):
+                values, sizes = encoder.encode(texts, end=True)
                 held.append(values)
                 counted.append(sizes)
                 kept.append(batch.column(0).slice(a, b - a))

@@ -15,12 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .labelled import labelled_sample
 from .rows import as_struct, unpacked
 from .shingles import hashed_words, windows
-from .tokens import slices
+from .tokens import text_slices
 
 #: n_marks counts marks of punctuation, n_echoes words equal to the word before them.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_echoes")
@@ -67,19 +66,22 @@ def count_texts(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def _counted(df: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
-    """``row`` (the columns ``keep``) and COUNTS."""
-    own = df.select(as_struct(keep).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = T.StructType([own.schema["row"], *(T.StructField(n, T.LongType()) for n in COUNTS)])
+def counts_of(text: Column) -> Column:
+    """A struct of COUNTS of a whole text; only texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                rows = count_texts(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], schema.names)
+            rows = np.concatenate([np.zeros((0, len(COUNTS)), np.int64), *(count_texts(texts) for _, _, texts in text_slices(batch))])
+            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], list(COUNTS))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, ", ".join(f"{c} long" for c in COUNTS))(text.cast("string"))
 
-    return own.mapInArrow(run, schema)
+
+def _counted(df: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
+    """``row`` (the columns ``keep``) and COUNTS."""
+    own = df.select(as_struct(keep).alias("row"), counts_of(F.col(f"`{text_col}`")).alias("counts"))
+    return own.select("row", *(F.col(f"counts.{c}") for c in COUNTS))
 
 
 def with_counts(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Rows that pass through Python tasks with all their columns, whatever these are called."""
+"""Rows that keep all their columns beside added ones, whatever these are called."""
 
 from __future__ import annotations
 

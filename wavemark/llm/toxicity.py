@@ -16,13 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import held_out, labelled_sample
 from .rows import as_struct, unpacked
-from .tokens import slices
+from .tokens import text_slices
 
 BUCKETS = 1 << 18
 PREFIX = 5
@@ -138,9 +138,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                rows = [sorted({x for w in set(words_of(t)) for x in term_buckets(w)}) for t in texts[a:b]]
+            for a, b, texts in text_slices(batch.column("text")):
+                rows = [sorted({x for w in set(words_of(t)) for x in term_buckets(w)}) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "label", "buckets"])
 
     chosen = labelled_sample(docs, labels, label, sample, learn_only=True)
@@ -152,35 +151,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sa
     return fit_machine(rows, got["label"].to_numpy().astype(float), **options)
 
 
-def _scored(df: DataFrame, machine: Machine, keep: Sequence[str], text_col: str) -> DataFrame:
-    """``row`` (the columns ``keep``) and ``score``."""
-    own = df.select(as_struct(keep).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = T.StructType([own.schema["row"], T.StructField("score", T.DoubleType())])
+def score(machine: Machine, text: Column) -> Column:
+    """The probability of label 1 for a text; only texts go to Python. The model is a fixed number
+    of weights, whatever the input."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features = _Features(machine.buckets)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                scores = [machine.score(features.of(t)) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(scores, pa.float64())], schema.names)
+            yield pa.array([machine.score(features.of(t)) for _, _, texts in text_slices(batch) for t in texts], pa.float64())
 
-    return own.mapInArrow(run, schema)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "double")(text.cast("string"))
 
 
 def score_toxicity(df: DataFrame, machine: Machine, *, threshold: float = 0.3, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns ``keep``, unchanged, with ``score`` (0 to 1, higher: label 1 likelier) and
     ``predicted`` (1 at ``threshold`` and above, else 0); where a kept column has such a name, the
     added one gets an underscore behind it. Every row gives one row, also repeated rows and null
-    ids; a null or empty text has the score of no terms. An empty table gives no rows. The model is
-    a fixed number of weights, whatever the input."""
-    scored = _scored(df, machine, keep, text_col).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    return unpacked(scored, "row", ("score", "predicted"))
+    ids; a null or empty text has the score of no terms. An empty table gives no rows."""
+    own = df.select(as_struct(keep).alias("row"), score(machine, F.col(f"`{text_col}`")).alias("score"))
+    return unpacked(own.withColumn("predicted", (F.col("score") >= threshold).cast("int")), "row", ("score", "predicted"))
 
 
 def without_toxic(df: DataFrame, machine: Machine, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that score below ``threshold``, each as it is."""
-    return unpacked(_scored(df, machine, df.columns, text_col).where(F.col("score") < threshold), "row", ())
+    return df.where(score(machine, F.col(f"`{text_col}`")) < threshold)
 
 
 __all__ = ["Machine", "fit_machine", "fit_toxicity", "held_out", "score_toxicity", "without_toxic"]
