@@ -25,9 +25,9 @@ of the cluster has. Two sets differ exactly where these differences do, so
 Both bounds are exact, so no link that could join two components is left out, and boilerplate that
 a whole cluster shares, however large, makes no pairs.
 
-Keys that very many rows have (a bucket, a cluster, a node that many links lead to) are met in joins
-and partial aggregates alone, never gathered: adaptive execution splits the joins' skewed partitions,
-which must not be switched off.
+Keys that very many rows have are met in joins and partial aggregates alone, never gathered. Large
+clusters are spread over tasks; where a bucket, or a node that many links lead to, is hot, adaptive
+execution splits the joins' skewed partitions, which must not be switched off.
 """
 
 from __future__ import annotations
@@ -44,8 +44,9 @@ from pyspark.sql import types as T
 
 from .rows import free_name
 from .shingles import mix, shingle_sets
+from .skew import hot_keys, left_join_spread
 from .storage import written_table
-from .tokens import slices
+from .tokens import text_slices
 
 SYMBOLS = 64
 #: The chance of a link of exactly the threshold's overlap to lie beyond the distance searched.
@@ -96,9 +97,8 @@ def describe(df: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                rows, sizes = shingle_sets(texts[a:b], width)
+            for a, b, texts in text_slices(batch.column("text")):
+                rows, sizes = shingle_sets(texts, width)
                 full = sizes > 0
                 starts = (np.cumsum(sizes) - sizes)[full]
                 sums = np.zeros((2, b - a), np.uint64)
@@ -150,9 +150,8 @@ def _shingle_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                rows, sizes = shingle_sets(texts[a:b], width)
+            for a, b, texts in text_slices(batch.column("text")):
+                rows, sizes = shingle_sets(texts, width)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(rows, np.int64)))], schema.names)
 
@@ -199,14 +198,21 @@ def _mixed(shared: DataFrame, merged: DataFrame) -> DataFrame:
 
 def _clusters(mixed: DataFrame) -> DataFrame:
     """``node``, ``component`` and ``cluster`` of the members of buckets that hold several
-    components: nodes that buckets connect are one cluster."""
-    lowest = mixed.groupBy("key").agg(F.min("node").alias("a"))
-    edges = mixed.join(lowest, "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    found = components(edges).withColumnRenamed("component", "cluster")
-    return mixed.select("node", "component").distinct().join(found, "node")
+    components: components that buckets connect are one cluster."""
+    inside = mixed.select("key", "component").distinct()
+    lowest = inside.groupBy("key").agg(F.min("component").alias("a"))
+    edges = inside.join(lowest, "key").where("a < component").select("a", F.col("component").alias("b")).distinct()
+    found = components(edges).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    return mixed.select("node", "component").distinct().join(found, "component")
 
 
-def _profiles(members: DataFrame, percent: int) -> DataFrame:
+def _large(members: DataFrame) -> DataFrame:
+    """The clusters that hold a thousandth of all members or more: at most a thousand."""
+    counts = members.groupBy("cluster").agg(F.count("*").alias("n"))
+    return written_table(hot_keys(counts, "cluster", "n", members.count()), "large-clusters")
+
+
+def _profiles(members: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """``members`` (node, cluster, hashes) with ``n`` (the set's size), ``differs`` (the shingles
     that the node, but not the core, or the core, but not the node, has) and ``slack``: what a link
     allows the node to differ, less what it differs, in hundredths. The slacks of two nodes add up
@@ -215,21 +221,21 @@ def _profiles(members: DataFrame, percent: int) -> DataFrame:
     A core is smaller than twice the mean size of its cluster's sets."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n_nodes"))
     seen = members.select("cluster", F.explode("hashes").alias("h")).groupBy("cluster", "h").agg(F.count("*").alias("f"))
-    wide = seen.where("f > 1").join(sizes, "cluster").where("2 * f > n_nodes")  # a shingle of one node is no core's
+    wide = left_join_spread(seen.where("f > 1"), sizes, "cluster", large, F.col("h"), "inner").where("2 * f > n_nodes")  # a shingle of one node is no core's
     cores = written_table(wide.groupBy("cluster").agg(F.collect_list("h").alias("core")), "cores")
-    placed = members.join(cores, "cluster", "left")
+    placed = left_join_spread(members, cores, "cluster", large, F.col("node"))
     core = F.coalesce("core", F.array().cast("array<bigint>"))
     differs = F.concat(F.array_except("hashes", core), F.array_except(core, "hashes"))
     rows = placed.select("node", "cluster", F.size("hashes").cast("long").alias("n"), differs.alias("differs"))
     return written_table(rows.withColumn("slack", (100 - percent) * F.col("n") - (100 + percent) * F.size("differs")), "profiles")
 
 
-def _near_core(profiles: DataFrame) -> DataFrame:
+def _near_core(profiles: DataFrame, large: DataFrame) -> DataFrame:
     """Links (a, b) of each cluster's node with the most slack with all that need nothing in common
     with it. Of two nodes whose slacks add up to 0 or more, both get this link."""
     flat = profiles.select("node", "cluster", "slack")
     best = flat.groupBy("cluster").agg(F.max(F.struct("slack", "node")).alias("c"))
-    linked = flat.join(best, "cluster").where((F.col("node") != F.col("c.node")) & (F.col("slack") + F.col("c.slack") >= 0))
+    linked = left_join_spread(flat, best, "cluster", large, F.col("node"), "inner").where((F.col("node") != F.col("c.node")) & (F.col("slack") + F.col("c.slack") >= 0))
     return linked.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
 
 
@@ -271,13 +277,16 @@ def _linked_by_differences(pairs: DataFrame, profiles: DataFrame, percent: int)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``component`` (its smallest node) for every node of the edges (a, b): smallest
-    labels are passed along edges and labels' labels are followed until nothing changes."""
+    """``node`` and ``component`` (its smallest node) for every node of the edges (a, b). In a round
+    each node hears its neighbours' labels, passes a lower one on to the node that its own label
+    names, and takes the label of its label; a chain of n nodes takes about log n rounds."""
     both = written_table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = written_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
-        passed = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
-        lower = labels.join(passed, "node").select("node", F.least("component", "least").alias("now"), F.col("component").alias("was"))
+        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
+        own = labels.join(heard, "node").select("node", F.least("component", "least").alias("now"), F.col("component").alias("was"))
+        named = own.where("now < was").select(F.col("was").alias("node"), "now", F.lit(None).cast("long").alias("was"))
+        lower = own.union(named).groupBy("node").agg(F.min("now").alias("now"), F.max("was").alias("was"))
         jump = labels.select(F.col("node").alias("now"), F.col("component").alias("next"))
         after = written_table(lower.join(jump, "now", "left").select("node", F.least("now", "next").alias("component"), "was"), "labels")
         labels = after.select("node", "component")
@@ -326,8 +335,9 @@ def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     clusters = written_table(_clusters(mixed), "clusters")
     others = clusters.join(sets.select("node"), "node", "left_anti").select(F.col("node").alias("doc_id"))
     sets = sets.union(written_table(_shingle_sets(others, docs, width), "shingle-sets"))
-    profiles = _profiles(written_table(clusters.select("node", "cluster").join(sets, "node"), "members"), percent)
-    links = written_table(links.union(_near_core(profiles)), "links")
+    large = _large(clusters)
+    profiles = _profiles(written_table(clusters.select("node", "cluster").join(sets, "node"), "members"), large, percent)
+    links = written_table(links.union(_near_core(profiles, large)), "links")
     merged = components(links)
 
     left = _mixed(mixed.select("key", "node"), merged).select("node", "component").distinct()
