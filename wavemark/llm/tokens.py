@@ -188,15 +188,3 @@ def text_slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, i
         yield first, stop, texts.slice(first, stop - first).to_pylist()
         first = stop
     pa.default_memory_pool().release_unused()
-
-
-def slices(texts: list[str | None], most: int = 2_000_000):
-    """Cut a batch into runs of about ``most`` characters."""
-    first = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= most:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
