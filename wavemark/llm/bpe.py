@@ -276,7 +276,7 @@ def decode_documents(df: DataFrame, tokenizer: str, *, ids_col: str = "ids") ->
             out = [text_of(flat[a:b]) if own else None for a, b, own in zip(bounds[:-1], bounds[1:], known, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
 
 
 @lru_cache(maxsize=2)

@@ -85,6 +85,8 @@ def shuffle_to_shards(df: DataFrame, n_shards: int, *, seed: int = 0, rows_per_b
     df = df.drop("shard", "slot")
     if not stable:
         df = written_table(df, "to-shard")
+    kept = df.columns
+    df = df.toDF(*(f"c{i}" for i in range(len(kept))))  # names that need no quotes, until the end
     counted = dict(df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect())
     parts = max(counted, default=-1) + 1
     before = np.concatenate([[0], np.cumsum([counted.get(p, 0) for p in range(parts)])]).astype(np.int64)
@@ -138,4 +140,4 @@ def shuffle_to_shards(df: DataFrame, n_shards: int, *, seed: int = 0, rows_per_b
     of = [F.col(f"`{f.name}`") for f in added]
     tasks = max(1, min(len(sizes), 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     placed = dealt.repartitionById(tasks, F.floor(of[0] * tasks / len(sizes)).cast("int")).sortWithinPartitions(of[0], *of[2:])
-    return placed.select(of[0], of[1], *(F.col(f"`{n}`") for n in names)).mapInArrow(rank, T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
+    return placed.select(of[0], of[1], *(F.col(f"`{n}`") for n in names)).mapInArrow(rank, T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])).toDF(*kept, "shard", "slot")
