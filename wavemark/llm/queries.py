@@ -1,12 +1,12 @@
-"""The queries op1 to op10: each operator over its whole table, with production parameters."""
+"""The queries op1 to op13: each operator over its whole table, with production parameters."""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, lm_scoring, near_dedup, packing, quality_rules, sharding, token_files, toxicity, warc
+from . import bpe, conversations, fingerprints, lm_scoring, near_dedup, packing, quality_rules, secret_scan, sharding, token_files, toxicity, warc, whitening
 
 SEQUENCE = 1024
 
@@ -96,6 +96,62 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten_vectors(table(spark, sf_dir, "embeddings"), stable=True)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Faults for op12, by a hash of conversation and turn: of twenty turns one is dropped, one
+    emptied, one loses its sentence ends, one comes twice and one gets another role."""
+    space = F.lit(" ")
+    said = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")))
+    fault = F.pmod(F.crc32(said.cast("binary")), F.lit(20))
+    text, role = F.coalesce("text", space), F.coalesce("role", space)
+    hurt = turns.withColumn("fault", fault).where("fault != 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("fault") == 4, "user").otherwise(role).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return hurt.drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    repair = conversations.repair_conversations(damaged(turns))
+    digests = conversations.conversation_digests(repair.turns)
+    own, counts = F.struct("conv_id").alias("own"), ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    every = turns.select("conv_id").distinct().withColumn("own", own)
+    for part in (repair.audits, digests):
+        every = every.join(part.withColumn("own", own).drop("conv_id"), "own", "left")
+    return every.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    base = secret_scan.KINDS[:3]
+
+    def of(*kinds: str) -> Column:
+        return F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "doc_id",
+        *(F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in base),
+        F.sha2(joined(of(*base)).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -107,6 +163,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_warc": op9_warc,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_whitening": op11_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL = {
