@@ -175,8 +175,6 @@ def test_persistence(spark):
 def test_measures_against_brute_force(spark, seed, monkeypatch):
     """All measures of two groups, with islands over the bounds of chunks."""
     rng = np.random.default_rng(seed)
-    monkeypatch.setattr(ranges, "trailing", lambda *a: sequence.trailing(*a, chunk=7))
-    monkeypatch.setattr(ranges, "running_sums", lambda *a: sequence.running_sums(*a, chunk=7))
     flags = {g: ((rng.random(60) < 0.5).astype(int).tolist(), (rng.random(60) < 0.5).astype(int).tolist()) for g in (0, 1)} | {2: ([0] * 9, [0] * 9), 3: ([1] * 20, [0] * 20)}
     rows = [(g, i, t, p) for g, (truth, pred) in flags.items() for i, (t, p) in enumerate(zip(truth, pred, strict=True))]
     for r in ranges.measures(spark.createDataFrame(rows, "g int, seq long, label int, pred int"), by=["g"]).collect():

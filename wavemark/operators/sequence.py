@@ -44,9 +44,11 @@ def trailing(df: DataFrame, seq: str, back: int, build: Callable[[WindowSpec], d
     return spread.select("*", *(c.alias(n) for n, c in build(window).items())).where(F.col("_chunk") == own).drop("_chunk")
 
 
-def running_sums(df: DataFrame, seq: str, values: Mapping[str, Column], by: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
-    """Add, under each name, the sum of a value over all rows of the sequence up to each row."""
-    spread = df.select("*", *(v.alias(f"_v_{n}") for n, v in values.items()), F.floor(F.col(seq) / chunk).alias("_chunk"))
+def running_sums(df: DataFrame, seq: str, values: Mapping[str, Column], by: Sequence[str] = (), chunk: int = CHUNK, piece: Column | None = None) -> DataFrame:
+    """Add, under each name, the sum of a value over all rows of the sequence up to each row.
+    ``piece``: where to cut the sequence, a number that does not fall along it; by default at
+    multiples of ``chunk``."""
+    spread = df.select("*", *(v.alias(f"_v_{n}") for n, v in values.items()), (F.floor(F.col(seq) / chunk) if piece is None else piece).alias("_chunk"))
     totals = spread.groupBy(*by, "_chunk").agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values))
     earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_chunk", *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_e_{n}") for n in values))
