@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from .sequence import trailing
 
 
+def spread(d: Column, floor: float = 1e-3, over: WindowSpec | None = None) -> Column:
+    """The population standard deviation of ``d``, not below ``floor``; 1 where it has no values. As
+    an aggregate, or over a window."""
+    n, s = F.count(d), F.stddev_pop(d)
+    if over is not None:
+        n, s = n.over(over), s.over(over)
+    return F.when(n > 0, F.greatest(s, F.lit(floor))).otherwise(1.0)
+
+
 def fit_seasonal(df: DataFrame, season: int = 1, by: Sequence[str] = ("series_id",), t: str = "t", x: str = "x", floor: float = 1e-3, reset: Sequence[str] | None = None) -> DataFrame:
     """``std`` of each channel, as an array: population standard deviation of x[t] - x[t - season],
     not below ``floor``; 1 where no such difference exists. A row for each group of ``by``;
@@ -19,7 +28,7 @@ def fit_seasonal(df: DataFrame, season: int = 1, by: Sequence[str] = ("series_id
     within = by if reset is None else reset
     lagged = trailing(df.select(*{*by, *within}, t, x), t, season, lambda w: {"_before": F.lag(x, season).over(w)}, within)
     flat = lagged.select(*by, F.posexplode(F.zip_with(x, F.coalesce("_before", F.transform(x, lambda v: F.lit(None).cast("double"))), lambda a, b: a - b)).alias("channel", "d"))
-    stats = flat.groupBy(*by, "channel").agg(F.when(F.count("d") > 0, F.greatest(F.stddev_pop("d"), F.lit(floor))).otherwise(1.0).alias("s"))
+    stats = flat.groupBy(*by, "channel").agg(spread(F.col("d"), floor).alias("s"))
     rows = F.sort_array(F.collect_list(F.struct("channel", "s")))
     return stats.groupBy(*by).agg(rows.alias("r")).select(*by, F.transform("r", lambda c: c["s"]).alias("std"))
 

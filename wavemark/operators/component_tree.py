@@ -193,12 +193,12 @@ _ARROW = {"double": pa.float64(), "bigint": pa.int64()}
 _SCHEMA = pa.schema([(n, pa.list_(_ARROW[t[6:-1]]) if t.startswith("array") else _ARROW[t]) for n, t in (c.split(" ") for c in _DDL.split(", "))])
 
 
-def _table(steps: Steps, edges: Iterable[tuple[int, Edges]]) -> pa.Table:
-    """A row for each level of ``steps`` and for each stretch's edges."""
-    rows = [{"level": level, **dict(zip(SUMS, own, strict=True))} for level, own in steps.items()]
-    for chunk, e in edges:
-        row = {"chunk": chunk, "size": e.size, "hits": e.hits}
-        stairs = {"left": e.left, "right": e.right, **{s: [(m, n, 0) for m, n in getattr(e, s).items()] for s in ("first", "last")}}
+def _table(chunk: int, steps: Steps, edges: Edges | None) -> pa.Table:
+    """A row for each level of ``steps``, and one for the edges, which alone has a size."""
+    rows = [{"chunk": chunk, "level": level, **dict(zip(SUMS, own, strict=True))} for level, own in steps.items()]
+    if edges is not None:
+        row = {"chunk": chunk, "size": edges.size, "hits": edges.hits}
+        stairs = {"left": edges.left, "right": edges.right, **{s: [(m, n, 0) for m, n in getattr(edges, s).items()] for s in ("first", "last")}}
         for name, stair in stairs.items():
             for k, (c, _) in enumerate(_PARTS):
                 row[f"{name}_{c}"] = [x[k] for x in stair]
@@ -212,24 +212,24 @@ def _edges(row: dict) -> Edges:
 
 
 def _round(parts: DataFrame, fan: int | None) -> DataFrame:
-    """Edges of ``fan`` neighbours as one (of all, and ended, without a number). Steps are added up
-    by level on the way, dealt over tasks by level."""
+    """Edges of ``fan`` neighbours as one (of all, and ended, without a number). Steps pass through,
+    dealt over tasks as they are over chunks."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, steps, whole = table.sort_by("chunk").to_pylist(), _steps(), None
-        for row in rows:
-            if row["chunk"] is None:
-                steps[row["level"]] = [x + row[c] for x, c in zip(steps[row["level"]], SUMS, strict=True)]
-            else:
-                own = _edges(row)
-                whole = own if whole is None else joined(whole, own, steps)
-        if whole is not None and fan is None:
+        table = table.drop_columns(["_key"])
+        if not table["size"][0].is_valid:
+            return table
+        rows, steps = table.sort_by("chunk").to_pylist(), _steps()
+        whole = _edges(rows[0])
+        for row in rows[1:]:
+            whole = joined(whole, _edges(row), steps)
+        if fan is None:
             ended(whole, steps)
-        return _table(steps, [] if whole is None or fan is None else [(rows[0]["chunk"] // fan, whole)])
+        return _table(rows[0]["chunk"] // (fan or 1), steps, whole if fan else None)
 
     own = F.floor(F.col("chunk") / fan) if fan else F.lit(0).cast("long")
-    key = F.when(F.col("chunk").isNotNull(), own).otherwise(-1 - F.pmod(F.xxhash64("level"), F.lit(1 << 16)))
-    return parts.withColumn("_key", key).groupBy("_key").applyInArrow(lambda table: run(table.drop_columns(["_key"])), _DDL)
+    key = F.when(F.col("size").isNotNull(), own).otherwise(-1 - F.col("chunk"))
+    return parts.withColumn("_key", key).groupBy("_key").applyInArrow(run, _DDL)
 
 
 def level_steps(df: DataFrame, level: Column, truth: Column, seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
@@ -244,7 +244,7 @@ def level_steps(df: DataFrame, level: Column, truth: Column, seq: str = "seq", c
     def run(table: pa.Table) -> pa.Table:
         table, steps = table.sort_by("_s"), _steps()
         edges = stretch(table["_l"].to_pylist(), table["_t"].to_pylist(), steps)
-        return _table(steps, [(table["_chunk"][0].as_py(), edges)])
+        return _table(table["_chunk"][0].as_py(), steps, edges)
 
     rows = df.select(F.col(seq).alias("_s"), level.alias("_l"), truth.cast("int").alias("_t"), F.floor(F.col(seq) / chunk).alias("_chunk"))
     parts = rows.groupBy("_chunk").applyInArrow(run, _DDL)

@@ -70,18 +70,14 @@ def evaluate_anomaly(validation: DataFrame, test: DataFrame, strategy: str = "ma
     over the whole sequence; persistence too, except that strategies by group restart it in each.
     """
     chosen = selection.select_threshold(validation, strategy, group)
+    window, restart = (persistence.window, persistence.count), None if chosen.by_group is None else group
+    thresholds.check_persistence(*window)
 
-    def predicted(df: DataFrame) -> DataFrame:
-        if chosen.by_group is None:
-            return thresholds.persist(thresholds.predict(df, chosen.threshold), persistence.window, persistence.count)
-        out = thresholds.predict_by_group(df, chosen.by_group, group)
-        if (persistence.window, persistence.count) == (1, 1):
-            return out
-        first = out.groupBy(group).agg(F.min("seq").alias("_first"))  # rows of a group stand together
-        local = out.join(first, group).withColumn("_place", F.col("seq") - F.col("_first"))
-        return thresholds.persist(local, persistence.window, persistence.count, "_place", [group]).drop("_first", "_place")
-
-    found = ranges.measures(predicted(test)).first().asDict()
+    def measured(df: DataFrame) -> dict:
+        predicted = thresholds.predict(df, chosen.threshold) if chosen.by_group is None else thresholds.predict_by_group(df, chosen.by_group, group)
+        return ranges.measures(predicted, persistence=window, restart=restart).first().asDict()
+
+    found, before = measured(test), measured(validation)
     delay = {k: found.pop(k) for k in ("mean_delay", "median_delay", "detected", "missed")}
     alarms = found.pop("false_alarms_per_1000")
     if areas is None:
@@ -89,7 +85,7 @@ def evaluate_anomaly(validation: DataFrame, test: DataFrame, strategy: str = "ma
     per_group = {r[group]: r["threshold"] for r in chosen.by_group.select(group, "threshold").collect()} if chosen.by_group is not None else None
     return {
         "strategy": strategy, "persistence": asdict(persistence), "threshold": chosen.threshold if per_group is None else per_group,
-        "validation": ranges.range_metrics(predicted(validation)).first().asDict(), "test": found, "detection_delay": delay, "false_alarms_per_1000": alarms, "threshold_free": dict(areas),
+        "validation": {k: before[k] for k in ("precision", "recall", "f1")}, "test": found, "detection_delay": delay, "false_alarms_per_1000": alarms, "threshold_free": dict(areas),
     }
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import quantiles, ranges, regimes, selection, thresholds
 from .forecasting import PO, posteriors
 from .series import r6
-from .views import SC, Query, scored
+from .views import SC, Query, kept, scored
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -177,38 +177,43 @@ TEST_SWEEP = f"{SC}, {_candidates_sql('tst')}, {_points_sql('tst')}"
 RANGE_SWEEP = f"{TEST_SWEEP}, {_range_sql('tst')}"
 
 
-def _with_candidates(spark: SparkSession, sf_dir: str, split: str) -> tuple[DataFrame, list[float]]:
-    """The rows, and their candidates: the scores are cached while these are chosen, and computed
-    anew for what the query returns."""
-    rows = scored(spark, sf_dir, split)
-    kept = rows.select("score").cache()
-    try:
-        return rows, _candidates(kept)
-    finally:
-        kept.unpersist()
+def _swept(spark: SparkSession, sf_dir: str, split: str = "test", use=lambda rows: rows) -> DataFrame:
+    """What ``use`` makes of the sweep over a split's candidates: a row for each of them at most. The
+    scores are computed once."""
+    with kept(scored(spark, sf_dir, split)) as rows:
+        return ranges.gathered(use(ranges.sweep(rows, _candidates(rows))))
 
 
-def _test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
-    return _with_candidates(spark, sf_dir, "test")
+def _points(rows: DataFrame) -> DataFrame:
+    return ranges.with_rates(rows.select("cand_ix", "threshold", "tp", "fp", "tn", "fn"))
 
 
 @query("pr_curve", f"WITH {TEST_SWEEP} SELECT CAST(cand_ix AS INT) AS cand_ix, tp, fp, tn, fn, round(p, 6) AS precision, round(r, 6) AS recall FROM pts")
 def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = ranges.sweep_points(*_test(spark, sf_dir))
+    p = _points(_swept(spark, sf_dir))
     return p.select("cand_ix", "tp", "fp", "tn", "fn", r6(F.col("precision"), "precision"), r6(F.col("recall"), "recall"))
 
 
 @query("roc_curve", f"WITH {TEST_SWEEP} SELECT CAST(cand_ix AS INT) AS cand_ix, round(f, 6) AS fpr, round(r, 6) AS tpr FROM pts")
 def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranges.sweep_points(*_test(spark, sf_dir)).select("cand_ix", r6(F.col("fpr"), "fpr"), r6(F.col("recall"), "tpr"))
+    return _points(_swept(spark, sf_dir)).select("cand_ix", r6(F.col("fpr"), "fpr"), r6(F.col("recall"), "tpr"))
 
 
 @query("range_curve", f"WITH {RANGE_SWEEP} SELECT CAST(cand_ix AS INT) AS cand_ix, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS fpr, round(f1, 6) AS f1 FROM rf")
 def range_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = ranges.sweep_ranges(*_test(spark, sf_dir))
+    c = _swept(spark, sf_dir)
     return c.select("cand_ix", *(r6(F.col(x), x) for x in ("precision", "recall", "fpr", "f1")))
 
 
+ALL_SWEEP = f"{SC}, cn AS (SELECT score AS threshold, row_number() OVER (ORDER BY score DESC) AS cand_ix FROM (SELECT DISTINCT score FROM tst)), {_points_sql('tst')}, {_range_sql('tst')}"
+
+
+@query("range_curve_all_scores", f"WITH {ALL_SWEEP} SELECT round(rf.threshold, 6) AS threshold, tp, fp, round(rf.p, 6) AS precision, round(rf.r, 6) AS recall, round(f1, 6) AS f1 FROM rf JOIN pts USING (cand_ix)")
+def range_curve_all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = ranges.sweep_all_scores(scored(spark, sf_dir, "test"))
+    return c.select(r6(F.col("threshold"), "threshold"), "tp", "fp", *(r6(F.col(x), x) for x in ("precision", "recall", "f1")))
+
+
 def _step_sql(points: str) -> str:
     return f"(SELECT sum((x - before) * env) FROM (SELECT x, max(y) OVER (ORDER BY x DESC) AS env, lag(x, 1, 0) OVER (ORDER BY x) AS before FROM (SELECT r AS x, max(p) AS y FROM {points} GROUP BY 1)))"
 
@@ -220,13 +225,13 @@ def _trapezoid_sql(points: str) -> str:
 def _area(name: str, pick, sweep: str, sql: str) -> None:
     @query(name, f"WITH {sweep} SELECT round({sql}, 6) AS area")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return pick(*_test(spark, sf_dir)).select(r6(F.col("area"), "area"))
+        return pick(_swept(spark, sf_dir)).select(r6(F.col("area"), "area"))
 
 
-_area("average_precision", lambda d, c: ranges.step_area(ranges.sweep_points(d, c)), TEST_SWEEP, _step_sql("pts"))
-_area("roc_auc", lambda d, c: ranges.trapezoid_area(ranges.sweep_points(d, c)), TEST_SWEEP, _trapezoid_sql("pts"))
-_area("vus_pr", lambda d, c: ranges.step_area(ranges.sweep_ranges(d, c)), RANGE_SWEEP, _step_sql("rf"))
-_area("vus_roc", lambda d, c: ranges.trapezoid_area(ranges.sweep_ranges(d, c)), RANGE_SWEEP, _trapezoid_sql("rf"))
+_area("average_precision", lambda swept: ranges.step_area(_points(swept)), TEST_SWEEP, _step_sql("pts"))
+_area("roc_auc", lambda swept: ranges.trapezoid_area(_points(swept)), TEST_SWEEP, _trapezoid_sql("pts"))
+_area("vus_pr", ranges.step_area, RANGE_SWEEP, _step_sql("rf"))
+_area("vus_roc", ranges.trapezoid_area, RANGE_SWEEP, _trapezoid_sql("rf"))
 
 
 VAL_SWEEP = f"{SC}, {_candidates_sql('val')}, {_points_sql('val')}, {_range_sql('val')}"
@@ -240,13 +245,13 @@ def _chosen(swept: DataFrame, *order) -> DataFrame:
 
 @query("threshold_max_f1", f"WITH {VAL_SWEEP} {CHOSEN} ORDER BY round(f1, 9) DESC, round(r, 9) DESC, round(p, 9) DESC, cand_ix LIMIT 1")
 def threshold_max_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chosen(ranges.sweep_ranges(*_with_candidates(spark, sf_dir, "validation")), "f1", "recall", "precision")
+    return _chosen(_swept(spark, sf_dir, "validation"), "f1", "recall", "precision")
 
 
 def _target(name: str, recall: float) -> None:
     @query(name, f"WITH {VAL_SWEEP} {CHOSEN} WHERE r >= {recall} ORDER BY round(p, 9) DESC, round(r, 9) DESC, round(f1, 9) DESC, cand_ix LIMIT 1")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        swept = ranges.sweep_ranges(*_with_candidates(spark, sf_dir, "validation"))
+        swept = _swept(spark, sf_dir, "validation")
         return _chosen(swept.where(F.col("recall") >= recall), "precision", "recall", "f1")
 
 
@@ -262,19 +267,16 @@ def _evaluated(name: str, per_group: bool) -> None:
 
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        validation, test = scored(spark, sf_dir, "validation"), scored(spark, sf_dir, "test")
-        if per_group:
-            found = thresholds.group_quantiles(validation, 0.98).withColumn("threshold", F.round("threshold", 9))
-            predicted = thresholds.persist(_placed(thresholds.predict_by_group(test, found)), 3, 2, "place", ["group_id"])
-        else:
-            level = round(quantiles.exact_quantiles(validation, "score", [0.95])[0], 9)
-            predicted = thresholds.persist(thresholds.predict(test, level), 3, 2)
-        return ranges.measures(predicted).select(*(r6(F.col(c), c) for c in ("precision", "recall", "f1")), "detected", "missed")
-
-
-def _placed(df: DataFrame) -> DataFrame:
-    first = df.groupBy("group_id").agg(F.min("seq").alias("first"))
-    return df.join(first, "group_id").withColumn("place", F.col("seq") - F.col("first"))
+        with kept(scored(spark, sf_dir)) as rows:
+            validation, test = (rows.where(F.col("split") == s) for s in ("validation", "test"))
+            if per_group:
+                found = thresholds.group_quantiles(validation, 0.98).withColumn("threshold", F.round("threshold", 9))
+                predicted, restart = thresholds.predict_by_group(test, found), "group_id"
+            else:
+                level = round(quantiles.exact_quantiles(validation, "score", [0.95])[0], 9)
+                predicted, restart = thresholds.predict(test, level), None
+            measured = ranges.measures(predicted, persistence=(3, 2), restart=restart)
+            return ranges.gathered(measured.select(*(r6(F.col(c), c) for c in ("precision", "recall", "f1")), "detected", "missed"))
 
 
 _evaluated("evaluate_anomaly_global", False)
@@ -299,11 +301,8 @@ def _strategies_sql() -> str:
 @query("select_threshold_strategies", _strategies_sql())
 def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every named strategy: its threshold (null for those by group) and range metrics."""
-    rows = scored(spark, sf_dir, "validation").cache()
-    try:
+    with kept(scored(spark, sf_dir, "validation")) as rows:
         found = [(s, c.threshold, *(c.metrics[k] for k in ("precision", "recall", "f1"))) for s in thresholds.STRATEGIES for c in [selection.select_threshold(rows, s)]]
-    finally:
-        rows.unpersist()
     made = spark.createDataFrame(found, "strategy string, threshold double, precision double, recall double, f1 double")
     return made.select("strategy", r6(F.col("threshold"), "threshold"), *(r6(F.col(c), c) for c in ("precision", "recall", "f1")))
 
@@ -361,10 +360,10 @@ m AS (SELECT group_id, CASE WHEN t + q = 0 THEN 1 ELSE coalesce(p, 0) END AS p,
 def per_series_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From events to range metrics of each series: lag-1 scores, its own validation quantile, two
     of three persistence, islands."""
-    predicted = _placed(thresholds.predict_by_group(scored(spark, sf_dir, "test"), _by_group(spark, sf_dir)))
-    kept = thresholds.persist(predicted, 3, 2, "place", ["group_id"])
-    return _rounded(ranges.range_metrics(kept, seq="place", by=["group_id"]), "group_id")
-
+    rows = scored(spark, sf_dir, numbered=False)
+    found = thresholds.group_quantiles(rows.where("split = 'validation'"), 0.9).select("group_id", F.round("threshold", 9).alias("threshold"))
+    predicted = thresholds.predict_by_group(rows.where("split = 'test'"), found)
+    return _rounded(ranges.measures(predicted, seq="place", by=["group_id"], persistence=(3, 2)), "group_id")
 
 
 JOBS = [(q, p) for q in (0.95, 0.98, 0.99) for p in ((1, 1), (3, 2), (5, 2))]
@@ -382,11 +381,11 @@ def _job_sql(i: int, q: float, window: int, count: int) -> str:
     f"WITH {SC}, " + ", ".join(_job_sql(i, q, *p) for i, (q, p) in enumerate(JOBS)) + " " + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS quantile, {w} AS persistence_window, {c} AS persistence_count, {ROUNDED} FROM m{i}" for i, (q, (w, c)) in enumerate(JOBS)),
 )
 def rescore_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every threshold under every persistence."""
-    test = scored(spark, sf_dir, "test")
-    levels = dict(zip((0.95, 0.98, 0.99), quantiles.exact_quantiles(scored(spark, sf_dir, "validation"), "score", [0.95, 0.98, 0.99]), strict=True))
-    out = []
-    for q, (window, count) in JOBS:
-        kept = thresholds.persist(thresholds.predict(test, round(levels[q], 9)), window, count)
-        out.append(_rounded(ranges.range_metrics(kept)).select(F.lit(q).alias("quantile"), F.lit(window).alias("persistence_window"), F.lit(count).alias("persistence_count"), "precision", "recall", "f1"))
-    return reduce(DataFrame.union, out)
+    """Every threshold under every persistence: a filter measures all thresholds in one plan."""
+    levels, filters = sorted({q for q, _ in JOBS}), sorted({p for _, p in JOBS})
+    with kept(scored(spark, sf_dir)) as rows:
+        found = quantiles.exact_quantiles(rows.where("split = 'validation'"), "score", levels)
+        each = F.array(*(F.struct(F.lit(q).alias("quantile"), F.lit(round(v, 9)).alias("threshold")) for q, v in zip(levels, found, strict=True)))
+        test = rows.where("split = 'test'").select("seq", "score", "label", F.explode(each).alias("x")).select("seq", "label", "x.quantile", (F.col("score") >= F.col("x.threshold")).cast("int").alias("pred"))
+        out = [_rounded(ranges.measures(test, by=["quantile"], persistence=p), "quantile").select("quantile", F.lit(p[0]).alias("persistence_window"), F.lit(p[1]).alias("persistence_count"), "precision", "recall", "f1") for p in filters]
+        return ranges.gathered(reduce(DataFrame.union, out))

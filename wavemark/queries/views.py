@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.mixture import nll
 from ..operators import baselines
-from ..operators.sequence import CHUNK, numbered, trailing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,16 +46,46 @@ def split_by_place(t: str = "t", n: str = "n"):
     return F.when(F.col(t) * 10 < F.col(n) * 6, "train").when(F.col(t) * 10 < F.col(n) * 8, "validation").otherwise("test")
 
 
-def scored(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
-    """Lag-1 scores of a split: ``group_id`` (the series), ``t``, ``seq``, ``score``, ``label``."""
-    ev = series_events(spark, sf_dir).withColumn("split", split_by_place())
-    spread = baselines.fit_seasonal(ev.where("split = 'train'"), 1)
-    lagged = trailing(ev.select("series_id", "t", "x", "split", "anomaly_label"), "t", 1, lambda w: {"before": F.lag("x").over(w)}, ["series_id"])
-    rows = lagged.where(F.col("split") == split).join(spread, "series_id")
-    one = lambda c: F.array(F.col(c)[0])
-    score = nll(one("x"), F.array(F.lit(1.0)), F.array(one("before")), F.array(one("std")))
-    made = rows.select(F.col("series_id").alias("group_id"), "t", F.round(score, 6).alias("score"), F.col("anomaly_label").alias("label"))
-    return numbered(made, ["group_id"], ["t"], chunk=CHUNK)
+def scored(spark: SparkSession, sf_dir: str, split: str | None = None, *, numbered: bool = True) -> DataFrame:
+    """Lag-1 scores of the validation and test splits, or one of them: ``split``, ``group_id`` (the
+    series), ``t``, ``place`` (in the series' split), ``score``, ``label`` and, unless not
+    ``numbered``, ``seq``, the place in the whole split.
+
+    One pass over the events: order, lag and spread of a series come from windows over the same
+    exchange. Numbers of rows before a series come from a table of a row for each series."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", (F.col("event_type") == "error").cast("int").alias("label"))
+    whole = Window.partitionBy("user_id")
+    order = whole.orderBy("ts", "event_id")
+    rows = e.select("*", (F.row_number().over(order) - 1).cast("long").alias("t"), F.lag("value").over(order).alias("before"), F.count("*").over(whole).alias("n"))
+    rows = rows.withColumn("split", split_by_place())
+    std = baselines.spread(F.when(F.col("split") == "train", F.col("value") - F.col("before")), over=whole)
+    first = F.when(F.col("split") == "test", _begin(8)).otherwise(_begin(6))
+    score = nll(F.array("value"), F.array(F.lit(1.0)), F.array(F.array("before")), F.array(F.array("std")))
+    rows = rows.withColumn("std", std).where(F.col("split") == split if split else F.col("split") != "train")
+    made = rows.select("split", F.col("user_id").alias("group_id"), "t", (F.col("t") - first).cast("long").alias("place"), F.round(score, 6).alias("score"), "label")
+    if not numbered:
+        return made
+    sizes = e.groupBy(F.col("user_id").alias("group_id")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("group_id").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = sizes.select("group_id", total(_begin(8) - _begin(6)).alias("validation"), total(F.col("n") - _begin(8)).alias("test"))
+    seq = (F.col("place") + F.when(F.col("split") == "test", F.col("test")).otherwise(F.col("validation"))).cast("long")
+    return made.join(offsets, "group_id").select("split", "group_id", "t", "place", seq.alias("seq"), "score", "label")
+
+
+def _begin(tenths: int) -> Column:
+    """The first place in a series of ``n`` rows at or beyond so many tenths."""
+    return F.floor((F.col("n") * tenths + 9) / 10)
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df``, computed once for all that happens inside."""
+    cached = df.cache()
+    try:
+        yield cached
+    finally:
+        cached.unpersist()
 
 
 SC = f"""{EV},
