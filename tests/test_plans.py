@@ -127,7 +127,7 @@ def test_steps_follow_rows(spark, monkeypatch):
     sizes.clear()
     neural.train(df.where(f"seq < {200}"), model, neural.TrainingConfig(epochs=2))
     assert sizes == [64, 64, 64, 8] * 2
-    assert pipelines.configured({"batch_size": 7}).batch_size == 7
+    assert pipelines.configured("smd-mdn", {"batch_size": 7}).batch_size == 7
 
 
 def test_forecast_covers_catalogue_windows(spark):
@@ -161,11 +161,12 @@ def test_queries_take_default_parameters(spark, monkeypatch):
     assert (given["samples"], given["max_iter"]) == (256, 50)
 
 
-SMALL = {"n_train": 2, "n_validation": 1, "n_test": 1, "length": 80, "lookback": 8, "horizon": 2, "stride": 3, "hidden": 3, "epochs": 1, "samples": 8}
+SMALL = {"n_train_configs": 2, "n_validation_configs": 1, "n_test_configs": 1, "series_length": 80, "burn_in": 10, "n_channels": 2, "lookback": 8, "horizon": 2, "stride": 3, "energy_samples": 8}
+TINY = {"hidden_size": 3, "n_components": 2, "epochs": 1, "learning_rate": 0.01, "device": "cuda"}
 
 
 def test_suite(spark, tmp_path):
-    jobs = [{"run_id": "a", "pipeline": "synthetic-baseline", "params": SMALL}, {"run_id": "b", "pipeline": "synthetic-joint", "params": SMALL | {"score_method": "channel_max_nll", "strategy": "validation_quantile_95"}}]
+    jobs = [{"run_id": "a", "pipeline": "synthetic-baseline", "params": SMALL}, {"run_id": "b", "pipeline": "synthetic-joint", "params": SMALL | TINY | {"anomaly_score_method": "channel_max_nll", "threshold_strategy": "validation_quantile_95"}}]
     (tmp_path / "suite.json").write_text(json.dumps({"name": "s", "jobs": jobs}))
     loaded = suite.with_overrides(suite.load_suite(str(tmp_path / "suite.json")), {"seed": 4})
     out = tmp_path / "runs"
@@ -193,19 +194,92 @@ def test_suite(spark, tmp_path):
     assert cli.main(["evaluate", str(out / "a"), "--persistence-window", "3", "--persistence-count", "2", "--skip-forecast"]) == 0
     assert json.loads((out / "a" / "metrics.json").read_text())["anomaly"]["persistence"] == {"window": 3, "count": 2}
     with pytest.raises(FileExistsError):
-        pipelines.PIPELINES["synthetic-baseline"](spark, str(out / "a"), pipelines.configured(SMALL))
+        pipelines.PIPELINES["synthetic-baseline"](spark, str(out / "a"), pipelines.configured("synthetic-baseline", SMALL))
     with pytest.raises(ValueError, match="unknown"):
-        pipelines.configured({"nonsense": 1})
+        pipelines.configured("synthetic-mdn", {"nonsense": 1})
     with pytest.raises(ValueError, match="pipeline"):
         suite.Suite("s", (suite.SuiteJob("x", "nope", "d"),)).check()
 
 
 def test_machine_pipeline(spark, tree, tmp_path):
-    config = pipelines.configured({"root": tree, "lookback": 3, "stride": 1, "validation_fraction": 0.25, "samples": 8})
+    config = pipelines.configured("smd-baseline", {"root": tree, "lookback": 3, "validation_fraction": 0.25, "energy_samples": 8})
     report = pipelines.PIPELINES["smd-baseline"](spark, str(tmp_path / "run"), config)
     assert report["anomaly"]["validation"]["f1"] == 1.0  # nothing to find, nothing predicted
 
 
+MACHINES = {"root": "somewhere", "machine_ids": ["a", "b"], "validation_fraction": 0.3, "lookback": 9, "horizon": 2, "stride": 4, "energy_samples": 8, "seed": 6}
+SCORING = {"threshold_strategy": "per_machine_validation_quantile_985", "anomaly_persistence_window": 5, "anomaly_persistence_count": 2}
+NEURAL = {"hidden_size": 5, "num_layers": 2, "n_components": 4, "epochs": 3, "batch_size": 32, "learning_rate": 0.5, "device": "cuda"}
+
+
+@pytest.mark.parametrize(
+    ("name", "params"),
+    [
+        ("synthetic-baseline", SMALL | {"season_length": 3, "n_regimes": 4, "ar_order": 3, "seed": 2}),
+        ("synthetic-mdn", SMALL | NEURAL),
+        ("synthetic-joint", SMALL | NEURAL | {"smoothness_weight": 0.3, "supervised_regime_weight": 0.4}),
+        ("smd-baseline", MACHINES | {"season_length": 2}),
+        ("smd-mdn", MACHINES | NEURAL | SCORING | {"anomaly_score_method": "channel_top3_mean_nll"}),
+        ("smd-joint", MACHINES | NEURAL | SCORING | {"n_regimes": 4, "smoothness_weight": 0.1, "supervised_regime_weight": 1.0, "pseudo_regime_method": "window_kmeans", "pseudo_regime_max_iter": 7, "anomaly_score_method": "regime_switch"}),
+    ],
+)
+def test_parameters(tmp_path, name, params):
+    """Every parameter by its name, in a suite and on the command line."""
+    (tmp_path / "suite.json").write_text(json.dumps({"name": "s", "jobs": [{"run_id": "r", "pipeline": name, "dataset": "d", "params": params, "notes": "n"}]}))
+    loaded = suite.load_suite(str(tmp_path / "suite.json"))
+    loaded.check()
+    config = pipelines.configured(name, loaded.jobs[0].params)
+    plain = {k: list(v) if isinstance(v, tuple) else v for k, v in vars(config).items()}
+    assert {k: plain[k] for k in params} == params
+    flags = [x for k, v in params.items() if k not in ("root", "machine_ids") for x in (f"--{k.replace('_', '-')}", str(v))]
+    flags += [x for m in params.get("machine_ids", ()) for x in ("--machine-id", m)]
+    said = vars(cli.parser().parse_args([name, *([params["root"]] if "root" in params else []), "out", *flags]))
+    assert pipelines.configured(name, {k: v for k, v in said.items() if k in pipelines.DEFAULTS[name]}) == config
+
+
+def test_parameters_out_of_range():
+    assert pipelines.configured("synthetic-baseline").series_length == 3000 and pipelines.configured("synthetic-baseline").n_test_configs == 10
+    assert pipelines.configured("smd-joint", {"root": "r"}).lookback == 100 and pipelines.configured("synthetic-mdn").hidden_size == 32
+    for name, bad in [
+        ("synthetic-mdn", {"season_length": 1}), ("smd-mdn", {"anomaly_score_method": "regime_switch"}), ("smd-joint", {"root": "r", "supervised_regime_weight": 0.1}), ("smd-joint", {"pseudo_regime_method": "magic"}), ("synthetic-joint", {"learning_rate": 0}),
+        ("synthetic-joint", {"series_length": 32}), ("smd-baseline", {"validation_fraction": 1.0}), ("smd-mdn", {"anomaly_persistence_window": 1, "anomaly_persistence_count": 2}), ("smd-mdn", {"energy_samples": 1}), ("smd-mdn", {"device": ""}), ("smd-mdn", {"threshold_strategy": "guess"}),
+    ]:
+        with pytest.raises(ValueError):
+            pipelines.configured(name, bad)
+
+
+def test_spread_over_series(spark):
+    """Of the synthetic baseline: differences run over the train series put one after another, not over windows."""
+    c = pipelines.configured("synthetic-baseline", SMALL | {"season_length": 2, "seed": 5})
+    rows, _, scaled = pipelines.synthetic_windows(spark, c, True)
+    train = scaled.where("split = 'train'").orderBy("group_id", "t").collect()
+    x = np.array([r["x"] for r in train])
+    assert x.shape == (160, 2) and pipelines.series_spread(scaled, c) == pytest.approx(np.maximum((x[2:] - x[:-2]).std(axis=0), 1e-3))
+    assert pipelines.window_spread(rows, c) != pytest.approx(pipelines.series_spread(scaled, c))
+
+
+def test_artifacts_appear_whole(spark, tmp_path):
+    from wavemark.sources import files
+
+    root = f"file:{tmp_path}/run"  # a path that Hadoop's file systems know, and open() does not
+    with pytest.raises(FileNotFoundError, match="no forecast"):
+        reports.evaluate_run(spark, root)
+    runs.write_json(f"{root}/a/b.json", {"x": float("nan"), "y": [1]})
+    assert json.loads(files.read_text(f"{root}/a/b.json")) == {"x": None, "y": [1]}
+    broken = spark.range(4).select(F.when(F.col("id") < 3, F.col("id")).otherwise(F.raise_error(F.lit("broken")).cast("long")).alias("id"))
+    runs.write_table(spark.range(2).toDF("id"), root, "scores")
+    with pytest.raises(Exception, match="broken"):
+        runs.write_table(broken, root, "scores")
+    with pytest.raises(Exception, match="broken"):
+        runs.write_table(broken, root, "regimes")
+    assert files.names(root) == ["a", "scores"] and {p.name for p in (tmp_path / "run").iterdir()} == {"a", "scores"}
+    assert sorted(r[0] for r in runs.read_table(spark, root, "scores").collect()) == [0, 1] and runs.read_table(spark, root, "regimes") is None
+    with pytest.raises(FileExistsError):
+        runs.prepare_folder(root)
+    files.delete(f"{root}/a")
+    assert files.names(root) == ["scores"] and not files.exists(f"{root}/a")
+
+
 def test_reports(spark):
     def rows(score, label):
         return spark.createDataFrame([(i, float(s), y, g) for i, (s, y, g) in enumerate(zip(score, label, [0] * len(score), strict=True))], "seq long, score double, label int, group_id int")

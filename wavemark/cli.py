@@ -7,7 +7,7 @@ import json
 
 from .operators.thresholds import STRATEGIES
 from .plans import reports, suite
-from .plans.pipelines import PIPELINES, configured
+from .plans.pipelines import DEFAULTS, PIPELINES, configured
 from .session import session
 from .sources import runs
 
@@ -35,9 +35,16 @@ def persistence(text: str) -> reports.Persistence:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="wavemark")
     commands = top.add_subparsers(dest="command", required=True)
-    for name in PIPELINES:
+    for name, defaults in DEFAULTS.items():
         p = commands.add_parser(name, help=f"run the {name} pipeline")
+        if "root" in defaults:
+            p.add_argument("root")
         p.add_argument("output_dir")
+        for key, value in defaults.items():
+            if key == "machine_ids":
+                p.add_argument("--machine-id", action="append", dest=key, default=argparse.SUPPRESS)
+            elif key != "root":
+                p.add_argument(f"--{key.replace('_', '-')}", type=type(value), default=argparse.SUPPRESS, help=f"default: {value}")
         p.add_argument("--set", type=pair, action="append", default=[], metavar="KEY=VALUE")
         p.add_argument("--overwrite", action="store_true")
     p = commands.add_parser("run-suite")
@@ -93,7 +100,8 @@ def main(argv: list[str] | None = None) -> int:
         jobs = [(s, p) for s in a.strategy or ["validation_quantile_99"] for p in a.persistence or [reports.Persistence()]]
         reports.rescore(session(), a.source_run_dir, a.output_root, jobs, base=a.run_id_prefix, overwrite=a.overwrite, compare=a.compare, pipeline=a.pipeline, dataset=a.dataset, seed=a.seed, notes=a.notes)
     else:
-        PIPELINES[a.command](session(), a.output_dir, configured(dict(a.set)), a.overwrite)
+        said = {k: v for k, v in vars(a).items() if k in DEFAULTS[a.command]}
+        PIPELINES[a.command](session(), a.output_dir, configured(a.command, said | dict(a.set)), a.overwrite)
     return 0
 
 

@@ -8,7 +8,8 @@ small table of one row for each chunk.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -16,6 +17,16 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df``, computed once for all that happens inside."""
+    cached = df.cache()
+    try:
+        yield cached
+    finally:
+        cached.unpersist()
+
+
 def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "seq", chunk: int | None = None) -> DataFrame:
     """Number all rows from 0 in the order of ``groups``, then ``order``: a row number in each group
     plus the rows of all groups before it. ``chunk`` cuts long groups: the first column of ``order``

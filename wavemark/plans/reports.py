@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 
@@ -13,7 +13,7 @@ from ..functions import mixture
 from ..functions.energy import energy_score
 from ..functions.intervals import channel_coverage
 from ..operators import diagnostics, ranges, regimes, selection, thresholds
-from ..sources import runs
+from ..sources import files, runs
 
 
 def evaluate_forecast(forecast: DataFrame, *, samples: int = 256, seed: int = 0, key: str = "seq") -> dict:
@@ -108,9 +108,11 @@ def evaluate_regime(rows: DataFrame, truth: str = "true_label", pred: str = "pre
 
 def evaluate_run(spark: SparkSession, run_dir: str, *, output: str | None = None, strategy: str = "max_validation_f1", persistence: Persistence = Persistence(), samples: int = 256, seed: int = 0, skip: Sequence[str] = ()) -> dict:
     """The report of a run: the sections whose artifacts exist and are not skipped ('forecast',
-    'anomaly', 'regime'). Written as JSON if ``output`` is given."""
+    'anomaly', 'regime'). Written as JSON if ``output`` is given. A folder without any is an error."""
     report: dict = {}
     forecast, scores, labels = (runs.read_table(spark, run_dir, n) for n in ("forecast", "scores", "regimes"))
+    if forecast is None and scores is None and labels is None:
+        raise FileNotFoundError(f"{run_dir} has no forecast, scores or regimes")
     if forecast is not None and "forecast" not in skip:
         report["forecast"] = evaluate_forecast(forecast, samples=samples, seed=seed)
     if scores is not None and "anomaly" not in skip:
@@ -124,8 +126,6 @@ def evaluate_run(spark: SparkSession, run_dir: str, *, output: str | None = None
 
 def rescore_id(base: str, strategy: str, persistence: Persistence) -> str:
     """The id of a rescored run: slugs of its base and strategy, and its persistence."""
-    import re
-
     slug = lambda s: re.sub(r"[^a-z0-9]+", "-", s.lower()).strip("-")
     return f"{slug(base)}-{slug(strategy)}-w{persistence.window}-c{persistence.count}"
 
@@ -138,8 +138,6 @@ def rescore(
     for each, whose ``pipeline``, ``dataset``, ``seed`` and ``notes`` are the source's unless given
     (notes: unless given, what was done). Threshold-free areas do not depend on either, and are
     computed once. ``compare`` writes a table of all runs under the root."""
-    import shutil
-
     for strategy, persistence in jobs:
         thresholds.check_strategy(strategy)
         thresholds.check_persistence(persistence.window, persistence.count)
@@ -149,7 +147,7 @@ def rescore(
     if missing:
         raise FileNotFoundError(f"{run_dir} has no {' and no '.join(missing)}")
     known = f"{run_dir}/manifest.json"
-    said = runs.read_manifest(known) if os.path.exists(known) else runs.RunManifest(os.path.basename(run_dir.rstrip("/")), "unknown", "unknown")
+    said = runs.read_manifest(known) if files.exists(known) else runs.RunManifest(run_dir.rstrip("/").rpartition("/")[2], "unknown", "unknown")
     scores = scores.cache()
     try:
         validation, test = (scores.where(F.col("split") == s) for s in ("validation", "test"))
@@ -157,10 +155,10 @@ def rescore(
         for strategy, persistence in jobs:
             name = rescore_id(base or said.run_id, strategy, persistence)
             folder = f"{output_root}/{name}"
-            if os.path.isdir(folder):
+            if files.is_folder(folder):
                 if not overwrite:
                     raise FileExistsError(folder)
-                shutil.rmtree(folder)
+                files.delete(folder)
             runs.write_json(f"{folder}/metrics.json", {"anomaly": evaluate_anomaly(validation, test, strategy, persistence, areas=areas)})
             done = notes or f"{run_dir} rescored by {strategy}, {persistence.count} of {persistence.window}"
             runs.write_manifest(f"{folder}/manifest.json", runs.RunManifest(name, pipeline or said.pipeline, dataset or said.dataset, said.seed if seed is None else seed, done))

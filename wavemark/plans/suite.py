@@ -25,7 +25,7 @@ class SuiteJob:
             raise ValueError("a job needs a run_id")
         if self.pipeline not in PIPELINES:
             raise ValueError(f"unknown pipeline {self.pipeline!r}; choose one of {', '.join(sorted(PIPELINES))}")
-        configured(self.params)
+        configured(self.pipeline, self.params)
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ def run_suite(spark: SparkSession, suite: Suite, output_root: str, *, compare: s
     made = []
     for job in suite.jobs:
         folder = f"{output_root}/{job.run_id}"
-        config = configured(job.params)
+        config = configured(job.pipeline, job.params)
         PIPELINES[job.pipeline](spark, folder, config, overwrite)
         runs.write_manifest(f"{folder}/manifest.json", runs.RunManifest(job.run_id, job.pipeline, job.dataset, config.seed, job.notes))
         made.append(folder)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quantiles, ranges, regimes, selection, thresholds
+from ..operators.sequence import kept
 from .forecasting import PO, posteriors
 from .series import r6
-from .views import SC, Query, kept, scored
+from .views import SC, Query, scored
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}

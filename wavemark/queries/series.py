@@ -107,7 +107,7 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _injected(spark: SparkSession, sf_dir: str, *events: failures.FailureEvent) -> DataFrame:
-    done = failures.inject(series_events(spark, sf_dir), events)
+    done = failures.inject(series_events(spark, sf_dir), events, strict=False)
     return done.select("series_id", "t", r6(F.col("x")[0], "v"), r6(F.col("x")[1], "k"), F.col("anomaly_label").cast("int").alias("label"))
 
 

@@ -1,14 +1,16 @@
 """Runs on disk: their artifacts, metrics and manifests, and tables that compare them.
 
-A run is a folder: tables ``forecast``, ``scores`` (by split), ``regimes`` and ``scaler`` as
-Parquet, and small JSON files. Comparing reads the JSON files of any number of runs by Spark.
+A run is a folder on any file system that Spark can write to: tables ``forecast``, ``scores`` (by
+split), ``regimes`` and ``scaler`` as Parquet, and small JSON files. Each of them appears whole or not
+at all. Comparing reads the JSON files of any number of runs by Spark.
 """
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import math
-import os
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -17,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 LEADING = ("run_dir", "manifest.run_id", "manifest.pipeline")
 
 
@@ -43,9 +47,7 @@ def json_ready(value):
 
 
 def write_json(path: str, value) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(json_ready(value), out, indent=2, sort_keys=True)
+    files.write_text(path, json.dumps(json_ready(value), indent=2, sort_keys=True))
 
 
 def write_manifest(path: str, manifest: RunManifest) -> None:
@@ -54,28 +56,27 @@ def write_manifest(path: str, manifest: RunManifest) -> None:
 
 
 def read_manifest(path: str) -> RunManifest:
-    with open(path, encoding="utf-8") as file:
-        said = json.load(file)
+    said = json.loads(files.read_text(path))
     seed, notes = said.get("seed"), said.get("notes")
     return RunManifest(str(said["run_id"]), str(said["pipeline"]), str(said["dataset"]), None if seed is None else int(seed), None if notes is None else str(notes))
 
 
 def prepare_folder(path: str, overwrite: bool = False) -> None:
     """A folder for a run: a non-empty one is an error, unless overwritten (other files stay)."""
-    if os.path.isdir(path) and os.listdir(path) and not overwrite:
+    if files.is_folder(path) and files.names(path) and not overwrite:
         raise FileExistsError(path)
-    os.makedirs(path, exist_ok=True)
+    files.make_folder(path)
 
 
 def write_table(df: DataFrame, run_dir: str, name: str, by: str | None = None) -> None:
     """An artifact of a run: ``forecast``, ``scores`` (``by='split'``), ``regimes`` or ``scaler``."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).parquet(f"{run_dir}/{name}")
+    with files.replacing(f"{run_dir}/{name}") as hidden:
+        (df.write.partitionBy(by) if by else df.write).parquet(hidden)
 
 
 def read_table(spark: SparkSession, run_dir: str, name: str) -> DataFrame | None:
     """An artifact, or None if the run does not have it."""
-    return spark.read.parquet(f"{run_dir}/{name}") if os.path.isdir(f"{run_dir}/{name}") else None
+    return spark.read.parquet(f"{run_dir}/{name}") if files.is_folder(f"{run_dir}/{name}") else None
 
 
 def flat_columns(schema: T.StructType, prefix: str = "") -> list[tuple[str, T.DataType]]:
@@ -95,6 +96,11 @@ def flatten(df: DataFrame, prefix: str = "") -> DataFrame:
     return df.select(*made)
 
 
+def _found(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The paths of all files of a name under a folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select("path")
+
+
 def _json_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("multiLine", True).json(root)
     folder = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/"), r"/[^/]*$", "")
@@ -104,11 +110,11 @@ def _json_files(spark: SparkSession, root: str, name: str) -> DataFrame:
 def collect_runs(spark: SparkSession, root: str) -> DataFrame:
     """A row for each folder under ``root`` with a metrics.json: ``run_dir``, the metrics, and the
     manifest's fields where there is one, in the order of ``comparison_columns``."""
-    if os.path.isfile(root):
+    if files.exists(root) and not files.is_folder(root):
         raise ValueError("runs are folders")
     metrics = _json_files(spark, root, "metrics.json")
     flat = flatten(metrics)
-    if any("manifest.json" in files for _, _, files in os.walk(root)):
+    if not _found(spark, root, "manifest.json").isEmpty():
         said = _json_files(spark, root, "manifest.json")
         own = said.select(F.col("run_dir"), *(F.col(c).alias(f"manifest.{c}") for c in said.columns if c != "run_dir"))
         flat = flat.join(own, "run_dir", "left")
@@ -129,15 +135,13 @@ def comparison_table(frames: list[DataFrame]) -> DataFrame:
 def write_comparison(df: DataFrame, path: str) -> None:
     """One CSV or JSON file, by the path's ending. A comparison has a row for each run."""
     rows, names = [r.asDict() for r in df.collect()], df.columns
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     if path.endswith(".json"):
         write_json(path, rows)
     elif path.endswith(".csv"):
-        import csv
-
-        with open(path, "w", newline="", encoding="utf-8") as out:
-            writer = csv.DictWriter(out, names)
-            writer.writeheader()
-            writer.writerows({k: "" if v is None else v for k, v in r.items()} for r in rows)
+        out = io.StringIO()
+        writer = csv.DictWriter(out, names)
+        writer.writeheader()
+        writer.writerows({k: "" if v is None else v for k, v in r.items()} for r in rows)
+        files.write_text(path, out.getvalue())
     else:
         raise ValueError("a comparison is written as .csv or .json")
