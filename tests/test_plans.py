@@ -110,23 +110,58 @@ def test_training_learns(spark):
     assert len(got) == 64 and sum(got[0]["weights"]) == pytest.approx(1)
 
 
-def test_steps_follow_rows(spark, monkeypatch):
-    sizes, rows = [], 2 * neural.PART_ROWS + 70
-    summed = neural._summed
-
-    def counted(*args):
-        got = summed(*args)
-        sizes.append(got[1])
-        return got
-
-    monkeypatch.setattr(neural, "_summed", counted)
-    df = spark.range(rows).select(F.col("id").alias("seq"), F.array(F.array(F.col("id") / rows)).alias("window"), F.array(F.array(F.lit(0.5))).alias("target"), F.lit(0).alias("regime_label"))
-    model = neural.ModelConfig(1, hidden=2, components=1)
-    neural.train(df, model, neural.TrainingConfig(epochs=1, batch_size=700))
-    assert sizes == [700, 700, 700, rows - 2100]  # every row once, also over the bounds of partitions
-    sizes.clear()
-    neural.train(df.where(f"seq < {200}"), model, neural.TrainingConfig(epochs=2))
-    assert sizes == [64, 64, 64, 8] * 2
+def test_batches_follow_rows():
+    """Every row once, in its batch, wherever frames and tasks are cut."""
+    import pandas as pd
+
+    n, size = 100, 16
+    for tasks, cut in ((1, 7), (3, 10), (40, 2)):
+        seen = {}
+        for task in range(tasks):
+            places = np.arange(task, n, tasks)
+            frames = [pd.DataFrame({"_place": p, "window": [[[float(v)]] for v in p], "target": [[[0.0]]] * len(p), "regime_label": 0}) for p in np.array_split(places, max(1, len(places) // cut)) if len(p)]
+            parts = list(neural.batches_of(iter(frames), size, 7))
+            assert len(parts) == 7
+            for batch, own in enumerate(parts):
+                seen.setdefault(batch, []).extend(int(v) for x, _, _ in own for v in x[:, 0, 0])
+        assert [sorted(seen[b]) for b in range(7)] == [list(range(b * size, min(n, (b + 1) * size))) for b in range(7)]
+
+
+def made_rows(spark, n):
+    return spark.range(n).select(F.col("id").alias("seq"), F.array(F.array(F.col("id") / n), F.array(F.sin("id"))).alias("window"), F.array(F.array(F.cos("id"))).alias("target"), (F.col("id") % 2).alias("regime_label"))
+
+
+@pytest.mark.parametrize("tasks", [1, 3, None])
+def test_training_equals_a_plain_loop(spark, tasks):
+    """The same losses and weights as batches taken one after another in one process."""
+    rows = made_rows(spark, 150)
+    config, training = neural.ModelConfig(1, hidden=3, components=2, n_regimes=2), neural.TrainingConfig(epochs=2, batch_size=40, rate=0.03, decay=0.01, supervised=0.2, seed=4, tasks=tasks)
+    model = neural.train(rows, config, training)
+    state, losses = neural.Adam.first(neural.initial(config, 4)), []
+    for epoch in range(2):
+        order = rows.orderBy(F.xxhash64("seq", F.lit(4), F.lit(epoch))).toPandas()
+        own = []
+        for a in range(0, 150, 40):
+            part = order.iloc[a : a + 40]
+            loss, g = neural.loss_and_gradient(config, state.weights, *neural._arrays(part), part["regime_label"].to_numpy(), 0.2)
+            own.append(loss / len(part))
+            state.take(g, len(part), training)
+        losses.append(np.mean(own))
+    assert model.train_loss == pytest.approx(losses, rel=1e-9)
+    assert all(np.allclose(model.weights[k], state.weights[k], atol=1e-9) for k in state.weights)
+
+
+def test_jobs_of_an_epoch_do_not_follow_rows(spark):
+    jobs, context = [], spark.sparkContext
+    for n in (40, 3000):
+        context.setJobGroup(f"rows {n}", "training")
+        model = neural.train(made_rows(spark, n).repartition(2), neural.ModelConfig(1, hidden=2, components=1, dropout=0.1, layers=2), neural.TrainingConfig(epochs=1, batch_size=20))
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"rows {n}")))
+        assert np.isfinite(model.train_loss[0])
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+    empty = neural.train(made_rows(spark, 40).limit(0), neural.ModelConfig(1), neural.TrainingConfig(epochs=1))
+    assert np.isnan(empty.train_loss[0]) and empty.weights.keys() == neural.initial(neural.ModelConfig(1), 0).keys()
     assert pipelines.configured("smd-mdn", {"batch_size": 7}).batch_size == 7
 
 

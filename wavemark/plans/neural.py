@@ -2,32 +2,36 @@
 
 A model is a small dictionary of arrays: an LSTM of one or more layers over the lookback and linear
 heads for the mixture's logits, means and raw spreads; the joint model adds a head for the regime,
-whose probabilities the forecast heads see too. A training step is a Spark job: each task computes the
-gradient of its part of the batch, the driver adds them up and takes an AdamW step. Tasks hold the
-model and their own rows, nothing else; the data never comes to the driver.
-
-Batches follow the rows: an epoch deals all rows anew in random order, and each batch of
-``batch_size`` of them is a step, so an epoch takes rows / ``batch_size`` steps at any table size. A
-step reads only the partitions of the epoch's order that hold its batch, not the table.
+whose probabilities the forecast heads see too.
+
+An epoch is one barrier stage. All rows are dealt anew in random order, and every batch evenly over
+the stage's tasks, which stream their rows. In a step each task computes the gradient of its part of
+the batch, all exchange these by ``allGather``, and each takes the same AdamW step. So an epoch has
+rows / ``batch_size`` steps at any table size, but its number of jobs does not depend on the rows, and
+neither data nor gradients go through the driver's program. If a task is lost the stage starts again
+from the epoch's first weights.
 """
 
 from __future__ import annotations
 
+import base64
 import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import RDD
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sequence import numbered
 
 LEAST_STD = 1e-3
-#: Rows in a partition of an epoch's order.
+#: Rows that are put in order together.
 PART_ROWS = 1024
+#: Rows of a batch that make a task worth its share of the exchange.
+TASK_ROWS = 8
 Weights = dict[str, np.ndarray]
 
 
@@ -51,11 +55,13 @@ class ModelConfig:
 @dataclass(frozen=True)
 class TrainingConfig:
     """``batches`` cuts an epoch into so many parts, whatever the number of rows; without it a batch
-    has ``batch_size`` rows."""
+    has ``batch_size`` rows. ``tasks`` share each batch: by default as many as the cluster runs at
+    once, but each with TASK_ROWS rows of it at least."""
 
     epochs: int = 5
     batch_size: int = 64
     batches: int | None = None
+    tasks: int | None = None
     rate: float = 1e-2
     decay: float = 0.0
     clip: float = 1.0
@@ -64,8 +70,8 @@ class TrainingConfig:
     seed: int = 0
 
     def check(self) -> None:
-        if min(self.epochs, self.batch_size, 1 if self.batches is None else self.batches) < 1 or self.rate <= 0 or self.clip <= 0 or min(self.decay, self.supervised, self.smoothness) < 0:
-            raise ValueError("epochs, batch_size, batches, rate and clip must be positive, weights not negative")
+        if min(self.epochs, self.batch_size, 1 if self.batches is None else self.batches, 1 if self.tasks is None else self.tasks) < 1 or self.rate <= 0 or self.clip <= 0 or min(self.decay, self.supervised, self.smoothness) < 0:
+            raise ValueError("epochs, batch_size, batches, tasks, rate and clip must be positive, weights not negative")
 
 
 @dataclass
@@ -238,80 +244,126 @@ def mean_loss(rows: DataFrame, model: Trained, training: TrainingConfig = Traini
     return loss / max(n, 1)
 
 
-def _epoch(rows: DataFrame, n: int, size: int, training: TrainingConfig, epoch: int, key: str) -> RDD:
-    """(batch, arrays): the rows in an order of their own for each epoch, cut into batches of
-    ``size``; partition k holds the places from k * PART_ROWS on."""
+@dataclass
+class Adam:
+    """The model's weights and the moments of their gradients after ``step`` steps."""
+
+    weights: Weights
+    m: Weights
+    v: Weights
+    step: int = 0
+
+    @classmethod
+    def first(cls, weights: Weights) -> Adam:
+        return cls(weights, {k: np.zeros_like(x) for k, x in weights.items()}, {k: np.zeros_like(x) for k, x in weights.items()})
+
+    def take(self, g: Weights, n: int, training: TrainingConfig) -> None:
+        """A step along the summed gradient of ``n`` rows, clipped by its norm."""
+        norm = np.sqrt(sum(((x / n) ** 2).sum() for x in g.values()))
+        self.step += 1
+        for k in sorted(g):
+            x = g[k] / n * min(1.0, training.clip / max(norm, 1e-12))
+            self.m[k], self.v[k] = 0.9 * self.m[k] + 0.1 * x, 0.999 * self.v[k] + 0.001 * x**2
+            move = self.m[k] / (1 - 0.9**self.step) / (np.sqrt(self.v[k] / (1 - 0.999**self.step)) + 1e-8)
+            self.weights[k] = self.weights[k] * (1 - training.rate * training.decay) - training.rate * move
+
+
+def _dealt(rows: DataFrame, n: int, tasks: int, training: TrainingConfig, epoch: int, key: str) -> DataFrame:
+    """The rows in an order of their own for each epoch: ``_place``, by which they are dealt over
+    ``tasks`` partitions one after another, so that all have their share of each batch, in order."""
     order = F.xxhash64(key, F.lit(training.seed), F.lit(epoch))
     drawn = rows.withColumn("_order", order).withColumn("_bin", F.pmod("_order", F.lit(-(-n // PART_ROWS))))
     placed = numbered(drawn, ["_bin"], ["_order", key], "_place")
-    dealt = placed.select("window", "target", "regime_label", F.expr(f"_place div {size}").alias("batch"), F.expr(f"cast(_place div {PART_ROWS} as int)").alias("_part"))
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for batch, part in frame.groupby("batch"):
-                labels = part["regime_label"].to_numpy() if training.supervised else None
-                yield pd.DataFrame({"batch": [batch], "arrays": [pickle.dumps((*_arrays(part), labels), 5)]})
+    own = F.pmod("_place", F.lit(tasks)).cast("int")
+    return placed.select("window", "target", "regime_label", "_place").repartitionById(tasks, own).sortWithinPartitions("_place")
+
+
+Part = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def batches_of(frames: Iterable[pd.DataFrame], size: int, count: int) -> Iterator[list[Part]]:
+    """For each of ``count`` batches of ``size`` places, the windows, targets and labels of its rows in
+    ``frames``, which come in order; batches without any give an empty list."""
+    frames, frame, at = iter(frames), None, 0
+    for batch in range(count):
+        parts: list[Part] = []
+        while True:
+            if frame is None or at == len(frame):
+                frame, at = next(frames, None), 0
+                if frame is None:
+                    break
+            stop = int(np.searchsorted(frame["_place"].to_numpy(), (batch + 1) * size))
+            for a in range(at, stop, 256):
+                own = frame.iloc[a : min(a + 256, stop)]
+                parts.append((*_arrays(own), own["regime_label"].to_numpy()))
+            at = stop
+            if at < len(frame):
+                break
+        yield parts
+
+
+def batch_gradient(config: ModelConfig, weights: Weights, parts: list[Part], training: TrainingConfig, rng: np.random.Generator | None = None) -> np.ndarray:
+    """Loss, number of rows and gradient (by the weights' names in order), summed over the parts."""
+    total = np.zeros(2 + sum(x.size for x in weights.values()))
+    for x, y, labels in parts:
+        loss, g = loss_and_gradient(config, weights, x, y, labels if training.supervised else None, training.supervised, rng)
+        total += np.concatenate([[loss, len(x)], *(g[k].ravel() for k in sorted(weights))])
+    return total
+
+
+def unpacked(total: np.ndarray, weights: Weights) -> tuple[float, int, Weights]:
+    out, at = {}, 2
+    for k in sorted(weights):
+        out[k], at = total[at : at + weights[k].size].reshape(weights[k].shape), at + weights[k].size
+    return float(total[0]), int(total[1]), out
+
+
+def _epoch(dealt: DataFrame, state: Adam, config: ModelConfig, training: TrainingConfig, size: int, count: int) -> tuple[Adam, float]:
+    """The state after one epoch of ``count`` batches, and their mean loss: one job."""
+    shared = dealt.sparkSession.sparkContext.broadcast(state)
 
-    return dealt.repartitionById(-(-n // PART_ROWS), "_part").mapInPandas(pack, "batch long, arrays binary").rdd.persist()
-
-
-def _summed(dealt: RDD, batch: int, size: int, n: int, model: Trained, training: TrainingConfig, step: int = 0) -> tuple[float, int, Weights]:
-    """Loss, rows and gradient of a batch, each added up over the partitions that hold it."""
-    config, weights, names = model.config, model.weights, sorted(model.weights)
-
-    def run(items: Iterable[tuple[int, bytes]]) -> Iterator[tuple[float, int, np.ndarray]]:
-        loss, rows, total = 0.0, 0, np.zeros(sum(weights[k].size for k in names))
-        rng = np.random.default_rng([training.seed, step]) if config.dropout else None
-        for at, arrays in items:
-            if at == batch:
-                x, y, labels = pickle.loads(arrays)
-                for a in range(0, len(x), 256):
-                    got, g = loss_and_gradient(config, weights, x[a : a + 256], y[a : a + 256], None if labels is None else labels[a : a + 256], training.supervised, rng)
-                    loss, rows = loss + got, rows + len(x[a : a + 256])
-                    total += np.concatenate([g[k].ravel() for k in names])
-        yield loss, rows, total
-
-    first, last = batch * size // PART_ROWS, (min((batch + 1) * size, n) - 1) // PART_ROWS
-    losses, counts, totals = zip(*dealt.context.runJob(dealt, run, range(first, last + 1)), strict=True)
-    flat, out, at = np.sum(totals, axis=0), {}, 0
-    for k in names:
-        out[k], at = flat[at : at + weights[k].size].reshape(weights[k].shape), at + weights[k].size
-    return float(sum(losses)), sum(counts), out
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context, own, losses = BarrierTaskContext.get(), pickle.loads(pickle.dumps(shared.value)), 0.0
+        for parts in batches_of(frames, size, count):
+            rng = np.random.default_rng([training.seed, own.step, context.partitionId()]) if config.dropout else None
+            mine = batch_gradient(config, own.weights, parts, training, rng)
+            every = context.allGather(base64.b64encode(mine.tobytes()).decode())
+            loss, n, g = unpacked(np.sum([np.frombuffer(base64.b64decode(e)) for e in every], axis=0), own.weights)
+            losses += loss / n
+            own.take(g, n, training)
+        if context.partitionId() == 0:
+            yield pd.DataFrame({"state": [pickle.dumps(own, 5)], "loss": [losses / count]})
+
+    (made,) = dealt.mapInPandas(run, "state binary, loss double", barrier=True).collect()
+    shared.unpersist()
+    return pickle.loads(made["state"]), made["loss"]
 
 
 def train(windows: DataFrame, config: ModelConfig, training: TrainingConfig = TrainingConfig(), validation: DataFrame | None = None, key: str = "seq") -> Trained:
     """AdamW over shuffled batches; gradients are clipped by their norm. ``windows`` has ``window``,
     ``target``, ``regime_label`` and an integer ``key``, by which rows fall into batches anew in
-    each epoch. A step is a job of one batch, after the one before it: an epoch takes
-    rows / ``batch_size`` jobs, which more machines do not shorten; a larger batch does."""
+    each epoch. An epoch takes rows / ``batch_size`` steps, one after another, which more tasks do
+    not shorten; a larger batch does. Its stage needs ``tasks`` cores at once, and no dynamic
+    allocation of executors; a step sends the model's numbers from each task to each.
+
+    Without rows the model stays as it was drawn, and its losses are not numbers."""
     training.check()
     if training.supervised and config.n_regimes:
         worst = windows.agg(F.count_if(~F.coalesce(F.col("regime_label").between(0, config.n_regimes - 1), F.lit(False)))).first()[0]
         if worst:
             raise ValueError("regime labels must lie between 0 and n_regimes - 1")
-    model = Trained(config, initial(config, training.seed))
-    m, v = ({k: np.zeros_like(x) for k, x in model.weights.items()} for _ in range(2))
-    step = 0
+    state, model = Adam.first(initial(config, training.seed)), Trained(config, {})
     rows = windows.select(key, "window", "target", "regime_label").cache()
     try:
         total = rows.count()
         size = training.batch_size if training.batches is None else max(1, -(-total // training.batches))
+        tasks = training.tasks or max(1, min(windows.sparkSession.sparkContext.defaultParallelism, min(size, total) // TASK_ROWS))
         for epoch in range(training.epochs):
-            losses = []
-            dealt = _epoch(rows, total, size, training, epoch, key) if total else None
-            for batch in range(-(-total // size)):
-                loss, n, g = _summed(dealt, batch, size, total, model, training, step)
-                losses.append(loss / n)
-                norm = np.sqrt(sum(((x / n) ** 2).sum() for x in g.values()))
-                step += 1
-                for k, x in g.items():
-                    x = x / n * min(1.0, training.clip / max(norm, 1e-12))
-                    m[k], v[k] = 0.9 * m[k] + 0.1 * x, 0.999 * v[k] + 0.001 * x**2
-                    move = m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-                    model.weights[k] = model.weights[k] * (1 - training.rate * training.decay) - training.rate * move
-            if dealt is not None:
-                dealt.unpersist()
-            model.train_loss.append(float(np.mean(losses)))
+            loss = float("nan")
+            if total:
+                state, loss = _epoch(_dealt(rows, total, tasks, training, epoch, key), state, config, training, size, -(-total // size))
+            model.weights = state.weights
+            model.train_loss.append(float(loss))
             if validation is not None:
                 model.validation_loss.append(mean_loss(validation, model, training))
     finally:
