@@ -190,6 +190,19 @@ def test_measures_against_brute_force(spark, seed, monkeypatch):
         ranges.measures(seq(spark, label=[0, 2], pred=[0, 1])).collect()
 
 
+def test_group_quantiles_by_brackets(spark):
+    """Exact in every group, also in one of many rows, of few values, or of one."""
+    rng = np.random.default_rng(6)
+    groups = {"normal": rng.normal(size=3000), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([4.5]), "two": np.array([1.0, 2.0]), "same": np.full(50, 7.0)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("none", None), ("ties", None)]
+    df = spark.createDataFrame(rows, "group_id string, score double").repartition(5)
+    for level, accuracy in ((0.5, 10_000), (0.98, 50), (0.985, 100), (0.0, 20), (1.0, 20), (0.37, 10)):
+        found = {r["group_id"]: r["threshold"] for r in thresholds.group_quantiles(df, level, accuracy=accuracy).collect()}
+        assert set(found) == {*groups, "none"} and found["none"] is None
+        for g, values in groups.items():
+            assert found[g] == pytest.approx(np.quantile(values, level), rel=1e-12), (g, level)
+
+
 def test_numbers_in_pieces(spark):
     rows = [(g, t) for g in (2, 0, 5) for t in range(0, 50, 3)]
     df = spark.createDataFrame(rows, "g int, t long").repartition(3)

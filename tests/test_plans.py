@@ -44,6 +44,44 @@ def test_machines_with_faults(spark, tree, part, text, says):
         machines.load_machines(spark, tree).collect()
 
 
+def test_long_files_in_byte_ranges(spark, tmp_path):
+    """Lines of a file that is read in many ranges are numbered as in one; only asked machines' files are read."""
+    lengths = {"a": 2000, "b [1]": 700, "c": 3}
+    for part in machines.PARTS:
+        (tmp_path / part).mkdir()
+        for name, n in lengths.items():
+            (tmp_path / part / f"{name}.txt").write_text("".join(f"{int(i % 9 == 0)}\n" if part == "test_label" else f"{i},{i % 7}\n" + "\n" * (i % 5 == 0) for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = machines._lines(spark, str(tmp_path), "train", ["a", "b [1]"])
+        got = lines.select("machine_id", "t", "n_lines", "line", F.spark_partition_id().alias("task")).collect()
+        rows = machines.load_machines(spark, str(tmp_path), ["b [1]", "a"]).where("split = 'test'").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name in ("a", "b [1]"):
+        own = sorted((r["t"], r["line"], r["n_lines"]) for r in got if r["machine_id"] == name)
+        assert own == [(i, f"{i},{i % 7}", lengths[name]) for i in range(lengths[name])]
+        assert sorted((r["t"], r["x"][0], r["anomaly_label"]) for r in rows if r["machine_id"] == name) == [(i, float(i), int(i % 9 == 0)) for i in range(lengths[name])]
+    files_read = machines._lines(spark, str(tmp_path), "train", ["c"]).select("machine_id").distinct().collect()
+    assert [r[0] for r in files_read] == ["c"] and {r["group_id"] for r in rows if r["machine_id"] == "a"} == {1}
+
+
+def test_windows_in_sql(spark):
+    from wavemark.functions import window_table
+    from wavemark.operators import windows
+
+    window_table.register(spark)
+    df = spark.createDataFrame([(s, t, [t * 1.5, float(s)], t % 3, int(t % 5 == 0)) for s, n in ((1, 20), (2, 4), (3, 9)) for t in range(n)], "series_id int, t long, x array<double>, regime_label int, anomaly_label int").repartition(4)
+    df.createOrReplaceTempView("series_rows")
+    for lookback, horizon, stride in ((3, 2, 1), (4, 1, 3), (1, 1, 2), (20, 1, 1)):
+        got = spark.sql(f"SELECT * FROM windows(TABLE(series_rows) PARTITION BY series_id ORDER BY (t), {lookback}, {horizon}, {stride})")
+        want = windows.make_windows(df, lookback, horizon, stride).select(*got.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(Exception, match="stride"):
+        spark.sql("SELECT * FROM windows(TABLE(series_rows) PARTITION BY series_id ORDER BY (t), 3, 2, 0)").collect()
+
+
 def test_synthetic_series(spark):
     space = synthetic.ConfigSpace(n_channels=2)
     made = synthetic.generate(synthetic.draw_configs(spark, space, 2, 1, 1, seed=3), 60, seed=3)

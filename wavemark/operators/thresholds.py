@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import exact_quantiles
@@ -54,9 +54,28 @@ def predict_by_group(df: DataFrame, thresholds: DataFrame, group: str = "group_i
     return joined.withColumn("pred", known.otherwise(F.raise_error(F.concat(F.lit("no threshold for group "), F.col(group).cast("string"))).cast("int"))).drop("threshold")
 
 
-def group_quantiles(df: DataFrame, level: float, group: str = "group_id", score: str = "score") -> DataFrame:
-    """Each group's ``threshold``: its exact quantile, linearly interpolated."""
-    return df.groupBy(group).agg(F.percentile(score, F.lit(level)).alias("threshold"))
+def group_quantiles(df: DataFrame, level: float, group: str = "group_id", score: str = "score", accuracy: int = 10_000) -> DataFrame:
+    """Each group's ``threshold``: its exact quantile, linearly interpolated.
+
+    A mergeable sketch of each group (ranks within 1 / ``accuracy`` of its rows) brackets the wanted
+    ranks; the rows below the bracket are only counted, and only the distinct values inside, some
+    ten-thousandths of the group, are put in order. ``df`` is read twice. Null scores do not count;
+    a group without any others has a null threshold."""
+    margin = 2 / accuracy
+    ends = F.array(F.lit(max(0.0, level - margin)), F.lit(min(1.0, level + margin)))
+    sketch = df.groupBy(group).agg(F.percentile_approx(score, ends, F.lit(accuracy)).alias("_ends"), F.count(score).alias("_total"))
+    near = df.select(group, F.col(score).cast("double").alias("_v")).join(sketch, group).where(F.col("_v") <= F.col("_ends")[1])
+    inside = F.when(F.col("_v") >= F.col("_ends")[0], F.col("_v"))  # null: all below
+    counted = near.groupBy(group, inside.alias("_v")).agg(F.count("*").alias("_n"), F.first("_total").alias("_total"))
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy(F.col("_v").asc_nulls_first()))
+    place = (F.col("_total") - 1) * F.lit(level)
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.struct(F.col("_v")))).alias
+    found = counted.withColumn("_upto", upto).groupBy(group).agg(at(F.floor(place))("_a"), at(F.ceil(place))("_b"), F.first(place).alias("_place"))
+    part = F.col("_place") - F.floor("_place")
+    value = F.when(part == 0, F.col("_a._v")).otherwise((1 - part) * F.col("_a._v") + part * F.col("_b._v"))
+    sure = F.when(F.col("_a._v").isNotNull() & F.col("_b._v").isNotNull(), value).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+    none = sketch.where("_total = 0").select(group, F.lit(None).cast("double").alias("threshold"))
+    return found.select(group, sure.alias("threshold")).union(none)
 
 
 def check_persistence(window: int, count: int) -> None:

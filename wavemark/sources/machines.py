@@ -3,12 +3,14 @@ file for each machine in each."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import scaling, windows
+from . import files
 
 PARTS = ("train", "test", "test_label")
 
@@ -17,15 +19,28 @@ def _name():
     return F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1))
 
 
-def _lines(spark: SparkSession, root: str, part: str, machines: DataFrame) -> DataFrame:
-    """``machine_id``, ``group_id``, ``t`` and ``line``: the lines of each machine's file that are not
-    blank, numbered from 0 in the order of the file. Long files are read in splits; lines are put in
-    order by the place of their split and their place in it."""
-    read = spark.read.option("pathGlobFilter", "*.txt").text(f"{root}/{part}")
-    rows = read.select(_name().alias("machine_id"), "value", F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("_place"))
-    rows = rows.where(F.trim("value") != "").join(machines, "machine_id")
-    t = F.row_number().over(Window.partitionBy("machine_id").orderBy("_place")) - 1
-    return rows.select("machine_id", "group_id", t.cast("long").alias("t"), F.trim("value").alias("line"))
+def _plain(name: str) -> str:
+    """A name as it stands, where a path may hold patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
+
+
+def _lines(spark: SparkSession, root: str, part: str, names: Sequence[str]) -> DataFrame:
+    """``machine_id``, ``t``, ``n_lines`` and ``line``: the lines of each machine's file that are not
+    blank, numbered from 0 in the order of the file. Only these machines' files are read.
+
+    Spark reads a long file in byte ranges. The lines of each are counted; a range's first number is
+    the sum of the counts before it, and its lines are numbered in a task of their own."""
+    there = [n for n in names if files.exists(f"{root}/{part}/{n}.txt")]
+    if not there:
+        return spark.createDataFrame([], "machine_id string, t long, n_lines long, line string")
+    read = spark.read.text([f"{root}/{part}/{_plain(n)}.txt" for n in there])
+    rows = read.select(_name().alias("machine_id"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("row"), F.trim("value").alias("line")).where("line != ''")
+    counts = rows.groupBy("machine_id", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("machine_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("machine_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy("machine_id")).alias("n_lines"))
+    inside = F.row_number().over(Window.partitionBy("machine_id", "range").orderBy("row")) - 1
+    numbered = rows.withColumn("inside", inside).join(firsts, ["machine_id", "range"])
+    return numbered.select("machine_id", (F.col("first") + F.col("inside")).cast("long").alias("t"), "n_lines", "line")
 
 
 def machine_ids(spark: SparkSession, root: str) -> DataFrame:
@@ -38,9 +53,8 @@ def load_matrix(lines: DataFrame) -> DataFrame:
     """``machine_id``, ``group_id``, ``t``, ``x``. A file of a single line is one channel, a step for
     each of its values; one of a single column has one channel. Values that are no finite numbers
     fail."""
-    last = F.max("t").over(Window.partitionBy("machine_id"))
-    rows = lines.withColumn("x", F.split("line", ",").cast("array<double>")).withColumn("_last", last)
-    steps = F.when(F.col("_last") == 0, F.transform("x", lambda v, i: F.struct(i.cast("long").alias("t"), F.array(v).alias("x")))).otherwise(F.array(F.struct("t", "x")))
+    rows = lines.withColumn("x", F.split("line", ",").cast("array<double>"))
+    steps = F.when(F.col("n_lines") == 1, F.transform("x", lambda v, i: F.struct(i.cast("long").alias("t"), F.array(v).alias("x")))).otherwise(F.array(F.struct("t", "x")))
     return scaling.finite_rows(rows.select("machine_id", "group_id", F.explode(steps).alias("s")).select("machine_id", "group_id", "s.t", "s.x"))
 
 
@@ -64,7 +78,7 @@ def load_machines(spark: SparkSession, root: str, ids: Sequence[str] | None = No
 
     def of(part: str) -> DataFrame:
         """The lines of a part; a machine without any keeps a row, which fails."""
-        lines = _lines(spark, root, part, machines).drop("group_id")
+        lines = _lines(spark, root, part, names)
         whole = machines.join(lines, "machine_id", "left")
         found = F.when(F.col("t").isNotNull(), True).otherwise(F.raise_error(F.concat(F.lit(f"an empty file, or none, in {part}: "), "machine_id")).cast("boolean"))
         return whole.where(found)
