@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -288,7 +289,6 @@ def test_token_files_by_sequence(spark, tmp_path):
 
 
 def test_token_files_refuse_ids_too_large(tmp_path):
-    import pyarrow as pa
 
     writer = token_files._Writer(str(tmp_path), "part", 0, pa.uint16(), pa.int64(), 4, 2)
     with pytest.raises(ValueError, match="70000"):
@@ -325,7 +325,26 @@ def test_limits_change_no_result(spark, tmp_path, most):
 def test_scores_do_not_depend_on_blocks_or_buckets(spark):
     frame = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(i % 23))) for i in range(50)], "doc_id long, text string").repartition(3)
     key = lambda d: sorted((r["doc_id"], r["n_words"], round(r["log_score"], 9)) for r in d.collect())
-    assert key(lm_scoring.score_documents(frame, block_chars=100, bucket_bytes=50)) == key(lm_scoring.score_documents(frame))
+    whole = key(lm_scoring.score_documents(frame))
+    assert key(lm_scoring.score_documents(frame, block_chars=100, bucket_bytes=50)) == whole
+    for blocks in (1, 3):  # sums in groups of so many blocks
+        assert key(lm_scoring.score_documents(frame, block_chars=100, bucket_bytes=50, group_blocks=blocks)) == whole
+
+
+def test_megabyte_texts_and_pages(spark):
+    """Rows of megabytes go to Python a slice of a batch at a time."""
+    words = [" ".join(f"w{(i * k * k) % 997}" for k in range(180_000)) for i in range(1, 5)]
+    rows = [(i, f"http://x/{i}", t) for i, t in enumerate([words[0], "short", words[1], None, words[2], words[0], "", words[3]])]
+    frame = spark.createDataFrame(rows, "doc_id long, url string, text string").repartition(1)
+    cuts = list(tokens.byte_slices(pa.array([t for _, _, t in rows])))
+    assert len(cuts) > 2 and [a for a, _ in cuts] == [0, *(b for _, b in cuts[:-1])] and all(sum(len(t or "") for _, _, t in rows[a:b]) <= 2_000_000 for a, b in cuts)
+    scored = {r["doc_id"]: r for r in lm_scoring.score_documents(frame, block_chars=1_000_000).collect()}
+    assert scored[0]["n_words"] == 180_000 and scored[0]["log_score"] == scored[5]["log_score"] and scored[3]["n_words"] == 0
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint_documents(frame.where("doc_id in (1, 2)")).collect()}
+    assert prints[2] == fingerprints.fingerprint(words[1]) and prints[1] == fingerprints.fingerprint("short")
+    pages = frame.select(F.col("doc_id").alias("page_id"), "url", F.col("text").alias("html"))
+    found = {r["page_id"]: r for r in warc.captured_pages(warc.assemble(warc.read_records(warc.write_archives(pages)))).collect()}
+    assert found[2]["payload_bytes"] == len(words[1]) and found[5]["refers_to"] == 0 and found[3]["payload_bytes"] == 0
 
 
 def test_archives_of_hot_and_repeated_pages(spark, tmp_path):

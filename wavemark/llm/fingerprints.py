@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from .ordering import dealt, range_bounds, range_number
 from .shingles import mix, sorted_distinct
+from .tokens import text_slices
 
 #: Smallest hashes kept.
 SIZE = 128
@@ -122,7 +123,7 @@ def fingerprint_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t) for t in batch.column(1).to_pylist()]
+            found = [fingerprint(t) for _, _, texts in text_slices(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], schema.names)
 
     return own.mapInArrow(run, schema)
@@ -173,9 +174,9 @@ def compare_with_edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
         held = None  # a document that waits for the next one
         out: list[tuple] = []
         size = 0
-        for batch in batches:
-            ids, texts, ranges, halos = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for doc, text, at, halo in zip(ids, texts, ranges, halos, strict=True):
+        for batch, (a, b, texts) in ((batch, part) for batch in batches for part in text_slices(batch.column(1))):
+            ids, halos = (batch.column(c).slice(a, b - a).to_pylist() for c in (0, 3))
+            for doc, text, halo in zip(ids, texts, halos, strict=True):
                 if halo and held is None:
                     continue
                 text = text or ""

@@ -6,9 +6,13 @@ n-grams of one block of documents that fall into one hash bucket, sorted, with t
 count table of a bucket is the sum over its pages; the join within the bucket answers each page with
 its n-grams' totals in the same order; the answers meet their block's documents again by block, where
 every position takes the highest order with enough occurrences. A frequent n-gram is one entry of a
-page, however often it occurs in a block, so no hash bucket grows with it. Buckets are as many as the
-bytes of the corpus need, so pages become smaller as it grows, down to an n-gram each: never more of
-them than a row for each block's n-grams would be.
+page, however often it occurs in a block. Buckets are as many as the bytes of the corpus need, so
+pages become smaller as it grows, down to an n-gram each: never more of them than a row for each
+block's n-grams would be.
+
+The bucket of a common word has a page from every block. Where there are more blocks than
+GROUP_BLOCKS, their pages are summed in groups of about so many blocks first, a bucket adds up its
+groups' sums, and each group's pages are answered by themselves: no task holds a page of every block.
 
 N-grams are told apart by their order and all 64 bits of their hash; nothing else compares them. Of n
 distinct n-grams of one order, n * n / 2^65 pairs are expected to be taken for one.
@@ -26,11 +30,14 @@ from pyspark.sql import types as T
 
 from .shingles import hashed_words, mix
 from .storage import written_table
+from .tokens import text_slices
 
 ORDERS = 3
 _SEEDS = np.array([0x8CB92BA72F3D8DD7, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F], np.uint64)
 #: Bytes of an n-gram in a page: its order and the rest of its hash.
 _WIDTH = 8
+#: Blocks whose pages of one bucket are summed together.
+GROUP_BLOCKS = 65_536
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -97,14 +104,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int, block_chars: int) ->
 
     block, size = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        texts, first = batch.column(column).to_pylist(), 0
-        for i, text in enumerate(texts):
-            size += len(text or "") + 1
-            if size >= block_chars:
-                yield block, batch.slice(first, i + 1 - first), texts[first : i + 1]
-                block, size, first = block + 1, 0, i + 1
-        if first < len(texts):
-            yield block, batch.slice(first), texts[first:]
+        for start, stop, texts in text_slices(batch.column(column)):
+            first = 0
+            for i, text in enumerate(texts):
+                size += len(text or "") + 1
+                if size >= block_chars:
+                    yield block, batch.slice(start + first, i + 1 - first), texts[first : i + 1]
+                    block, size, first = block + 1, 0, i + 1
+            if first < len(texts):
+                yield block, batch.slice(start + first, stop - start - first), texts[first:]
 
 
 def _with_blocks(docs: DataFrame, block_chars: int) -> DataFrame:
@@ -140,20 +148,49 @@ def _ngram_pages(docs: DataFrame, bits: int, block_chars: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "block long, bucket int, grams binary, counts binary")
 
 
-def _totals(pages: DataFrame) -> DataFrame:
-    """(block, bucket, totals): each page's n-grams' counts over all blocks, in the page's order.
-    A bucket is a bounded share of all distinct n-grams."""
+def _summed(pages: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct n-grams of pages of one bucket, ascending, their counts, and the places of each
+    page's n-grams among them."""
+    grams = [np.cumsum(unpack(g, _WIDTH)) for g in pages["grams"].to_pylist()]
+    known, back = np.unique(np.concatenate(grams), return_inverse=True)
+    widths = [len(c) // len(g) for c, g in zip(pages["counts"].to_pylist(), grams, strict=True)]
+    own = np.concatenate([unpack(c, w) for c, w in zip(pages["counts"].to_pylist(), widths, strict=True)]).astype(np.float64)
+    total = np.minimum(np.bincount(back, weights=own, minlength=len(known)), (1 << 48) - 1).astype(np.uint64)
+    return known, total, np.split(back, np.cumsum([*map(len, grams)])[:-1])
+
+
+def _totals(pages: DataFrame, groups: int = 1) -> DataFrame:
+    """(block, bucket, totals): each page's n-grams' counts over all blocks, in the page's order. A
+    bucket is a bounded share of all distinct n-grams; a task holds its pages of a ``groups``-th of
+    the blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        grams = [np.cumsum(unpack(g, _WIDTH)) for g in table["grams"].to_pylist()]
-        flat = np.concatenate(grams)
-        known, back = np.unique(flat, return_inverse=True)
-        own = np.concatenate([unpack(c, 4) for c in table["counts"].to_pylist()]).astype(np.float64)
-        total = np.minimum(np.bincount(back, weights=own, minlength=len(known)), (1 << 48) - 1).astype(np.uint64)[back]
-        cuts = np.cumsum([*map(len, grams)])[:-1]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": [pack(t, 6) for t in np.split(total, cuts)]})
+        _, total, places = _summed(table)
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": [pack(total[p], 6) for p in places]})
+
+    answers = "block long, bucket int, totals binary"
+    if groups == 1:
+        return pages.groupBy("bucket").applyInArrow(run, answers)
+
+    def of_group(table: pa.Table) -> pa.Table:
+        known, total, _ = _summed(table)
+        steps = np.diff(known, prepend=np.uint64(0))
+        return pa.table({"bucket": table["bucket"].slice(0, 1), "group": table["group"].slice(0, 1), "grams": [pack(steps, _WIDTH)], "counts": [pack(total, 6)]})
+
+    def of_bucket(table: pa.Table) -> pa.Table:
+        _, total, places = _summed(table)
+        return pa.table({"bucket": table["bucket"], "group": table["group"], "grams": table["grams"], "totals": [pack(total[p], 6) for p in places]})
+
+    def answered(table: pa.Table, sums: pa.Table) -> pa.Table:
+        known, total = np.cumsum(unpack(sums["grams"][0].as_py(), _WIDTH)), unpack(sums["totals"][0].as_py(), 6)
+        found = [pack(total[np.searchsorted(known, np.cumsum(unpack(g, _WIDTH)))], 6) for g in table["grams"].to_pylist()]
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": found})
 
-    return pages.groupBy("bucket").applyInArrow(run, "block long, bucket int, totals binary")
+    keys = ("bucket", "group")
+    dealt = pages.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    sums = dealt.groupBy(*keys).applyInArrow(of_group, "bucket int, group int, grams binary, counts binary")
+    every = sums.groupBy("bucket").applyInArrow(of_bucket, "bucket int, group int, grams binary, totals binary")
+    return dealt.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(answered, answers)
 
 
 def score_positions(sizes: np.ndarray, ends: list[np.ndarray], found: np.ndarray, least: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +228,7 @@ def bucket_bits(size: int, bucket_bytes: int) -> int:
     return min(30, max(2, (size // bucket_bytes).bit_length()))
 
 
-def score_documents(df: DataFrame, *, least: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8_000_000, bucket_bytes: int = 2_000_000, stable: bool = False) -> DataFrame:
+def score_documents(df: DataFrame, *, least: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8_000_000, bucket_bytes: int = 2_000_000, group_blocks: int = GROUP_BLOCKS, stable: bool = False) -> DataFrame:
     """``doc_id``, ``n_words``, ``log_score`` (sum of the natural logarithms of the words' scores)
     and ``mean_log_score`` (null without words).
 
@@ -210,8 +247,9 @@ def score_documents(df: DataFrame, *, least: int = 2, alpha: float = 0.4, id_col
     docs = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
     if not stable:
         docs = written_table(docs, "to-score")
-    bits = bucket_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, bucket_bytes)
-    answers = _totals(_ngram_pages(docs, bits, block_chars)).select("block", "bucket", "totals")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits, groups = bucket_bits(size, bucket_bytes), max(1, -(-(size // block_chars) // group_blocks))
+    answers = _totals(_ngram_pages(docs, bits, block_chars), groups).select("block", "bucket", "totals")
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_words", "n_alone")), T.StructField("part_score", T.DoubleType())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -177,14 +177,19 @@ def vocabulary_size(path: str) -> int:
     return library(path).get_vocab_size(with_added_tokens=True)
 
 
-def text_slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
-    """Runs of a batch's texts of about ``most`` bytes: first, stop, and the texts, of which no
-    others are Python strings meanwhile. Memory that is free at the end goes back to the system,
-    because workers stay for other stages."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64) + 1)
+def byte_slices(values: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of a batch's texts or binaries of about ``most`` bytes: first and stop. Memory that is
+    free at the end goes back to the system, because workers stay for other stages."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy().astype(np.int64) + 1)
     first = 0
-    while first < len(texts):
+    while first < len(values):
         stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
-        yield first, stop, texts.slice(first, stop - first).to_pylist()
+        yield first, stop
         first = stop
     pa.default_memory_pool().release_unused()
+
+
+def text_slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
+    """``byte_slices`` with the texts of each run, of which no others are Python strings meanwhile."""
+    for first, stop in byte_slices(texts, most):
+        yield first, stop, texts.slice(first, stop - first).to_pylist()

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .skew import hot_keys, left_join_spread
 from .storage import new_path, place, written_table
 from .token_files import filesystem
+from .tokens import byte_slices
 
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
@@ -80,14 +81,13 @@ def write_archives(df: DataFrame, folder: str | None = None, *, least_bytes: int
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         system, path = filesystem(folder)
         out, n = None, 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                if out is None:
-                    system.create_dir(path, recursive=True)
-                    out = system.open_output_stream(f"{path}/_{part:06d}-{attempt}.warc.gz", compression=None)
-                for record in capture_records(row, (folder, part, n)):
-                    out.write(gzip.compress(record, 6, mtime=0))
-                n += 1
+        for row in (r for batch in batches for a, b in byte_slices(batch.column("payload")) for r in batch.slice(a, b - a).to_pylist()):
+            if out is None:
+                system.create_dir(path, recursive=True)
+                out = system.open_output_stream(f"{path}/_{part:06d}-{attempt}.warc.gz", compression=None)
+            for record in capture_records(row, (folder, part, n)):
+                out.write(gzip.compress(record, 6, mtime=0))
+            n += 1
         if out is not None:
             out.close()
             system.move(f"{path}/_{part:06d}-{attempt}.warc.gz", f"{path}/part-{part:06d}.warc.gz")
