@@ -403,3 +403,23 @@ def test_components_of_chains_and_stars(spark, monkeypatch):
         low, high = sorted((group[a], group[b]))
         group = {i: low if g == high else g for i, g in group.items()} if low != high else group
     assert got == group and len(rounds) < 18
+
+
+@pytest.mark.parametrize(("choices", "seed"), [(2, 0), (5, 1)])
+def test_templated_texts_do_not_meet_in_pairs(spark, monkeypatch, choices, seed):
+    """Texts of slots with a few choices each: many nodes share each difference, few are linked."""
+    rng, made, written = np.random.default_rng(seed), {}, near_dedup.written_table
+    slots = [[" ".join(f"s{i}o{o}w{k}" for k in range(10)) for o in range(choices)] for i in range(20 if choices == 2 else 8)]
+    texts = [" ".join(str(rng.choice(s)) for s in slots) + (f" note {i}" if i % 4 == 0 else "") for i in range(600)]
+
+    def counted(df, label):
+        out = written(df, label)
+        made.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(near_dedup, "written_table", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame, width=3, percent=85).collect()}
+    assert found == brute_components(dict(enumerate(texts)), 3, 85)[0]
+    pairs = made["candidates"][-1].count()
+    assert pairs < 600 * near_dedup.FREQUENT, pairs  # of 179,700

@@ -22,7 +22,14 @@ of the cluster has. Two sets differ exactly where these differences do, so
   each side: nodes meet by a prefix of their differences, rarest first, and the places in it rule out
   most pairs before they are made.
 
-Both bounds are exact, so no link that could join two components is left out, and boilerplate that
+Differences that the same nodes of a cluster have, or just all the others, are one atom: two nodes
+differ in all of it or agree. Texts from a template have few, heavy atoms, each held by a large part
+of the cluster, and pairs by a shared difference alone would grow with the square of it. But a link
+allows a bounded number of shingles to differ, hence at most ERRORS heavy atoms. These are dealt into
+GROUPS groups; linked nodes agree in all but ERRORS groups, whichever they are, and nodes that share a
+frequent difference meet only under what they have in all the other groups.
+
+All bounds are exact, so no link that could join two components is left out, and boilerplate that
 a whole cluster shares, however large, makes no pairs.
 
 Keys that very many rows have are met in joins and partial aggregates alone, never gathered. Large
@@ -34,6 +41,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -51,6 +60,9 @@ from .tokens import text_slices
 SYMBOLS = 64
 #: The chance of a link of exactly the threshold's overlap to lie beyond the distance searched.
 MISSED = 1e-5
+#: Heavy atoms in which linked nodes may differ, and groups of them; a difference that more nodes of a
+#: cluster have is frequent.
+ERRORS, GROUPS, FREQUENT = 2, 8, 32
 #: Below, some chunks have two symbols and their keys one, which many unrelated documents share.
 LEAST_PERCENT = 62
 
@@ -239,32 +251,68 @@ def _near_core(profiles: DataFrame, large: DataFrame) -> DataFrame:
     return linked.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
 
 
-def _prefix_pairs(open_nodes: DataFrame, percent: int) -> DataFrame:
+def _spared() -> list[int]:
+    """The sets of groups that may differ, as bits."""
+    return [sum(1 << g for g in groups) for groups in combinations(range(GROUPS), ERRORS)]
+
+
+def _atoms(rows: DataFrame, open_nodes: DataFrame, large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of the differences ``rows`` (node, component, cluster, h): ``key`` (cluster, h), ``f``, whether
+    components ``share`` it, and ``atom``, equal for differences that the same nodes have; and the
+    heavy atoms of each node, ``held``, a hash for each group of them (0 for none)."""
+    member = F.xxhash64("node")
+    clusters = open_nodes.groupBy("cluster").agg(F.bit_xor(member).alias("everyone"), F.max("n").alias("widest"))
+    counts = rows.groupBy("cluster", "h").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(member).alias("atom"))
+    joined = left_join_spread(counts, clusters, "cluster", large, F.col("h"), "inner")
+    either = F.least("atom", F.col("atom").bitwiseXOR(F.col("everyone")))  # the same for an atom and what all others have
+    known = written_table(joined.withColumn("either", either).withColumn("most", F.floor(2 * (100 - percent) * F.col("widest") / (100 + percent))), "differences")
+    weights = known.groupBy("cluster", "either").agg(F.count("*").alias("weight"), F.first("most").alias("most"), F.array_distinct(F.collect_set("atom")).alias("atoms"))
+    heavy = weights.where(F.col("weight") * (ERRORS + 1) > F.col("most")).select("cluster", F.explode("atoms").alias("atom"), "either")
+    first = known.groupBy("cluster", "atom").agg(F.min("h").alias("h"))  # one difference stands for its atom
+    marks = first.join(heavy, ["cluster", "atom"]).select(F.struct("cluster", "h").alias("key"), F.xxhash64("atom").alias("mark"), F.pmod("either", F.lit(GROUPS)).alias("group"))
+    found = rows.select("node", F.struct("cluster", "h").alias("key")).join(marks, "key")
+    held = found.groupBy("node").agg(F.array(*(F.coalesce(F.bit_xor(F.when(F.col("group") == g, F.col("mark"))), F.lit(0)) for g in range(GROUPS))).alias("held"))
+    return known.select(F.struct("cluster", "h").alias("key"), "f", "atom", (F.col("low") < F.col("high")).alias("share")), held
+
+
+def _prefix_pairs(open_nodes: DataFrame, percent: int, large: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that may be linked, of ``open_nodes`` (node, component,
     cluster, n, slack, differs).
 
     A link needs ``common`` shared differences at least, which the slacks tell. In any order of
     differences, the first that two nodes share has fewer than ``n_differs - common + 1`` before it
-    on each side. The order puts first what cannot be shared across components, then the rarest. The
-    places also add up to no more than the link allows the two to differ, so one of them is in the
-    short half of its node's prefix."""
+    on each side. The order puts first what cannot be shared across components, then the rarest, and
+    keeps atoms together, so that a node has a row for each atom of its prefix. The places also add
+    up to no more than the link allows the two to differ, so one of them is in the short half of its
+    node's prefix."""
     total, less = 100 + percent, 100 - percent
     rows = open_nodes.select("node", "component", "cluster", "n", "slack", F.size("differs").cast("long").alias("n_differs"), F.explode("differs").alias("h"))
-    rows = rows.select(F.struct("cluster", "h").alias("key"), "node", "component", "n", "slack", "n_differs")
-    counts = rows.groupBy("key").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high"))
-    ranked = rows.join(counts.where("low < high").select("key", "f"), "key", "left")
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("f", F.lit(0)), "key")) - 1
-    ranked = ranked.withColumn("place", place).where(F.col("f").isNotNull() & (percent * F.col("place") <= less * F.col("n"))).drop("f")
-    ranked = written_table(ranked, "prefixes")
-    names = ("node", "component", "n", "slack", "n_differs", "place")
-    left, right = (ranked.select("key", *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
-    right = right.where(2 * percent * F.col("place_b") <= less * F.col("n_b"))
+    known, held = _atoms(rows, open_nodes, large, percent)
+    ranked = rows.withColumn("key", F.struct("cluster", "h")).join(known, "key")
+    order = Window.partitionBy("node").orderBy("share", "f", "atom", "h")
+    ranked = ranked.withColumn("place", F.row_number().over(order) - 1).withColumn("begins", ~F.col("atom").eqNullSafe(F.lag("atom").over(order)))
+    ranked = ranked.where(F.col("share") & F.col("begins") & (percent * F.col("place") <= less * F.col("n")))
+
+    none = F.array(*[F.lit(0).cast("long")] * GROUPS)
+    rest = lambda bits: reduce(lambda x, y: x.bitwiseXOR(y), (F.get("held", F.lit(g)) for g in range(GROUPS) if not bits >> g & 1))
+    spared = _spared()
+    every = F.array(*(F.struct(F.lit(j).alias("j"), rest(bits).alias("held_rest")) for j, bits in enumerate(spared)))
+    alone = F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("held_rest")))
+    dealt = ranked.join(held, "node", "left").withColumn("held", F.coalesce("held", none)).withColumn("m", F.explode(F.when(F.col("f") > FREQUENT, every).otherwise(alone)))
+    names = ("node", "component", "n", "slack", "n_differs", "place", "held")
+    meets = written_table(dealt.select(F.struct("cluster", "atom", "m.j", "m.held_rest").alias("key"), F.col("m.j").alias("j"), *names), "prefixes")
+    left, right = (meets.select("key", "j", *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
+    right = right.drop("j").where(2 * percent * F.col("place_b") <= less * F.col("n_b"))
     common = F.floor((2 * total - 1 - F.col("slack_a") - F.col("slack_b")) / (2 * total))
+    # A pair that agrees in more groups meets several times; it counts where it meets first.
+    apart = reduce(lambda x, y: x + y, (F.when(F.get("held_a", F.lit(g)) != F.get("held_b", F.lit(g)), 1 << g).otherwise(0) for g in range(GROUPS)))
+    firsts = F.array(*(F.lit(next((j for j, bits in enumerate(spared) if not mask & ~bits), -1)) for mask in range(1 << GROUPS)))
     found = left.join(right, "key").where(
         (F.col("component_a") != F.col("component_b"))
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         & (F.col("place_a") + common <= F.col("n_differs_a"))
         & (F.col("place_b") + common <= F.col("n_differs_b"))
+        & ((F.col("j") < 0) | (F.get(firsts, apart) == F.col("j")))
     )
     return written_table(found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "candidates")
 
@@ -341,7 +389,7 @@ def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     merged = components(links)
 
     left = _mixed(mixed.select("key", "node"), merged).select("node", "component").distinct()
-    pairs = _prefix_pairs(written_table(profiles.join(left, "node"), "open"), percent)
+    pairs = _prefix_pairs(written_table(profiles.join(left, "node"), "open"), percent, large)
     joined = written_table(_linked_by_differences(pairs, profiles, percent), "links")
     if not joined.isEmpty():
         merged = components(links.union(joined))
