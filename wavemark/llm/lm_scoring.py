@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,18 +35,36 @@ from .tokens import text_slices
 
 ORDERS = 3
 _SEEDS = np.array([0x8CB92BA72F3D8DD7, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F], np.uint64)
-#: Bytes of an n-gram in a page: its order and the rest of its hash.
-_WIDTH = 8
+#: Bytes of an n-gram in a page (its order and the rest of its hash), and of these the noise; and of a count.
+_WIDTH, _NOISE = 8, 5
+_COUNT = 6
 #: Blocks whose pages of one bucket are summed together.
 GROUP_BLOCKS = 65_536
 
 
-def pack(values: np.ndarray, width: int) -> bytes:
-    """Unsigned numbers as ``width`` planes of their bytes: planes of zeros compress away."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+#: Fewer numbers than these are not worth compressing.
+_FEW = 64
 
 
-def unpack(data: bytes, width: int) -> np.ndarray:
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
+def pack(values: np.ndarray, width: int, plain: int = 0) -> bytes:
+    """Unsigned numbers as ``width`` planes of their bytes, of which all but the lowest ``plain`` are
+    compressed: those of hashes' steps are noise below, and say little above."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    if len(values) < _FEW:
+        return b"\0" + planes.tobytes()
+    return b"\1" + len(values).to_bytes(4, "little") + planes[:plain].tobytes() + _zstd().compress(planes[plain:].tobytes(), asbytes=True)
+
+
+def unpack(data: bytes, width: int, plain: int = 0) -> np.ndarray:
+    if data[:1] == b"\1":
+        n = int.from_bytes(data[1:5], "little")
+        data = data[5 : 5 + n * plain] + _zstd().decompress(data[5 + n * plain :], n * (width - plain), asbytes=True)
+    else:
+        data = data[1:]
     planes = np.frombuffer(data, np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
@@ -116,11 +135,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int, block_chars: int) ->
 
 
 def _with_blocks(docs: DataFrame, block_chars: int) -> DataFrame:
+    """(block, rows): runs of each block's rows as compressed Arrow streams, which take less to
+    exchange than texts do."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression=_zstd())
         for block, rows, _ in _blocks(batches, 1, block_chars):
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, block))], ["doc_id", "text", "block"])
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows.schema, options=options) as stream:
+                stream.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("block", T.LongType())]))
+    return docs.mapInArrow(run, "block long, rows binary")
 
 
 def _ngram_pages(docs: DataFrame, bits: int, block_chars: int) -> DataFrame:
@@ -131,7 +157,7 @@ def _ngram_pages(docs: DataFrame, bits: int, block_chars: int) -> DataFrame:
         buckets, at = _by_bucket(each)
         steps = np.diff(low, prepend=np.uint64(0))
         steps[at[:-1]] = low[at[:-1]]
-        grams, many = ([pack(v[a:b], w) for a, b in zip(at[:-1], at[1:], strict=True)] for v, w in ((steps, _WIDTH), (counts, 4)))
+        grams, many = ([pack(v[a:b], *w) for a, b in zip(at[:-1], at[1:], strict=True)] for v, w in ((steps, (_WIDTH, _NOISE)), (counts, (_COUNT,))))
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(buckets), block)), pa.array(buckets.astype(np.int32)), pa.array(grams, pa.binary()), pa.array(many, pa.binary())], ["block", "bucket", "grams", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +177,9 @@ def _ngram_pages(docs: DataFrame, bits: int, block_chars: int) -> DataFrame:
 def _summed(pages: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The distinct n-grams of pages of one bucket, ascending, their counts, and the places of each
     page's n-grams among them."""
-    grams = [np.cumsum(unpack(g, _WIDTH)) for g in pages["grams"].to_pylist()]
+    grams = [np.cumsum(unpack(g, _WIDTH, _NOISE)) for g in pages["grams"].to_pylist()]
     known, back = np.unique(np.concatenate(grams), return_inverse=True)
-    widths = [len(c) // len(g) for c, g in zip(pages["counts"].to_pylist(), grams, strict=True)]
-    own = np.concatenate([unpack(c, w) for c, w in zip(pages["counts"].to_pylist(), widths, strict=True)]).astype(np.float64)
+    own = np.concatenate([unpack(c, _COUNT) for c in pages["counts"].to_pylist()]).astype(np.float64)
     total = np.minimum(np.bincount(back, weights=own, minlength=len(known)), (1 << 48) - 1).astype(np.uint64)
     return known, total, np.split(back, np.cumsum([*map(len, grams)])[:-1])
 
@@ -166,7 +191,7 @@ def _totals(pages: DataFrame, groups: int = 1) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         _, total, places = _summed(table)
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": [pack(total[p], 6) for p in places]})
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": [pack(total[p], _COUNT) for p in places]})
 
     answers = "block long, bucket int, totals binary"
     if groups == 1:
@@ -175,15 +200,15 @@ def _totals(pages: DataFrame, groups: int = 1) -> DataFrame:
     def of_group(table: pa.Table) -> pa.Table:
         known, total, _ = _summed(table)
         steps = np.diff(known, prepend=np.uint64(0))
-        return pa.table({"bucket": table["bucket"].slice(0, 1), "group": table["group"].slice(0, 1), "grams": [pack(steps, _WIDTH)], "counts": [pack(total, 6)]})
+        return pa.table({"bucket": table["bucket"].slice(0, 1), "group": table["group"].slice(0, 1), "grams": [pack(steps, _WIDTH, _NOISE)], "counts": [pack(total, _COUNT)]})
 
     def of_bucket(table: pa.Table) -> pa.Table:
         _, total, places = _summed(table)
-        return pa.table({"bucket": table["bucket"], "group": table["group"], "grams": table["grams"], "totals": [pack(total[p], 6) for p in places]})
+        return pa.table({"bucket": table["bucket"], "group": table["group"], "grams": table["grams"], "totals": [pack(total[p], _COUNT) for p in places]})
 
     def answered(table: pa.Table, sums: pa.Table) -> pa.Table:
-        known, total = np.cumsum(unpack(sums["grams"][0].as_py(), _WIDTH)), unpack(sums["totals"][0].as_py(), 6)
-        found = [pack(total[np.searchsorted(known, np.cumsum(unpack(g, _WIDTH)))], 6) for g in table["grams"].to_pylist()]
+        known, total = np.cumsum(unpack(sums["grams"][0].as_py(), _WIDTH, _NOISE)), unpack(sums["totals"][0].as_py(), _COUNT)
+        found = [pack(total[np.searchsorted(known, np.cumsum(unpack(g, _WIDTH, _NOISE)))], _COUNT) for g in table["grams"].to_pylist()]
         return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": found})
 
     keys = ("bucket", "group")
@@ -253,11 +278,12 @@ def score_documents(df: DataFrame, *, least: int = 2, alpha: float = 0.4, id_col
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_words", "n_alone")), T.StructField("part_score", T.DoubleType())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = pa.concat_tables([pa.ipc.open_stream(r.as_buffer()).read_all() for r in left["rows"]])
         words, sizes = word_hashes(left["text"].to_pylist())
         ends, each, _, _, place = distinct_ngrams(words, sizes, bits)
         pages = dict(zip(right["bucket"].to_pylist(), right["totals"].to_pylist(), strict=True))
         buckets, at = _by_bucket(each)
-        got = [unpack(pages.get(b, b""), 6) for b in buckets.tolist()]
+        got = [unpack(pages.get(b, b"\0"), _COUNT) for b in buckets.tolist()]
         if [*map(len, got)] != np.diff(at).tolist() or len(pages) != len(got):
             raise RuntimeError("a block's n-grams are not those that were counted")
         totals = np.concatenate(got) if got else np.zeros(0, np.uint64)
@@ -269,6 +295,6 @@ def score_documents(df: DataFrame, *, least: int = 2, alpha: float = 0.4, id_col
 
     left = _with_blocks(docs, block_chars)
     parts = written_table(left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema), "lm-parts")
-    size = parts.agg(F.sum("n_words")).first()[0] or 1
-    log_score = F.col("part_score") - F.col("n_alone") * F.log(F.lit(float(size)))
+    total = parts.agg(F.sum("n_words")).first()[0] or 1
+    log_score = F.col("part_score") - F.col("n_alone") * F.log(F.lit(float(total)))
     return parts.select("doc_id", "n_words", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("mean_log_score"))
