@@ -32,26 +32,22 @@ def normal_cdf(z: np.ndarray) -> np.ndarray:
     return np.where(z > 0, 1 - tail, tail)
 
 
-def grid_quantiles(levels: tuple[float, ...], w: np.ndarray, m: np.ndarray, s: np.ndarray, n_grid: int) -> np.ndarray:
-    """Quantiles (level by row by channel) of N forecast rows: weights N by M, means and deviations
-    N by M by D. A row's grid runs from the lowest to the highest component mean, eight deviations
-    beyond; a quantile is the first point at or above the level, interpolated from the point before."""
-    low, high = (m - 8 * s).min(axis=1), (m + 8 * s).max(axis=1)
-    grid = low[:, None] + (high - low)[:, None] * np.linspace(0, 1, n_grid)[:, None]  # N by grid by D
+def mixture_cdf(x: np.ndarray, w: np.ndarray, m: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Probability at or below points ``x`` (N by D by points) of N mixtures: weights N by M, means and
+    deviations N by M by D."""
     share = w / w.sum(axis=1, keepdims=True)
-    below = np.zeros(grid.shape)
-    for k in range(w.shape[1]):
-        below += share[:, k, None, None] * normal_cdf((grid - m[:, k, None]) / s[:, k, None])
-    out = np.empty((len(levels), *low.shape))
-    pick = lambda v, at: np.take_along_axis(v, at[:, None], axis=1)[:, 0]
-    for i, q in enumerate(levels):
-        reached = below >= q
-        at = np.where(reached.any(axis=1), reached.argmax(axis=1), n_grid - 1)
-        before = np.maximum(at - 1, 0)
-        lower, upper = pick(below, before), pick(below, at)
-        part = np.clip((q - lower) / np.maximum(upper - lower, 1e-12), 0.0, 1.0)
-        out[i] = np.where(at == 0, grid[:, 0], pick(grid, before) + (pick(grid, at) - pick(grid, before)) * part)
-    return out
+    return sum(share[:, k, None, None] * normal_cdf((x - m[:, k, :, None]) / s[:, k, :, None]) for k in range(w.shape[1]))
+
+
+def grid_quantiles(levels: tuple[float, ...], w: np.ndarray, m: np.ndarray, s: np.ndarray, n_grid: int) -> np.ndarray:
+    """Quantiles (level by row by channel) of mixtures as in ``mixture_cdf``: each channel's distribution
+    function is taken as a broken line through ``n_grid`` even points, from the lowest to the highest
+    component mean, eight deviations beyond, and read backwards; levels beyond its ends give these."""
+    ends = np.stack([(m - 8 * s).min(axis=1), (m + 8 * s).max(axis=1)])
+    grid = np.moveaxis(np.linspace(*ends, n_grid), 0, -1)
+    lines = zip(mixture_cdf(grid, w, m, s).reshape(-1, n_grid), grid.reshape(-1, n_grid), strict=True)
+    found = np.array([np.interp(levels, heights, points) for heights, points in lines])
+    return found.T.reshape(len(levels), *ends.shape[1:])
 
 
 def channel_coverage(observed: str, weights: str, means: str, stds: str, level: float = 0.9, n_grid: int = 128) -> Column:

@@ -230,11 +230,17 @@ def pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "mixture_diagnostics",
-    f"WITH {MX}, m AS (SELECT avg(-(w1 * ln(w1) + w2 * ln(w2))) AS e, avg(sqrt((m1v - m2v) * (m1v - m2v) + 9)) AS d, avg(w1) AS a, avg(w2) AS b FROM mx) SELECT round(e, 6) AS mean_entropy, round(e / ln(2), 6) AS mean_normalized_entropy, round(d, 6) AS mean_pairwise_distance, CAST((a >= 0.01)::INT + (b >= 0.01)::INT AS BIGINT) AS active_components, round(exp(-(a * ln(a) + b * ln(b))), 6) AS effective_components FROM m",
+    f"WITH {MX}, e AS (SELECT *, -(w1 * ln(w1) + w2 * ln(w2)) AS e FROM mx), m AS (SELECT avg(e) AS e, min(e) AS least, max(e) AS most, avg(sqrt((m1v - m2v) * (m1v - m2v) + 9)) AS d, avg(w1) AS a, avg(w2) AS b FROM e), "
+    "s AS (SELECT unnest([s1v, s1k, s2v, s2k]) AS s FROM mx), sd AS (SELECT min(s) AS lo, quantile_cont(s, 0.05) AS p05, quantile_cont(s, 0.5) AS med, avg(s) AS mean, quantile_cont(s, 0.95) AS p95, max(s) AS hi FROM s) "
+    "SELECT round(e, 6) AS mean_entropy, round(least, 6) AS min_entropy, round(most, 6) AS max_entropy, round(e / ln(2), 6) AS mean_normalized_entropy, round(d, 6) AS mean_pairwise_distance, round(a, 6) AS mean_weight_0, round(b, 6) AS mean_weight_1, "
+    "CAST((a >= 0.01)::INT + (b >= 0.01)::INT AS BIGINT) AS active_components, round(exp(-(a * ln(a) + b * ln(b))), 6) AS effective_components, "
+    "round(lo, 6) AS std_min, round(p05, 6) AS std_p05, round(med, 6) AS std_median, round(mean, 6) AS std_mean, round(p95, 6) AS std_p95, round(hi, 6) AS std_max FROM m, sd",
 )
 def mixture_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = diagnostics.mixture_diagnostics(mixtures(spark, sf_dir))
-    return d.select(*(r6(F.col(c), c) for c in ("mean_entropy", "mean_normalized_entropy", "mean_pairwise_distance")), "active_components", r6(F.col("effective_components"), "effective_components"))
+    means = [r6(F.get("component_mean_weights", F.lit(k)), f"mean_weight_{k}") for k in range(2)]
+    std = [r6(F.col(f"std.{c}"), f"std_{c}") for c in ("min", "p05", "median", "mean", "p95", "max")]
+    return d.select(*(r6(F.col(c), c) for c in ("mean_entropy", "min_entropy", "max_entropy", "mean_normalized_entropy", "mean_pairwise_distance")), *means, "active_components", r6(F.col("effective_components"), "effective_components"), *std)
 
 
 def _forecast(spark: SparkSession, sf_dir: str, n_regimes: int) -> DataFrame:
