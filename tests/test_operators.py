@@ -292,6 +292,11 @@ def test_regimes(spark):
     df = seq(spark, true_label=[0, 0, 0, 1, 1, 1], pred_label=[0, 1, 1, 1, 2, 2])
     assert one(regimes.false_switch_rate(df))["false_switches_per_1000"] == 500
     assert regimes.assign([[4, 1, 3], [2, 0, 5], [3, 2, 2]]) == [(0, 1), (1, 0), (2, 2)]
+    for bad in (None, 0.5):
+        with pytest.raises(Exception, match="whole numbers"):
+            regimes.contingency(spark.createDataFrame([(1.0, 1), (bad, 1)], "true_label double, pred_label int")).collect()
+    with pytest.raises(Exception, match="0 or 1"):
+        ranges.sweep_points(spark.createDataFrame([(1.0, 2)], "score double, label int"), [0.5]).collect()
 
 
 def test_diagnostics(spark):

@@ -181,7 +181,7 @@ def _reached(thresholds: Sequence[float], score: str) -> Column:
 def sweep_points(df: DataFrame, thresholds: Sequence[float], score: str = "score", truth: str = "label") -> DataFrame:
     """Counts and rates at each candidate (``cand_ix``, ``threshold``): rows are counted once by
     the first candidate that they reach, and added up along the candidates."""
-    counted = df.groupBy(_reached(thresholds, score).alias("cand_ix")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n"))
+    counted = df.groupBy(_reached(thresholds, score).alias("cand_ix")).agg(F.sum(binary(truth)).alias("p"), F.sum(1 - binary(truth)).alias("n"))
     rows = _candidate_table(df, thresholds).join(F.broadcast(counted), "cand_ix", "full")
     upto, whole = Window.orderBy("cand_ix").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("cand_ix").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     add = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))

@@ -6,13 +6,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.mixture import entropy, normalized_entropy
 from .sequence import trailing
 
 
+def whole_label(df: DataFrame, name: str) -> Column:
+    """The label as it is; one that is null or no whole number fails the job."""
+    kind, value = df.schema[name].dataType, F.col(name)
+    kind = kind if isinstance(kind, T.IntegralType) else T.LongType()
+    whole = value.isNotNull() & F.coalesce(value.cast("double") == F.floor(value.cast("double")), F.lit(False))
+    return F.when(whole, value.cast(kind)).otherwise(F.raise_error(F.lit(f"{name} must be whole numbers")).cast(kind))
+
+
 def contingency(df: DataFrame, truth: str = "true_label", pred: str = "pred_label", by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by, F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
+    """Rows by true and predicted label."""
+    return df.groupBy(*by, whole_label(df, truth).alias("truth"), whole_label(df, pred).alias("pred")).agg(F.count("*").alias("n"))
 
 
 def adjusted_rand(df: DataFrame, truth: str = "true_label", pred: str = "pred_label", by: Sequence[str] = ()) -> DataFrame:
