@@ -62,7 +62,7 @@ SYMBOLS = 64
 MISSED = 1e-5
 #: Heavy atoms in which linked nodes may differ, and groups of them; a difference that more nodes of a
 #: cluster have is frequent.
-ERRORS, GROUPS, FREQUENT = 2, 8, 32
+ERRORS, GROUPS, FREQUENT = 2, 5, 32
 #: Below, some chunks have two symbols and their keys one, which many unrelated documents share.
 LEAST_PERCENT = 62
 
