@@ -193,7 +193,7 @@ def test_measures_against_brute_force(spark, seed, monkeypatch):
 def test_group_quantiles_by_brackets(spark):
     """Exact in every group, also in one of many rows, of few values, or of one."""
     rng = np.random.default_rng(6)
-    groups = {"normal": rng.normal(size=3000), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([4.5]), "two": np.array([1.0, 2.0]), "same": np.full(50, 7.0)}
+    groups = {"normal": rng.normal(size=3000), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([4.5]), "two": np.array([1.0, 2.0]), "same": np.full(50, 7.0), "few": rng.normal(size=13)}
     rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("none", None), ("ties", None)]
     df = spark.createDataFrame(rows, "group_id string, score double").repartition(5)
     for level, accuracy in ((0.5, 10_000), (0.98, 50), (0.985, 100), (0.0, 20), (1.0, 20), (0.37, 10)):
@@ -368,25 +368,6 @@ def test_kmeans_against_brute_force(spark):
     assert [r["regime_label"] for r in model.predict(df).orderBy("seq").collect()] == label.tolist()
 
 
-def test_kmeans_bounds_spare_distances(spark):
-    """The labels of Lloyd's steps, with distances for few windows once the centroids hardly move."""
-    rng = np.random.default_rng(9)
-    x = np.concatenate([rng.normal(c, 1.5, (150, 2, 2)) for c in (0, 2.5, 6)])
-    df = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(x)], "seq long, window array<array<double>>").repartition(3)
-    f = np.concatenate([x.mean(axis=1), x.std(axis=1), x[:, -1], x[:, -1] - x[:, 0]], axis=1)
-    f = (f - f.mean(axis=0)) / np.maximum(f.std(axis=0), 1e-6)
-    model = clustering.fit_pseudo_regimes(df, 3, seed=2)
-    label = ((f[:, None] - np.array(model.centroids)[None]) ** 2).sum(axis=2).argmin(axis=1)
-    assert np.allclose(model.centroids, [f[label == k].mean(axis=0) for k in range(3)])  # settled
-    assert [r["regime_label"] for r in model.predict(df).orderBy("seq").collect()] == label.tolist()
-    assert model.measured[0] == 450 and len(model.measured) > 4 and sum(model.measured) < 0.7 * 450 * len(model.measured), model.measured
-    points = spark.createDataFrame([(0, [0.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [9.0, 0.0])], "seq long, features array<double>")
-    first = clustering.assigned(points, [[0.0, 0.0], [2.0, 0.0]])
-    moved = clustering.reassigned(first, [[0.0, 0.0], [2.0, 0.0]], [[0.0, 0.0], [1.9, 0.0]]).orderBy("seq").collect()
-    assert [r["label"] for r in moved] == [0, 1, 1, 1] and [r["fresh"] for r in moved] == [r["changed"] for r in moved] == [False, False, True, False]
-
-
-
 def test_noise_against_brute_force(spark):
     from wavemark.functions import draws
 

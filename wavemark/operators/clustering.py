@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,12 +33,9 @@ def nearest(features: Column, centroids: list[list[float]]) -> Column:
 
 @dataclass(frozen=True)
 class PseudoRegimes:
-    """``measured``: for how many windows distances were computed in each round of the fit."""
-
     mean: list[float]
     std: list[float]
     centroids: list[list[float]]
-    measured: tuple[int, ...] = ()
 
     def features(self, window: str = "window") -> Column:
         table = F.arrays_zip(window_features(window).alias("f"), F.array(*map(F.lit, self.mean)).alias("m"), F.array(*map(F.lit, self.std)).alias("s"))
@@ -49,54 +45,20 @@ class PseudoRegimes:
         return df.withColumn(name, nearest(self.features(window), self.centroids))
 
 
-#: What rounding may make of a distance: bounds count only if they hold by more than this share.
-_SLACK = 1e-9
-
-
-def assigned(points: DataFrame, centroids: list[list[float]]) -> DataFrame:
-    """``points`` with ``label``, the nearest centroid, ``upper``, the distance to it, and ``lower``,
-    that to the second; ``changed`` and ``fresh`` are true."""
-    return _with_distances(points, centroids, F.lit(True), F.lit(None).cast("struct<label:bigint,upper:double,lower:double>"))
-
-
-def _with_distances(points: DataFrame, centroids: list[list[float]], wanted: Column, bounds: Column) -> DataFrame:
-    """New labels and bounds by distances where they are ``wanted``, else the ``bounds``."""
-    away = F.array(*(squared_distance(F.col("features"), F.array(*map(F.lit, map(float, c)))) for c in centroids))
-    rows = points.withColumn("_was", F.col("label") if "label" in points.columns else F.lit(None).cast("long"))
-    rows = rows.withColumn("fresh", wanted).withColumn("_bounds", bounds).withColumn("_away", F.when(F.col("fresh"), away))
-    label = (F.array_position("_away", F.array_min("_away")) - 1).cast("long")
-    second = F.array_min(F.filter("_away", lambda _, i: i != label))
-    found = F.when(F.col("fresh"), F.struct(label.alias("label"), F.sqrt(F.array_min("_away")).alias("upper"), F.sqrt(second).alias("lower"))).otherwise(F.col("_bounds"))
-    done = rows.withColumn("_now", found)
-    return done.select("seq", "features", "_now.label", "_now.upper", "_now.lower", (~F.col("_was").eqNullSafe(F.col("_now.label"))).alias("changed"), "fresh")
-
-
-def reassigned(points: DataFrame, before: list[list[float]], after: list[list[float]]) -> DataFrame:
-    """Labelled points under moved centroids. A centroid that moves by m makes distances to it grow
-    or shrink by m at most. Where that leaves the own centroid surely nearest, or it lies nearer than
-    half of the way to any other, the label stays and no distance is computed."""
-    moves = [math.dist(a, b) for a, b in zip(before, after, strict=True)]
-    gaps = [min(math.dist(a, b) for j, b in enumerate(after) if j != i) / 2 for i, a in enumerate(after)]
-    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("label").cast("int"))
-    upper, lower = F.col("upper") + pick(moves), F.col("lower") - F.lit(max(moves))
-    sure = upper * (1 + _SLACK) + _SLACK < F.greatest(lower, pick(gaps)) * (1 - _SLACK)
-    return _with_distances(points, after, ~sure, F.struct("label", upper.alias("upper"), lower.alias("lower")))
-
-
 def update_centroids(labelled: DataFrame, before: list[list[float]], label: str = "label", features: str = "features") -> list[list[float]]:
     """The members' mean; a cluster without members keeps its centroid."""
     return _round_of(labelled, before, label, features)[0]
 
 
-def _round_of(labelled: DataFrame, before: list[list[float]], label: str = "label", features: str = "features") -> tuple[list[list[float]], int, int]:
-    """New centroids, and how many labels changed and how many distances were computed, if the table
-    says so: one aggregate, a row for each cluster."""
-    count = lambda c: (F.count_if(c) if c in labelled.columns else F.lit(0)).alias(c)
+def _round_of(labelled: DataFrame, before: list[list[float]], label: str = "label", features: str = "features") -> tuple[list[list[float]], int]:
+    """New centroids, and how many labels ``changed``, if the table says so: one aggregate, a row for
+    each cluster."""
+    changes = F.count_if("changed") if "changed" in labelled.columns else F.lit(0)
     means = F.array(*(F.avg(F.get(features, F.lit(i))) for i in range(len(before[0]))))
-    after, changed, fresh = [list(c) for c in before], 0, 0
-    for row in labelled.groupBy(label).agg(means.alias("means"), count("changed"), count("fresh")).collect():
-        after[row[label]], changed, fresh = list(row["means"]), changed + row["changed"], fresh + row["fresh"]
-    return after, changed, fresh
+    after, changed = [list(c) for c in before], 0
+    for row in labelled.groupBy(label).agg(means.alias("means"), changes.alias("changed")).collect():
+        after[row[label]], changed = list(row["means"]), changed + row["changed"]
+    return after, changed
 
 
 def first_centroids(df: DataFrame, k: int, seed: int, seq: str = "seq", features: str = "features") -> list[list[float]]:
@@ -119,29 +81,22 @@ def first_centroids(df: DataFrame, k: int, seed: int, seq: str = "seq", features
 def fit_pseudo_regimes(windows: DataFrame, k: int, seed: int = 0, max_iter: int = 50, seq: str = "seq", window: str = "window") -> PseudoRegimes:
     """k-means (Lloyd's steps from farthest-first centroids) over standardised window features;
     ``seq`` counts the windows from 0. Stops before an update once no label changes. Only
-    centroids, ``k`` small rows, come to the driver. A round is one aggregate, over labels and bounds
-    that the round before left; most windows need no distances after the first rounds."""
+    centroids, ``k`` small rows, come to the driver. A round is one aggregate: assignment, the test for
+    changes and the new means."""
     raw = windows.select(seq, window_features(window).alias("x")).cache()
     try:
         stats = scaling.fit_scaler(raw, by=()).first()
         model = PseudoRegimes(list(stats["mean"]), list(stats["std"]), [])
         table = F.arrays_zip(F.col("x").alias("f"), F.array(*map(F.lit, model.mean)).alias("m"), F.array(*map(F.lit, model.std)).alias("s"))
         points = raw.select(seq, F.transform(table, lambda c: (c["f"] - c["m"]) / c["s"]).alias("features"))
-        centroids, measured = first_centroids(points, k, seed, seq), []
-        state, older = assigned(points.select(F.col(seq).alias("seq"), "features"), centroids).cache(), None
-        try:
-            for rounds in range(1, max_iter + 1):
-                after, changed, fresh = _round_of(state, centroids)
-                measured.append(fresh)
-                if older is not None:
-                    older.unpersist()
-                if not changed:
-                    break
-                before, centroids = centroids, after
-                if rounds < max_iter:
-                    older, state = state, reassigned(state, before, centroids).cache()
-        finally:
-            state.unpersist()
+        centroids, before = first_centroids(points, k, seed, seq), None
+        for _ in range(max_iter):
+            labelled = points.withColumn("label", nearest(F.col("features"), centroids))
+            moved = F.lit(True) if before is None else F.col("label") != nearest(F.col("features"), before)
+            after, changed = _round_of(labelled.withColumn("changed", moved), centroids)
+            if not changed:
+                break
+            before, centroids = centroids, after
     finally:
         raw.unpersist()
-    return PseudoRegimes(model.mean, model.std, centroids, tuple(measured))
+    return PseudoRegimes(model.mean, model.std, centroids)

@@ -59,11 +59,15 @@ def group_quantiles(df: DataFrame, level: float, group: str = "group_id", score:
 
     A mergeable sketch of each group (ranks within 1 / ``accuracy`` of its rows) brackets the wanted
     ranks; the rows below the bracket are only counted, and only the distinct values inside, some
-    ten-thousandths of the group, are put in order. ``df`` is read twice. Null scores do not count;
+    ten-thousandths of the group (of a group of fewer than 2 * ``accuracy`` rows: all), are put in
+    order. ``df`` is read twice. Null scores do not count;
     a group without any others has a null threshold."""
     margin = 2 / accuracy
     ends = F.array(F.lit(max(0.0, level - margin)), F.lit(min(1.0, level + margin)))
-    sketch = df.groupBy(group).agg(F.percentile_approx(score, ends, F.lit(accuracy)).alias("_ends"), F.count(score).alias("_total"))
+    total, value = F.count(score), F.col(score).cast("double")
+    near = F.percentile_approx(value, ends, F.lit(accuracy))
+    ends = F.when(total < 2 * accuracy, F.array(F.min(value), F.max(value))).otherwise(near)  # few rows: all of them
+    sketch = df.groupBy(group).agg(ends.alias("_ends"), total.alias("_total"))
     near = df.select(group, F.col(score).cast("double").alias("_v")).join(sketch, group).where(F.col("_v") <= F.col("_ends")[1])
     inside = F.when(F.col("_v") >= F.col("_ends")[0], F.col("_v"))  # null: all below
     counted = near.groupBy(group, inside.alias("_v")).agg(F.count("*").alias("_n"), F.first("_total").alias("_total"))
