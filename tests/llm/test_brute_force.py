@@ -2,7 +2,10 @@
 
 import hashlib
 import os
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -115,6 +118,45 @@ def test_encoders_on_long_and_many_words():
             assert sizes.tolist() == [*map(len, want)] and values.tolist() == [t for r in want for t in r]
 
 
+def test_a_worker_keeps_little_memory_of_texts():
+    """What a process holds more than before, in MB, once it has encoded 1.2 million new words."""
+    said = """
+import re, sys
+import numpy, pandas, pyarrow as pa, tokenizers
+from wavemark.llm import tokens
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+pa.array(["a"])
+before, encoder = held(), tokens.byte_encoder(sys.argv[1])
+for k in range(4):
+    batch = pa.array([" ".join(f"{i * 2654435761 % 4294967296:x}" for i in range(a, a + 100)) for a in range(k * 300_000, (k + 1) * 300_000, 100)])
+    for _, _, texts in tokens.text_slices(batch):
+        encoder.encode(texts)
+print(held() - before)
+"""
+    root = str(Path(tokens.__file__).parents[2])
+    ran = subprocess.run([sys.executable, "-c", said, BYTE], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": root}, check=True)
+    assert float(ran.stdout) < 90
+
+
+def test_bitmap_comes_in_one_job(spark):
+    ids = spark.range(0, 3000, 7).select(F.col("id").alias("doc_id"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.sparkContext.setJobGroup("bitmap", "bitmap")
+    try:
+        among = near_dedup._may_be_among(ids, F.col("doc_id"))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(jobs) <= 3
+    got = {r.doc_id for r in spark.range(3000).select(F.col("id").alias("doc_id")).where(among).collect()}
+    assert {*range(0, 3000, 7)} <= got and len(got) < 500
+
+
 @given(st.text(alphabet="abehilnoprst", min_size=65, max_size=150))
 @settings(max_examples=50, deadline=None)
 def test_long_words_merge_as_short_ones(word):

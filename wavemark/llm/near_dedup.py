@@ -178,8 +178,8 @@ def _may_be_among(ids: DataFrame, doc_id: Column, bits: int = 23) -> Column:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
     words = ids.select(place.alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
     bitmap = np.zeros((1 << bits) // 64, np.int64)
-    for row in words.toLocalIterator():
-        bitmap[row["word"]] = row["v"]
+    got = words.toArrow()  # one job, and at most a row for each word of the bitmap
+    bitmap[got["word"].to_numpy()] = got["v"].to_numpy()
     shared = ids.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
 
     @F.pandas_udf("boolean")

@@ -3,7 +3,9 @@ Spark tasks."""
 
 from __future__ import annotations
 
+import ctypes
 import json
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -14,6 +16,8 @@ import pyarrow.compute as pc
 END = 0
 #: Longer words are encoded each time they come, so that the memo stays small.
 MEMO_CHARS = 64
+#: About as many characters go to the library at once: what it holds for each token is many times the token.
+AT_ONCE = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -25,7 +29,9 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def library(path: str):
-    """The file's tokenizer without truncation and padding."""
+    """The file's tokenizer without truncation and padding. It keeps to the task's own thread: others
+    would each hold memory of their own for as long as the worker lives."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -109,19 +115,20 @@ class ByteEncoder:
     _UNCERTAIN, _BEGINS = f"[{_SPACE}] (?:[{_SPACE}]|$)", f"^[^{_SPACE}]"
 
     def __init__(self, path: str, most: int = 300_000):
-        with open(path, encoding="utf-8") as file:
-            said = json.load(file)
-        self._tokenizer, cut = library(path), said["pre_tokenizer"] or {}
-        if cut.get("type") != "ByteLevel" or not cut.get("use_regex") or cut.get("add_prefix_space") or said["normalizer"]:
+        self._tokenizer = library(path)
+        cut = json.loads(self._tokenizer.pre_tokenizer.__getstate__()) if self._tokenizer.pre_tokenizer else {}
+        if cut.get("type") != "ByteLevel" or not cut.get("use_regex") or cut.get("add_prefix_space") or self._tokenizer.normalizer:
             raise ValueError("the file does not cut texts by the byte-level pattern alone")
         space = {b: c for c, b in byte_alphabet().items()}[0x20]
-        self._added = [t["content"] for t in said["added_tokens"]]
-        self._begins = np.zeros(self._tokenizer.get_vocab_size(with_added_tokens=True), bool)
-        self._begins[[i for t, i in self._tokenizer.get_vocab(with_added_tokens=True).items() if t.startswith(space)]] = True
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        size = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        self._begins = np.fromiter(((self._tokenizer.id_to_token(i) or "").startswith(space) for i in range(size)), bool, size)
         self._memo = Memo(self._learn, most)
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        rows = [np.array(e.ids, np.int32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        rows, ends = [], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        for first, stop in runs(ends, AT_ONCE):
+            rows += [np.array(e.ids, np.int32) for e in self._tokenizer.encode_batch_fast(texts[first:stop], add_special_tokens=False)]
         return (np.concatenate(rows) if rows else np.zeros(0, np.int32)), np.fromiter(map(len, rows), np.int64, len(rows))
 
     def _learn(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,16 +184,26 @@ def vocabulary_size(path: str) -> int:
     return library(path).get_vocab_size(with_added_tokens=True)
 
 
-def byte_slices(values: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of a batch's texts or binaries of about ``most`` bytes: first and stop. Memory that is
-    free at the end goes back to the system, because workers stay for other stages."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy().astype(np.int64) + 1)
+def runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of things that end at ``ends``, each of about ``most`` in all: first and stop."""
     first = 0
-    while first < len(values):
+    while first < len(ends):
         stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
         yield first, stop
         first = stop
+
+
+def give_back() -> None:
+    """Memory that is free goes back to the system, because workers stay for other stages."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def byte_slices(values: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of a batch's texts or binaries of about ``most`` bytes: first and stop."""
+    yield from runs(np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy().astype(np.int64) + 1), most)
+    give_back()
 
 
 def text_slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
