@@ -286,6 +286,13 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.write_token_files(docs, BYTE, str(tmp_path / "all")).agg(F.sum("n_docs")).first()[0] == len(TEXTS) + 2
 
 
+def test_token_manifest_is_written_by_one_task_for_many_files(spark, tmp_path):
+    frame = spark.createDataFrame([(i, f"text {i}") for i in range(24)], "doc_id long, text string").repartition(3)
+    manifest = token_files.write_token_files(frame, BYTE, str(tmp_path), rows_per_file=2)
+    assert [r["range_id"] for r in manifest.orderBy("range_id").collect()] == list(range(12))
+    assert manifest.agg(F.sum("n_docs")).first()[0] == 24 and len(manifest.inputFiles()) == 1
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "same payload " * 20
     pages = {5: big, 2: big, 9: big, 1: "short", 3: "short", 4: None, 6: "", 7: "ünïcode\r\n\r\nWARC/1.1\r\n" * 30}

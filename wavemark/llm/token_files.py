@@ -130,7 +130,11 @@ def write_token_files(
             yield done()
 
     manifest = pa.schema({"folder": pa.string(), "name": pa.string(), "range_id": pa.int64(), "n_docs": pa.int64(), "n_tokens": pa.int64()})
-    return written_table(docs.mapInArrow(write, "folder string, name string, range_id long, n_docs long, n_tokens long"), "token-manifest")
+    made = docs.mapInArrow(write, "folder string, name string, range_id long, n_docs long, n_tokens long")
+    # Exchanged first, so that adaptive execution joins the short rows to few Parquet files. Each task
+    # that writes one has Hadoop start chmod, and until its exec such a process counts as much memory
+    # as its executor's JVM once more.
+    return written_table(made.repartition("range_id"), "token-manifest")
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
