@@ -4,23 +4,27 @@ A model is a small dictionary of arrays: an LSTM of one or more layers over the
 heads for the mixture's logits, means and raw spreads; the joint model adds a head for the regime,
 whose probabilities the forecast heads see too.
 
-An epoch is one barrier stage. All rows are dealt anew in random order, and every batch evenly over
-the stage's tasks, which stream their rows. In a step each task computes the gradient of its part of
-the batch, all exchange these by ``allGather``, and each takes the same AdamW step. So an epoch has
-rows / ``batch_size`` steps at any table size, but its number of jobs does not depend on the rows, and
-neither data nor gradients go through the driver's program. If a task is lost the stage starts again
-from the epoch's first weights.
+An epoch is one barrier stage. All rows are dealt anew in random order over the stage's tasks, which
+stream their rows. An epoch has rows / ``batch_size`` steps, each of which needs the weights of the one
+before, and an ``allGather`` takes about a second at any size. So small batches are dealt in runs: a
+task takes the steps of its run, one after another, and hands the weights on to the next task, with one
+exchange for each task. Large batches are dealt evenly over all tasks: in a step each task computes the
+gradient of its part, all exchange these, and each takes the same AdamW step. Either way the number of
+jobs does not depend on the rows, and neither data nor gradients go through the driver's program. If a
+task is lost the stage starts again from the epoch's first weights.
 """
 
 from __future__ import annotations
 
 import base64
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +34,10 @@ from ..operators.sequence import numbered
 LEAST_STD = 1e-3
 #: Rows that are put in order together.
 PART_ROWS = 1024
-#: Rows of a batch that make a task worth its share of the exchange.
-TASK_ROWS = 8
+#: Rows of a batch that make a task worth its share of an exchange in each step.
+TASK_ROWS = 1 << 14
+#: Steps that make a task worth an exchange of its own, where tasks take their steps in turn.
+TURN_STEPS = 256
 Weights = dict[str, np.ndarray]
 
 
@@ -55,8 +61,8 @@ class ModelConfig:
 @dataclass(frozen=True)
 class TrainingConfig:
     """``batches`` cuts an epoch into so many parts, whatever the number of rows; without it a batch
-    has ``batch_size`` rows. ``tasks`` share each batch: by default as many as the cluster runs at
-    once, but each with TASK_ROWS rows of it at least."""
+    has ``batch_size`` rows. ``tasks`` share each batch; by default as many as the cluster runs at
+    once, if each has TASK_ROWS rows of it at least, or else as many take whole batches in turn."""
 
     epochs: int = 5
     batch_size: int = 64
@@ -101,36 +107,45 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _layer(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
-    """The hidden states of all steps (N, T, hidden), and what their gradient needs."""
+def _layer(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The hidden states of all steps (N, T, hidden), and what their gradient needs, by steps."""
     (n, steps, _), size = x.shape, wh.shape[0]
-    h, cell, kept, out = np.zeros((n, size)), np.zeros((n, size)), [], np.empty((n, steps, size))
+    half = np.full(4 * size, 0.5)  # a sigmoid is half a hyperbolic tangent of half its argument, and a half
+    half[2 * size : 3 * size] = 1
+    rest = 1 - half
+    gates, wh = (x.transpose(1, 0, 2) @ wx + b) * half, wh * half
+    h, cell, tanh = np.zeros((steps + 1, n, size)), np.zeros((steps + 1, n, size)), np.empty((steps, n, size))
     for t in range(steps):
-        gates = x[:, t] @ wx + h @ wh + b
-        i, f, o = (_sigmoid(gates[:, k * size : (k + 1) * size]) for k in (0, 1, 3))
-        g = np.tanh(gates[:, 2 * size : 3 * size])
-        before, cell_before = h, cell
-        cell = f * cell + i * g
-        h = o * np.tanh(cell)
-        kept.append((before, cell_before, i, f, g, o, cell))
-        out[:, t] = h
-    return out, kept
-
-
-def _layer_gradient(x: np.ndarray, kept: list, d_out: np.ndarray, wx: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        own = gates[t]
+        own += h[t] @ wh
+        np.tanh(own, out=own)
+        own *= half
+        own += rest
+        i, f, g, o = (own[:, k * size : (k + 1) * size] for k in range(4))
+        np.multiply(f, cell[t], out=cell[t + 1])
+        cell[t + 1] += i * g
+        np.tanh(cell[t + 1], out=tanh[t])
+        np.multiply(o, tanh[t], out=h[t + 1])
+    return h[1:].transpose(1, 0, 2), (h, cell, tanh, gates.reshape(steps, n, 4, size))
+
+
+def _layer_gradient(x: np.ndarray, kept: tuple, d_out: np.ndarray, wx: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Gradients by the layer's input, ``wx``, ``wh`` and ``b``."""
-    d_x, d_wx, d_wh, d_b = np.empty(x.shape), np.zeros_like(wx), np.zeros_like(wh), np.zeros(wh.shape[1])
-    dh = dc = np.zeros(d_out[:, 0].shape)
-    for t in range(x.shape[1] - 1, -1, -1):
-        before, cell_before, i, f, gate, o, cell = kept[t]
-        dh, tanh = dh + d_out[:, t], np.tanh(cell)
-        dc = dc + dh * o * (1 - tanh**2)
-        d = np.concatenate([dc * gate * i * (1 - i), dc * cell_before * f * (1 - f), dc * i * (1 - gate**2), dh * tanh * o * (1 - o)], axis=1)
-        d_wx += x[:, t].T @ d
-        d_wh += before.T @ d
-        d_b += d.sum(axis=0)
-        d_x[:, t], dh, dc = d @ wx.T, d @ wh.T, dc * f
-    return d_x, d_wx, d_wh, d_b
+    h, cell, tanh, gates = kept
+    steps, n, _, size = gates.shape
+    i, f, g, o = (gates[:, :, k] for k in range(4))
+    d = np.stack([g * i * (1 - i), cell[:-1] * f * (1 - f), i * (1 - g**2), tanh * o * (1 - o)], axis=2)
+    through, dh, dc = o * (1 - tanh**2), np.zeros((n, size)), np.zeros((n, size))
+    for t in range(steps - 1, -1, -1):
+        dh += d_out[:, t]
+        dc += dh * through[t]
+        d[t, :, :3] *= dc[:, None]
+        d[t, :, 3] *= dh
+        dh = d[t].reshape(n, 4 * size) @ wh.T
+        dc *= f[t]
+    flat = d.reshape(steps * n, 4 * size)
+    d_wx = x.transpose(1, 0, 2).reshape(steps * n, -1).T @ flat
+    return (flat @ wx.T).reshape(steps, n, -1).transpose(1, 0, 2), d_wx, h[:-1].reshape(steps * n, size).T @ flat, flat.sum(axis=0)
 
 
 def forward(c: ModelConfig, w: Weights, x: np.ndarray, *, override: np.ndarray | None = None, every_step: bool = False, rng: np.random.Generator | None = None) -> dict:
@@ -215,27 +230,56 @@ def loss_and_gradient(c: ModelConfig, w: Weights, x: np.ndarray, y: np.ndarray,
     return float(loss), g
 
 
-def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    stack = lambda c: np.stack([np.stack(v) for v in frame[c]]).astype(float)
+Frame = pd.DataFrame | pa.RecordBatch
+
+
+def _cut(frame: Frame, a: int, b: int) -> Frame:
+    return frame.iloc[a:b] if isinstance(frame, pd.DataFrame) else frame.slice(a, b - a)
+
+
+def _column(frame: Frame, c: str) -> np.ndarray:
+    return frame[c].to_numpy() if isinstance(frame, pd.DataFrame) else frame[c].to_numpy(zero_copy_only=False)
+
+
+def _arrays(frame: Frame) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (N, L, D) and targets (N, H, D) of a frame with rows."""
+
+    def stack(c: str) -> np.ndarray:
+        if isinstance(frame, pd.DataFrame):
+            return np.stack([np.stack(v) for v in frame[c]]).astype(float)
+        outer, inner = frame[c], frame[c].flatten()
+        sizes = [pc.min_max(pc.list_value_length(x)) for x in (outer, inner)]
+        if outer.null_count or inner.null_count or any(x["min"] != x["max"] for x in sizes):
+            raise ValueError(f"all rows of {c} must have one shape")
+        return inner.flatten().to_numpy(zero_copy_only=False).reshape(len(outer), sizes[0]["max"].as_py(), -1).astype(float, copy=False)
+
     return stack("window"), stack("target")
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    """An array's first axis as rows, the others as lists in lists."""
+    if x.ndim == 1:
+        return pa.array(x)
+    flat = _lists(x.reshape(-1, *x.shape[2:]))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1])), flat)
+
+
 def _loss(rows: DataFrame, model: Trained, training: TrainingConfig) -> tuple[float, int]:
     """The summed loss and the number of the rows."""
     shared = rows.sparkSession.sparkContext.broadcast((model.config, model.weights))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, w = shared.value
         loss, n = 0.0, 0
         for frame in frames:
             for a in range(0, len(frame), 256):
-                part = frame.iloc[a : a + 256]
+                part = _cut(frame, a, min(a + 256, len(frame)))
                 x, y = _arrays(part)
-                labels = part["regime_label"].to_numpy() if training.supervised else None
+                labels = _column(part, "regime_label") if training.supervised else None
                 loss, n = loss + loss_and_gradient(own, w, x, y, labels, training.supervised)[0], n + len(part)
-        yield pd.DataFrame({"loss": [loss], "n": [n]})
+        yield pa.RecordBatch.from_pydict({"loss": [float(loss)], "n": [n]})
 
-    parts = rows.select("window", "target", "regime_label").mapInPandas(run, "loss double, n long").toPandas()  # a row for each task
+    parts = rows.select("window", "target", "regime_label").mapInArrow(run, "loss double, n long").toPandas()  # a row for each task
     return float(parts["loss"].sum()), int(parts["n"].sum())
 
 
@@ -246,56 +290,67 @@ def mean_loss(rows: DataFrame, model: Trained, training: TrainingConfig = Traini
 
 @dataclass
 class Adam:
-    """The model's weights and the moments of their gradients after ``step`` steps."""
+    """The model's weights and the moments of their gradients (by the weights' names in order) after
+    ``step`` steps."""
 
     weights: Weights
-    m: Weights
-    v: Weights
+    m: np.ndarray
+    v: np.ndarray
     step: int = 0
 
     @classmethod
     def first(cls, weights: Weights) -> Adam:
-        return cls(weights, {k: np.zeros_like(x) for k, x in weights.items()}, {k: np.zeros_like(x) for k, x in weights.items()})
+        total = sum(x.size for x in weights.values())
+        return cls(weights, np.zeros(total), np.zeros(total))
 
     def take(self, g: Weights, n: int, training: TrainingConfig) -> None:
         """A step along the summed gradient of ``n`` rows, clipped by its norm."""
-        norm = np.sqrt(sum(((x / n) ** 2).sum() for x in g.values()))
+        x, w = (np.concatenate([own[k].ravel() for k in sorted(self.weights)]) for own in (g, self.weights))
+        x /= n
+        x *= min(1.0, training.clip / max(np.sqrt(x @ x), 1e-12))
         self.step += 1
-        for k in sorted(g):
-            x = g[k] / n * min(1.0, training.clip / max(norm, 1e-12))
-            self.m[k], self.v[k] = 0.9 * self.m[k] + 0.1 * x, 0.999 * self.v[k] + 0.001 * x**2
-            move = self.m[k] / (1 - 0.9**self.step) / (np.sqrt(self.v[k] / (1 - 0.999**self.step)) + 1e-8)
-            self.weights[k] = self.weights[k] * (1 - training.rate * training.decay) - training.rate * move
+        self.m, self.v = 0.9 * self.m + 0.1 * x, 0.999 * self.v + 0.001 * x**2
+        move = self.m / (1 - 0.9**self.step) / (np.sqrt(self.v / (1 - 0.999**self.step)) + 1e-8)
+        self.weights = _split(w * (1 - training.rate * training.decay) - training.rate * move, self.weights)
+
 
+def _split(flat: np.ndarray, like: Weights) -> Weights:
+    """Arrays of the shapes of ``like`` from their numbers, by the names in order."""
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k], at = flat[at : at + like[k].size].reshape(like[k].shape), at + like[k].size
+    return out
 
-def _dealt(rows: DataFrame, n: int, tasks: int, training: TrainingConfig, epoch: int, key: str) -> DataFrame:
-    """The rows in an order of their own for each epoch: ``_place``, by which they are dealt over
-    ``tasks`` partitions one after another, so that all have their share of each batch, in order."""
+
+def _dealt(rows: DataFrame, n: int, tasks: int, training: TrainingConfig, epoch: int, key: str, run: int = 1) -> DataFrame:
+    """The rows in an order of their own for each epoch: ``_place``, by which runs of ``run`` rows are
+    dealt over ``tasks`` partitions one after another, in order."""
     order = F.xxhash64(key, F.lit(training.seed), F.lit(epoch))
     drawn = rows.withColumn("_order", order).withColumn("_bin", F.pmod("_order", F.lit(-(-n // PART_ROWS))))
     placed = numbered(drawn, ["_bin"], ["_order", key], "_place")
-    own = F.pmod("_place", F.lit(tasks)).cast("int")
+    own = F.pmod(F.floor(F.col("_place") / run), F.lit(tasks)).cast("int")
     return placed.select("window", "target", "regime_label", "_place").repartitionById(tasks, own).sortWithinPartitions("_place")
 
 
 Part = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def batches_of(frames: Iterable[pd.DataFrame], size: int, count: int) -> Iterator[list[Part]]:
-    """For each of ``count`` batches of ``size`` places, the windows, targets and labels of its rows in
-    ``frames``, which come in order; batches without any give an empty list."""
+def batches_of(frames: Iterable[Frame], size: int, count: int, first: int = 0) -> Iterator[list[Part]]:
+    """For each of ``count`` batches of ``size`` places from the batch ``first`` on, the windows,
+    targets and labels of its rows in ``frames``, which come in order; batches without any give an
+    empty list."""
     frames, frame, at = iter(frames), None, 0
-    for batch in range(count):
+    for batch in range(first, first + count):
         parts: list[Part] = []
         while True:
             if frame is None or at == len(frame):
                 frame, at = next(frames, None), 0
                 if frame is None:
                     break
-            stop = int(np.searchsorted(frame["_place"].to_numpy(), (batch + 1) * size))
+            stop = int(np.searchsorted(_column(frame, "_place"), (batch + 1) * size))
             for a in range(at, stop, 256):
-                own = frame.iloc[a : min(a + 256, stop)]
-                parts.append((*_arrays(own), own["regime_label"].to_numpy()))
+                own = _cut(frame, a, min(a + 256, stop))
+                parts.append((*_arrays(own), _column(own, "regime_label")))
             at = stop
             if at < len(frame):
                 break
@@ -312,29 +367,50 @@ def batch_gradient(config: ModelConfig, weights: Weights, parts: list[Part], tra
 
 
 def unpacked(total: np.ndarray, weights: Weights) -> tuple[float, int, Weights]:
-    out, at = {}, 2
-    for k in sorted(weights):
-        out[k], at = total[at : at + weights[k].size].reshape(weights[k].shape), at + weights[k].size
-    return float(total[0]), int(total[1]), out
+    return float(total[0]), int(total[1]), _split(total[2:], weights)
 
 
-def _epoch(dealt: DataFrame, state: Adam, config: ModelConfig, training: TrainingConfig, size: int, count: int) -> tuple[Adam, float]:
-    """The state after one epoch of ``count`` batches, and their mean loss: one job."""
-    shared = dealt.sparkSession.sparkContext.broadcast(state)
+def _packed(x: object) -> str:
+    return base64.b64encode(pickle.dumps(x, 5)).decode()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context, own, losses = BarrierTaskContext.get(), pickle.loads(pickle.dumps(shared.value)), 0.0
-        for parts in batches_of(frames, size, count):
-            rng = np.random.default_rng([training.seed, own.step, context.partitionId()]) if config.dropout else None
-            mine = batch_gradient(config, own.weights, parts, training, rng)
-            every = context.allGather(base64.b64encode(mine.tobytes()).decode())
-            loss, n, g = unpacked(np.sum([np.frombuffer(base64.b64decode(e)) for e in every], axis=0), own.weights)
-            losses += loss / n
-            own.take(g, n, training)
-        if context.partitionId() == 0:
-            yield pd.DataFrame({"state": [pickle.dumps(own, 5)], "loss": [losses / count]})
-
-    (made,) = dealt.mapInPandas(run, "state binary, loss double", barrier=True).collect()
+
+def _unpacked(x: str) -> object:
+    return pickle.loads(base64.b64decode(x))
+
+
+def _epoch(dealt: DataFrame, state: Adam, config: ModelConfig, training: TrainingConfig, size: int, count: int, run: int | None = None) -> tuple[Adam, float]:
+    """The state after one epoch of ``count`` batches, and their mean loss: one job. All tasks share
+    each batch; with ``run``, so many batches in a row are one task's, and the next go on from there."""
+    shared = dealt.sparkSession.sparkContext.broadcast(state)
+    last = -(-count // run) - 1 if run else 0
+
+    def steps(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        me, own, losses = context.partitionId(), pickle.loads(pickle.dumps(shared.value)), 0.0
+
+        def take(batches: Iterator[list[Part]], part: int, gathered: Callable[[np.ndarray], np.ndarray]) -> float:
+            total = 0.0
+            for parts in batches:
+                rng = np.random.default_rng([training.seed, own.step, part]) if config.dropout else None
+                loss, n, g = unpacked(gathered(batch_gradient(config, own.weights, parts, training, rng)), own.weights)
+                total += loss / n
+                own.take(g, n, training)
+            return total
+
+        if run is None:
+            losses = take(batches_of(frames, size, count), me, lambda mine: np.sum([_unpacked(e) for e in context.allGather(_packed(mine))], axis=0))
+        else:
+            for turn in range(last + 1):
+                if turn == me:
+                    losses += take(batches_of(frames, size, min(run, count - me * run), me * run), 0, lambda mine: mine)
+                if turn < last:
+                    given = context.allGather(_packed((own, losses)) if turn == me else "")
+                    if turn + 1 == me:
+                        own, losses = _unpacked("".join(given))
+        if me == last:
+            yield pa.RecordBatch.from_pydict({"state": [pickle.dumps(own, 5)], "loss": [losses / count]})
+
+    (made,) = dealt.mapInArrow(steps, "state binary, loss double", barrier=True).collect()
     shared.unpersist()
     return pickle.loads(made["state"]), made["loss"]
 
@@ -343,8 +419,8 @@ def train(windows: DataFrame, config: ModelConfig, training: TrainingConfig = Tr
     """AdamW over shuffled batches; gradients are clipped by their norm. ``windows`` has ``window``,
     ``target``, ``regime_label`` and an integer ``key``, by which rows fall into batches anew in
     each epoch. An epoch takes rows / ``batch_size`` steps, one after another, which more tasks do
-    not shorten; a larger batch does. Its stage needs ``tasks`` cores at once, and no dynamic
-    allocation of executors; a step sends the model's numbers from each task to each.
+    not shorten; a larger batch does. Its stage needs the cores of all its tasks at once, and no
+    dynamic allocation of executors; an exchange sends the model's numbers to each task.
 
     Without rows the model stays as it was drawn, and its losses are not numbers."""
     training.check()
@@ -357,11 +433,16 @@ def train(windows: DataFrame, config: ModelConfig, training: TrainingConfig = Tr
     try:
         total = rows.count()
         size = training.batch_size if training.batches is None else max(1, -(-total // training.batches))
-        tasks = training.tasks or max(1, min(windows.sparkSession.sparkContext.defaultParallelism, min(size, total) // TASK_ROWS))
+        count, cores = -(-total // size), windows.sparkSession.sparkContext.defaultParallelism
+        tasks, run = training.tasks or min(cores, min(size, total) // TASK_ROWS), None
+        if training.tasks is None and tasks < 2:
+            run = max(-(-count // cores), TURN_STEPS)
+            tasks = -(-count // run)
         for epoch in range(training.epochs):
             loss = float("nan")
             if total:
-                state, loss = _epoch(_dealt(rows, total, tasks, training, epoch, key), state, config, training, size, -(-total // size))
+                dealt = _dealt(rows, total, tasks, training, epoch, key, run * size if run else 1)
+                state, loss = _epoch(dealt, state, config, training, size, count, run)
             model.weights = state.weights
             model.train_loss.append(float(loss))
             if validation is not None:
@@ -377,18 +458,18 @@ def predict(windows: DataFrame, model: Trained, keep: tuple[str, ...] = ("seq",)
     shared = windows.sparkSession.sparkContext.broadcast((model.config, model.weights))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.select(*keep).schema.fields)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         config, w = shared.value
         for frame in frames:
             for a in range(0, len(frame), 256):
-                part = frame.iloc[a : a + 256]
+                part = _cut(frame, a, min(a + 256, len(frame)))
                 x, y = _arrays(part)
-                got = forward(config, w, x)
-                weights, n = _softmax(got["logits"]), len(part)
+                got, n = forward(config, w, x), len(part)
+                weights = _softmax(got["logits"])
                 for h in range(config.horizon):
-                    made = {k: part[k].to_numpy() for k in keep} | {"h": np.full(n, h), "observed": list(y[:, h]), "weights": list(weights[:, h])}
-                    made |= {"means": [list(v) for v in got["means"][:, h]], "stds": [list(v) for v in got["stds"][:, h]], "probs": list(got["probs"])}
-                    yield pd.DataFrame(made)
+                    made = {k: part[k] for k in keep} | {"h": pa.array(np.full(n, h, np.int32)), "observed": _lists(y[:, h]), "weights": _lists(weights[:, h])}
+                    made |= {"means": _lists(got["means"][:, h]), "stds": _lists(got["stds"][:, h]), "probs": _lists(got["probs"])}
+                    yield pa.RecordBatch.from_pydict(made)
 
     schema = f"{kinds}, h int, observed array<double>, weights array<double>, means array<array<double>>, stds array<array<double>>, probs array<double>"
-    return windows.select(*keep, "window", "target").mapInPandas(run, schema)
+    return windows.select(*keep, "window", "target").mapInArrow(run, schema)
