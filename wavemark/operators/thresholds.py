@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import exact_quantiles
@@ -39,31 +39,54 @@ def candidates(df: DataFrame, score: str = "score") -> list[float]:
     return [math.nextafter(found[0], math.inf), *found]
 
 
+def finite(score: str = "score") -> Column:
+    """The score as it is; one that is null or not finite fails the job."""
+    value = F.col(score)
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value).otherwise(F.raise_error(F.lit("scores must be finite")).cast("double"))
+
+
 def predict(df: DataFrame, threshold: float, score: str = "score") -> DataFrame:
     """Add ``pred``: 1 where the score is at the threshold or above; a score that is not finite
     fails the job."""
-    value = F.col(score)
-    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
-    return df.withColumn("pred", F.when(finite, (value >= threshold).cast("int")).otherwise(F.raise_error(F.lit("scores must be finite")).cast("int")))
+    return df.withColumn("pred", (finite(score) >= threshold).cast("int"))
 
 
 def predict_by_group(df: DataFrame, thresholds: DataFrame, group: str = "group_id", score: str = "score") -> DataFrame:
     """Add ``pred`` by each group's ``threshold``; a group without one fails the job."""
     joined = df.join(thresholds.select(group, "threshold"), group, "left")
     known = F.when(F.col("threshold").isNotNull(), (F.col(score) >= F.col("threshold")).cast("int"))
-    return joined.withColumn("pred", known.otherwise(F.raise_error(F.concat(F.lit("no threshold for group "), F.col(group).cast("string"))).cast("int"))).drop("threshold")
+    return joined.withColumn("pred", known.otherwise(_no_threshold(group).cast("int"))).drop("threshold")
+
+
+def _no_threshold(group: str) -> Column:
+    return F.raise_error(F.concat(F.lit("no threshold for group "), F.col(group).cast("string")))
+
+
+def predict_by_group_each(df: DataFrame, thresholds: DataFrame, names: Sequence[str], group: str = "group_id", score: str = "score", name: str = "strategy") -> DataFrame:
+    """The rows once for each of ``names``, in the column ``name``, with ``pred`` by the group's
+    threshold at that place of its ``thresholds``; a group without one fails the job."""
+    joined = df.join(thresholds.select(group, "thresholds"), group, "left")
+    own = lambda k: F.when(F.col("thresholds")[k].isNotNull(), (F.col(score) >= F.col("thresholds")[k]).cast("int")).otherwise(_no_threshold(group).cast("int"))
+    each = F.array(*(F.struct(F.lit(n).alias(name), own(k).alias("pred")) for k, n in enumerate(names)))
+    return joined.select(*df.columns, F.explode(each).alias("_each")).select(*df.columns, "_each.*")
 
 
 def group_quantiles(df: DataFrame, level: float, group: str = "group_id", score: str = "score", accuracy: int = 10_000) -> DataFrame:
-    """Each group's ``threshold``: its exact quantile, linearly interpolated.
+    """Each group's ``threshold``: its exact quantile, linearly interpolated; see
+    ``group_quantiles_at``."""
+    return group_quantiles_at(df, [level], group, score, accuracy).select(group, F.col("thresholds")[0].alias("threshold"))
+
+
+def group_quantiles_at(df: DataFrame, levels: Sequence[float], group: str = "group_id", score: str = "score", accuracy: int = 10_000) -> DataFrame:
+    """Each group's ``thresholds``: its exact quantiles at the levels, linearly interpolated.
 
     A mergeable sketch of each group (ranks within 1 / ``accuracy`` of its rows) brackets the wanted
-    ranks; the rows below the bracket are only counted, and only the distinct values inside, some
-    ten-thousandths of the group (of a group of fewer than 2 * ``accuracy`` rows: all), are put in
-    order. ``df`` is read twice. Null scores do not count;
-    a group without any others has a null threshold."""
+    ranks, from the lowest to the highest level; the rows below the bracket are only counted, and only
+    the distinct values inside, with one level some ten-thousandths of the group (of a group of fewer
+    than 2 * ``accuracy`` rows: all), are put in order. ``df`` is read twice. Null scores do not count;
+    a group without any others has null thresholds."""
     margin = 2 / accuracy
-    ends = F.array(F.lit(max(0.0, level - margin)), F.lit(min(1.0, level + margin)))
+    ends = F.array(F.lit(max(0.0, min(levels) - margin)), F.lit(min(1.0, max(levels) + margin)))
     total, value = F.count(score), F.col(score).cast("double")
     near = F.percentile_approx(value, ends, F.lit(accuracy))
     ends = F.when(total < 2 * accuracy, F.array(F.min(value), F.max(value))).otherwise(near)  # few rows: all of them
@@ -72,14 +95,18 @@ def group_quantiles(df: DataFrame, level: float, group: str = "group_id", score:
     inside = F.when(F.col("_v") >= F.col("_ends")[0], F.col("_v"))  # null: all below
     counted = near.groupBy(group, inside.alias("_v")).agg(F.count("*").alias("_n"), F.first("_total").alias("_total"))
     upto = F.sum("_n").over(Window.partitionBy(group).orderBy(F.col("_v").asc_nulls_first()))
-    place = (F.col("_total") - 1) * F.lit(level)
+    place = [(F.col("_total") - 1) * F.lit(level) for level in levels]
     at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.struct(F.col("_v")))).alias
-    found = counted.withColumn("_upto", upto).groupBy(group).agg(at(F.floor(place))("_a"), at(F.ceil(place))("_b"), F.first(place).alias("_place"))
-    part = F.col("_place") - F.floor("_place")
-    value = F.when(part == 0, F.col("_a._v")).otherwise((1 - part) * F.col("_a._v") + part * F.col("_b._v"))
-    sure = F.when(F.col("_a._v").isNotNull() & F.col("_b._v").isNotNull(), value).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
-    none = sketch.where("_total = 0").select(group, F.lit(None).cast("double").alias("threshold"))
-    return found.select(group, sure.alias("threshold")).union(none)
+    ranked = (c for k, p in enumerate(place) for c in (at(F.floor(p))(f"_a{k}"), at(F.ceil(p))(f"_b{k}"), F.first(p).alias(f"_place{k}")))
+    found = counted.withColumn("_upto", upto).groupBy(group).agg(*ranked)
+
+    def sure(k: int) -> Column:
+        a, b, part = F.col(f"_a{k}._v"), F.col(f"_b{k}._v"), F.col(f"_place{k}") - F.floor(f"_place{k}")
+        value = F.when(part == 0, a).otherwise((1 - part) * a + part * b)
+        return F.when(a.isNotNull() & b.isNotNull(), value).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+
+    none = sketch.where("_total = 0").select(group, F.array_repeat(F.lit(None).cast("double"), len(levels)).alias("thresholds"))
+    return found.select(group, F.array(*map(sure, range(len(levels)))).alias("thresholds")).union(none)
 
 
 def check_persistence(window: int, count: int) -> None:

@@ -303,7 +303,7 @@ def _strategies_sql() -> str:
 def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every named strategy: its threshold (null for those by group) and range metrics."""
     with kept(scored(spark, sf_dir, "validation")) as rows:
-        found = [(s, c.threshold, *(c.metrics[k] for k in ("precision", "recall", "f1"))) for s in thresholds.STRATEGIES for c in [selection.select_threshold(rows, s)]]
+        found = [(s, c.threshold, *(c.metrics[k] for k in selection.MEASURES)) for s, c in selection.select_thresholds(rows).items()]
     made = spark.createDataFrame(found, "strategy string, threshold double, precision double, recall double, f1 double")
     return made.select("strategy", r6(F.col("threshold"), "threshold"), *(r6(F.col(c), c) for c in ("precision", "recall", "f1")))
 
