@@ -27,6 +27,13 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         cached.unpersist()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by ``keys`` over all cores, however few bytes they are: for work that takes long
+    for each row."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "seq", chunk: int | None = None) -> DataFrame:
     """Number all rows from 0 in the order of ``groups``, then ``order``: a row number in each group
     plus the rows of all groups before it. ``chunk`` cuts long groups: the first column of ``order``

@@ -9,7 +9,7 @@ from ..functions import gaussian, mixture, scores
 from ..functions.energy import energy_score
 from ..functions.intervals import channel_coverage
 from ..operators import baselines, diagnostics, regimes, scaling, windows
-from ..operators.sequence import CHUNK, numbered
+from ..operators.sequence import CHUNK, numbered, spread
 from ..plans import neural
 from .series import H, L, S, WINDOWS, _windows, r6
 from .views import EV, Query, series_events
@@ -148,7 +148,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("energy_score")
 def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixtures(spark, sf_dir).withColumn("key", F.abs(F.hash("series_id", "t")))
+    rows = spread(mixtures(spark, sf_dir), "series_id", "t").withColumn("key", F.abs(F.hash("series_id", "t")))
     return rows.select("series_id", "t", r6(energy_score(*COLUMNS, "key"), "energy"))
 
 
