@@ -388,8 +388,7 @@ def _epoch(dealt: DataFrame, state: Adam, config: ModelConfig, training: Trainin
         context = BarrierTaskContext.get()
         me, own, losses = context.partitionId(), pickle.loads(pickle.dumps(shared.value)), 0.0
 
-        def take(batches: Iterator[list[Part]], part: int, gathered: Callable[[np.ndarray], np.ndarray]) -> float:
-            total = 0.0
+        def take(batches: Iterator[list[Part]], part: int, gathered: Callable[[np.ndarray], np.ndarray], total: float) -> float:
             for parts in batches:
                 rng = np.random.default_rng([training.seed, own.step, part]) if config.dropout else None
                 loss, n, g = unpacked(gathered(batch_gradient(config, own.weights, parts, training, rng)), own.weights)
@@ -398,11 +397,11 @@ def _epoch(dealt: DataFrame, state: Adam, config: ModelConfig, training: Trainin
             return total
 
         if run is None:
-            losses = take(batches_of(frames, size, count), me, lambda mine: np.sum([_unpacked(e) for e in context.allGather(_packed(mine))], axis=0))
+            losses = take(batches_of(frames, size, count), me, lambda mine: np.sum([_unpacked(e) for e in context.allGather(_packed(mine))], axis=0), losses)
         else:
             for turn in range(last + 1):
                 if turn == me:
-                    losses += take(batches_of(frames, size, min(run, count - me * run), me * run), 0, lambda mine: mine)
+                    losses = take(batches_of(frames, size, min(run, count - me * run), me * run), 0, lambda mine: mine, losses)
                 if turn < last:
                     given = context.allGather(_packed((own, losses)) if turn == me else "")
                     if turn + 1 == me:
